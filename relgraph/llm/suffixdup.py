@@ -255,10 +255,10 @@ def _factors(parts: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, lo int, hi int")
 
 
-def _cut_out(docs: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame:
-    """(a, doc, lo, bytes, hot) of wanted (a, doc, lo, hi, hot)."""
+def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, doc, lo, bytes, hot) of wanted (a, doc, lo, hi, hot). Texts meet their places by document."""
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "hi", "hot")).alias("want"))
-    joined = docs.select("doc", "text").join(F.broadcast(lists) if broadcast else lists, "doc")
+    joined = docs.select("doc", "text").join(lists.hint("shuffle_merge"), "doc")
 
     def run(batches):
         for batch in batches:
@@ -309,7 +309,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     rows = rows.where(known | (F.col("least") != F.col("most")))
     rows = materialise(rows.select("a", "doc", "lo", "hi", known.alias("known"), (F.col("kinds") > HOT).alias("hot")), "suffix-stretches")
     wanted = rows.where(~F.col("known")).select("a", "doc", "lo", "hi", "hot")
-    parts = _cut_out(docs, wanted, wanted.count() <= BROADCAST_ROWS)
+    parts = _cut_out(docs, wanted)
     found = rows.where("known").select("doc", "lo", "hi")
     if wanted.where("hot").isEmpty():
         more = _factors(parts, length)
