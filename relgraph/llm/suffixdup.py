@@ -99,23 +99,37 @@ def _stretches(part, o, length, gram):
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes by their first symbols (depth of them at least), ties by place; common prefixes of neighbours."""
+    """Suffixes by their first symbols (depth of them at least), ties by place; common prefixes of neighbours.
+
+    Ranks of 4 symbols come from the symbols, ranks of three times as many from
+    three ranks, as often as needed: symbols and ranks pack into 64-bit keys.
+    """
     n = len(text)
-    ranks, p = [np.unique(text, return_inverse=True)[1].astype(np.int64)], 1
+
+    def packed(r: np.ndarray, step: int, count: int) -> np.ndarray:
+        base = int(r.max(initial=0)) + 2  # 0 stands for what is past the end
+        if base**count >= 1 << 63:
+            raise ValueError("too many symbols for one suffix array")
+        key = np.zeros(n, np.int64)
+        for k in range(count):
+            key *= base
+            key[: max(n - k * step, 0)] += r[k * step :] + 1
+        return np.unique(key, return_inverse=True)[1]
+
+    symbols = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    ranks, p = [(1, symbols), (4, packed(symbols, 1, 4))], 4
     while p < depth:
-        r = ranks[-1]
-        after = np.zeros(n, np.int64)
-        after[: max(n - p, 0)] = r[p:] + 1
-        ranks.append(np.unique(r * (n + 1) + after, return_inverse=True)[1])
-        p *= 2
-    sa = np.argsort(ranks[-1], kind="stable")
+        ranks.append((3 * p, packed(ranks[-1][1], p, 3)))
+        p *= 3
+    sa = np.argsort(ranks[-1][1], kind="stable")
     a, b, lcp = sa[:-1].copy(), sa[1:].copy(), np.zeros(n, np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        same = (a < n) & (b < n)
-        same[same] = ranks[k][a[same]] == ranks[k][b[same]]
-        step = same.astype(np.int64) << k
-        a, b = a + step, b + step
-        lcp[1:] += step
+    for k, (size, r) in reversed(list(enumerate(ranks))):
+        for _ in range(1 if k == len(ranks) - 1 else 3 if k == 0 else 2):
+            same = (a < n) & (b < n)
+            same[same] = r[a[same]] == r[b[same]]
+            step = same * size
+            a, b = a + step, b + step
+            lcp[1:] += step
     return sa, lcp
 
 
