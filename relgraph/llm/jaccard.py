@@ -3,11 +3,13 @@
 A set goes down a tree of shared samples: at every node, each of its tokens is
 chosen with probability BOOST / (similarity * size) by a hash of the node and the
 token, and the set goes on to the children of its chosen tokens. Similar sets choose
-a common token with at least 1 - exp(-1) at a node, so RUNS independent trees
+a common token with at least 1 - exp(-1) at a node, so some independent trees
 bring a pair together with the target recall. Small buckets are compared by
 brute force; a large bucket is split further by sampled tokens, unless that
 does not cut its pairs by half, as with a group of near copies, which is compared in
-blocks. All candidates are verified on their whole sets.
+blocks. One-bit minwise sketches of 64 bits, as in Christiani, Pagh and Sivertsen
+(2018), tell first which members of a bucket can be similar; only these send
+their whole sets, on which every candidate is verified.
 
 Documents with equal sets are one class, and only classes are compared. A pair
 that shares several buckets is counted in the least of them alone, so links are
@@ -35,9 +37,12 @@ from relgraph.llm.runtime import materialise
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Members of a bucket that is not split; members of a block of one that splitting does not help.
-SMALL, BLOCK = 64, 384
+SMALL, BLOCK = 1024, 512
 #: Tokens chosen below the first level, in the mean of the least similar pair, and levels at most.
 DEEP, LEVELS = 2.0, 8
+#: Equal bits of 64 that similar sets have at least: 6 standard deviations below the mean
+#: of the least similar pair, so a sketch loses one pair in a thousand million.
+SIGMAS = 6.0
 #: Rows of ids (24 bytes) that may go to every task instead of shuffling texts.
 BROADCAST_ROWS = 400_000
 U = np.uint64
@@ -78,6 +83,24 @@ def _first(h: np.ndarray, cut: np.ndarray, n_runs: int, similarity: float):
     return np.concatenate(who), np.concatenate(where)
 
 
+def least_bits(similarity: float) -> int:
+    p = (1 + similarity) / 2
+    return max(0, math.floor(64 * p - SIGMAS * math.sqrt(64 * p * (1 - p))))
+
+
+_SKETCH = tb.seeds(64, 53) | U(1)
+
+
+def _sketch(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """One bit of the least of each of 64 hashes of a set; sets are not empty."""
+    out = np.zeros(len(cut) - 1, U)
+    h = h ^ (h >> U(32))
+    for k, m in enumerate(_SKETCH):
+        low = np.minimum.reduceat(h * m, cut[:-1])
+        out |= (tb.mix(low) & U(1)) << U(k)
+    return out
+
+
 def _children(h: np.ndarray, bucket: int, similarity: float) -> np.ndarray:
     seed = tb.mix(np.array([bucket], np.int64).view(U) + U(77))
     on = tb.mix(h ^ seed) <= _level(np.array([len(h)]), DEEP / similarity)
@@ -85,11 +108,11 @@ def _children(h: np.ndarray, bucket: int, similarity: float) -> np.ndarray:
 
 
 def documents(docs: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float, n_runs: int) -> DataFrame:
-    """(id, th, s1, s2, n, buckets) of every row: its text's hash, its set by two hashes, its size, its first buckets."""
+    """(id, th, s1, s2, n, sketch, buckets) of every row: its text's hash, its set by two hashes and its size, its first buckets."""
 
     def run(batches):
         for batch in batches:
-            s1, s2, size, lists = [], [], [], []
+            s1, s2, size, sketch, lists = [], [], [], [], []
             for _, rows, h, cut in sets(*tb.strings(batch.column(2)), words):
                 n = np.diff(cut)
                 full = n > 0
@@ -98,6 +121,9 @@ def documents(docs: DataFrame, *, id_col: str, text_col: str, words: int, simila
                     if full.any():
                         x[full] = np.add.reduceat(tb.mix(h + U(salt)), cut[:-1][full])
                     out.append(x.view(np.int64))
+                x = np.zeros(rows, U)
+                x[full] = _sketch(h, np.append(cut[:-1][full], len(h))) if full.any() else 0
+                sketch.append(x.view(np.int64))
                 size.append(n)
                 who, where = _first(h, cut, n_runs, similarity)
                 order = np.lexsort((where, who))
@@ -105,11 +131,11 @@ def documents(docs: DataFrame, *, id_col: str, text_col: str, words: int, simila
                 where = where[order].view(np.int64)
                 lists += [where[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.concatenate(x), pa.int64()) for x in (s1, s2, size)), pa.array(lists, pa.list_(pa.int64()))], names=["id", "th", "s1", "s2", "n", "buckets"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.concatenate(x), pa.int64()) for x in (s1, s2, size, sketch)), pa.array(lists, pa.list_(pa.int64()))], names=["id", "th", "s1", "s2", "n", "sketch", "buckets"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")
-    return docs.select(F.col(id_col).alias("id"), th, text_col).mapInArrow(run, f"id {kind}, th long, s1 long, s2 long, n long, buckets array<long>")
+    return docs.select(F.col(id_col).alias("id"), th, text_col).mapInArrow(run, f"id {kind}, th long, s1 long, s2 long, n long, sketch long, buckets array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -216,21 +242,25 @@ def _before(held: list, bucket: int) -> np.ndarray:
     return met > 0
 
 
-def _open(key: tuple, held: list) -> np.ndarray:
-    """Which pairs of members this task has to compare, as an upper triangle."""
+def _open(key: tuple, held: list, bits: int) -> np.ndarray:
+    """Which pairs of members this task has to verify, as an upper triangle."""
     bucket, x, y = key
-    todo = ~_before(held, bucket)
+    mark = np.array([r["sketch"] for r in held], np.int64).view(U)
+    todo = np.bitwise_count(mark[:, None] ^ mark[None, :]) <= 64 - bits
     if x != y:
         block = np.array([r["block"] for r in held])
         todo &= block[:, None] != block[None, :]
-    return np.triu(todo, 1)
+    todo = np.triu(todo, 1)
+    return todo & ~_before(held, bucket) if todo.any() else todo
+
 
+def _needed(bits: int):
+    def work(key, held):
+        todo = _open(key, held, bits)
+        for k in np.flatnonzero(todo.any(0) | todo.any(1)):
+            yield *key, held[k]["block"], held[k]["class"]
 
-def _needed(key: tuple, held: list):
-    todo = _open(key, held)
-    for k in np.flatnonzero(todo.any(0) | todo.any(1)):
-        r = held[k]
-        yield *key, r["block"], r["class"]
+    return work
 
 
 def _common(held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +288,7 @@ def _linked(similarity: float):
     def work(key, held):
         size, common = _common(held)
         ok = common.astype(float) >= similarity * (size[:, None] + size[None, :] - common) - 1e-9
-        i, j = np.nonzero(ok & _open(key, held))
+        i, j = np.nonzero(ok & _open(key, held, least_bits(similarity)))
         if not len(i):
             return
         copies = np.array([r["size"] for r in held])
@@ -291,26 +321,30 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     every = materialise(documents(docs, similarity=similarity, n_runs=runs(recall), **given), "jaccard-docs")
     number = F.xxhash64("s1", "s2")
     # equal sets are one class, summed before the shuffle; they have equal buckets
-    whole = every.where("n > 0").groupBy(number.alias("class")).agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("size"), F.first("buckets").alias("buckets"))
-    whole = materialise(whole.select("class", F.col("rep.id").alias("doc"), F.col("rep.th").alias("th"), "size", "buckets"), "jaccard-classes")
-    first = whole.select("class", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    now = materialise(_distinct_buckets(first), "jaccard-level")
-    # the texts are read again for the classes that share a bucket
-    wanted = now.select("class").distinct().join(whole.select("class", "doc", "th"), "class")
-    sets_ = materialise(_sets_of(docs, wanted, **given), "jaccard-sets")
-    final = now.where(F.col("m") <= SMALL)
-    big = now.where(F.col("m") > SMALL)
-    for _ in range(LEVELS):
-        if big.isEmpty():
-            break
-        stay, down = _split(big, sets_, similarity)
-        down = materialise(_distinct_buckets(down.select("bucket", "class").distinct()), "jaccard-level")
-        final = final.unionByName(stay).unionByName(down.where(F.col("m") <= SMALL))
-        big = down.where(F.col("m") > SMALL)
-    final = materialise(final.unionByName(big), "jaccard-buckets")
-    lists = materialise(final.groupBy("class").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).join(whole.select("class", "size"), "class"), "jaccard-lists")
-    needed = _by_task(_dealt(final).join(lists.select("class", "buckets"), "class"), _needed, ["bucket", "x", "y", "block", "class"])
-    links = materialise(_by_task(needed.join(lists, "class").join(sets_, "class"), _linked(similarity), ["class", "links", "root"]), "jaccard-links")
+    whole = every.where("n > 0").groupBy(number.alias("class")).agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("size"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    whole = materialise(whole.select("class", F.col("rep.id").alias("doc"), F.col("rep.th").alias("th"), "size", "sketch", "buckets"), "jaccard-classes")
+    place = whole.select("class", "doc", "th")
+    now = _distinct_buckets(whole.select("class", F.explode(F.array_distinct("buckets")).alias("bucket")))
+    final = materialise(now, "jaccard-buckets")
+    big = final.where(F.col("m") > SMALL)
+    if not big.isEmpty():
+        done = final.where(F.col("m") <= SMALL)
+        own = materialise(_sets_of(docs, big.select("class").distinct().join(place, "class"), **given), "jaccard-sets")
+        for _ in range(LEVELS):
+            if big.isEmpty():
+                break
+            stay, down = _split(big, own, similarity)
+            down = materialise(_distinct_buckets(down.select("bucket", "class").distinct()), "jaccard-buckets")
+            done = done.unionByName(stay).unionByName(down.where(F.col("m") <= SMALL))
+            big = down.where(F.col("m") > SMALL)
+        final = materialise(done.unionByName(big), "jaccard-buckets")
+    lists = materialise(final.groupBy("class").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).join(whole.select("class", "size", "sketch"), "class"), "jaccard-lists")
+    needed = _by_task(_dealt(final).join(lists.select("class", "buckets", "sketch"), "class"), _needed(least_bits(similarity)), ["bucket", "x", "y", "block", "class"])
+    needed = materialise(needed, "jaccard-needed")
+    # the texts are read again for the classes that may have a similar one
+    own = _sets_of(docs, needed.select("class").distinct().join(place, "class"), **given)
+    links = _by_task(own.join(needed, "class").join(lists, "class"), _linked(similarity), ["class", "links", "root"])
+    links = materialise(links, "jaccard-links")
     # classes are joined by number, then named by their least document
     roots = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     named = whole.select("class", "doc", "size").join(links.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")

@@ -24,6 +24,8 @@ def prepare(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # partitions of the advisory size instead of many small ones: fewer, larger scratch files
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
 
 
 def shared_dir(spark: SparkSession) -> str:
