@@ -26,8 +26,8 @@ from relgraph.llm import textbytes as tb
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000
-#: Bytes of text worked on at a time.
-CHUNK = 3 << 20
+#: Bytes of text worked on at a time, and characters of filtered parts that a process keeps.
+CHUNK, KEPT = 1 << 20, 2_000_000
 
 
 class Vocabulary:
@@ -52,8 +52,11 @@ class Vocabulary:
         h = tb.span_hash(s, cut[:-1], cut[1:])
         order = np.argsort(h)
         self.hash, self.id, self.weight = h[order], np.array(normal)[order], alpha * weight[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[h >> np.uint64(44)] = True
+        # where hashes with the same first 20 bits begin, and the most of these
+        self.slot = np.searchsorted(self.hash, np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.slot[-1] = len(self.hash)
+        self.maybe = np.diff(self.slot) > 0
+        self.most = int(np.diff(self.slot).max())
         self.lengths = np.unique([len(p) for p in points])
         self.fallback = alpha * (weight.min() - 5 if len(weight) else -10.0)
         text = [b""] * n
@@ -67,9 +70,13 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are pieces, and their places in id and weight."""
-        some = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-        k = np.minimum(np.searchsorted(self.hash, h[some]), max(len(self.hash) - 1, 0))
-        ok = self.hash[k] == h[some] if len(self.hash) else np.zeros(len(some), bool)
+        at = (h >> np.uint64(44)).astype(np.int64)
+        some = np.flatnonzero(self.maybe[at])
+        k, h = self.slot[at[some]], h[some]
+        ok = self.hash[k] == h if len(some) else np.zeros(0, bool)
+        for _ in range(self.most - 1):
+            k = np.where(ok, k, np.minimum(k + 1, len(self.hash) - 1))
+            ok = self.hash[k] == h if len(some) else ok
         return some[ok], k[ok]
 
 
@@ -163,17 +170,53 @@ def _filter(cp: np.ndarray, cut: np.ndarray, voc: Vocabulary):
     return lo, token, run, of
 
 
-def sample(data: np.ndarray, off: np.ndarray, keys: np.ndarray, voc: Vocabulary, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+class Parts:
+    """Filtered parts by hash; forgets all of them when they are too many."""
+
+    def __init__(self, voc: Vocabulary):
+        self.voc = voc
+        self._clear()
+
+    def _clear(self):
+        self.hash, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.lo, self.token, self.of = (np.zeros(0, np.int32) for _ in range(3))
+        self.run = np.zeros(0)
+
+    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        return k, self.hash[k] == h if len(self.hash) else np.zeros(len(h), bool)
+
+    def starts(self, h: np.ndarray, cp: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where the parts with these distinct hashes begin in this store; first: where in cp."""
+        if len(self.of) > KEPT:
+            self._clear()
+        new = np.flatnonzero(~self._place(h)[1])
+        if len(new):
+            cut = np.concatenate(([0], np.cumsum(size[new])))
+            at = np.repeat(first[new] - cut[:-1], size[new]) + np.arange(cut[-1])
+            lo, token, run, of = _filter(cp[at], cut, self.voc)
+            chars, arcs = len(self.of), len(self.lo)
+            self.lo = np.append(self.lo, (lo + chars).astype(np.int32))
+            self.token = np.append(self.token, token.astype(np.int32))
+            self.run = np.append(self.run, run)
+            self.of = np.append(self.of, (of + arcs).astype(np.int32))
+            known = np.append(self.hash, h[new])
+            order = np.argsort(known, kind="stable")
+            self.hash, self.begin = known[order], np.append(self.begin, cut[:-1] + chars)[order]
+        return self.begin[self._place(h)[0]]
+
+
+def sample(data: np.ndarray, off: np.ndarray, keys: np.ndarray, parts: Parts, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows, one after another, and their rows + 1 offsets."""
     ids, sizes = [np.zeros(0, np.int64)], []
     for a, b in tb.pieces(off, CHUNK):
-        got, size = _sample(data[off[a] : off[b]], off[a : b + 1] - off[a], keys[a:b], voc, seed)
+        got, size = _sample(data[off[a] : off[b]], off[a : b + 1] - off[a], keys[a:b], parts, seed)
         ids.append(got)
         sizes.append(size)
     return np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes])))).astype(np.int64)
 
 
-def _sample(data, off, keys, voc, seed):
+def _sample(data, off, keys, parts, seed):
     cp, cut = _points(data, off)
     rows = len(off) - 1
     if not len(cp):
@@ -184,16 +227,14 @@ def _sample(data, off, keys, voc, seed):
     start = np.flatnonzero(begin)
     stop = np.append(start[1:], len(cp))
     row = np.searchsorted(cut, start, "right") - 1
-    _, kept, part = np.unique(tb.span_hash(_prefix(cp), start, stop), return_index=True, return_inverse=True)
-    size = (stop - start)[kept]
-    where = np.concatenate(([0], np.cumsum(size)))
-    own = np.repeat(start[kept] - where[:-1], size) + np.arange(where[-1])
-    lo, token, run, of = _filter(cp[own], where, voc)
+    h, kept, part = np.unique(tb.span_hash(_prefix(cp), start, stop), return_index=True, return_inverse=True)
+    where = parts.starts(h, cp, start[kept], (stop - start)[kept])
+    lo, token, run, of = parts.lo, parts.token, parts.run, parts.of
     place = np.arange(len(start)) - np.searchsorted(row, np.arange(rows))[row]
     state = tb.mix(keys.astype(np.uint64)[row] + tb.mix(place.astype(np.uint64) * np.uint64(2654435761) + np.uint64(seed)))
     live = np.arange(len(start))
-    node = where[part + 1] - 1
     low = where[part]
+    node = low + (stop - start) - 1
     steps = []
     while len(live):
         u = (tb.mix(state[live] + np.uint64(len(steps) + 1) * np.uint64(0x9E3779B9)) >> np.uint64(11)).astype(float) * 2.0**-53
@@ -213,7 +254,7 @@ def _sample(data, off, keys, voc, seed):
     for k, (who, what) in enumerate(steps):
         out[last[who] - 1 - k] = what
     owner = np.repeat(row, taken)
-    return _expand(out, owner, rows, voc)
+    return _expand(out, owner, rows, parts.voc)
 
 
 def _expand(out, owner, rows, voc):
@@ -250,20 +291,23 @@ def _strings(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """id and ``pieces``, the sampled piece ids of each whole text."""
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = 1.0, seed: int = 0, decoded: bool = False) -> DataFrame:
+    """id and ``pieces``, the sampled piece ids of each whole text; with decoded, the text that they give back."""
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(model, alpha))
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    names = [id_col, "pieces", *["decoded"] * decoded]
 
     def run(batches):
-        voc = held.value
+        parts = Parts(held.value)
         for batch in batches:
-            ids, cut = sample(*tb.strings(batch.column(2)), np.asarray(batch.column(1)), voc, seed)
-            got = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), got], names=[id_col, "pieces"])
+            ids, cut = sample(*tb.strings(batch.column(2)), np.asarray(batch.column(1)), parts, seed)
+            cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded:
+                cols.append(_strings(*join(ids, cut, parts.voc)))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, key.alias("key"), text_col).mapInArrow(run, f"`{id_col}` {kind}, pieces array<int>")
+    return docs.select(id_col, key.alias("key"), text_col).mapInArrow(run, f"`{id_col}` {kind}, pieces array<int>" + ", decoded string" * decoded)
 
 
 def decode(pieces: DataFrame, *, col: str = "pieces", model: str = MODEL) -> DataFrame:

@@ -86,7 +86,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, and a digest of what they decode to."""
     prepare(spark)
-    got = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    got = pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return got.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
