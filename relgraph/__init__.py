@@ -1,0 +1 @@
+"""Mining descriptive relation graphs from text, as DataFrame plans."""
