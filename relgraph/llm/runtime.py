@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text handed to a Python worker at a time; bounds its memory.
 BATCH_ROWS = 1024
+#: Python workers are kept and used again; these settings make them give back what a stage has freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -23,6 +25,7 @@ def prepare(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
+    env.update(WORKER_MEMORY)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     # partitions of the advisory size instead of many small ones: fewer, larger scratch files
     spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
