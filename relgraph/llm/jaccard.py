@@ -37,7 +37,7 @@ from relgraph.llm.runtime import materialise
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Members of a bucket that is not split; members of a block of one that splitting does not help.
-SMALL, BLOCK = 1024, 512
+SMALL, BLOCK = 1024, 1024
 #: Tokens chosen below the first level, in the mean of the least similar pair, and levels at most.
 DEEP, LEVELS = 2.0, 8
 #: Equal bits of 64 that similar sets have at least: 6 standard deviations below the mean
