@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SCALE, LEVELS = 256, 16
 SHARD, QUERY_BLOCK = 8192, 2048
 #: Segments between two looks for a proof, and members that are few enough to rescore.
-STEP, FEW = 64, 96
+STEP, FEW = 128, 256
 
 
 class Shard:
@@ -57,8 +57,8 @@ class Shard:
         floor = np.minimum(q * self.low, q * self.high)  # the worst that a dimension can give
         order = np.argsort(-(up - floor[self.dim]), kind="stable")
         # what an unseen vector can still get from each dimension: its best segment not yet processed
-        seen = np.zeros((n, d), bool)
-        upper, lower = np.zeros(n), np.full(n, float(floor.sum()))
+        seen = np.zeros((d, n))
+        upper, lower = np.zeros(n), np.full(n, float(floor.sum()))  # whole numbers below 2^53 are exact
         rest = [[] for _ in range(d)]
         for s in order[::-1]:
             rest[self.dim[s]].append(up[s])  # the last is the next to come
@@ -69,10 +69,10 @@ class Shard:
                 who, t = self.postings[s], self.dim[s]
                 upper[who] += up[s]
                 lower[who] += down[s] - floor[t]
-                seen[who, t] = True
+                seen[t][who] = 1.0
                 rest[t].pop()
             ahead = np.array([r[-1] if r else 0 for r in rest], float)
-            bound = upper + ahead.sum() - seen @ ahead
+            bound = upper + ahead.sum() - ahead @ seen
             proof = max(least, np.partition(lower[other], -k)[-k] if other.sum() >= k else -np.inf)
             few = np.flatnonzero(other & (bound >= proof))
             if len(few) <= FEW:
