@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,8 +132,6 @@ def mark_spans(tokens, spans) -> Column:
 
 def nfd(c) -> Column:
     """Canonical decomposition (SC24); Spark has no built-in for it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFD")

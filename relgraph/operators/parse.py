@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 
 # Labels of modifiers whose sub paths count towards coverage.
 MODIFIERS = frozenset(
-    "acl advcl advmod amod appos aux auxpass case cc ccomp compound conj cop csubj dative dep det expl mark meta neg nmod nounmod npadvmod nummod oprd parataxis poss preconj predet prep quantmod xcomp".split()
-)
+    (
+        "acl", "advcl", "advmod", "amod", "det", "mark", "meta", "neg", "nn", "nmod", "npmod", "nummod", "poss", "prep", "quantmod", "relcl",
+        "appos", "aux", "auxpass", "compound", "cop", "ccomp", "xcomp", "expl", "punct", "nsubj", "csubj", "csubjpass", "dobj", "iobj", "obj", "pobj",
+    )
+)
 
 
 def ancestors(head: list[int], i: int) -> list[int]:
@@ -115,7 +118,7 @@ def weigh(head: list[int], dep: list[str], branch: list[float], sub_counts: dict
         if branch[i] and d == "conj":
             out[head[i]] = 0.0
     for root, path, i in sub_paths(head, dep, out):
-        if path.split(" ")[0] in MODIFIERS or path.split(" ")[0] == "dobj" and dep[i] == "dobj":
+        if path.split(" ")[0] in MODIFIERS:
             pattern = sub_pattern(path)
             out[i] = (frequency(sub_counts.get(pattern, 0), most) or 0.0) if pattern else out[root]
     return out

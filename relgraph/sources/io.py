@@ -12,7 +12,7 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole, one row each, so that no order is lost; a page is what stands between
     its header and its end mark. Empty lines and a first line that repeats the title are left out.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value")
     head = r'(?s)<doc id="[^"]*"[^>]*title="([^"]*)"[^>]*>\n?(.*?)</doc>'
     pages = files.select("file", F.posexplode(F.arrays_zip(F.regexp_extract_all("value", F.lit(head), F.lit(1)).alias("title"), F.regexp_extract_all("value", F.lit(head), F.lit(2)).alias("body"))).alias("doc", "p"))
     lines = pages.select("file", "doc", F.col("p.title").alias("title"), F.posexplode(F.split("p.body", "\n")).alias("para", "line"))
