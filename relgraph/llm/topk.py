@@ -3,15 +3,17 @@
 Vectors are dealt into shards. In a shard, every dimension has a posting list cut
 into LEVELS segments by quantised value, each with the least and the largest
 value in it. A query processes segments by descending impact: the segment's
-best contribution less the worst that its dimension can give. Lower and upper
-bounds of all scores follow. Processing stops only on proof: when the k-th lower
-bound (or a k-th score from another shard) is above the upper bounds of all but
-a few vectors, or when no segment is left. Those few are rescored exactly.
+best contribution less the worst that its dimension can give. Sums of impacts, and
+the next impact for every segment of a vector still to come, bound all scores from
+above; the vectors of the highest bounds are scored to bound the k-th best from below.
+Processing stops only on proof: when all but a few upper bounds are under that score,
+or when no segment is left. Whatever may still be among the best is rescored exactly.
 
 Defined cases: rows with a null id, a null vector, or null or non-finite
 components take no part; of several vectors with one id the smallest counts;
 only vectors of the query's length have a score with it; ties go to the smaller
-id; other columns are not read.
+id; other columns are not read. Where sums could pass 2^53, all of a shard is scored
+in 64-bit integers, which scores must fit.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, LEVELS = 256, 16
+SCALE, LEVELS = 256, 32
 SHARD, QUERY_BLOCK = 8192, 2048
-#: Segments between two looks for a proof, and members that are few enough to rescore.
-STEP, FEW = 128, 256
+#: Shares of the postings after which a proof is looked for, and members that are few enough to rescore.
+LOOKS, FEW = (0.6, 0.7, 0.8, 0.9), 256
 
 
 class Shard:
@@ -47,36 +49,36 @@ class Shard:
                 hi.append(self.x[own, k].max())
                 dim.append(k)
         self.lo, self.hi, self.dim = np.array(lo), np.array(hi), np.array(dim)
+        self.size = np.array([len(p) for p in self.postings])
         self.low, self.high = low, high
 
-    def top(self, q: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores that hold every one of the k best that scores at least ``least``."""
+    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best."""
         n, d = self.x.shape
-        up = np.maximum(q[self.dim] * self.lo, q[self.dim] * self.hi)
-        down = np.minimum(q[self.dim] * self.lo, q[self.dim] * self.hi)
-        floor = np.minimum(q * self.low, q * self.high)  # the worst that a dimension can give
-        order = np.argsort(-(up - floor[self.dim]), kind="stable")
-        # what an unseen vector can still get from each dimension: its best segment not yet processed
-        seen = np.zeros((d, n))
-        upper, lower = np.zeros(n), np.full(n, float(floor.sum()))  # whole numbers below 2^53 are exact
-        rest = [[] for _ in range(d)]
-        for s in order[::-1]:
-            rest[self.dim[s]].append(up[s])  # the last is the next to come
         other = self.ids != own
         few = np.flatnonzero(other)
-        for a in range(0, len(order), STEP):
-            for s in order[a : a + STEP]:
-                who, t = self.postings[s], self.dim[s]
-                upper[who] += up[s]
-                lower[who] += down[s] - floor[t]
-                seen[t][who] = 1.0
-                rest[t].pop()
-            ahead = np.array([r[-1] if r else 0 for r in rest], float)
-            bound = upper + ahead.sum() - ahead @ seen
-            proof = max(least, np.partition(lower[other], -k)[-k] if other.sum() >= k else -np.inf)
-            few = np.flatnonzero(other & (bound >= proof))
-            if len(few) <= FEW:
-                break
+        floor = np.minimum(q * self.low, q * self.high)  # the worst that a dimension can give
+        gain = np.maximum(q[self.dim] * self.lo, q[self.dim] * self.hi) - floor[self.dim]
+        span = np.abs(q.astype(float)) @ (self.high - self.low).astype(float)
+        unit = 2.0 ** np.ceil(np.log2(span + 2))
+        # one sum holds the gains of a vector's segments and, in units above them, their number
+        most = max(FEW, k)
+        if n > most and unit * (d + 1) < 2**53 and np.abs(self.x).max() * np.abs(q).max() * float(d) < 2**53:
+            order = np.argsort(-gain, kind="stable")
+            done = np.cumsum(self.size[order])
+            looks = np.unique(np.append(np.searchsorted(done, done[-1] * np.array(LOOKS)) + 1, len(order)))
+            total, ends = np.zeros(n), floor.sum()
+            for a, b in zip(np.append(0, looks[:-1]), looks, strict=True):
+                new = order[a:b]
+                who = np.concatenate([self.postings[s] for s in new])
+                total += np.bincount(who, np.repeat(gain[new] + unit, self.size[new]), n)
+                met = np.floor(total / unit)
+                ahead = gain[order[b]] if b < len(order) else 0  # no unseen segment gives more
+                bound = np.where(other, ends + total - met * unit + (d - met) * ahead, -np.inf)
+                likely = np.argpartition(-bound, most - 1)[:most]  # the query's own row is last of all
+                few = np.flatnonzero(bound >= np.sort(self.x[likely] @ q)[-k])
+                if len(few) <= most:
+                    break
         score = self.x[few] @ q
         best = np.lexsort((self.ids[few], -score))[:k]
         return self.ids[few][best], score[best]
@@ -111,7 +113,7 @@ def search(vectors: DataFrame, queries, *, k: int = 5, id_col: str = "vec_id", v
         if len(data) and len(asked):
             index = Shard(data["id"].to_numpy(np.int64), np.stack(data["v"].to_numpy()).astype(np.int64))
             for i, v in zip(asked["id"], asked["v"], strict=True):
-                found, score = index.top(np.asarray(v, np.int64), i, k, -np.inf)
+                found, score = index.top(np.asarray(v, np.int64), i, k)
                 out += [(i, int(f), int(s)) for f, s in zip(found, score, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
