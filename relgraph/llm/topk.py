@@ -117,6 +117,9 @@ def search(vectors: DataFrame, queries, *, k: int = 5, id_col: str = "vec_id", v
                 out += [(i, int(f), int(s)) for f, s in zip(found, score, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
+    # small rows but long work: a stated number keeps AQE from merging partitions
+    tasks = min(shards * blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, id long, score long")
     # a window's limit is applied before the shuffle too, so k rows a query leave each task
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -53,8 +53,9 @@ def empty(spark):
 # 1
 
 
-def test_topk_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "FEW", 3)
+@pytest.mark.parametrize("few", [3, 24])
+def test_topk_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(topk, "FEW", few)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[17] = x[3]
@@ -71,6 +72,17 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.search(table.limit(0), lambda c: c % 50 == 0).collect() == []
 
 
+def test_topk_of_a_shard_stops_early_and_takes_large_numbers():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-40, 40, (3000, 16))
+    for v in (x, x * (1 << 25)):
+        index = topk.Shard(np.arange(3000)[::-1], v)
+        for i in range(0, 3000, 300):
+            ids, score = index.top(v[i], 2999 - i, 5)
+            s = v @ v[i]
+            assert [(a, b) for a, b in zip(ids, score)] == [(j, t) for t, j in ((-u, j) for u, j in sorted((-s[2999 - j], j) for j in range(3000) if j != 2999 - i)[:5])]
+
+
 # 2
 
 
