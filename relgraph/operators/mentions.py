@@ -28,6 +28,26 @@ def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest
     return best.select("id", F.explode(kept).alias("m")).select("id", "m.*")
 
 
+def reform(tokens: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame:
+    """(id, text): token arrays (id, tokens) with the words of each dictionary phrase joined by _ (SC31).
+
+    From the left, words are read as long as they begin some phrase; the longest phrase among them becomes
+    one word. What was read beyond it is kept as it is and not looked at again (Q20).
+    """
+    words = dictionary.select(F.split("phrase", " ").alias("w")).where((F.size("w") <= longest) & (F.element_at("w", 1) != ""))
+    begin = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.struct(F.array_join(F.slice("w", 1, k), " ").alias("phrase"), (k == F.size("w")).alias("whole"))))
+    begins = words.select(begin.alias("p")).select("p.*").groupBy("phrase").agg(F.max("whole").alias("whole"))
+    found = match_phrases(tokens, begins, "greedy", longest).join(begins, "phrase")
+    step = F.struct("start", F.col("reach"), "take")
+    read = found.groupBy("id", "start").agg(F.max("size").alias("reach"), F.coalesce(F.max(F.when(F.col("whole"), F.col("size"))), F.lit(0)).alias("take")).groupBy("id").agg(F.sort_array(F.collect_list(step)).alias("m"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    inner = lambda x: F.when(x["take"] > 1, F.sequence(x["start"] + 1, x["start"] + x["take"] - 1)).otherwise(F.array().cast("array<int>"))
+    glued = F.aggregate("m", none, lambda acc, x: F.when(x["start"] >= acc["at"], F.struct((x["start"] + x["reach"]).alias("at"), F.concat(acc["out"], inner(x)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
+    rows = tokens.join(read.select("id", glued.alias("glued")), "id", "left").withColumn("glued", F.coalesce("glued", F.array().cast("array<int>")))
+    said = F.transform("tokens", lambda x, i: F.concat(F.when(i == 0, "").when(F.array_contains("glued", i), "_").otherwise(" "), x))
+    return rows.select("id", F.array_join(said, "").alias("text"))
+
+
 def page_names(paragraphs: DataFrame, links: DataFrame) -> DataFrame:
     """(page, para, name, entity): names known in each paragraph (TX5).
 

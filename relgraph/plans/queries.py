@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions import scores, text
-from relgraph.operators import cooccur, graph, mentions, metrics, parse, samples
+from relgraph.operators import cooccur, dataset, graph, mentions, metrics, parse, samples
 from relgraph.sources import io
 from relgraph.streaming import counts
 
@@ -185,6 +185,63 @@ def prompt(spark, sf):
     return ranked.select("a", "b", "rank", samples.prompt(F.col("a").cast("string"), F.col("b").cast("string"), nodes, said).alias("prompt"))
 
 
+# sentences of the dense part; every third order is one that several pairs share as their best
+_SENTS = f"""{_EDGES}, f AS (SELECT p.a, p.b, p.note, ((p.note * 7919) % 1000 + 1) / 1001.0::DOUBLE AS score FROM p JOIN w USING (a, b)),
+sg AS (SELECT a, b, list(note ORDER BY score DESC, note) AS notes, list(score ORDER BY score DESC, note) AS scores FROM f WHERE score >= 0.25 GROUP BY a, b),
+ds AS (SELECT a AS u, b AS v, notes, scores FROM sg UNION ALL SELECT b, a, notes, scores FROM sg)"""
+
+
+def _dataset_sql(order: str, replaceable: bool) -> str:
+    use = lambda x: f"CASE WHEN {x}.notes[1] <> t.notes[1] THEN 1 {f'WHEN len({x}.notes) > 1 THEN 2 ' if replaceable else ''}END"
+    return f"""WITH {_SENTS},
+s2 AS (SELECT t.a, t.b, [t.a, x.v, t.b] AS nodes, [x.notes[{use('x')}], y.notes[{use('y')}]] AS notes, [x.scores[{use('x')}], y.scores[{use('y')}]] AS scores
+  FROM sg t JOIN ds x ON x.u = t.a AND x.v <> t.b JOIN ds y ON y.u = x.v AND y.v = t.b),
+s3 AS (SELECT t.a, t.b, [t.a, x.v, y.v, t.b] AS nodes, [x.notes[{use('x')}], y.notes[{use('y')}], z.notes[{use('z')}]] AS notes, [x.scores[{use('x')}], y.scores[{use('y')}], z.scores[{use('z')}]] AS scores
+  FROM sg t JOIN ds x ON x.u = t.a AND x.v <> t.b JOIN ds y ON y.u = x.v AND y.v <> t.a AND y.v <> t.b JOIN ds z ON z.u = y.v AND z.v = t.b),
+al AS (SELECT *, len(notes) / list_sum(list_transform(scores, lambda x: 1 / x)) AS score FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3) WHERE list_count(notes) = len(notes)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY {order}) AS rank, count(*) OVER (PARTITION BY a, b) AS n FROM al)
+SELECT a, b, (rank - 1)::INT AS pid, array_to_string(nodes, '-') AS nodes, array_to_string(notes, ',') AS notes, round(score, 6) AS score FROM rk WHERE n >= 5 AND rank <= 5"""
+
+
+def _sentences_of_edges(spark, sf) -> DataFrame:
+    rows = cooccur.pairs(_baskets(spark, sf)).join(_edges(spark, sf), ["a", "b"])
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    rows = rows.select(
+        F.col("a").alias("kw1"), F.col("b").alias("kw2"), F.col("w").alias("sim"), F.lit("i_nsubj dobj").alias("dep_path"), "note", (((F.col("note") * 7919) % 1000 + 1) / 1001.0).alias("score"),
+        F.lit(1.0).alias("significant"), F.lit(1.0).alias("explicit"), none.alias("kw1_span"), none.alias("kw2_span"),
+    )
+    return graph.sentence_graph(graph.digraph(rows), 0.25)
+
+
+def _paths_of(found: DataFrame) -> DataFrame:
+    said = lambda c: F.transform(c, lambda x: x.cast("string"))
+    return dataset.decode(found).select("a", "b", "pid", F.array_join(said("nodes"), "-").alias("nodes"), F.array_join(said("notes"), ",").alias("notes"), _r("score").alias("score"))
+
+
+@query(_dataset_sql("len(notes), round(score, 12) DESC, nodes", False))
+def collect_sample(spark, sf):
+    sents = _sentences_of_edges(spark, sf)
+    return _paths_of(dataset.collect_samples(sents, sents))
+
+
+@query(_dataset_sql("md5(array_to_string(nodes, ',') || '|0'), nodes", True))
+def rebuild_dataset(spark, sf):
+    sents = _sentences_of_edges(spark, sf)
+    return _paths_of(dataset.collect_samples(sents, sents, pairs=sents.select(F.col("src").alias("a"), F.col("dst").alias("b")), feature=None, replaceable=True))
+
+
+@query(f"""WITH {_SENTS}, r AS (SELECT a, b, note, row_number() OVER (PARTITION BY a, b ORDER BY md5(note || '|7'), note) AS k FROM p JOIN w USING (a, b))
+SELECT w.a AS place, 'ent1: ' || w.b || ' ent2: ' || w.a AS pair, r.note AS rdn, '' AS rdn_score, NULL::BIGINT AS exp, '' AS exp_score, notes[1] AS scr, '' AS scr_score, 'out ' || w.a AS gen, '' AS gen_score
+FROM w JOIN sg USING (a, b) JOIN r USING (a, b) WHERE k = 1""")
+def review_sheet(spark, sf):
+    sents = _sentences_of_edges(spark, sf)
+    drawn = graph.random_sentences(cooccur.shared(cooccur.occurrences(_baskets(spark, sf)), _edges(spark, sf).select("a", "b")), 7, 1)
+    drawn = drawn.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.0).alias("sim"), F.array(F.struct("note")).alias("data"))
+    targets = sents.select(F.col("src").alias("place"), F.col("dst").alias("a"), F.col("src").alias("b"), F.get("data", F.lit(0))["note"].alias("target"))
+    outputs = targets.select("place", F.concat(F.lit("out "), F.col("place").cast("string")).alias("line")).distinct()
+    return dataset.review_sheet(targets, {"rdn": (drawn, False), "exp": (sents, True)}, {"gen": outputs})
+
+
 @query("""SELECT doc_id, place::INT AS place, CASE WHEN place <= floor(n * 0.96::DOUBLE) THEN 'train' WHEN place <= floor(n * 0.98::DOUBLE) THEN 'dev' ELSE 'test' END AS part
 FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|13'), doc_id) AS place, count(*) OVER () AS n FROM documents)""")
 def split(spark, sf):
@@ -332,6 +389,12 @@ def phrase_longest(spark, sf):
     return mentions.match_phrases(tokens, _phrases(spark, sf)).select(F.col("id").alias("doc_id"), "start", "size", "phrase")
 
 
+@query()
+def reformed_text(spark, sf):
+    tokens = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.tokenize("text", lower=True).alias("tokens"))
+    return mentions.reform(tokens, _phrases(spark, sf)).select(F.col("id").alias("doc_id"), "text")
+
+
 _COS = "coalesce(list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0), 0)"
 
 
@@ -436,14 +499,14 @@ def em(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", metrics.exact_match(F.col("hyp"), F.array("ref")).alias("em"))
 
 
-def _rouge(n):
+def _rouge(n, more=''):
     grams = "list_transform(range(1, len(t) - {0} + 2), lambda p: array_to_string(list_slice(t, p, p + {0} - 1), ' '))".format(n)
     return f"""WITH {_TURNS}, h AS (SELECT conv_id, turn, unnest({grams}) AS g FROM (SELECT conv_id, turn, regexp_extract_all(lower(hyp), '{_TOKEN}', 0) AS t FROM u) WHERE len(t) >= {n}),
 r AS (SELECT conv_id, turn, unnest({grams}) AS g FROM (SELECT conv_id, turn, regexp_extract_all(lower(ref), '{_TOKEN}', 0) AS t FROM u) WHERE len(t) >= {n}),
 hc AS (SELECT conv_id, turn, g, count(*) AS c FROM h GROUP BY ALL), rc AS (SELECT conv_id, turn, g, count(*) AS c FROM r GROUP BY ALL),
 m AS (SELECT conv_id, turn, sum(least(hc.c, rc.c)) AS common FROM hc JOIN rc USING (conv_id, turn, g) GROUP BY ALL),
 hn AS (SELECT conv_id, turn, sum(c) AS n FROM hc GROUP BY ALL), rn AS (SELECT conv_id, turn, sum(c) AS n FROM rc GROUP BY ALL)
-SELECT u.conv_id, u.turn, coalesce(common, 0)::INT AS common, round(coalesce(2.0::DOUBLE * coalesce(common, 0) / nullif(coalesce(hn.n, 0) + coalesce(rn.n, 0), 0), 0), 6) AS f1
+SELECT u.conv_id, u.turn, coalesce(common, 0)::INT AS common, round(coalesce(2.0::DOUBLE * coalesce(common, 0) / nullif(coalesce(hn.n, 0) + coalesce(rn.n, 0), 0), 0), 6) AS f1{more}
 FROM u LEFT JOIN m USING (conv_id, turn) LEFT JOIN hn USING (conv_id, turn) LEFT JOIN rn USING (conv_id, turn)"""
 
 
@@ -460,6 +523,14 @@ def bigram_overlap(spark, sf):
 
 
 @query()
+def rouge_l(spark, sf):
+    rows = _turns(spark, sf).select(F.struct("conv_id", "turn").alias("id"), "hyp", "ref")
+    return metrics.rouge_l(rows).select("id.conv_id", "id.turn", "common", _r("f1").alias("f1"))
+
+
+@query(f"""WITH o AS (SELECT common, f1, n_hyp, n_ref FROM ({_rouge(1, ', coalesce(hn.n, 0) AS n_hyp, coalesce(rn.n, 0) AS n_ref')})),
+s AS (SELECT sum(common)::DOUBLE AS c, sum(n_hyp)::DOUBLE AS h, sum(n_ref)::DOUBLE AS r FROM o)
+SELECT round(coalesce(CASE WHEN c > 0 THEN c / h * exp(least(0, 1 - r / h)) ELSE 0 END, 0), 6) AS bleu FROM s""")
 def corpus_bleu(spark, sf):
     return metrics.bleu(_turns(spark, sf).select(F.struct("conv_id", "turn").alias("id"), "hyp", "ref"), 1).select(_r("bleu").alias("bleu"))
 
