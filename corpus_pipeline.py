@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. The quality and the de-duplication stage drop
 documents, decontamination and sanitisation change texts, the last encodes.
 
-Defined cases are those of the operators. Of documents with one id that come as
-the first of their group, all rows stay if they are equal in text, none is made up.
+Defined cases are those of the operators. De-duplication knows rows by id (null too)
+and text: rows equal in both come once, other rows of one id are documents of their own.
 """
 
 from __future__ import annotations
@@ -25,15 +25,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near copies; repeated rows of it come once."""
+    """The first document of every group of near copies; rows equal in id and text come once."""
     prepare(spark)
-    classes = materialise(jaccard.join(docs), "pipeline-classes")
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    if gone.count() <= jaccard.BROADCAST_ROWS:  # 8 bytes a row
+    groups = materialise(jaccard.groups(docs), "pipeline-classes")
+    gone = groups.where("not leads").select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone")).distinct()
+    if gone.count() <= jaccard.BROADCAST_ROWS:  # 16 bytes a row
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = classes.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (th == F.col("__gone")), "left_anti")
+    repeated = groups.where("leads").groupBy("doc_id", "th").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.withColumns({"__th": th, "__none": F.col("text").isNull()}).dropDuplicates(["doc_id", "__th", "__none"]).drop("__th", "__none")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

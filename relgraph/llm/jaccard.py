@@ -310,18 +310,26 @@ def _linked(similarity: float):
     return work
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
     """One row for each document: id, class_id, n_links, copy_id.
 
     class_id: the least id of the documents that links connect it to, its own
     among them; copy_id: the least id of the documents with an equal set; n_links:
     how many other documents have that similarity to it, copies included.
     """
+    return groups(docs, id_col=id_col, **more).select(id_col, "class_id", "n_links", "copy_id")
+
+
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of ``join`` with th, the hash of the text, and leads: whether (id, th) is its group's least.
+
+    Null ids come after all others. Documents without shingles are groups of their own.
+    """
     given = {"id_col": id_col, "text_col": text_col, "words": words}
     every = materialise(documents(docs, similarity=similarity, n_runs=runs(recall), **given), "jaccard-docs")
     number = F.xxhash64("s1", "s2")
     # equal sets are one class, summed before the shuffle; they have equal buckets
-    whole = every.where("n > 0").groupBy(number.alias("class")).agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("size"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    whole = every.where("n > 0").groupBy(number.alias("class")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count("*").alias("size"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
     whole = materialise(whole.select("class", F.col("rep.id").alias("doc"), F.col("rep.th").alias("th"), "size", "sketch", "buckets"), "jaccard-classes")
     place = whole.select("class", "doc", "th")
     now = _distinct_buckets(whole.select("class", F.explode(F.array_distinct("buckets")).alias("bucket")))
@@ -347,10 +355,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     links = materialise(links, "jaccard-links")
     # classes are joined by number, then named by their least document
     roots = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
-    named = whole.select("class", "doc", "size").join(links.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("class", "doc", "size", "links", F.coalesce("root", "class").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc").alias("class_id"))
-    out = named.join(least, "root").select("class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("doc").alias("copy_id"))
+    named = whole.select("class", "doc", "th", "size").join(links.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    named = named.select("class", "doc", "th", "size", "links", F.coalesce("root", "class").alias("root"))
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("lead"))
+    least = least.select("root", F.col("lead.doc").alias("class_id"), F.col("lead.th").alias("lead_th"))
+    out = named.join(least, "root").select("class", "class_id", "lead_th", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("doc").alias("copy_id"))
     # documents without shingles have no class and stand alone
-    rows = every.select("id", F.when(F.col("n") > 0, number).alias("class")).join(out, "class", "left")
-    return rows.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "id").alias("copy_id"))
+    rows = every.select("id", "th", F.when(F.col("n") > 0, number).alias("class")).join(out, "class", "left")
+    leads = F.when(F.col("lead_th").isNull(), True).otherwise(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("lead_th")))
+    return rows.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "id").alias("copy_id"), "th", leads.alias("leads"))

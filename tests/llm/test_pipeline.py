@@ -102,6 +102,19 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     assert corpus_pipeline.one_of_each_group(spark, odd, str(tmp_path)).where("doc_id = 1").count() == 1
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark, tmp_path):
+    prepare(spark)
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, a + " end"), (7, c), (7, d), (3, d), (3, d), (None, c), (4, b + " end"), (None, None), (None, ""), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()]
+    first = [t for i, t in got if i is None and t in (a, a + " end")]
+    assert len(first) == 1  # both ids are null: the text's hash decides
+    want = [(None, first[0]), (4, b + " end"), (7, c), (3, d), (None, None), (None, ""), (5, ""), (5, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", ["documents", "benchmark", "labels"])
 def test_pipeline_with_an_empty_table(spark, tmp_path, name):
     prepare(spark)
