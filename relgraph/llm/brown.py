@@ -1,16 +1,20 @@
 """Language-model scoring with Brown classes.
 
-Units are the commonest words and, for all other words, seen or not, the shape of
-the word. Exchange clustering moves units between classes as long as the
-likelihood of class bigrams grows. A text's probability is the product over its
-tokens of P(class | class before) and P(word | class), both smoothed by adding.
-
-Counts cover all training texts: words by a grouped sum, unit bigrams by another
-(at most units^2 rows, whatever the corpus). Words are known by 64-bit hashes.
-
-The vocabulary reaches the scoring tasks as a broadcast of at most ``max_words``
-of the commonest words (16 bytes each). Tokens beyond those, rare by
-construction, meet their counts in a shuffled join.
+Every training word has a class. Exchange clustering first moves units, the
+commonest words and the shapes of all others, between classes until no move raises
+the likelihood of class bigrams. Then each further word leaves its shape's class
+for the one that raises the likelihood most, given how often each class stands
+before and after the word. A word that training has not seen has its shape's
+class. A text's probability is the product over its tokens of P(class | class
+before) and P(word | class), both smoothed by adding.
+
+Counts cover all training texts: words, unit bigrams (at most units^2 rows,
+whatever the corpus), words by neighbour class, and bigrams of the final classes
+are grouped sums. Words are known by 64-bit hashes.
+
+The vocabulary reaches the tasks as a broadcast of at most ``max_words`` of the
+commonest words (24 bytes each). Texts with words beyond those, rare by
+construction, are joined with the counts and classes of these words.
 
 Defined cases: null and empty text is one token, the end; texts whose id is null
 count like others (the caller's predicate says whether they teach); repeated rows
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from relgraph.llm import textbytes as tb
 from relgraph.llm.runtime import materialise
 
-HEAD, CLASSES, ROUNDS, MAX_WORDS = 512, 48, 8, 4_000_000
+HEAD, CLASSES, MAX_WORDS = 512, 48, 4_000_000
 #: The end of a text as a token; it also stands before the first one.
 END = np.uint64(0x5EED)
 N_SHAPES = 5 * 3 * 4
@@ -135,15 +139,24 @@ def bigrams(texts: DataFrame, head: np.ndarray, text_col: str = "text") -> DataF
     return texts.select(text_col).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+
+def _near(tokens: float) -> float:
+    """Likelihoods that differ by less are equal: more than rounding, so that moves come to an end."""
+    return 1e-9 + 1e-13 * float(_xlogx(np.array(tokens)))
+
+
+def exchange(n: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """A class for each unit. n[a, b]: how often b follows a.
 
     Class 0 holds the end alone. Units start in classes by turns, the commonest
-    first, and move one by one to the class that raises the likelihood most;
-    ties go to the smaller class.
+    first, and move one by one to the class that raises the likelihood most, until
+    none moves; ties stay, else go to the smaller class.
     """
     m = len(n)
-    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    f, near = _xlogx, _near(n.sum())
     total = n.sum(0) + n.sum(1)
     order = [int(u) for u in np.argsort(-total, kind="stable") if u and total[u]]
     of = np.zeros(m, np.int64)
@@ -153,8 +166,9 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
     pick = np.zeros((m, free + 1))
     pick[np.arange(m), of] = 1
     big = pick.T @ n @ pick
-    for _ in range(rounds):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for u in order:
             a = of[u]
             row, col, own = n[u] @ pick, n[:, u] @ pick, n[u, u]
@@ -170,94 +184,261 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
             gain += f(d + row + col + own) - f(d + row) - f(d + col) + f(d)
             gain -= f(frm + row.sum() + own) - f(frm) + f(to + col.sum() + own) - f(to)
             gain[0] = -np.inf
-            b = int(np.argmax(gain > gain.max() - 1e-9))
+            b = int(a if gain[a] >= gain.max() - near else np.argmax(gain > gain.max() - near))
             big[b] += row
             big[:, b] += col
             big[b, b] += own
             if b != a:
                 pick[u, a], pick[u, b], of[u] = 0, 1, b
-                moved += 1
-        if not moved:
-            break
+                moved = True
     of[[u for u in range(1, m) if not total[u]]] = 1  # shapes that no training word has
     return of
 
 
-def fit(texts: DataFrame, *, text_col: str = "text", head: int = HEAD, classes: int = CLASSES, rounds: int = ROUNDS) -> dict:
-    """The model: ``vocabulary``, a table of all words, and bounded arrays."""
-    vocabulary = materialise(word_counts(texts, text_col), "brown-words")
-    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocabulary.where("shape >= 0").orderBy(F.desc("n"), "word").limit(head).select("word").collect()
+def neighbours(texts: DataFrame, head: np.ndarray, of: np.ndarray, classes: int, text_col: str = "text") -> DataFrame:
+    """(word, shape, k, n) of words outside the head: k < classes: that class stands before; then: after; 2 classes: the word itself follows."""
+    held = texts.sparkSession.sparkContext.broadcast((head, of))
+    width = 2 * classes + 1
+
+    def run(batches):
+        head, of = held.value
+        parts: list = []
+        size = 0
+
+        def merge():
+            h, shape, k, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            word, first, at = np.unique(h, return_index=True, return_inverse=True)
+            code, at = np.unique(at * width + k, return_inverse=True)
+            w = code // width
+            parts[:] = [(word[w], shape[first][w], code % width, np.bincount(at, n).astype(np.int64))]
+            return len(code)
+
+        def rows():
+            h, shape, k, n = parts.pop()
+            for a in range(0, len(h), 50_000):
+                b = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h[b].view(np.int64)), pa.array(shape[b].astype(np.int32)), pa.array(k[b].astype(np.int32)), pa.array(n[b])], names=["word", "shape", "k", "n"])
+
+        for data, off in _batches(batches):
+            unit, before, word, _ = _sequence(data, off, head)
+            at = np.flatnonzero((unit > 0) & (unit <= N_SHAPES))
+            if not len(at):
+                continue
+            same = np.zeros(len(word) + 1, bool)  # as the word before; the end parts texts
+            same[1:-1] = word[1:] == word[:-1]
+            h, who = np.unique(word[at], return_inverse=True)
+            shape = np.zeros(len(h), np.int64)
+            shape[who] = unit[at] - 1
+            first = np.where(same[at], 2 * classes, of[before[at]])
+            after = at + 1  # the end at least
+            ahead = ~same[after]
+            code = np.concatenate((who * width + first, who[ahead] * width + classes + of[unit[after[ahead]]]))
+            code, n = np.unique(code, return_counts=True)
+            parts.append((h[code // width], shape[code // width], code % width, n))
+            size += len(code)
+            if size > 2_000_000:
+                size = merge()
+                if size > 1_000_000:
+                    yield from rows()
+                    size = 0
+        if parts:
+            merge()
+            yield from rows()
+
+    got = texts.select(text_col).mapInArrow(run, "word long, shape int, k int, n long")
+    return got.groupBy("word", "k").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+
+
+def best_class(who: np.ndarray, k: np.ndarray, n: np.ndarray, a: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """The class of each word, from its counts (who, k, n) as of ``neighbours``, its class so far and the class bigrams.
+
+    This is the move of ``exchange``, with only the classes that are neighbours looked at.
+    """
+    m, classes = len(a), len(big)
+    counts = np.zeros((m, 2 * classes + 1))
+    np.add.at(counts, (who, k), n)
+    col, row, own = counts[:, :classes], counts[:, classes:-1], counts[:, -1]
+    every = np.arange(m)
+    gain = np.zeros((m, classes))
+    for mine, other, seen in ((row, col, big.T), (col, row, big)):
+        w, c = np.nonzero(mine)
+        x = mine[w, c]
+        was = seen[c].copy()  # what the neighbour's class has with each class, without the word
+        was[np.arange(len(w)), a[w]] -= x
+        inside = np.flatnonzero(c == a[w])
+        was[inside] -= other[w[inside]]
+        was[inside, a[w[inside]]] -= own[w[inside]]
+        np.add.at(gain, w, _xlogx(was + x[:, None]) - _xlogx(was))
+    d = np.tile(np.diag(big), (m, 1))
+    d[every, a] -= row[every, a] + col[every, a] + own
+    whole = own[:, None]
+    gain += _xlogx(d + row + col + whole) - _xlogx(d + row) - _xlogx(d + col) + _xlogx(d)
+    for total, mine in ((big.sum(1), row), (big.sum(0), col)):
+        more = mine.sum(1, keepdims=True) + whole
+        base = np.tile(total, (m, 1))
+        base[every, a] -= more[:, 0]
+        gain -= _xlogx(base + more) - _xlogx(base)
+    gain[:, 0] = -np.inf
+    top, near = gain.max(1, keepdims=True), _near(big.sum())
+    return np.where(gain[every, a] >= top[:, 0] - near, a, np.argmax(gain > top - near, axis=1))
+
+
+def _assigned(counts: DataFrame, of: np.ndarray, big: np.ndarray) -> DataFrame:
+    """(word, class) of the words in counts, all moved from the same class bigrams."""
+    held = counts.sparkSession.sparkContext.broadcast((of, big))
+
+    def run(batches):
+        of, big = held.value
+        for batch in batches:
+            for x in range(0, batch.num_rows, 256):
+                part = batch.slice(x, 256)
+                ks, ns = part.column(2), part.column(3)
+                who = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(ks.offsets)))
+                got = best_class(who, np.asarray(ks.flatten()), np.asarray(ns.flatten()).astype(float), of[1 + np.asarray(part.column(1))], big)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.astype(np.int32))], names=["word", "class"])
+
+    pairs = F.collect_list(F.struct("k", "n")).alias("pairs")
+    lists = counts.groupBy("word").agg(F.min("shape").alias("shape"), pairs).select("word", "shape", F.col("pairs.k").alias("ks"), F.col("pairs.n").alias("ns"))
+    return lists.mapInArrow(run, "word long, class int")
+
+
+def _commonest(vocabulary: DataFrame, words: int, max_words: int):
+    """A broadcast of word, n and class of at most max_words words, sorted by word."""
+    known = vocabulary.select("word", "n", F.col("class").cast("short").alias("class"))
+    arrow = (known if words <= max_words else known.orderBy(F.desc("n"), "word").limit(max_words)).toArrow()
+    word = np.asarray(arrow["word"]).view(np.uint64)
+    order = np.argsort(word)
+    own = {"word": word[order], "n": np.asarray(arrow["n"])[order], "of": np.asarray(arrow["class"])[order]}
+    del arrow, word, order
+    return vocabulary.sparkSession.sparkContext.broadcast(own)
+
+
+def _with_words(texts: DataFrame, vocabulary: DataFrame, held, whole: bool) -> DataFrame:
+    """texts (..., text) with ``rest``, their words (word, n, class) beyond those of held."""
+    known = vocabulary.select("word", "n", "class")
+    kind = "array<struct<word:bigint,n:bigint,class:int>>"
+    if whole:
+        return texts.withColumn("rest", F.array().cast(kind))
+
+    def rare(batches):
+        for batch in batches:
+            x = 0
+            for data, off in _batches([batch], 1):
+                h, _, row = tokens(data, off)
+                top = held.value["word"]
+                if len(top):
+                    new = top[np.minimum(np.searchsorted(top, h), len(top) - 1)] != h
+                    h, row = h[new], row[new]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x + row)), pa.array(h.view(np.int64))], names=["at", "word"])
+                x += len(off) - 1
+
+    texts = materialise(texts.withColumn("at", F.monotonically_increasing_id()), "brown-texts")
+    found = texts.select("at", "text").mapInArrow(rare, "at long, word long").distinct().join(known, "word")
+    found = found.groupBy("at").agg(F.collect_list(F.struct("word", "n", "class")).alias("rest"))
+    return texts.join(found, "at", "left").drop("at").withColumn("rest", F.coalesce("rest", F.array().cast(kind)))
+
+
+def _look_up(own: dict, rest: pa.Array, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and classes of words; 0 and -1 where training has not seen them."""
+    n, of = np.zeros(len(w), np.int64), np.full(len(w), -1, np.int64)
+    more = rest.flatten()
+    word, first = np.unique(np.asarray(more.field("word")).view(np.uint64), return_index=True)
+    for x, m, k in ((own["word"], own["n"], own["of"]), (word, np.asarray(more.field("n"))[first], np.asarray(more.field("class"))[first])):
+        if len(x):
+            at = np.minimum(np.searchsorted(x, w), len(x) - 1)
+            hit = x[at] == w
+            n, of = np.where(hit, m[at], n), np.where(hit, k[at], of)
+    return n, of
+
+
+def class_bigrams(texts: DataFrame, vocabulary: DataFrame, held, whole: bool, classes: int, text_col: str = "text") -> np.ndarray:
+    """How often a word of class b follows one of class a."""
+    texts = _with_words(texts.select(F.col(text_col).alias("text")), vocabulary, held, whole)
+
+    def run(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            x = 0
+            for data, off in _batches([batch]):
+                _, _, w, _ = _sequence(data, off, np.zeros(0, np.uint64))
+                of = _look_up(held.value, batch.column(1).slice(x, len(off) - 1), w)[1]  # all are known
+                x += len(off) - 1
+                before = np.zeros(len(of), np.int64)
+                before[1:] = of[:-1]
+                total += np.bincount(before * classes + of, minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at // classes).astype(np.int32)), pa.array((at % classes).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
+
+    out = np.zeros((classes, classes))
+    for r in texts.select("text", "rest").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        out[r.a, r.b] = r.n
+    return out
+
+
+def fit(texts: DataFrame, *, text_col: str = "text", head: int = HEAD, classes: int = CLASSES, max_words: int = MAX_WORDS) -> dict:
+    """The model: ``vocabulary``, a table of all words with counts and classes, and bounded arrays."""
+    spark = texts.sparkSession
+    counted = materialise(word_counts(texts, text_col), "brown-words")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = counted.where("shape >= 0").orderBy(F.desc("n"), "word").limit(head).select("word").collect()
     heads = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
     m = 1 + N_SHAPES + len(heads)
     n = np.zeros((m, m))
     for r in bigrams(texts, heads, text_col).collect():
         n[r.a, r.b] = r.n
-    of = exchange(n, classes, rounds)
+    of = exchange(n, classes)
     k = classes if classes > 1 else 2
     pick = np.zeros((m, k))
     pick[np.arange(m), of] = 1
-    big = pick.T @ n @ pick
+    fixed = [(int(np.uint64(END).view(np.int64)), 0), *zip(heads.view(np.int64).tolist(), of[1 + N_SHAPES :].tolist(), strict=True)]
+    named = spark.createDataFrame(fixed, "word long, class int").union(_assigned(neighbours(texts, heads, of, k, text_col), of, pick.T @ n @ pick))
+    vocabulary = materialise(counted.join(named, "word"), "brown-classes")
+    held = _commonest(vocabulary, total[1], max_words)
+    big = class_bigrams(texts, vocabulary, held, total[1] <= max_words, k, text_col)
     step = np.log10((big + 0.1) / (big.sum(1, keepdims=True) + 0.1 * k))
-    # types of each class: head words by themselves, the rest by shape
-    in_head = F.col("word").isin([int(x) for x in heads.view(np.int64)]) if len(heads) else F.lit(False)
-    types = np.zeros(m)
-    types[0] = 1
-    types[1 + N_SHAPES :] = 1
-    for r in vocabulary.where("shape >= 0").where(~in_head).groupBy("shape").count().collect():
-        types[1 + r["shape"]] = r["count"]
-    room = np.log10(n.sum(0) @ pick + types @ pick + 1)
-    return {"vocabulary": vocabulary, "tokens": total[0], "words": total[1], "head": heads, "class": of, "step": step, "room": room}
+    size = np.zeros(k)  # tokens and types of each class
+    for r in vocabulary.groupBy("class").agg((F.sum("n") + F.count("*")).alias("size")).collect():
+        size[r["class"]] = r["size"]
+    return {"vocabulary": vocabulary, "tokens": total[0], "words": total[1], "class": of[: 1 + N_SHAPES], "step": step, "room": np.log10(size + 1), "held": (max_words, held)}
 
 
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None, max_words: int = MAX_WORDS) -> DataFrame:
     """id, the columns of keep (name: expression), n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    words, extra = model["vocabulary"].select("word", "n"), keep or {}
-    whole = model["words"] <= max_words
-    held = words if whole else words.orderBy(F.desc("n"), "word").limit(max_words)
-    arrow = held.toArrow()
-    word, n = np.asarray(arrow["word"]).view(np.uint64), np.asarray(arrow["n"])
-    order = np.argsort(word)
-    own = spark.sparkContext.broadcast({k: model[k] for k in ("head", "class", "step", "room")} | {"word": word[order], "n": n[order]})
-    del arrow, word, n, order
+    extra = keep or {}
     room = float(np.log10(model["tokens"] + model["words"] + 1))
     names = ["id", *extra]
     df = docs.select(F.col(id_col).alias("id"), *(c.alias(k) for k, c in extra.items()), F.col(text_col).alias("text"))
+    kept = df.drop("text").schema
+    most, held = model["held"]  # collected once, by fit
+    if most != max_words:
+        held = _commonest(model["vocabulary"], model["words"], max_words)
+    df = _with_words(df, model["vocabulary"], held, model["words"] <= max_words)
+    own = {k: model[k] for k in ("class", "step", "room")}
 
     def run(batches):
-        b = own.value
+        b = own | held.value
         for batch in batches:
-            size, known, logs, model_, rest = [], [], [], [], []
-            for data, off in _batches([batch], batch.num_columns - 1):
-                unit, before, w, row = _sequence(data, off, b["head"])
+            size, known, logs, model_ = [], [], [], []
+            x = 0
+            for data, off in _batches([batch], batch.num_columns - 2):
+                unit, _, w, row = _sequence(data, off, np.zeros(0, np.uint64))
                 rows = len(off) - 1
-                if len(b["word"]):
-                    k = np.minimum(np.searchsorted(b["word"], w), len(b["word"]) - 1)
-                    n = np.where(b["word"][k] == w, b["n"][k], 0)
-                else:
-                    n = np.zeros(len(w), np.int64)
-                c = b["class"][unit]
-                part = b["step"][b["class"][before], c] - b["room"][c]
+                n, c = _look_up(b, batch.column(batch.num_columns - 1).slice(x, rows), w)
+                x += rows
+                c = np.where((c < 0) | (unit == 0), b["class"][unit], c)
+                before = np.zeros(len(c), np.int64)
+                before[1:] = c[:-1]  # the end has class 0
+                part = b["step"][before, c] - b["room"][c]
                 size.append(np.bincount(row, minlength=rows))
                 known.append(np.bincount(row, n > 0, rows).astype(np.int64))
                 logs.append(np.bincount(row, np.log10(n + 1.0), rows))
                 model_.append(np.bincount(row, part, rows))
-                if not whole:
-                    odd = n == 0
-                    cut = np.concatenate(([0], np.cumsum(np.bincount(row[odd], minlength=rows))))
-                    rest += [w[odd][x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             if size:
                 cols = [pa.array(np.concatenate(x)) for x in (size, known, logs, model_)]
-                cols.append(pa.array([[]] * batch.num_rows if whole else rest, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*names, "n_tokens", "n_known", "logs", "part", "rest"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop("text").schema.fields)
-    out = df.mapInArrow(run, f"{schema}, n_tokens long, n_known long, logs double, part double, rest array<long>")
-    if not whole:
-        out = materialise(out.withColumn("at", F.monotonically_increasing_id()), "brown-parts")
-        found = out.select("at", F.explode("rest").alias("word")).groupBy("at", "word").agg(F.count("*").alias("m")).join(words, "word").groupBy("at").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("l"))
-        out = out.join(found, "at", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("m", F.lit(0)), "logs": F.col("logs") + F.coalesce("l", F.lit(0.0))})
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *cols], names=[*names, "n_tokens", "n_known", "logs", "part"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+    out = df.select(*names, "text", "rest").mapInArrow(run, f"{schema}, n_tokens long, n_known long, logs double, part double")
     return out.select(
         F.col("id").alias(id_col), *extra, "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * room).alias("base_score"), (F.col("logs") + F.col("part")).alias("score"),

@@ -417,3 +417,43 @@ def test_exchange_raises_the_likelihood():
         n[b, a if rng.random() < 0.5 else rng.integers(1, 7)] += 1
     of = brown.exchange(n, 3)
     assert len({*of[1:7]}) == 1 and len({*of[7:13]}) == 1 and of[1] != of[7]
+
+
+def test_every_word_moves_to_the_class_of_most_likelihood():
+    rng = np.random.default_rng(1)
+    m, k = 12, 4
+    n = rng.integers(0, 9, (m, m)).astype(float)
+    of = np.array([0, *rng.integers(1, k, m - 1)])
+
+    def likelihood(of):
+        pick = np.eye(k)[of]
+        big = pick.T @ n @ pick
+        return brown._xlogx(big).sum() - brown._xlogx(big.sum(0)).sum() - brown._xlogx(big.sum(1)).sum()
+
+    pick = np.eye(k)[of]
+    for u in range(1, m):
+        row, col, own = n[u] @ pick, n[:, u] @ pick, n[u, u]
+        row[of[u]] -= own
+        col[of[u]] -= own
+        counts = np.array([*col, *row, own])
+        got = brown.best_class(np.zeros(len(counts), int), np.arange(len(counts)), counts, of[[u]], pick.T @ n @ pick)[0]
+        want = [likelihood(np.where(np.arange(m) == u, b, of)) for b in range(1, k)]
+        assert want[got - 1] == pytest.approx(max(want), abs=1e-9)
+
+
+def test_brown_words_outside_the_head_have_classes_by_context(spark):
+    rng = random.Random(9)
+    rare = [f"{c}{x}aaa" for c in "bcdfgh" for x in "eiou"]  # one shape
+    texts = [f"to {w} go" if k % 2 else f"the {w} is" for k, w in enumerate(rare) for _ in range(2 + k % 2)]
+    texts += [x for k in range(60) for x in ("the cat is", "the dog is", "to eat go", "to run go")]
+    rng.shuffle(texts)
+    model = brown.fit(docs(spark, texts), head=8, classes=9)
+    assert model["vocabulary"].count() == model["words"] == len(rare) + 9 and model["vocabulary"].where("class is null").count() == 0
+    hashes = dict(zip(rare, brown.tokens(*textbytes.strings(pa.array([" ".join(rare)])))[0].view(np.int64).tolist(), strict=True))
+    of = {r["word"]: r["class"] for r in model["vocabulary"].collect()}
+    odd, even = ({of[hashes[w]] for w in rare[a::2]} for a in (1, 0))
+    assert len(odd) == len(even) == 1 and odd != even
+    few = brown.fit(docs(spark, texts), head=8, classes=9, max_words=3)
+    np.testing.assert_array_equal(few["step"], model["step"])
+    seen = [{r.doc_id: r.score for r in brown.score(docs(spark, texts), x, max_words=most).collect()} for x, most in ((model, 100), (few, 3))]
+    assert seen[0] == pytest.approx(seen[1])
