@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from relgraph.functions.scores import cosine
 
 
-def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest", longest: int = 8) -> DataFrame:
+def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest") -> DataFrame:
     """(id, start, size, phrase): dictionary phrases in token arrays (id, tokens) (TX1, TX2).
 
     greedy: every phrase at every place. longest: from the left, the longest phrase at
     a place, and on after it. dictionary: (phrase), words joined by single spaces.
     """
-    words = dictionary.select("phrase").distinct().withColumn("size", F.size(F.split("phrase", " "))).where((F.col("size") <= longest) & (F.col("phrase") != ""))
-    sizes = words.select(F.array_sort(F.collect_set("size")).alias("sizes"))  # at most ``longest`` numbers
+    words = dictionary.select("phrase").distinct().withColumn("size", F.size(F.split("phrase", " "))).where(F.col("phrase") != "")
+    sizes = words.select(F.array_sort(F.collect_set("size")).alias("sizes"))  # that occur in the dictionary
     at = tokens.crossJoin(F.broadcast(sizes)).select("id", "tokens", F.explode("sizes").alias("size"))
     grams = at.where(F.size("tokens") >= F.col("size")).select("id", "size", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("start"))
     grams = grams.select("id", "start", "size", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("size")), " ").alias("phrase"))
@@ -28,16 +28,16 @@ def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest
     return best.select("id", F.explode(kept).alias("m")).select("id", "m.*")
 
 
-def reform(tokens: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame:
+def reform(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, text): token arrays (id, tokens) with the words of each dictionary phrase joined by _ (SC31).
 
     From the left, words are read as long as they begin some phrase; the longest phrase among them becomes
     one word. What was read beyond it is kept as it is and not looked at again (Q20).
     """
-    words = dictionary.select(F.split("phrase", " ").alias("w")).where((F.size("w") <= longest) & (F.element_at("w", 1) != ""))
+    words = dictionary.select(F.split("phrase", " ").alias("w")).where(F.element_at("w", 1) != "")
     begin = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.struct(F.array_join(F.slice("w", 1, k), " ").alias("phrase"), (k == F.size("w")).alias("whole"))))
     begins = words.select(begin.alias("p")).select("p.*").groupBy("phrase").agg(F.max("whole").alias("whole"))
-    found = match_phrases(tokens, begins, "greedy", longest).join(begins, "phrase")
+    found = match_phrases(tokens, begins, "greedy").join(begins, "phrase")
     step = F.struct("start", F.col("reach"), "take")
     read = found.groupBy("id", "start").agg(F.max("size").alias("reach"), F.coalesce(F.max(F.when(F.col("whole"), F.col("size"))), F.lit(0)).alias("take")).groupBy("id").agg(F.sort_array(F.collect_list(step)).alias("m"))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))

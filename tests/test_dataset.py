@@ -110,6 +110,17 @@ def test_reform(spark):
     assert {r.id: r.text for r in got} == {i: rewritten(t, [p.split() for p in phrases]) for i, t in rows}
 
 
+def test_phrases_of_more_than_eight_words(spark):
+    said = [f"w{k}" for k in range(30)]
+    phrases = [said[2:5], said[2:11], said[14:26]]
+    tokens = spark.createDataFrame([(0, said), (1, said[:10])], "id int, tokens array<string>")
+    words = spark.createDataFrame([(" ".join(p),) for p in phrases], "phrase string")
+    found = lambda mode: {(r.id, r.start, r["size"]) for r in mentions.match_phrases(tokens, words, mode).collect()}
+    assert found("longest") == {(0, 2, 9), (0, 14, 12), (1, 2, 3)} and found("greedy") == {(0, 2, 3), (0, 2, 9), (0, 14, 12), (1, 2, 3)}
+    got = {r.id: r.text for r in mentions.reform(tokens, words).collect()}
+    assert got == {0: rewritten(said, phrases), 1: rewritten(said[:10], phrases)}
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(len(a)), range(len(b))):
