@@ -8,8 +8,8 @@ mentions of an entity e (WINDOW words on either side) and n(e, t) of these being
     PMI(e; t) = log2(N n(e, t) / (n(e) n(t))),   IC(e) = log2(N / n(e)),
 
 and PMI / IC, at most 1, is the share of e's information that t gives away. Words
-near a mention whose share reaches ``generalise`` become a placeholder; from
-``remove`` on they go. A share needs ``support`` different contexts, so copies of
+whose share for some entity reaches ``generalise`` become a placeholder wherever
+they stand, in any document; from ``remove`` on they go. A share needs ``support`` different contexts, so copies of
 one text prove nothing.
 
 Counts of words run over all documents; a fixed-size bitmap of the words that
@@ -210,8 +210,39 @@ def occurrences(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text") -
     return docs.select(text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
 
+def places(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, t, start, end): words outside base findings, over all documents, that may be in wanted (t)."""
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
+    def run(batches):
+        bits = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            data, off = tb.strings(batch.column(2))
+            for a, b in tb.pieces(off):
+                raw, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                low = tb.lower(raw)
+                s, e, row = tb.words(low, cut, tb.ALNUM)
+                h = tb.span_hash(tb.prefix(low), s, e)
+                on = np.flatnonzero(bits[(h & np.uint64(BITS - 1)).astype(np.int64)])
+                if not len(on):
+                    continue
+                chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                row, h, zero = row[on], h[on], chars[cut[row[on]]]
+                s, e = chars[s[on]] - zero, chars[e[on]] - zero
+                free = np.ones(len(on), bool)
+                for r in np.unique(row).tolist():
+                    x, y = np.searchsorted(row, (r, r + 1))
+                    for first, last, _ in base(batch.column(2)[a + r].as_py()):
+                        free[x:y] &= (e[x:y] <= first) | (s[x:y] >= last)
+                keys = [c.take(pa.array(a + row[free])) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(h[free].view(np.int64)), pa.array(s[free].astype(np.int64)), pa.array(e[free].astype(np.int64))], names=["id", "th", "t", "start", "end"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(*_key(id_col, text_col), text_col).mapInArrow(run, f"id {kind}, th long, t long, start long, end long")
+
+
 def terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(id, th, found): spans of words that disclose an entity of their text: start, end, share."""
+    """(id, th, found): spans of words that disclose an entity: start, end, share."""
     near = materialise(mentions(docs, id_col=id_col, text_col=text_col, window=window), "pii-mentions")
     # contexts first: a hot entity or word is many groups, each summed before it moves
     by_context = near.groupBy("e", "t", "context").agg(F.count("*").alias("n"))
@@ -223,8 +254,10 @@ def terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     n_e = pairs.groupBy("e").agg(F.sum("n_et").alias("n_e"))
     share = 1 - F.log2(F.col("n_t") / F.col("n_et")) / F.log2(F.lit(float(total)) / F.col("n_e"))
     told = backed.join(counts.select("t", F.col("n").alias("n_t")), "t").join(n_e, "e").where(F.col("n_e") < total)
-    told = told.withColumn("share", share).where(F.col("share") >= generalise).select("e", "t", "share")
-    spans = near.join(told, ["e", "t"]).groupBy("id", "th", "start", "end").agg(F.max("share").alias("share"))
+    told = told.withColumn("share", share).where(F.col("share") >= generalise)
+    told = materialise(told.groupBy("t").agg(F.max("share").alias("share")), "pii-told")
+    side = F.broadcast(told) if told.count() <= BROADCAST_SPANS else told
+    spans = places(docs, told, id_col=id_col, text_col=text_col).join(side, "t").groupBy("id", "th", "start", "end").agg(F.max("share").alias("share"))
     return spans.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("found"))
 
 

@@ -192,6 +192,18 @@ def test_disclosing_words(spark):
     assert pii.all_spans(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0
 
 
+def test_disclosing_words_go_wherever_they_stand(spark):
+    filler = random.Random(8)
+    texts = [f"{prose(filler, 30)} zorblax writes at jo@x.org today {prose(filler, 30)}" for k in range(9)]
+    texts += [f"{prose(filler, 40)} today it rains" for _ in range(80)]
+    texts += [f"é zorblax, {prose(filler, 40)} mail jo@x.org or zorblax@y.org", f"{prose(filler, 20)} Zorblax rains"]
+    got = {r.doc_id: r for r in pii.all_spans(docs(spark, texts)).collect()}
+    assert [[texts[k][f.start : f.end] for f in got[k].found] for k in (89, 90)] == [["zorblax"], ["Zorblax"]]
+    assert not {"today", "it", "rains"} & {texts[k][f.start : f.end] for k in range(9, 89) for f in got[k].found}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert "zorblax" not in (clean[89] + clean[90]).lower() and "[EMAIL]" in clean[89]
+
+
 # 5
 
 
