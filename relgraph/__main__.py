@@ -8,16 +8,18 @@ Parse trees and vectors are inputs, so a feature table is where the graph comman
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.functions import text
-from relgraph.operators import cooccur, dataset, graph, metrics, parse, samples
-from relgraph.sources import io
+from relgraph.operators import cooccur, dataset, extract, graph, metrics, parse, samples
+from relgraph.sources import io, scratch
 
-COMMANDS: dict[str, tuple[Callable, Callable]] = {}
+COMMANDS: dict[str, tuple[Callable, Callable]] = {}  # options: command line, then the file of --config, then defaults
 
 
 def command(name: str, *args):
@@ -52,6 +54,30 @@ def sentences(spark: SparkSession, a) -> None:
     io.write_table(lines.select("file", "title", "para", F.posexplode(text.sentences(plain)).alias("sent", "text")), a.out)
 
 
+@command("preprocess", arg("dump"), arg("vectors"), OUT, arg("--dim", type=int, default=100))
+def preprocess(spark: SparkSession, a) -> None:
+    """From a dump and vectors (ent, vec) to tables: sentences, entities as found and resolved, lists, pairs with similarity, occurrences."""
+    paras = scratch.materialise(io.read_dump(spark, a.dump).select(F.concat_ws("#", "file", "doc").alias("page"), "para", "title", "line"), "paragraphs")
+    vectors, at = spark.read.parquet(a.vectors), io.output_paths(a.out)
+    read = lambda k: spark.read.parquet(at[k])
+    io.write_table(extract.sentences(paras).withColumn("note", F.concat_ws(":", "page", "para", "sent")), at["sentences"])
+    io.write_table(extract.found_entities(paras, read("sentences")), at["raw"])
+    io.write_table(extract.lists(extract.resolve(read("raw"), read("sentences"), vectors)), at["lists"])
+    io.write_table(extract.pairs(read("lists"), vectors, a.dim), at["pairs"])
+    io.write_table(cooccur.occurrences(read("lists")), at["occurrences"])
+    scratch.discard(paras)
+
+
+@command("features", arg("pairs"), arg("trees"), OUT, SIM)
+def features(spark: SparkSession, a) -> None:
+    """Feature and pattern tables of pairs (note, a, b, sim) in parsed sentences (note, tokens, head, dep); pairs of at least --sim make the counts."""
+    placed = scratch.materialise(extract.tree_pairs(spark.read.parquet(a.pairs), spark.read.parquet(a.trees)), "placed")
+    io.write_table(parse.patterns(placed, sim_threshold=a.sim).groupBy("kind", "pattern").agg(F.count("*").alias("cnt")), f"{a.out}/patterns")
+    core, sub = (spark.read.parquet(f"{a.out}/patterns").where(F.col("kind") == k).select("pattern", "cnt") for k in ("core", "sub"))
+    io.write_table(extract.feature_rows(placed, core, sub), f"{a.out}/features")
+    scratch.discard(placed)
+
+
 @command("cooccurrence", arg("lists"), OUT)
 def cooccurrence(spark: SparkSession, a) -> None:
     """NPMI graph (a, b, c, npmi) of entity lists (note, ents)."""
@@ -97,11 +123,11 @@ def alternate_graph_with_random_sent(spark: SparkSession, a) -> None:
     io.write_table(rows, a.out)
 
 
-@command("collect_sample", arg("target"), arg("source"), OUT, SIM, THRESHOLD, HOPS, PATHS, DIRECTED)
+@command("collect_sample", arg("target"), arg("source"), OUT, SIM, THRESHOLD, HOPS, PATHS, DIRECTED, arg("--samples", type=int, default=-1, help="only the first so many"))
 def collect_sample(spark: SparkSession, a) -> None:
     """Samples (JSON) of every related edge of the target graph, paths from the source graph (--directed: it is)."""
     a.feature = "score"
-    found = dataset.collect_samples(_sentence_graph(spark, a.target, a), _sentence_graph(spark, a.source, a), directed=a.directed, max_hops=a.hops, path_num=a.paths)
+    found = dataset.collect_samples(_sentence_graph(spark, a.target, a), _sentence_graph(spark, a.source, a), directed=a.directed, max_hops=a.hops, path_num=a.paths, sample_num=a.samples)
     io.write_json(found, a.out)
     edges = graph.related(spark.read.parquet(a.target), a.sim).count()
     print(spark.read.json(a.out).count() / edges if edges else None)
@@ -138,8 +164,19 @@ def collect_paragraph(spark: SparkSession, a) -> None:
 @command("score_sent", arg("trees"), arg("core"), arg("sub"))
 def score_sent(spark: SparkSession, a) -> None:
     """Mean score of parsed sentences (id, head, dep, s1, e1, s2, e2) with pattern counts (pattern, cnt)."""
-    counts = [{r.pattern: r.cnt for r in spark.read.parquet(p).collect()} for p in (a.core, a.sub)]
-    print(parse.features(spark.read.parquet(a.trees), *counts).agg(F.avg("score")).first()[0])
+    print(parse.features(spark.read.parquet(a.trees), spark.read.parquet(a.core), spark.read.parquet(a.sub)).agg(F.avg("score")).first()[0])
+
+
+@command("merge_lines", arg("parts"), OUT)
+def merge_lines(spark: SparkSession, a) -> None:
+    """One text file of all files of a folder, by name; the folder is deleted."""
+    io.merge_lines(spark, a.parts, a.out)
+
+
+@command("merge_json", arg("parts"), OUT)
+def merge_json(spark: SparkSession, a) -> None:
+    """One table of all JSON files of a folder, which is deleted."""
+    io.merge_json(spark, a.parts, a.out)
 
 
 @command("split_eval", arg("outputs"), OUT)
@@ -171,10 +208,16 @@ def score_outputs(spark: SparkSession, a) -> None:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
+    config = argparse.ArgumentParser(add_help=False)
+    config.add_argument("--config", help="JSON file of options; those of the command line go before, the defaults after it")
     parser = argparse.ArgumentParser(prog="relgraph", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     chosen = parser.add_subparsers(dest="command", required=True)
+    first, _ = argparse.ArgumentParser(add_help=False, parents=[config]).parse_known_args(argv)
+    own = json.loads(Path(first.config).read_text()) if first.config else {}
     for name, (_, declare) in COMMANDS.items():
-        declare(chosen.add_parser(name))
+        of = chosen.add_parser(name, parents=[config])
+        declare(of)
+        of.set_defaults(**{k: v for k, v in own.items() if any(k == x.dest for x in of._actions)})
     given = parser.parse_args(argv)
     COMMANDS[given.command][0](spark or SparkSession.builder.appName(f"relgraph {given.command}").getOrCreate(), given)
 

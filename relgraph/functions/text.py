@@ -13,7 +13,7 @@ SENTENCE = r"[^.!?\n]+[.!?]*"
 LINK = r'<a href="([^"]*)">([^<]*)</a>'
 ARTICLES = r"(?<![\p{L}\p{N}])(a|an|the)(?![\p{L}\p{N}])"
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
-BRACKETS = (r"\{[^{}]*\}", r"\([^()]*\)", r"\[[^\[\]]*\]")
+BRACKETS = ("{}", "()", "[]")
 
 
 def _col(c) -> Column:
@@ -25,12 +25,29 @@ def collapse(c) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
 
 
-def strip_brackets(c, depth: int = 4) -> Column:
-    """Drop {}, () and [] with what they hold, innermost first, ``depth`` levels deep (SC1)."""
-    c = _col(c)
-    for kind in BRACKETS:
-        for _ in range(depth):
-            c = F.regexp_replace(c, kind, "")
+def let(c, f) -> Column:
+    """f(c) with c evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(_col(c)), f), 0)
+
+
+def _unnested(c, left: str, right: str) -> Column:
+    """c without matched brackets and what they hold; what stands after each open one is a level of a stack."""
+    last = lambda s: F.slice(s, 1, F.size(s) - 1)
+    more = lambda s, x: F.concat(last(s), F.array(F.concat(F.element_at(s, -1), x)))
+    step = lambda s, x: F.when(x == left, F.concat(s, F.array(F.lit("")))).when((x == right) & (F.size(s) > 1), last(s)).otherwise(more(s, x))
+    bits = F.regexp_extract_all(c, F.lit(rf"[\{left}\{right}]|[^\{left}\{right}]+"), F.lit(0))
+    return F.aggregate(bits, F.array(F.lit("")), step, lambda s: F.array_join(s, left))
+
+
+def strip_brackets(c) -> Column:
+    """Drop {}, then (), then [] with what they hold, however deep (SC1). Brackets without a partner stay.
+
+    One pass of a pattern does for most texts; only those that still hold a pair are taken apart.
+    """
+    for left, right in BRACKETS:
+        flat = rf"\{left}[^\{left}\{right}]*\{right}"
+        once = lambda x: let(F.regexp_replace(x, flat, ""), lambda y: F.when(F.rlike(y, F.lit(flat)), _unnested(y, left, right)).otherwise(y))  # noqa: B023, E731
+        c = let(c, lambda x: F.when(F.contains(x, F.lit(left)) & F.contains(x, F.lit(right)), once(x)).otherwise(x))  # noqa: B023
     return collapse(c)
 
 
@@ -63,6 +80,30 @@ def entity_name(c, lower: bool = True) -> Column:
     return F.array_join(tokenize(F.lower(own) if lower else own), " ")
 
 
+# The rules of the Penn Treebank's tokenizer, in order: pattern and what takes its place.
+TREEBANK = (
+    (r'^"', "`` "), (r'([ (\[{<])"', "$1 `` "), (r"\.\.\.", " ... "), (r"[,;:@#$%&]", " $0 "), (r"([^.])([.])([\])}>\"']*)\s*$", "$1 $2$3 "), (r"[?!]", " $0 "),
+    (r"[\]\[(){}<>]", " $0 "), (r"--", " -- "), (r"^|$", " "), (r'"', " '' "), (r"([^'])' ", "$1 ' "), (r"'([sSmMdD]) ", " '$1 "),
+    (r"('ll|'re|'ve|n't|'LL|'RE|'VE|N'T) ", " $1 "), (r" ([Cc])annot ", " $1an not "), (r" ([Dd])'ye ", " $1' ye "), (r" ([Gg])imme ", " $1im me "),
+    (r" ([Gg])onna ", " $1on na "), (r" ([Gg])otta ", " $1ot ta "), (r" ([Ll])emme ", " $1em me "), (r" ([Mm])ore'n ", " $1ore 'n "),
+    (r" '([Tt])is ", " '$1 is "), (r" '([Tt])was ", " '$1 was "), (r" ([Ww])anna ", " $1an na "),
+)
+
+
+def treebank(c) -> Column:
+    """Tokens by the Treebank's rules: punctuation, quotes and contractions apart, the last full stop too (SC9)."""
+    c = _col(c)
+    for pattern, said in TREEBANK:
+        c = F.regexp_replace(c, pattern, said)
+    return F.filter(F.split(c, r"\s+"), lambda x: x != "")
+
+
+def full_match(c, pattern: str) -> Column:
+    """Whether the first way that a pattern matches at the start takes the whole text (SC13)."""
+    c, begins = _col(c), f"^(?:{pattern})"
+    return F.rlike(c, F.lit(begins)) & (F.length(F.regexp_extract(c, begins, 0)) == F.length(c))
+
+
 def sentences(c) -> Column:
     """Stretches up to sentence marks or line ends (SC8)."""
     found = F.transform(F.regexp_extract_all(_col(c), F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s))

@@ -12,9 +12,13 @@ def baskets(rows: DataFrame, ent: str, note: str) -> DataFrame:
 
 
 def pairs(lists: DataFrame) -> DataFrame:
-    """(note, a, b): pairs of entities of one note in list order (JN6). A narrow plan, without a self-join."""
-    made = F.flatten(F.transform("ents", lambda x, i: F.transform(F.slice("ents", i + 2, F.size("ents")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return lists.select("note", F.explode(made).alias("p")).select("note", "p.a", "p.b")
+    """(note, a, b): pairs of entities of one note in list order (JN6).
+
+    A narrow plan, without a self-join: one row for each entity with those after it, then one for each pair,
+    so that no row holds all pairs of a long note.
+    """
+    each = lists.select("note", "ents", F.posexplode("ents").alias("i", "a"))
+    return each.select("note", "a", F.explode(F.slice("ents", F.col("i") + 2, F.size("ents"))).alias("b"))
 
 
 def counts(lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -45,7 +49,17 @@ def occurrences(lists: DataFrame) -> DataFrame:
     return rows.where(F.col("ent").cast("string") != "").distinct()
 
 
+def notes_of_texts(wanted: DataFrame, found: DataFrame, sents: DataFrame) -> DataFrame:
+    """(a, b, text, note) for wanted (a, b, text): the shared note (a, b, note) whose sentence (note, text) is that text, the least of several (JN13)."""
+    said = found.join(sents.select("note", "text"), "note")
+    return wanted.join(said, ["a", "b", "text"]).groupBy("a", "b", "text").agg(F.min("note").alias("note"))
+
+
 def shared(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, b, note): notes that both ends of wanted (a, b) occur in (JN7)."""
-    left = wanted.join(index.withColumnRenamed("ent", "a"), "a")
-    return left.join(index.withColumnRenamed("ent", "b"), ["b", "note"]).select("a", "b", "note")
+    """(a, b, note): notes that both ends of wanted (a, b) occur in (JN7).
+
+    Pairs are made within notes, of wanted entities alone: a note holds few, while an entity may have many notes.
+    """
+    names = wanted.select(F.explode(F.array("a", "b")).alias("ent")).distinct()
+    found = pairs(baskets(index.join(names, "ent", "left_semi"), "ent", "note")).withColumnsRenamed({"a": "x", "b": "y"})
+    return found.join(wanted.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), ["x", "y"]).select("a", "b", "note")

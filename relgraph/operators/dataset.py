@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.functions.scores import harmonic_mean
+from relgraph.operators.samples import best_of_pairs
 
 
 def arcs_of(edges: DataFrame, directed: bool) -> DataFrame:
@@ -27,10 +28,11 @@ def choose(target, replaceable: bool):
     return F.when(F.col("n0").eqNullSafe(target), other).otherwise(0)
 
 
-def source_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, feature: str | None, replaceable: bool) -> DataFrame:
+def source_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, feature: str | None, replaceable: bool, enough: int) -> DataFrame:
     """(a, b, nodes, picks, weights): simple paths of 2 to max_hops arcs whose sentences differ from the target (GR4, GR9).
 
-    targets: (a, b, target). A step that would repeat the target ends its path there and then.
+    targets: (a, b, target). A step that would repeat the target ends its path there and then. With a feature,
+    fewer hops rank first, so a pair with ``enough`` paths is not followed to more hops.
     """
     first, second = F.get("data", F.lit(0)), F.get("data", F.lit(1))
     w = (lambda x: x[feature].cast("double")) if feature else (lambda x: F.lit(1.0))
@@ -49,6 +51,9 @@ def source_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, feature:
         if hop > 1:
             last = grow(now.join(slim.withColumnRenamed("v", "b"), ["u", "b"]), F.col("b"))
             done.append(last.select("a", "b", "nodes", "picks", "weights"))
+            if feature and hop < max_hops:
+                full = reduce(DataFrame.unionByName, (p.select("a", "b") for p in done)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+                now = now.join(full, ["a", "b"], "left_anti")
         if hop < max_hops:
             step = now.join(slim, "u").where((F.col("v") != F.col("b")) & ~F.array_contains("nodes", F.col("v")))
             now = grow(step, F.col("v")).select("a", "b", "target", "nodes", "picks", "weights", F.col("v").alias("u"))
@@ -57,26 +62,25 @@ def source_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, feature:
 
 def collect_samples(
     target_graph: DataFrame, source_graph: DataFrame, *, pairs: DataFrame | None = None, directed: bool = False, max_hops: int = 3,
-    path_num: int = 5, feature: str | None = "score", replaceable: bool = False, seed: int = 0, keep_failed: bool = False,
+    path_num: int = 5, feature: str | None = "score", replaceable: bool = False, seed: int = 0, keep_failed: bool = False, sample_num: int = -1,
 ) -> DataFrame:
     """(a, b, sim, entity, target, source, triple): a sample for each pair with path_num paths (GR9, GR12).
 
     pairs: (a, b), by default the target graph's edges; directed: whether the source graph is. An undirected
-    target edge is found from either end by sorted names. Paths come by hops, score, nodes; without a feature in
+    target edge is found from either end by sorted names. Paths come by hops, score to 12 places, nodes; without a feature in
     an order that a hash of seed gives (TK6). Lists are in order of first occurrence; places and pid start at 0.
-    keep_failed: pairs without a sample stay, with nulls. A zero feature gives no score and ranks last.
+    keep_failed: pairs without a sample stay, with nulls. sample_num: only the first so many by name, if not negative (TK8). A zero feature gives no score and ranks last.
     """
     best = F.get("data", F.lit(0))
     targets = target_graph.where(F.size("data") > 0).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("sim").alias("target_sim"), best["note"].alias("target")).where(F.col("a") != F.col("b"))
     wanted = targets if pairs is None else pairs.select("a", "b").distinct().join(targets, ["a", "b"])
     arcs = arcs_of(source_graph.where(F.size("data") > 0), directed)
-    found = source_paths(wanted, arcs, max_hops=max_hops, feature=feature, replaceable=replaceable)
-    pair = Window.partitionBy("a", "b")
+    found = source_paths(wanted, arcs, max_hops=max_hops, feature=feature, replaceable=replaceable, enough=path_num)
     if feature:
-        order = [F.size("picks"), F.desc_nulls_last(harmonic_mean("weights")), F.col("nodes")]
+        order = [F.size("picks"), F.desc_nulls_last(F.round(harmonic_mean("weights"), 12)), F.col("nodes")]
     else:
         order = [F.md5(F.concat_ws("|", F.concat_ws(",", F.transform("nodes", lambda x: x.cast("string"))), F.lit(str(seed)))), F.col("nodes")]
-    ranked = found.withColumns({"rank": F.row_number().over(pair.orderBy(*order)), "n": F.count("*").over(pair)}).where((F.col("n") >= path_num) & (F.col("rank") <= path_num))
+    ranked = best_of_pairs(found, path_num, *order)
 
     hop = F.transform("picks", lambda p, i: F.struct(i.alias("hop"), p.alias("pick"), F.get("nodes", i).alias("u"), F.get("nodes", i + 1).alias("v")))
     steps = ranked.select("a", "b", "rank", F.explode(hop).alias("s")).select("a", "b", "rank", "s.*").join(arcs, ["u", "v"])
@@ -90,7 +94,8 @@ def collect_samples(
     rows = rows.select("a", "b", "entity", "source", triple.alias("triple"))
     kept = (pairs.select("a", "b").distinct().join(targets, ["a", "b"], "left") if pairs is not None else targets) if keep_failed else wanted
     out = kept.join(rows, ["a", "b"], "left" if keep_failed else "inner")
-    return out.select("a", "b", F.col("target_sim").alias("sim"), "entity", "target", "source", "triple")
+    out = out.select("a", "b", F.col("target_sim").alias("sim"), "entity", "target", "source", "triple")
+    return out if sample_num < 0 else out.orderBy("a", "b").limit(sample_num)
 
 
 def decode(found: DataFrame) -> DataFrame:

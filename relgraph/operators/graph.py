@@ -37,6 +37,23 @@ def sentence_graph(edges: DataFrame, threshold: float = 0.75, feature: str = "sc
     return edges.withColumn("data", F.array_sort(data, best_first)).where(F.size("data") > 0)
 
 
+def best_sentences(features: DataFrame, sim_threshold: float = 0.5, threshold: float = 0.75, most: int = 2) -> DataFrame:
+    """(src, dst, sim, data): a sentence graph of unordered pairs with only the ``most`` best sentences of an edge (FI4, FI6, GR2, GR3).
+
+    ``sentence_graph`` of an undirected ``digraph`` keeps all sentences of an edge in a row; paths use one or two.
+    Here rows stay long until that limit, which is applied before the shuffle too. sim is a function of the pair.
+    """
+    rows = features.where((F.col("sim") >= sim_threshold) & (F.col("score") >= threshold))
+    swap = ~F.contains("dep_path", F.lit("i_nsubj"))
+    flip = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    item = F.struct("score", "note", "significant", "explicit", flip("kw1_span", "kw2_span").alias("span_head"), flip("kw2_span", "kw1_span").alias("span_tail"))
+    rows = rows.select(F.least("kw1", "kw2").alias("src"), F.greatest("kw1", "kw2").alias("dst"), "sim", item.alias("item"))
+    order = Window.partitionBy("src", "dst").orderBy(F.desc("item.score"), "item.note")
+    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    rows = rows.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.sort_array(F.collect_list(F.struct("k", "item"))).alias("data"))
+    return rows.withColumn("data", F.transform("data", lambda x: x["item"]))
+
+
 def related(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Edges of at least that similarity; nodes without edges vanish (FI5, GR13)."""
     return edges.where(F.col("sim") >= threshold)
@@ -71,6 +88,20 @@ def paths_up_to(arcs: DataFrame, wanted: DataFrame, max_hops: int, least: int =
     return reduce(DataFrame.unionByName, (paths(arcs, wanted, h) for h in range(least, max_hops + 1)))
 
 
+def paths_by_hops(arcs: DataFrame, wanted: DataFrame, max_hops: int, enough: int, least: int = 2) -> DataFrame:
+    """Paths of least to max_hops arcs; a pair with ``enough`` of them is not followed to more hops.
+
+    Where fewer hops rank first, as in ``samples.rank_paths``, longer paths of such a pair could not be among the best.
+    """
+    parts, open_ = [], wanted
+    for h in range(least, max_hops + 1):
+        parts.append(paths(arcs, open_, h))
+        if h < max_hops:
+            full = reduce(DataFrame.unionByName, (p.select("a", "b") for p in parts)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+            open_ = wanted.join(full, ["a", "b"], "left_anti")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(x, y, z), x < y < z, over undirected edges (a, b), a < b (GR7). Each comes once."""
     ab, bc, ac = edges.select(F.col("a").alias("x"), F.col("b").alias("y")), edges.select(F.col("a").alias("y"), F.col("b").alias("z")), edges.select(F.col("a").alias("x"), F.col("b").alias("z"))

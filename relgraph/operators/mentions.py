@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from relgraph.functions.scores import cosine
 
 
-def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest") -> DataFrame:
+#: Characters of phrases that may go to every task; a larger dictionary meets the n-grams in a shuffle.
+BROADCAST_CHARS = 16 << 20
+
+
+def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest", scope: tuple[str, ...] = ()) -> DataFrame:
     """(id, start, size, phrase): dictionary phrases in token arrays (id, tokens) (TX1, TX2).
 
     greedy: every phrase at every place. longest: from the left, the longest phrase at
     a place, and on after it. dictionary: (phrase), words joined by single spaces.
+    scope: columns of both tables; a phrase is known only where they are equal (TX5).
     """
-    words = dictionary.select("phrase").distinct().withColumn("size", F.size(F.split("phrase", " "))).where(F.col("phrase") != "")
-    sizes = words.select(F.array_sort(F.collect_set("size")).alias("sizes"))  # that occur in the dictionary
-    at = tokens.crossJoin(F.broadcast(sizes)).select("id", "tokens", F.explode("sizes").alias("size"))
-    grams = at.where(F.size("tokens") >= F.col("size")).select("id", "size", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("start"))
-    grams = grams.select("id", "start", "size", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("size")), " ").alias("phrase"))
-    found = grams.join(words, ["phrase", "size"]).select("id", "start", "size", "phrase")
+    words = dictionary.select(*scope, "phrase").where(F.col("phrase") != "").distinct().withColumn("size", F.size(F.split("phrase", " ")))
+    sizes = words.groupBy(*scope).agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # that occur in the dictionary
+    at = tokens.join(sizes, list(scope)) if scope else tokens.crossJoin(F.broadcast(sizes))
+    at = at.select("id", *scope, "tokens", F.explode("sizes").alias("size"))
+    grams = at.where(F.size("tokens") >= F.col("size")).select("id", *scope, "size", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("start"))
+    grams = grams.select("id", *scope, "start", "size", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("size")), " ").alias("phrase"))
+    if not scope and words.agg(F.coalesce(F.sum(F.length("phrase") + 16), F.lit(0))).first()[0] <= BROADCAST_CHARS:
+        words = F.broadcast(words)
+    found = grams.join(words, [*scope, "phrase", "size"]).select("id", "start", "size", "phrase")
     if mode == "greedy":
         return found
+    return longest_from_left(found)
+
+
+def longest_from_left(found: DataFrame) -> DataFrame:
+    """Of matches (id, start, size, phrase) the longest at a place, from the left, and on after it (TX1)."""
     best = found.groupBy("id", "start").agg(F.max(F.struct("size", "phrase")).alias("m")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "m.size", "m.phrase"))).alias("m"))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int,phrase:string>>").alias("out"))
     kept = F.aggregate("m", none, lambda acc, x: F.when(x["start"] >= acc["at"], F.struct((x["start"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
@@ -89,12 +102,61 @@ def attach_vectors(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return out.withColumn("sim", cosine(F.coalesce("va", zero), F.coalesce("vb", zero))).drop("va", "vb")
 
 
-def drop_keywords(words: DataFrame, stop: DataFrame) -> DataFrame:
-    """words (kw) without stop words (kw) and single letters other than c (SC11)."""
-    return words.join(stop, "kw", "left_anti").where((F.length("kw") > 1) | (F.col("kw") == "c"))
+# Words that are no keywords, beside single letters other than c: some of the domain, then the common English ones.
+STOP = (
+    "can it work in form parts is its or and "
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers "
+    "herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been "
+    "being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into "
+    "through during before after above below to from up down in out on off over under again further then once here there when where why how all "
+    "any both each few more most other some such no nor not only own same so than too very s t can will just don don't should should've now d ll "
+    "m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't "
+    "mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
+).split()
+
+
+def drop_keywords(words: DataFrame, stop=STOP) -> DataFrame:
+    """words (kw) without stop words, empty ones and single letters other than c (SC11)."""
+    return words.where(~F.col("kw").isin(*stop) & ((F.length("kw") > 1) | (F.col("kw") == "c")))
+
+
+def lemmatise(tokens, tags, lemmas):
+    """Token array with the dictionary form (map column ``lemmas``) of each noun; other words stay (SC10)."""
+    return F.transform(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t")), lambda x: F.when(F.startswith(x["t"], F.lit("NN")), F.coalesce(F.element_at(lemmas, x["w"]), x["w"])).otherwise(x["w"]))
+
+
+def span_words(tokens):
+    """Words by which phrases are found in a parsed sentence: nouns by their lemma, all in lower case (TX7). tokens: array of (text, lemma, pos)."""
+    return F.transform(tokens, lambda t: F.lower(F.when(t["pos"] == "NOUN", t["lemma"]).otherwise(t["text"])))
+
+
+def phrase_words(phrase):
+    """A phrase as words, hyphens apart, in lower case (TX7)."""
+    return F.filter(F.split(F.lower(F.replace(phrase, F.lit("-"), F.lit(" - "))), r"\s+"), lambda x: x != "")
+
+
+def spans(words, phrase):
+    """All places (start, end; inclusive) of a phrase in a sentence, overlapping ones too; both are word arrays (TX7)."""
+    found = F.filter(F.sequence(F.lit(0), F.size(words) - F.size(phrase)), lambda i: F.slice(words, i + 1, F.size(phrase)) == phrase)
+    some = F.transform(found, lambda i: F.struct(i.alias("start"), (i + F.size(phrase) - 1).alias("end")))
+    return F.when((F.size(phrase) > 0) & (F.size(words) >= F.size(phrase)), some).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def span_pairs(rows: DataFrame) -> DataFrame:
+    """rows (..., words, kw1, kw2), word arrays, once for each place of kw1 and each of kw2: s1, e1, s2, e2 added (TX15)."""
+    kept = rows.columns
+    one = rows.select(*kept, F.explode(spans(F.col("words"), F.col("kw1"))).alias("__one"))
+    both = one.select(*kept, "__one", F.explode(spans(F.col("words"), F.col("kw2"))).alias("__two"))
+    return both.select(*kept, F.col("__one.start").alias("s1"), F.col("__one.end").alias("e1"), F.col("__two.start").alias("s2"), F.col("__two.end").alias("e2"))
 
 
 def reformed(words: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """(kw, lemma, stable): words and their dictionary forms; a word without one is its own (SC10, SC12)."""
+    """(kw, lemma, stable): words and their dictionary forms; a word without one is its own (SC12)."""
     out = words.join(lemmas, words["kw"] == lemmas["word"], "left").select("kw", F.coalesce("lemma", "kw").alias("lemma"))
     return out.withColumn("stable", F.col("kw") == F.col("lemma"))
+
+
+def keyword_lists(words: DataFrame, lemmas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keywords (kw) that keep their form, and lines (line) of the others, tab, their form (SC12)."""
+    known = reformed(drop_keywords(words), lemmas)
+    return known.where("stable").select("kw"), known.where("not stable").select(F.concat_ws("\t", "kw", "lemma").alias("line"))

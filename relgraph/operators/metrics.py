@@ -22,21 +22,29 @@ def contains_answer(text, answer):
 
 
 def answers_in_texts(answers: DataFrame, texts: DataFrame, key: int = 6) -> DataFrame:
-    """(answer_id, text_id) of answers (answer_id, answer) that stand in texts (text_id, text) (EV2 at scale).
+    """(answer_id, text_id) of answers (answer_id, answer) that stand in texts (text_id, text), both ids unique (EV2 at scale).
 
-    An answer's first ``key`` tokens are joined with the token windows of the texts;
-    only those that meet are compared whole. No pair is made without a common window.
+    A hash of an answer's first ``key`` tokens is joined with hashes of the token windows of the texts;
+    only what meets is compared whole. No pair is made without a common window, and no
+    window carries its text. Answers go to every task only if their keys take at most 64 MB.
     """
-    a = answers.select("answer_id", tokenize("answer", lower=True).alias("t")).where(F.size("t") > 0)
-    a = a.withColumn("k", F.least(F.size("t"), F.lit(key))).withColumn("g", F.array_join(F.slice("t", 1, F.col("k")), " ")).withColumn("whole", F.array_join("t", " "))
+    first = lambda t, p, k: F.xxhash64(k, F.array_join(F.slice(t, p, k), " ")).alias("h")
+    a = answers.select("answer_id", tokenize("answer", lower=True).alias("t")).where(F.size("t") > 0).withColumn("k", F.least(F.size("t"), F.lit(key)))
+    a = a.select("answer_id", "k", first(F.col("t"), F.lit(1), F.col("k")))
     sizes = a.select(F.array_sort(F.collect_set("k")).alias("ks"))  # at most ``key`` numbers
     t = texts.select("text_id", tokenize("text", lower=True).alias("t"))
     t = t.crossJoin(F.broadcast(sizes)).select("text_id", "t", F.explode("ks").alias("k")).where(F.size("t") >= F.col("k"))
-    t = t.select("text_id", "k", "t", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("k") + 1)).alias("p"))
-    grams = t.select("text_id", "k", "p", "t", F.array_join(F.slice("t", F.col("p"), F.col("k")), " ").alias("g"))
-    here = F.array_join(F.slice("t", F.col("p"), F.col("n")), " ")
-    found = grams.join(F.broadcast(a.select("answer_id", "k", "g", "whole", F.size("t").alias("n"))) if answers.count() <= 100_000 else a.select("answer_id", "k", "g", "whole", F.size("t").alias("n")), ["k", "g"])
-    return found.where(here == F.col("whole")).select("answer_id", "text_id").distinct()
+    grams = t.select("text_id", "k", "t", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("k") + 1)).alias("p")).select("text_id", first(F.col("t"), F.col("p"), F.col("k")))
+    if answers.agg(F.coalesce(F.sum(F.length(F.col("answer_id").cast("string")) + 24), F.lit(0))).first()[0] <= 64 << 20:
+        a = F.broadcast(a)
+    met = grams.join(a, "h").select("answer_id", "text_id").distinct()
+    whole = met.join(answers.select("answer_id", "answer"), "answer_id").join(texts.select("text_id", "text"), "text_id")
+    return whole.where(contains_answer("text", "answer")).select("answer_id", "text_id")
+
+
+def hit_vector(contexts, answers):
+    """For each text of an array, whether it holds one of the answers; a null text does not (EV3)."""
+    return F.transform(contexts, lambda c: F.exists(answers, lambda a: contains_answer(c, a)))
 
 
 def topk_curve(hits: DataFrame, n: int) -> DataFrame:
@@ -47,6 +55,23 @@ def topk_curve(hits: DataFrame, n: int) -> DataFrame:
     return ks.join(F.broadcast(best), F.col("best") <= F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("hits"))
 
 
+def mean_of_batches(rows: DataFrame, batch: str, value: str) -> DataFrame:
+    """One row: the mean over batches of their means, which weighs small batches more (AG10, Q19)."""
+    return rows.groupBy(batch).agg(F.avg(value).alias("mean")).agg(F.avg("mean").alias("mean"))
+
+
+def top_places(values, n: int, largest: bool = True):
+    """Places (from 0) of the n largest or smallest values of an array; equal ones by place (TK3)."""
+    ranked = F.array_sort(F.transform(values, lambda x, i: F.struct((-x if largest else x).alias("x"), i.alias("i"))))
+    return F.transform(F.slice(ranked, 1, n), lambda s: s["i"])
+
+
+def most_common(counts: DataFrame) -> DataFrame:
+    """One row (pattern, cnt): the commonest of counts (pattern, cnt), of equal ones the least (TK4)."""
+    best = F.min(F.struct((-F.col("cnt")).alias("c"), "pattern")).alias("m")
+    return counts.agg(best).select("m.pattern", (-F.col("m.c")).alias("cnt"))
+
+
 def inversions(ranking):
     """Pairs of a ranking in the wrong order (AG11)."""
     later = F.transform(ranking, lambda x, i: F.size(F.filter(F.slice(ranking, i + 2, F.size(ranking)), lambda y: y < x)))

@@ -7,9 +7,14 @@ in Arrow batches of Python, sentence by sentence; parsing is an input.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from relgraph.functions.scores import harmonic, pattern_freq
+from relgraph.functions.text import let
 
 # Labels of modifiers whose sub paths count towards coverage.
 MODIFIERS = frozenset(
@@ -49,12 +54,6 @@ def span_extent(head: list[int], dep: list[str], start: int, end: int) -> tuple[
     return start, end
 
 
-def find_spans(tokens: list[str], phrase: list[str]) -> list[tuple[int, int]]:
-    """All places of a phrase, overlapping ones too (TX7)."""
-    m = len(phrase)
-    return [(i, i + m - 1) for i in range(len(tokens) - m + 1) if m and tokens[i : i + m] == phrase]
-
-
 def path_between(head: list[int], dep: list[str], one: tuple[int, int], two: tuple[int, int]) -> tuple[list[str], list[float]]:
     """Steps from span one to span two, i_ upward, and the branch: 1 for tokens of spans and path (TX12, TX13).
 
@@ -112,16 +111,8 @@ def weigh(head: list[int], dep: list[str], branch: list[float], sub_counts: dict
     The head of an on-branch conj token is taken off first. A modifier that can
     be reached gets the frequency of its sub pattern, or its root's weight if there is none.
     """
-    out = list(branch)
     most = max(sub_counts.values(), default=0)
-    for i, d in enumerate(dep):
-        if branch[i] and d == "conj":
-            out[head[i]] = 0.0
-    for root, path, i in sub_paths(head, dep, out):
-        if path.split(" ")[0] in MODIFIERS:
-            pattern = sub_pattern(path)
-            out[i] = (frequency(sub_counts.get(pattern, 0), most) or 0.0) if pattern else out[root]
-    return out
+    return [(frequency(sub_counts.get(p, 0), most) or 0.0) if p else w for w, p in _weights(head, dep, branch)]
 
 
 def coverage(dep: list[str], branch: list[float]) -> float | None:
@@ -132,12 +123,10 @@ def coverage(dep: list[str], branch: list[float]) -> float | None:
 
 def features_of(head, dep, one, two, core_counts: dict[str, int], sub_counts: dict[str, int]) -> dict | None:
     """Path, pattern, coverage, frequency and score of one pair of spans, or None where it is filtered out (TX15, FI7, FI8)."""
-    if span_extent(head, dep, *one) != tuple(one) or span_extent(head, dep, *two) != tuple(two):
-        return None
-    steps, branch = path_between(head, dep, one, two)
-    pattern = core_pattern(steps) if steps else ""
-    if not pattern.startswith("i_nsubj"):
+    got = _whole({"head": head, "dep": dep, **dict(zip(_PLACES, (*one, *two), strict=True))}, 0, len(head))
+    if got is None:
         return None
+    steps, branch, pattern = got
     cover = coverage(dep, weigh(head, dep, branch, sub_counts))
     freq = frequency(core_counts.get(pattern, 0), max(core_counts.values(), default=0))
     score = 2 / (1 / freq + 1 / cover) if freq and cover else None
@@ -145,47 +134,123 @@ def features_of(head, dep, one, two, core_counts: dict[str, int], sub_counts: di
 
 
 FEATURES = "dep_path string, pattern string, dep_coverage double, pattern_freq double, score double"
+_PLACES = ("s1", "e1", "s2", "e2")
 
 
-def features(pairs: DataFrame, core_counts: dict[str, int], sub_counts: dict[str, int], *, low: int = 5, high: int = 50) -> DataFrame:
-    """(id, FEATURES) for rows (id, head, dep, s1, e1, s2, e2) with spans, ends inclusive (TX19, FI1).
+def _whole(r: dict, low: int, high: int) -> tuple[list[str], list[float], str] | None:
+    """Path, branch and core pattern of a row, or None where it is filtered out (FI1, FI7, FI8)."""
+    head, dep, one, two = r["head"], r["dep"], (r["s1"], r["e1"]), (r["s2"], r["e2"])
+    if not low <= len(head) <= high or span_extent(head, dep, *one) != one or span_extent(head, dep, *two) != two:
+        return None
+    steps, branch = path_between(head, dep, one, two)
+    pattern = core_pattern(steps) if steps else ""
+    return (steps, branch, pattern) if pattern.startswith("i_nsubj") else None
 
-    The pattern counts are grouped sums of the corpus; a pattern is a few labels, so
-    their number is bounded by the label set and the path lengths.
-    """
-    names = ["id", *(f.split()[0] for f in FEATURES.split(", "))]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if low <= len(r["head"]) <= high:
-                    got = features_of(r["head"], r["dep"], (r["s1"], r["e1"]), (r["s2"], r["e2"]), core_counts, sub_counts)
-                    if got:
-                        rows.append({"id": r["id"], **got})
-            kinds = [batch.schema.field("id").type, pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(names, kinds, strict=True))))
+def _weights(head: list[int], dep: list[str], branch: list[float]) -> list[tuple[float, str]]:
+    """For each token its weight, and the sub pattern whose frequency is its weight instead, if any (TX17)."""
+    out = [(w, "") for w in branch]
+    for i, d in enumerate(dep):
+        if branch[i] and d == "conj":
+            out[head[i]] = (0.0, "")
+    for root, path, i in sub_paths(head, dep, [w for w, _ in out]):
+        if path.split(" ")[0] in MODIFIERS:
+            out[i] = (out[root][0], sub_pattern(path))
+    return out
 
-    kind = pairs.schema["id"].dataType.simpleString()
-    return pairs.select("id", "head", "dep", "s1", "e1", "s2", "e2").mapInArrow(run, f"id {kind}, {FEATURES}")
 
+def _frequencies(counts: DataFrame) -> DataFrame:
+    """(pattern, freq, unseen) of counts (pattern, cnt); unseen: the frequency of any other pattern."""
+    most = counts.agg(F.max("cnt").alias("most"))  # one row
+    return counts.crossJoin(F.broadcast(most)).select("pattern", pattern_freq("cnt", "most").alias("freq"))
 
-def patterns(pairs: DataFrame) -> DataFrame:
-    """(kind, pattern): core patterns of span pairs, and sub patterns once for each on-branch token (TX20, FI10)."""
+
+def _unseen(counts: DataFrame, name: str) -> DataFrame:
+    """One row: the frequency of a pattern that counts do not hold; null without counts."""
+    return counts.agg(pattern_freq(F.lit(0), F.max("cnt")).alias(name))
+
+
+def features(pairs: DataFrame, core: DataFrame, sub: DataFrame, *, low: int = 5, high: int = 50) -> DataFrame:
+    """(id, s1, e1, s2, e2, FEATURES) for rows (id, head, dep, s1, e1, s2, e2) with spans, ends inclusive (TX15, TX19, FI1).
+
+    core, sub: (pattern, cnt). Trees are walked once, in Python; what depends on counts of the corpus is joined
+    afterwards by pattern, so no task and no driver holds the counts. Repeated rows stay repeated.
+    """
+    kind = pairs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out, at = [], []
+            for k, r in enumerate(batch.to_pylist()):
+                got = _whole(r, low, high)
+                if got is None:
+                    continue
+                steps, branch, pattern = got
+                own = [w for w, d in zip(_weights(r["head"], r["dep"], branch), r["dep"], strict=True) if d != "punct"]
+                times = Counter(p for _, p in own if p)
+                at.append(k)
+                out.append((*(r[p] for p in _PLACES), " ".join(steps), pattern, sum(w for w, p in own if not p), len(own), [{"pattern": p, "times": n} for p, n in sorted(times.items())]))
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", *_PLACES, "dep_path", "pattern", "fixed", "n", "subs"])
+
+    kinds = [pa.int32()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.struct([("pattern", pa.string()), ("times", pa.int32())]))]
+    parts = pairs.select("id", "head", "dep", *(F.col(p).cast("int").alias(p) for p in _PLACES)).mapInArrow(run, f"id {kind}, s1 int, e1 int, s2 int, e2 int, dep_path string, pattern string, fixed double, n int, subs array<struct<pattern:string,times:int>>")
+    key = ["id", *_PLACES, "dep_path", "pattern", "fixed", "n"]
+    # a row without sub patterns is kept; each row has one first sub pattern, so these count repeated rows
+    rows = parts.select(*key, F.posexplode_outer("subs").alias("k", "x")).select(*key, "k", F.col("x.pattern").alias("sub"), F.col("x.times").alias("times"))
+    own = _frequencies(sub).select(F.col("pattern").alias("sub"), F.col("freq").alias("sub_freq"))
+    rows = rows.join(own, "sub", "left").crossJoin(F.broadcast(_unseen(sub, "rare")))
+    weight = F.when(F.col("sub").isNotNull(), F.col("times") * F.coalesce("sub_freq", "rare", F.lit(0.0))).otherwise(F.lit(0.0))
+    rows = rows.groupBy(*key).agg(F.sum(weight).alias("more"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("rows"))
+    rows = rows.join(_frequencies(core), "pattern", "left").crossJoin(F.broadcast(_unseen(core, "rare")))
+    rows = rows.withColumns({"dep_coverage": F.try_divide(F.col("fixed") + F.col("more") / F.col("rows"), F.col("n")), "pattern_freq": F.coalesce("freq", "rare")})
+    rows = rows.withColumn("score", F.when((F.col("pattern_freq") != 0) & (F.col("dep_coverage") != 0), harmonic("pattern_freq", "dep_coverage")))
+    return rows.select("id", *_PLACES, "dep_path", "pattern", "dep_coverage", "pattern_freq", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("__copy")).drop("__copy")
+
+
+def patterns(pairs: DataFrame, *, sim_threshold: float | None = None, low: int = 5, high: int = 50) -> DataFrame:
+    """(kind, pattern): core patterns of span pairs, and sub patterns once for each on-branch token (TX20, FI1, FI7, FI8, FI10).
+
+    sim_threshold: pairs below it in column ``sim`` are left out before (FI2).
+    """
+    rows = pairs if sim_threshold is None else pairs.where(F.col("sim") >= sim_threshold)
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                steps, branch = path_between(r["head"], r["dep"], (r["s1"], r["e1"]), (r["s2"], r["e2"]))
-                pattern = core_pattern(steps) if steps else ""
-                if pattern.startswith("i_nsubj"):
+                got = _whole(r, low, high)
+                if got:
+                    _, branch, pattern = got
                     out.append(("core", pattern))
                     subs = {(root, sub_pattern(p)) for root, p, _ in sub_paths(r["head"], r["dep"], branch) if "punct" not in p}
                     out += [("sub", p) for _, p in sorted(subs) if p]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], names=["kind", "pattern"])
 
-    return pairs.select("head", "dep", "s1", "e1", "s2", "e2").mapInArrow(run, "kind string, pattern string")
+    return rows.select("head", "dep", *_PLACES).mapInArrow(run, "kind string, pattern string")
+
+
+def token_weights(pairs: DataFrame, sub: DataFrame) -> DataFrame:
+    """(id, place, token, weight): how much each token of a sentence adds to its coverage, 0 outside (TX22).
+
+    pairs: rows (id, tokens, head, dep, s1, e1, s2, e2); sub: (pattern, cnt). No row is filtered out.
+    """
+    kind = pairs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for k, r in enumerate(batch.to_pylist()):
+                _, branch = path_between(r["head"], r["dep"], (r["s1"], r["e1"]), (r["s2"], r["e2"]))
+                own = _weights(r["head"], r["dep"], branch or [0.0] * len(r["head"]))
+                at += [k] * len(own)
+                rows += [(i, t, w, p) for i, (t, (w, p)) in enumerate(zip(r["tokens"], own, strict=True))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.float64(), pa.string()), strict=True))], names=["id", "place", "token", "fixed", "sub"])
+
+    rows = pairs.select("id", "head", "dep", *_PLACES, "tokens").mapInArrow(run, f"id {kind}, place int, token string, fixed double, sub string")
+    rows = rows.join(_frequencies(sub).withColumnRenamed("pattern", "sub"), "sub", "left").crossJoin(F.broadcast(_unseen(sub, "rare")))
+    return rows.select("id", "place", "token", F.when(F.col("sub") == "", F.col("fixed")).otherwise(F.coalesce("freq", "rare", F.lit(0.0))).alias("weight"))
 
 
 def noun_phrases(chunks: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -199,3 +264,12 @@ def noun_phrases(chunks: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
         else:
             out.append((start, end))
     return out
+
+
+def merge_chunks(chunks) -> Column:
+    """``noun_phrases`` as a column: chunks, an array of (start, end, tag), to an array of (start, end) (TX9)."""
+    chunks = F.col(chunks) if isinstance(chunks, str) else chunks
+    kept = F.transform(F.filter(chunks, lambda x: x["tag"] != "PRON"), lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    first = lambda k: F.filter(k, lambda x, i: F.coalesce(F.get(k, i - 1)["end"] + 1 != x["start"], F.lit(True)))
+    last = lambda k: F.filter(k, lambda x, i: F.coalesce(F.get(k, i + 1)["start"] != x["end"] + 1, F.lit(True)))
+    return let(kept, lambda k: F.transform(F.arrays_zip(first(k).alias("a"), last(k).alias("b")), lambda x: F.struct(x["a"]["start"].alias("start"), x["b"]["end"].alias("end"))))

@@ -9,12 +9,19 @@ from relgraph.functions.scores import harmonic_mean
 
 
 def rank_paths(found: DataFrame, path_num: int = 5) -> DataFrame:
-    """The best paths of each pair that has that many: fewer hops first, then score, then nodes (TK1, TK2, FI14)."""
+    """The best paths of each pair that has that many: fewer hops first, then score to 12 places, then nodes (TK1, TK2, FI14)."""
     scored = found.select("a", "b", "nodes", "weights", F.size("weights").alias("hops"), harmonic_mean("weights").alias("score"))
+    return best_of_pairs(scored, path_num, "hops", F.desc(F.round("score", 12)), "nodes")
+
+
+def best_of_pairs(found: DataFrame, path_num: int, *order) -> DataFrame:
+    """The first path_num rows of each pair (a, b) that has as many, with ``rank``.
+
+    The limit is applied before the shuffle too, and only what is left of a pair is counted.
+    """
     pair = Window.partitionBy("a", "b")
-    best = pair.orderBy("hops", F.desc("score"), "nodes")
-    ranked = scored.withColumns({"rank": F.row_number().over(best), "n": F.count("*").over(pair)})
-    return ranked.where((F.col("n") >= path_num) & (F.col("rank") <= path_num)).drop("n")
+    ranked = found.withColumn("rank", F.row_number().over(pair.orderBy(*order))).where(F.col("rank") <= path_num)
+    return ranked.withColumn("n", F.count("*").over(pair)).where(F.col("n") == path_num).drop("n")
 
 
 def samples(ranked: DataFrame, best: DataFrame) -> DataFrame:

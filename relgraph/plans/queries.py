@@ -6,15 +6,14 @@ that share a sentence; documents, pages and conversations stand for themselves.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions import scores, text
-from relgraph.operators import cooccur, dataset, graph, mentions, metrics, parse, samples
-from relgraph.sources import io
+from relgraph.operators import cooccur, dataset, extract, graph, mentions, metrics, parse, samples
+from relgraph.sources import io, scratch
 from relgraph.streaming import counts
 
 QUERIES: dict = {}
@@ -52,26 +51,47 @@ z AS (SELECT sum(k * (k - 1)) AS z FROM k),
 g AS (SELECT e.a, e.b, e.c, CASE WHEN 2 * e.c = z THEN NULL ELSE -ln(2.0::DOUBLE * z * e.c / (x.c::DOUBLE * y.c)) / ln(2.0::DOUBLE * e.c / z) END AS npmi
   FROM e JOIN n x ON x.ent = a JOIN n y ON y.ent = b, z)"""
 
-# the denser part of the graph, alike at every scale
-_DENSE = 0.7
-_EDGES = f"""{_PAIRS}, w AS (SELECT a, b, c / (SELECT max(c) FROM e)::DOUBLE AS w FROM e WHERE c >= {_DENSE} * (SELECT max(c) FROM e)),
-arc AS (SELECT a AS u, b AS v, w FROM w UNION ALL SELECT b, a, w FROM w)"""
+# sentences of related pairs that reach the threshold; w: the graph they make, with each edge's best score
+_FEATURES = f"""{_PAIRS}, f AS (SELECT CASE WHEN note % 3 = 0 THEN b ELSE a END AS src, CASE WHEN note % 3 = 0 THEN a ELSE b END AS dst,
+  ((a * 31 + b * 17) % 100) / 100.0::DOUBLE AS sim, ((note * 7919) % 1000) / 1000.0::DOUBLE AS score, note, a, b FROM p)"""
+_ARCS = "w AS (SELECT a, b, max(score) AS w FROM good GROUP BY a, b), arc AS (SELECT a AS u, b AS v, w FROM w UNION ALL SELECT b, a, w FROM w)"
+_EDGES = f"{_FEATURES}, good AS (SELECT a, b, note, score FROM f WHERE sim >= 0.5 AND score >= 0.75), {_ARCS}"
+# of these the edges that co-occur more than by chance too
+_SUB = f"{_FEATURES}, good AS (SELECT a, b, note, score FROM f SEMI JOIN (SELECT a, b FROM g WHERE npmi > 0.1 AND c >= 2 AND npmi < 1) USING (a, b) WHERE sim >= 0.5 AND score >= 0.75), {_ARCS}"
 _PATHS = """p1 AS (SELECT a, b, a || '-' || b AS path, 1 AS hops, w AS score, [a, b] AS nodes FROM w),
 p2 AS (SELECT w.a, w.b, w.a || '-' || x.v || '-' || w.b AS path, 2 AS hops, 2 / (1 / x.w + 1 / y.w) AS score, [w.a, x.v, w.b] AS nodes
   FROM w JOIN arc x ON x.u = w.a AND x.v <> w.b JOIN arc y ON y.u = x.v AND y.v = w.b),
 p3 AS (SELECT w.a, w.b, w.a || '-' || x.v || '-' || y.v || '-' || w.b AS path, 3 AS hops, 3 / (1 / x.w + 1 / y.w + 1 / z.w) AS score, [w.a, x.v, y.v, w.b] AS nodes
   FROM w JOIN arc x ON x.u = w.a AND x.v <> w.b JOIN arc y ON y.u = x.v AND y.v <> w.a AND y.v <> w.b JOIN arc z ON z.u = y.v AND z.v = w.b)"""
-_RANKED = f"""{_EDGES}, {_PATHS},
+_RANKED = f"""{_SUB}, {_PATHS},
 al AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3),
 rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY hops, round(score, 12) DESC, nodes) AS rank, count(*) OVER (PARTITION BY a, b) AS n FROM al),
 top AS (SELECT * FROM rk WHERE n >= 5 AND rank <= 5)"""
 
 
-def _edges(spark, sf) -> DataFrame:
-    """(a, b, w): dense edges, weights at most 1."""
-    e, _, _ = cooccur.counts(_baskets(spark, sf))
-    most = e.agg(F.max("c").alias("most"))
-    return e.crossJoin(F.broadcast(most)).where(F.col("c") >= _DENSE * F.col("most")).select("a", "b", (F.col("c") / F.col("most").cast("double")).alias("w"))
+def _features(spark, sf):
+    rows = cooccur.pairs(_baskets(spark, sf))
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return rows.select(
+        F.col("a").alias("kw1"), F.col("b").alias("kw2"), (((F.col("a") * 31 + F.col("b") * 17) % 100) / 100.0).alias("sim"), F.when(F.col("note") % 3 == 0, "nsubj i_dobj").otherwise("i_nsubj dobj").alias("dep_path"),
+        "note", (((F.col("note") * 7919) % 1000) / 1000.0).alias("score"), F.lit(1.0).alias("significant"), F.lit(1.0).alias("explicit"), none.alias("kw1_span"), none.alias("kw2_span"),
+    )
+
+
+def _graph(spark, sf, most: int) -> DataFrame:
+    """(src, dst, sim, data): related pairs with their best sentences."""
+    return graph.best_sentences(_features(spark, sf), 0.5, 0.75, most)
+
+
+def _subgraph(spark, sf, most: int) -> DataFrame:
+    """Those edges of _graph that co-occur more than by chance."""
+    strong = cooccur.subgraph(cooccur.npmi(_baskets(spark, sf)), 0.1, 2).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return _graph(spark, sf, most).join(strong, ["src", "dst"], "left_semi")
+
+
+def _weights(edges: DataFrame) -> DataFrame:
+    """(a, b, w): edges with the score of their best sentence."""
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.get("data", F.lit(0))["score"].alias("w"))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, c, round(npmi, 6) AS npmi FROM g")
@@ -94,32 +114,21 @@ def occur_index(spark, sf):
     return cooccur.occurrences(_baskets(spark, sf)).groupBy("ent").agg(F.count("*").alias("notes"), F.min("note").alias("first"))
 
 
-@query(f"WITH {_EDGES} SELECT w.a, w.b, count(*) AS notes, min(note) AS first FROM w JOIN p USING (a, b) GROUP BY ALL")
+@query(f"WITH {_PAIRS} SELECT a, b, count(*) AS notes, min(note) AS first FROM p GROUP BY ALL")
 def shared_occurrence(spark, sf):
-    found = cooccur.shared(cooccur.occurrences(_baskets(spark, sf)), _edges(spark, sf).select("a", "b"))
+    lists = _baskets(spark, sf)
+    found = cooccur.shared(cooccur.occurrences(lists), cooccur.counts(lists)[0].select("a", "b"))
     return found.groupBy("a", "b").agg(F.count("*").alias("notes"), F.min("note").alias("first"))
 
 
-@query(f"""WITH {_EDGES}, o AS (SELECT p.*, row_number() OVER (PARTITION BY p.a, p.b ORDER BY md5(note || '|7'), note) AS k FROM p JOIN w USING (a, b))
+@query(f"""WITH {_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY md5(note || '|7'), note) AS k FROM p)
 SELECT a, b, note, k FROM o WHERE k <= 2""")
 def random_sentences(spark, sf):
-    found = cooccur.shared(cooccur.occurrences(_baskets(spark, sf)), _edges(spark, sf).select("a", "b"))
+    lists = _baskets(spark, sf)
+    found = cooccur.shared(cooccur.occurrences(lists), cooccur.counts(lists)[0].select("a", "b"))
     return graph.random_sentences(found, 7).select("a", "b", "note", "k")
 
 
-_FEATURES = f"""{_PAIRS}, f AS (SELECT CASE WHEN note % 3 = 0 THEN b ELSE a END AS src, CASE WHEN note % 3 = 0 THEN a ELSE b END AS dst,
-  ((a * 31 + b * 17) % 100) / 100.0::DOUBLE AS sim, ((note * 7919) % 1000) / 1000.0::DOUBLE AS score, note FROM p)"""
-
-
-def _features(spark, sf):
-    rows = cooccur.pairs(_baskets(spark, sf))
-    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    return rows.select(
-        F.col("a").alias("kw1"), F.col("b").alias("kw2"), (((F.col("a") * 31 + F.col("b") * 17) % 100) / 100.0).alias("sim"), F.when(F.col("note") % 3 == 0, "nsubj i_dobj").otherwise("i_nsubj dobj").alias("dep_path"),
-        "note", (((F.col("note") * 7919) % 1000) / 1000.0).alias("score"), F.lit(1.0).alias("significant"), F.lit(1.0).alias("explicit"), none.alias("kw1_span"), none.alias("kw2_span"),
-    )
-
-
 def _summary(edges):
     return edges.select("src", "dst", _r("sim").alias("sim"), F.size("data").alias("n"), _r(F.array_max(F.transform("data", lambda x: x["score"]))).alias("best"), F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x["note"]).alias("notes"))
 
@@ -141,28 +150,51 @@ def sentence_graph(spark, sf):
     return edges.select("src", "dst", F.size("data").alias("n"), F.md5(F.array_join(F.transform("data", lambda x: x["note"].cast("string")), ",")).alias("notes"), F.get("data", 0)["note"].alias("top"))
 
 
+def _said(found: DataFrame) -> DataFrame:
+    return found.select("a", "b", F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("path"), _r(scores.harmonic_mean("weights")).alias("score"))
+
+
 @query(f"WITH {_EDGES}, {_PATHS} SELECT a, b, path, round(score, 6) AS score FROM p2")
 def paths_2hop(spark, sf):
-    w = _edges(spark, sf)
-    return graph.paths(graph.both_ways(w), w, 2).select("a", "b", F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("path"), _r(scores.harmonic_mean("weights")).alias("score"))
+    w = _weights(_graph(spark, sf, 1))
+    return _said(graph.paths(graph.both_ways(w), w, 2))
 
 
-@query(f"WITH {_EDGES}, {_PATHS} SELECT a, b, path, round(score, 6) AS score FROM p3")
+@query(f"WITH {_SUB}, {_PATHS} SELECT a, b, path, round(score, 6) AS score FROM p3")
 def paths_3hop(spark, sf):
-    w = _edges(spark, sf)
-    return graph.paths(graph.both_ways(w), w, 3).select("a", "b", F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("path"), _r(scores.harmonic_mean("weights")).alias("score"))
+    w = _weights(_subgraph(spark, sf, 1))
+    return _said(graph.paths(graph.both_ways(w), w, 3))
+
+
+@query(f"""WITH {_SUB} SELECT w.a, w.b, count(*) AS paths, round(max(4 / (1 / x.w + 1 / y.w + 1 / z.w + 1 / o.w)), 6) AS best, min([w.a, x.v, y.v, z.v, w.b])[3] AS middle
+FROM w JOIN arc x ON x.u = w.a AND x.v <> w.b JOIN arc y ON y.u = x.v AND y.v <> w.a AND y.v <> w.b
+JOIN arc z ON z.u = y.v AND z.v <> w.a AND z.v <> w.b AND z.v <> x.v JOIN arc o ON o.u = z.v AND o.v = w.b GROUP BY ALL""")
+def paths_4hop(spark, sf):
+    w = _weights(_subgraph(spark, sf, 1))
+    found = graph.paths(graph.both_ways(w), w, 4)
+    return found.groupBy("a", "b").agg(F.count("*").alias("paths"), _r(F.max(scores.harmonic_mean("weights"))).alias("best"), F.get(F.min("nodes"), 2).alias("middle"))
+
+
+_TRI = "t AS (SELECT a, b FROM g WHERE npmi > 0.1 AND c >= 2 AND npmi < 1)"
+
 
+def _strong(spark, sf):
+    return cooccur.subgraph(cooccur.npmi(_baskets(spark, sf)), 0.1, 2).select("a", "b")
 
-@query(f"WITH {_EDGES} SELECT x.a AS x, x.b AS y, y.b AS z FROM w x JOIN w y ON x.b = y.a JOIN w z ON z.a = x.a AND z.b = y.b")
+
+@query(f"WITH {_PAIRS}, {_TRI} SELECT x.a AS x, x.b AS y, y.b AS z FROM t x JOIN t y ON x.b = y.a JOIN t z ON z.a = x.a AND z.b = y.b")
 def triangles(spark, sf):
-    return graph.triangles(_edges(spark, sf).select("a", "b"))
+    return graph.triangles(_strong(spark, sf))
+
+
+@query(f"WITH {_PAIRS}, {_TRI} SELECT x.a AS x, x.b AS y, y.b AS z FROM t x JOIN t y ON x.b = y.a JOIN t z ON z.a = x.a AND z.b = y.b WHERE 50 IN (x.a, x.b, y.b)")
+def triangles_of(spark, sf):
+    return graph.triangles_of(_strong(spark, sf), 50)
 
 
 def _ranked(spark, sf):
-    w = _edges(spark, sf)
-    found = graph.paths_up_to(graph.both_ways(w), w, 3, least=2)
-    scored = found.select("a", "b", "nodes", "weights")
-    return samples.rank_paths(scored.withColumn("weights", F.col("weights"))), w
+    w = _weights(_subgraph(spark, sf, 1))
+    return samples.rank_paths(graph.paths_by_hops(graph.both_ways(w), w, 3, 5)), w
 
 
 @query(f"WITH {_RANKED} SELECT a, b, rank::INT AS rank, hops, round(score, 6) AS score FROM top")
@@ -170,14 +202,25 @@ def path_topk(spark, sf):
     return _ranked(spark, sf)[0].select("a", "b", "rank", "hops", _r("score").alias("score"))
 
 
-@query()
+@query(f"""WITH {_RANKED}, st AS (SELECT a, b, rank, nodes, unnest(range(1, len(nodes))) AS hop FROM top),
+s AS (SELECT a, b, rank, hop, nodes[hop] AS u, nodes[hop + 1] AS v, least(nodes[hop], nodes[hop + 1]) || ':' || greatest(nodes[hop], nodes[hop + 1]) AS note FROM st),
+en AS (SELECT a, b, x, min(pos) AS pos FROM (SELECT a, b, u AS x, rank * 100 + hop * 10 AS pos FROM s UNION ALL SELECT a, b, v, rank * 100 + hop * 10 + 1 FROM s) GROUP BY a, b, x),
+el AS (SELECT a, b, list(x ORDER BY pos) AS el FROM en GROUP BY a, b),
+so AS (SELECT a, b, note, min(rank * 100 + hop) AS pos FROM s GROUP BY a, b, note),
+sl AS (SELECT a, b, list(note ORDER BY pos) AS sl FROM so GROUP BY a, b)
+SELECT a, b, array_to_string(el, ',') AS entity, array_to_string(sl, ',') AS source,
+  string_agg((rank - 1) || ':' || (list_position(sl, note) - 1) || ':' || (list_position(el, u) - 1) || ':' || (list_position(el, v) - 1) || ':' || round(w.w, 3), ' ' ORDER BY rank, hop) AS triple
+FROM s JOIN el USING (a, b) JOIN sl USING (a, b) JOIN (SELECT a || ':' || b AS note, w FROM w) w USING (note) GROUP BY a, b, el, sl""")
 def sample(spark, sf):
     ranked, w = _ranked(spark, sf)
     best = w.select("a", "b", F.concat_ws(":", "a", "b").alias("note"), F.col("w").alias("score"), F.col("w").alias("sim"))
-    return samples.samples(ranked, best)
+    text_ = lambda x: x.cast("string")
+    said = F.transform("triple", lambda t: F.concat_ws(":", *[text_(t[k]) for k in ("pid", "sent", "e1", "e2")], text_(F.round(t["score"], 3))))
+    return samples.samples(ranked, best).select("a", "b", F.array_join(F.transform("entity", text_), ",").alias("entity"), F.array_join("source", ",").alias("source"), F.array_join(said, " ").alias("triple"))
 
 
-@query()
+@query(f"""WITH {_RANKED} SELECT a, b, rank::INT AS rank, 'entity1: ' || a || ' entity2: ' || b || ' path: ' || array_to_string(nodes, '; ') || ' ' ||
+  array_to_string(list_transform(range(1, len(nodes)), lambda i: 'sentence' || i || ': from ' || nodes[i]), ' ') AS prompt FROM top""")
 def prompt(spark, sf):
     ranked, _ = _ranked(spark, sf)
     nodes = F.transform("nodes", lambda x: x.cast("string"))
@@ -185,9 +228,21 @@ def prompt(spark, sf):
     return ranked.select("a", "b", "rank", samples.prompt(F.col("a").cast("string"), F.col("b").cast("string"), nodes, said).alias("prompt"))
 
 
-# sentences of the dense part; every third order is one that several pairs share as their best
-_SENTS = f"""{_EDGES}, f AS (SELECT p.a, p.b, p.note, ((p.note * 7919) % 1000 + 1) / 1001.0::DOUBLE AS score FROM p JOIN w USING (a, b)),
-sg AS (SELECT a, b, list(note ORDER BY score DESC, note) AS notes, list(score ORDER BY score DESC, note) AS scores FROM f WHERE score >= 0.25 GROUP BY a, b),
+@query(f"""WITH {_EDGES}, {_PATHS}, nt AS (SELECT a, b, note FROM good WHERE note % 10 = 0), en AS (SELECT note, list(ent) AS ents FROM b GROUP BY note),
+t AS (SELECT a, b, note, list_filter(ents, lambda x: x <> a AND x <> b) AS others FROM nt JOIN en USING (note))
+SELECT t.a, t.b, t.note, count(*) AS paths, min(path) AS first FROM t JOIN p2 ON p2.a = t.a AND p2.b = t.b WHERE len(others) > 0 AND list_has_all(nodes, others) GROUP BY ALL""")
+def paragraph_cover(spark, sf):
+    # every tenth order stands for a paragraph's target sentence
+    edges = _weights(_graph(spark, sf, 1))
+    rows = _features(spark, sf).where("sim >= 0.5 and score >= 0.75 and note % 10 = 0").select(F.least("kw1", "kw2").alias("a"), F.greatest("kw1", "kw2").alias("b"), "note")
+    targets = rows.join(_baskets(spark, sf), "note")
+    found = samples.paragraph_cover(graph.paths(graph.both_ways(edges), edges, 2), targets)
+    path = F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-")
+    return found.groupBy("a", "b", "note").agg(F.count("*").alias("paths"), F.min(path).alias("first"))
+
+
+# the two best sentences of an edge; an order may be the best of several pairs
+_SENTS = f"""{_SUB}, sg AS (SELECT a, b, list(note ORDER BY score DESC, note)[1:2] AS notes, list(score ORDER BY score DESC, note)[1:2] AS scores FROM good GROUP BY a, b),
 ds AS (SELECT a AS u, b AS v, notes, scores FROM sg UNION ALL SELECT b, a, notes, scores FROM sg)"""
 
 
@@ -203,16 +258,6 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY {order}) AS rank,
 SELECT a, b, (rank - 1)::INT AS pid, array_to_string(nodes, '-') AS nodes, array_to_string(notes, ',') AS notes, round(score, 6) AS score FROM rk WHERE n >= 5 AND rank <= 5"""
 
 
-def _sentences_of_edges(spark, sf) -> DataFrame:
-    rows = cooccur.pairs(_baskets(spark, sf)).join(_edges(spark, sf), ["a", "b"])
-    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    rows = rows.select(
-        F.col("a").alias("kw1"), F.col("b").alias("kw2"), F.col("w").alias("sim"), F.lit("i_nsubj dobj").alias("dep_path"), "note", (((F.col("note") * 7919) % 1000 + 1) / 1001.0).alias("score"),
-        F.lit(1.0).alias("significant"), F.lit(1.0).alias("explicit"), none.alias("kw1_span"), none.alias("kw2_span"),
-    )
-    return graph.sentence_graph(graph.digraph(rows), 0.25)
-
-
 def _paths_of(found: DataFrame) -> DataFrame:
     said = lambda c: F.transform(c, lambda x: x.cast("string"))
     return dataset.decode(found).select("a", "b", "pid", F.array_join(said("nodes"), "-").alias("nodes"), F.array_join(said("notes"), ",").alias("notes"), _r("score").alias("score"))
@@ -220,13 +265,13 @@ def _paths_of(found: DataFrame) -> DataFrame:
 
 @query(_dataset_sql("len(notes), round(score, 12) DESC, nodes", False))
 def collect_sample(spark, sf):
-    sents = _sentences_of_edges(spark, sf)
+    sents = _subgraph(spark, sf, 2)
     return _paths_of(dataset.collect_samples(sents, sents))
 
 
 @query(_dataset_sql("md5(array_to_string(nodes, ',') || '|0'), nodes", True))
 def rebuild_dataset(spark, sf):
-    sents = _sentences_of_edges(spark, sf)
+    sents = _subgraph(spark, sf, 2)
     return _paths_of(dataset.collect_samples(sents, sents, pairs=sents.select(F.col("src").alias("a"), F.col("dst").alias("b")), feature=None, replaceable=True))
 
 
@@ -234,8 +279,8 @@ def rebuild_dataset(spark, sf):
 SELECT w.a AS place, 'ent1: ' || w.b || ' ent2: ' || w.a AS pair, r.note AS rdn, '' AS rdn_score, NULL::BIGINT AS exp, '' AS exp_score, notes[1] AS scr, '' AS scr_score, 'out ' || w.a AS gen, '' AS gen_score
 FROM w JOIN sg USING (a, b) JOIN r USING (a, b) WHERE k = 1""")
 def review_sheet(spark, sf):
-    sents = _sentences_of_edges(spark, sf)
-    drawn = graph.random_sentences(cooccur.shared(cooccur.occurrences(_baskets(spark, sf)), _edges(spark, sf).select("a", "b")), 7, 1)
+    sents = _subgraph(spark, sf, 2)
+    drawn = graph.random_sentences(cooccur.shared(cooccur.occurrences(_baskets(spark, sf)), sents.select(F.col("src").alias("a"), F.col("dst").alias("b"))), 7, 1)
     drawn = drawn.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.0).alias("sim"), F.array(F.struct("note")).alias("data"))
     targets = sents.select(F.col("src").alias("place"), F.col("dst").alias("a"), F.col("src").alias("b"), F.get("data", F.lit(0))["note"].alias("target"))
     outputs = targets.select("place", F.concat(F.lit("out "), F.col("place").cast("string")).alias("line")).distinct()
@@ -250,11 +295,18 @@ def split(spark, sf):
 
 
 _TOKEN = r"([\p{L}\p{N}\p{M}]+)|([^\p{Z}\p{C}])"
-_strip = "text"
-for _kind in (r"\{[^{}]*\}", r"\([^()]*\)", r"\[[^\[\]]*\]"):
-    for _ in range(4):
-        _strip = f"regexp_replace({_strip}, '{_kind}', '', 'g')"
-_STRIP = rf"trim(regexp_replace({_strip}, '\s+', ' ', 'g'))"
+
+
+def _strip_sql(c: str) -> str:
+    for k, (left, right) in enumerate(("{}", "()", "[]")):
+        bits = rf"regexp_extract_all(x{k}, '[\{left}\{right}]|[^\{left}\{right}]+')"
+        level = rf"CASE WHEN t = '{left}' THEN acc || chr(1) WHEN t = '{right}' AND contains(acc, chr(1)) THEN regexp_replace(acc, '\x01[^\x01]*$', '') ELSE acc || t END"
+        flat = f"replace(list_reduce(list_prepend('', {bits}), lambda acc, t: {level}), chr(1), '{left}')"
+        c = f"list_transform([{c}], lambda x{k}: CASE WHEN contains(x{k}, '{left}') AND contains(x{k}, '{right}') THEN {flat} ELSE x{k} END)[1]"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+_STRIP = _strip_sql("text")
 _NORMAL = "array_to_string(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}''.]+|\\S'), ' ')"
 _ARTICLE = r"(^|[^\p{{L}}\p{{N}}])(?:a|an|the)($|[^\p{{L}}\p{{N}}])"
 _BARE = r"""regexp_replace(lower({0}), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g')"""
@@ -262,9 +314,11 @@ _BARE = r"""regexp_replace(lower({0}), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~
 _ANSWER = rf"trim(regexp_replace(regexp_replace(regexp_replace({_BARE}, '{_ARTICLE}', '\1 \2', 'g'), '{_ARTICLE}', '\1 \2', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, md5({_STRIP}) AS bare FROM documents")
+@query(f"""SELECT doc_id, md5({_STRIP}) AS bare, md5({_strip_sql("repeat('a {(', (doc_id % 9)::INT) || text || repeat(') b} c', (doc_id % 8)::INT)")}) AS deep FROM documents""")
 def strip_brackets(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.md5(text.strip_brackets("text")).alias("bare"))
+    many = lambda s, n: F.repeat(F.lit(s), (F.col("doc_id") % n).cast("int"))
+    deep = F.concat(many("a {(", 9), "text", many(") b} c", 8))
+    return _t(spark, sf, "documents").select("doc_id", F.md5(text.strip_brackets("text")).alias("bare"), F.md5(text.strip_brackets(deep)).alias("deep"))
 
 
 @query(f"SELECT doc_id, md5({_NORMAL.format('text')}) AS normal FROM documents")
@@ -368,31 +422,114 @@ def resolve_titles(spark, sf):
     return mentions.resolve_titles(rows.select(F.col("shown").alias("name")).distinct(), rows.select(F.replace("href", F.lit("/"), F.lit("")).alias("title"))).select("name", "entity")
 
 
+def _name_sql(c: str, lower: bool) -> str:
+    bare = _strip_sql(c)
+    own = f"list_transform([{bare}], lambda bare: CASE WHEN bare = '' THEN {c} ELSE split_part(bare, ',', 1) END)[1]"
+    return f"array_to_string(regexp_extract_all({f'lower({own})' if lower else own}, '{_TOKEN}', 0), ' ')"
+
+
+# paragraphs end with </p>; a page's title is its first link's target, so pages share titles and some differ in case alone
+_EXTRACT = rf"""par AS (SELECT page_id AS page, regexp_extract(html, '<a href="([^"]*)">', 1) AS title, unnest(string_split(html, '</p>')) AS line, generate_subscripts(string_split(html, '</p>'), 1) - 1 AS para FROM pages),
+lr AS (SELECT page, para, unnest(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 0)) AS raw, unnest(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 1)) AS entity,
+  unnest(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 2)) AS shown, generate_subscripts(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 0), 1) AS seq FROM par),
+lk AS (SELECT *, lower(kw) AS name FROM (SELECT *, {_name_sql('entity', False)} AS kw FROM lr)),
+rp AS (SELECT page, para, list(raw || chr(1) || CASE WHEN NOT ends_with(name, lower(shown)) THEN shown WHEN shown = lower(shown) THEN name ELSE kw END ORDER BY seq) AS rp FROM lk GROUP BY ALL),
+pl AS (SELECT page, para, title, list_reduce(list_prepend(line, coalesce(rp, [])), lambda acc, y: replace(acc, split_part(y, chr(1), 1), split_part(y, chr(1), 2))) AS line FROM par LEFT JOIN rp USING (page, para)),
+sn AS (SELECT page, para, title, list_filter(list_transform(regexp_extract_all(line, '[^.!?
+]+[.!?]*'), lambda y: trim(y)), lambda y: y <> '') AS l FROM pl),
+sx AS (SELECT page, para, title, unnest(l) AS sent, generate_subscripts(l, 1) - 1 AS k FROM sn),
+tx AS (SELECT page, para, title, k AS sent, regexp_extract_all(lower({_strip_sql('sent')}), '{_TOKEN}', 0) AS t FROM sx),
+ow AS (SELECT DISTINCT page, title, {_name_sql('title', True)} AS name FROM par),
+kn AS (SELECT page, phrase, min(para) AS since, len(string_split(phrase, ' ')) AS k FROM (SELECT page, name AS phrase, -1 AS para FROM ow UNION ALL SELECT page, name, para FROM lk) WHERE phrase <> '' GROUP BY page, phrase),
+gr AS (SELECT page, para, sent, k, p, array_to_string(list_slice(t, p, p + k - 1), ' ') AS phrase FROM (SELECT page, para, sent, t, k, unnest(range(1, len(t) - k + 2)) AS p FROM tx JOIN (SELECT DISTINCT page, k FROM kn) USING (page) WHERE len(t) >= k)),
+me AS (SELECT page, para, sent, p, max(k) AS reach, max(k) AS take FROM gr JOIN kn USING (page, phrase, k) WHERE since <= para GROUP BY ALL),
+fl AS (SELECT page, para, sent, unnest(list_reduce(list([[p, reach, take]] ORDER BY p), lambda acc, y: CASE WHEN len(acc) = 0 OR y[1][1] >= acc[-1][1] + acc[-1][2] THEN acc || y ELSE acc END, []::BIGINT[][])) AS y FROM me GROUP BY page, para, sent),
+fn AS (SELECT page, para, sent, y[1] - 1 AS start, array_to_string(list_slice(t, y[1], y[1] + y[2] - 1), ' ') AS name FROM fl JOIN tx USING (page, para, sent)),
+wr AS (SELECT page, name, para AS "of", seq, entity FROM lk WHERE name <> '' UNION ALL SELECT page, name, para, 0, title FROM ow JOIN (SELECT DISTINCT page, para FROM par) USING (page) WHERE name <> ''),
+ent AS (SELECT page, para, sent, start, name, arg_max(entity, row("of", seq, entity)) AS entity FROM fn JOIN wr USING (page, name) WHERE "of" <= para GROUP BY ALL)"""
+# a title's vector is that of its first page's number
+_RESOLVED = f"""{_EXTRACT}, ve AS (SELECT title, embedding::DOUBLE[] AS e FROM (SELECT title, min(page) AS page FROM par WHERE title <> '' GROUP BY title) JOIN embeddings ON vec_id = page),
+ti AS (SELECT DISTINCT title FROM tx), fo AS (SELECT lower(title) AS key, count(*) AS n, min(title) AS sole FROM ti GROUP BY 1),
+ma AS (SELECT ent.*, ti.title AS exact, key, n, sole FROM ent LEFT JOIN ti ON ti.title = entity JOIN fo ON key = lower(entity)),
+op AS (SELECT ma.page, para, sent, start, ma.name, c.title, list_dot_product(v.e, c.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(c.e, c.e))) AS sim
+  FROM ma JOIN ow ON ow.page = ma.page JOIN ve v ON v.title = ow.title JOIN ve c ON lower(c.title) = key JOIN ti ON ti.title = c.title WHERE exact IS NULL AND n > 1),
+re AS (SELECT page, para, sent, start, name, coalesce(exact, sole) AS entity FROM ma WHERE exact IS NOT NULL OR n = 1
+  UNION ALL SELECT page, para, sent, start, name, title FROM (SELECT *, row_number() OVER (PARTITION BY page, para, sent, start, name ORDER BY sim DESC, title) AS k FROM op) WHERE k = 1)"""
+
+
+def _extracted(spark, sf):
+    pages = _t(spark, sf, "pages").select(F.col("page_id").alias("page"), F.regexp_extract("html", '<a href="([^"]*)">', 1).alias("title"), F.posexplode(F.split("html", "</p>")).alias("para", "line"))
+    sents = extract.sentences(pages)
+    return pages, sents, extract.found_entities(pages, sents)
+
+
+def _title_vectors(spark, sf, pages):
+    first = pages.where("title <> ''").groupBy(F.col("title").alias("ent")).agg(F.min("page").alias("vec_id"))
+    return first.join(_t(spark, sf, "embeddings"), "vec_id").select("ent", F.col("embedding").alias("vec"))
+
+
+@query(f"WITH {_EXTRACT} SELECT page, para::INT AS para, sent::INT AS sent, start::INT AS start, name, entity FROM ent")
+def page_entities(spark, sf):
+    return _extracted(spark, sf)[2]
+
+
+@query(f"WITH {_RESOLVED} SELECT page, para::INT AS para, sent::INT AS sent, start::INT AS start, name, entity FROM re")
+def resolved_entities(spark, sf):
+    pages, sents, found = _extracted(spark, sf)
+    return extract.resolve(found, sents, _title_vectors(spark, sf, pages))
+
+
+@query(f"""WITH {_RESOLVED}, li AS (SELECT DISTINCT page || ':' || para || ':' || sent AS note, entity, min(start) OVER (PARTITION BY page, para, sent, entity) AS at FROM re)
+SELECT x.note, x.entity AS a, y.entity AS b, round(CASE WHEN v.e IS NULL OR w.e IS NULL THEN 0 ELSE list_dot_product(v.e, w.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(w.e, w.e))) END, 6) AS sim
+FROM li x JOIN li y ON x.note = y.note AND x.at < y.at LEFT JOIN ve v ON v.title = x.entity LEFT JOIN ve w ON w.title = y.entity""")
+def extracted_pairs(spark, sf):
+    pages, sents, found = _extracted(spark, sf)
+    vectors = _title_vectors(spark, sf, pages)
+    return extract.pairs(extract.lists(extract.resolve(found, sents, vectors)), vectors, 64).select("note", "a", "b", _r("sim").alias("sim"))
+
+
+_PHRASE_WORDS = (2, 3, 5, 12)
+
+
 def _phrases(spark, sf):
     words = _t(spark, sf, "benchmark").select(text.tokenize("text", lower=True).alias("w"))
-    return words.select(F.explode(F.array(*[F.array_join(F.slice("w", 1, k), " ") for k in (2, 3, 5)])).alias("phrase"))
+    return words.select(F.explode(F.array(*[F.array_join(F.slice("w", 1, k), " ") for k in _PHRASE_WORDS])).alias("phrase"))
 
 
-@query(f"""WITH d AS (SELECT regexp_extract_all(lower(text), '{_TOKEN}', 0) AS w FROM benchmark),
-ph AS (SELECT DISTINCT array_to_string(list_slice(w, 1, k), ' ') AS phrase, least(k, len(w)) AS k FROM d, (SELECT unnest([2, 3, 5]) AS k)),
+_GRAMS = f"""d AS (SELECT regexp_extract_all(lower(text), '{_TOKEN}', 0) AS w FROM benchmark),
+ph AS (SELECT DISTINCT array_to_string(list_slice(w, 1, k), ' ') AS phrase, least(k, len(w)) AS k FROM d, (SELECT unnest([2, 3, 5, 12]) AS k)),
 x AS (SELECT doc_id, regexp_extract_all(lower(text), '{_TOKEN}', 0) AS w FROM documents),
-g AS (SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS phrase FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM x, (SELECT DISTINCT k FROM ph) WHERE len(w) >= k))
-SELECT doc_id, phrase, count(*) AS n FROM g JOIN ph USING (phrase, k) GROUP BY ALL""")
+g AS (SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS phrase FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM x, (SELECT DISTINCT k FROM ph) WHERE len(w) >= k))"""
+
+
+@query(f"WITH {_GRAMS} SELECT doc_id, phrase, count(*) AS n FROM g JOIN ph USING (phrase, k) GROUP BY ALL")
 def phrase_greedy(spark, sf):
     tokens = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.tokenize("text", lower=True).alias("tokens"))
     return mentions.match_phrases(tokens, _phrases(spark, sf), "greedy").groupBy(F.col("id").alias("doc_id"), "phrase").agg(F.count("*").alias("n"))
 
 
-@query()
+_FROM_LEFT = "list_reduce(list([[p, reach, take]] ORDER BY p), lambda acc, y: CASE WHEN len(acc) = 0 OR y[1][1] >= acc[-1][1] + acc[-1][2] THEN acc || y ELSE acc END, []::BIGINT[][])"
+
+
+@query(f"""WITH {_GRAMS}, m AS (SELECT doc_id, p, max(k) AS reach, max(k) AS take FROM g JOIN ph USING (phrase, k) GROUP BY ALL),
+l AS (SELECT doc_id, unnest({_FROM_LEFT}) AS y FROM m GROUP BY doc_id)
+SELECT doc_id, (y[1] - 1)::INT AS start, y[2]::INT AS size, array_to_string(list_slice(w, y[1], y[1] + y[2] - 1), ' ') AS phrase FROM l JOIN x USING (doc_id)""")
 def phrase_longest(spark, sf):
     tokens = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.tokenize("text", lower=True).alias("tokens"))
     return mentions.match_phrases(tokens, _phrases(spark, sf)).select(F.col("id").alias("doc_id"), "start", "size", "phrase")
 
 
-@query()
+@query(f"""WITH d AS (SELECT list_slice(regexp_extract_all(lower(text), '{_TOKEN}', 0), 1, n) AS w FROM benchmark, (SELECT unnest([2, 3, 5, 12]) AS n)),
+ph AS (SELECT phrase, k, max(whole) AS whole FROM (SELECT array_to_string(list_slice(w, 1, k), ' ') AS phrase, k, (k = len(w))::INT AS whole FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM d)) GROUP BY ALL),
+x AS (SELECT doc_id, regexp_extract_all(lower(text), '{_TOKEN}', 0) AS w FROM documents),
+g AS (SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS phrase FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM x, (SELECT DISTINCT k FROM ph) WHERE len(w) >= k)),
+m AS (SELECT doc_id, p, max(k) AS reach, coalesce(max(CASE WHEN whole = 1 THEN k END), 0) AS take FROM g JOIN ph USING (phrase, k) GROUP BY ALL),
+l AS (SELECT doc_id, {_FROM_LEFT} AS l FROM m GROUP BY doc_id),
+t AS (SELECT doc_id, w[i] AS word, i, len(list_filter(coalesce(l, []), lambda y: i > y[1] AND i < y[1] + y[3])) > 0 AS glued FROM (SELECT doc_id, w, l, unnest(range(1, len(w) + 1)) AS i FROM x LEFT JOIN l USING (doc_id)))
+SELECT doc_id, md5(coalesce(string_agg((CASE WHEN i = 1 THEN '' WHEN glued THEN '_' ELSE ' ' END) || word, '' ORDER BY i), '')) AS text FROM x LEFT JOIN t USING (doc_id) GROUP BY doc_id""")
 def reformed_text(spark, sf):
     tokens = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.tokenize("text", lower=True).alias("tokens"))
-    return mentions.reform(tokens, _phrases(spark, sf)).select(F.col("id").alias("doc_id"), "text")
+    return mentions.reform(tokens, _phrases(spark, sf)).select(F.col("id").alias("doc_id"), F.md5("text").alias("text"))
 
 
 _COS = "coalesce(list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0), 0)"
@@ -417,12 +554,13 @@ def nearest_in_label(spark, sf):
     return found.select(F.col("id").alias("label"), "entity", _r("sim").alias("sim"))
 
 
-@query("""SELECT vec_id, k::INT AS k, i::INT AS i FROM (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k
-  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)) WHERE k <= 5""")
+@query("""WITH t AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS m FROM t)
+SELECT x.vec_id, x.k::INT AS k, x.i::INT AS i, y.i::INT AS least FROM r x JOIN r y ON x.vec_id = y.vec_id AND x.k = y.m WHERE x.k <= 5""")
 def topk_idx(spark, sf):
-    order = F.array_sort(F.transform("embedding", lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
-    rows = _t(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice(order, 1, 5)).alias("p", "s"))
-    return rows.select("vec_id", (F.col("p") + 1).alias("k"), F.col("s.i").alias("i"))
+    both = F.arrays_zip(metrics.top_places("embedding", 5).alias("i"), metrics.top_places("embedding", 5, largest=False).alias("least"))
+    rows = _t(spark, sf, "embeddings").select("vec_id", F.posexplode(both).alias("p", "s"))
+    return rows.select("vec_id", (F.col("p") + 1).alias("k"), F.col("s.i").alias("i"), F.col("s.least").alias("least"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(e, e)), 4) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
@@ -522,7 +660,10 @@ def bigram_overlap(spark, sf):
     return metrics.ngram_overlap(rows, 2).select("id.conv_id", "id.turn", "common", _r("f1").alias("f1"))
 
 
-@query()
+@query(f"""WITH {_TURNS}, t AS (SELECT conv_id, turn, regexp_extract_all(lower(hyp), '{_TOKEN}', 0) AS h, regexp_extract_all(lower(ref), '{_TOKEN}', 0) AS r FROM u),
+p AS (SELECT conv_id, turn, i, j FROM (SELECT conv_id, turn, unnest(h) AS w, generate_subscripts(h, 1) AS i FROM t) JOIN (SELECT conv_id, turn, unnest(r) AS w, generate_subscripts(r, 1) AS j FROM t) USING (conv_id, turn, w)),
+l AS (SELECT conv_id, turn, len(list_reduce(list([j] ORDER BY i, j DESC), lambda acc, y: list_filter(acc, lambda z: z < y[1]) || y || list_slice(acc, len(list_filter(acc, lambda z: z < y[1])) + 2, len(acc)), []::BIGINT[])) AS common FROM p GROUP BY ALL)
+SELECT conv_id, turn, coalesce(common, 0)::INT AS common, round(coalesce(2.0::DOUBLE * coalesce(common, 0) / nullif(len(h) + len(r), 0), 0), 6) AS f1 FROM t LEFT JOIN l USING (conv_id, turn)""")
 def rouge_l(spark, sf):
     rows = _turns(spark, sf).select(F.struct("conv_id", "turn").alias("id"), "hyp", "ref")
     return metrics.rouge_l(rows).select("id.conv_id", "id.turn", "common", _r("f1").alias("f1"))
@@ -560,12 +701,22 @@ def weighted_mean(spark, sf):
     return _t(spark, sf, "events").agg(F.round(metrics.weighted_mean("value", "user_id"), 4).alias("mean"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {_LINKS}, n AS (SELECT DISTINCT lower(shown) AS kw FROM l)
-SELECT kw FROM n WHERE kw NOT IN ('the', 'and', 'of', 'to', 'in', 'is') AND (length(kw) > 1 OR kw = 'c')""")
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in mentions.STOP)
+_KEYWORDS = f"{_LINKS}, kw AS (SELECT DISTINCT lower(shown) AS kw FROM l WHERE lower(shown) NOT IN ({_STOP}) AND (length(shown) > 1 OR lower(shown) = 'c'))"
+
+
+@query(f"WITH {_KEYWORDS} SELECT kw FROM kw")
 def keywords(spark, sf):
+    return mentions.drop_keywords(_links(spark, sf).select(F.lower("shown").alias("kw")).distinct())
+
+
+# words ending in s stand for nouns whose form without it is their lemma
+@query(f"WITH {_KEYWORDS} SELECT CASE WHEN kw LIKE '%s' THEN kw || chr(9) || left(kw, -1) ELSE kw END AS line, kw NOT LIKE '%s' AS stable FROM kw")
+def keyword_forms(spark, sf):
     words = _links(spark, sf).select(F.lower("shown").alias("kw")).distinct()
-    stop = spark.createDataFrame([(w,) for w in ("the", "and", "of", "to", "in", "is")], "kw string")
-    return mentions.drop_keywords(words, F.broadcast(stop))
+    lemmas = words.where(F.endswith("kw", F.lit("s"))).select(F.col("kw").alias("word"), F.expr("substring(kw, 1, length(kw) - 1)").alias("lemma"))
+    stable, other = mentions.keyword_lists(words, lemmas)
+    return stable.select(F.col("kw").alias("line"), F.lit(True).alias("stable")).union(other.select("line", F.lit(False)))
 
 
 @query("SELECT 'MERGE (:Entity {name: ''' || n || '''})' AS command FROM (SELECT DISTINCT n_nationkey AS n FROM nation UNION SELECT r_regionkey FROM region)\n"
@@ -574,32 +725,250 @@ def cypher(spark, sf):
     return io.cypher(_t(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"), F.col("n_name").alias("note")))
 
 
-def _trees(spark, sf):
-    """Sentences of 5 to 50 tokens as synthetic trees: token i hangs from (i - 1) / 2, labels by length and place."""
-    rows = _t(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("place", "s"))
-    rows = rows.select("doc_id", "place", text.tokenize("s").alias("t")).where(F.size("t").between(5, 50))
-    labels = F.array(*[F.lit(x) for x in ("nsubj", "dobj", "prep", "pobj", "amod", "det", "conj")])
-    head = F.transform("t", lambda x, i: F.when(i == 0, 0).otherwise(F.floor((i - 1) / 2).cast("int")))
-    dep = F.transform("t", lambda x, i: F.get(labels, (F.length(x) + i) % 7))
-    return rows.select(F.struct("doc_id", "place").alias("id"), head.alias("head"), dep.alias("dep"), F.lit(1).alias("s1"), F.lit(1).alias("e1"), (F.size("t") - 1).alias("s2"), (F.size("t") - 1).alias("e2"))
+_DEPS = ("nsubj", "dobj", "prep", "pobj", "amod", "conj", "compound", "punct")
 
 
-@query()
+def _trees(spark, sf):
+    """Sentences of 5 to 50 tokens as synthetic trees: a heap read from its end, labels by length and place.
+
+    Counted from the end and from 1, token m hangs from token m / 2. The first token and the middle one are the pair.
+    """
+    rows = _t(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("place", "s"))
+    rows = rows.select("doc_id", "place", text.tokenize("s").alias("t")).where(F.size("t").between(5, 50)).withColumn("n", F.size("t"))
+    labels = F.array(*[F.lit(x) for x in _DEPS])
+    head = F.transform("t", lambda x, i: F.when(i == F.col("n") - 1, i).otherwise(F.col("n") - F.floor((F.col("n") - i) / 2).cast("int")))
+    dep = F.transform("t", lambda x, i: F.get(labels, (F.length(x) + i) % len(_DEPS)))
+    middle = F.floor(F.col("n") / 2).cast("int")
+    return rows.select(F.struct("doc_id", "place").alias("id"), F.col("t").alias("tokens"), head.alias("head"), dep.alias("dep"), F.lit(0).alias("s1"), F.lit(0).alias("e1"), middle.alias("s2"), middle.alias("e2"))
+
+
+# d: labels by m; pa: path and branch of the pair (n, m2); v: pairs that are whole compounds and whose pattern fits
+_TREES = f"""{_SENT}, tk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS place, regexp_extract_all(sent, '{_TOKEN}', 0) AS t FROM s),
+dt AS (SELECT doc_id, place, len(t) AS n, len(t) - len(t) // 2 AS m2, list_transform(range(1, len(t) + 1), lambda m: list_extract({list(_DEPS)}, ((len(t[len(t) - m + 1]) + len(t) - m) % {len(_DEPS)})::INT + 1)) AS d FROM tk WHERE len(t) BETWEEN 5 AND 50),
+ch AS (SELECT *, list_filter(list_transform(range(0, 7), lambda j: n >> j), lambda x: x > 0) AS c1, list_filter(list_transform(range(0, 7), lambda j: m2 >> j), lambda x: x > 0) AS c2 FROM dt
+  WHERE d[n] <> 'compound' AND (d[m2] <> 'compound' OR m2 = 1) AND coalesce(d[2 * m2], '') <> 'compound' AND coalesce(d[2 * m2 + 1], '') <> 'compound'),
+tp AS (SELECT *, list_max(list_intersect(c1, c2)) AS top FROM ch),
+pa AS (SELECT *, list_transform(list_filter(c1, lambda x: x > top), lambda x: 'i_' || d[x]) || list_transform(list_reverse(list_filter(c2, lambda x: x > top)), lambda x: d[x]) AS steps,
+  list_distinct(list_filter(c1, lambda x: x > top) || list_filter(c2, lambda x: x > top) || [n, m2, top]) AS bra FROM tp),
+og AS (SELECT *, CASE WHEN len(list_filter(steps, lambda x: contains(x, 'i_nsubj'))) > 0 THEN steps ELSE list_transform(list_reverse(steps), lambda x: CASE WHEN starts_with(x, 'i_') THEN substr(x, 3) ELSE 'i_' || x END) END AS og FROM pa),
+v AS (SELECT *, array_to_string(list_filter(og, lambda x, i: NOT contains(x, 'appos') AND NOT contains(x, 'conj') AND NOT (x = 'prep' AND i > 1 AND og[i - 1] = 'prep')), ' ') AS pattern FROM og),
+w AS (SELECT * FROM v WHERE starts_with(pattern, 'i_nsubj'))"""
+_SUBS = """(SELECT *, list_min(list_filter(range(0, 7), lambda j: list_contains({on}, m >> j))) AS far FROM (SELECT *, unnest(range(1, n + 1)) AS m FROM {of}) WHERE NOT list_contains({on}, m))"""
+_SUB_PATH = "array_to_string(list_transform(list_reverse(range(0, far)), lambda j: d[m >> j]), ' ')"
+_SUB_PATTERN = f"trim(regexp_replace(replace(replace(replace({_SUB_PATH}, 'compound', ''), 'conj', ''), 'appos', ''), '\\s+', ' ', 'g'))"
+_COUNTS = f"""sb AS (SELECT doc_id, place, m >> far AS root, {_SUB_PATH} AS path, {_SUB_PATTERN} AS sub FROM {_SUBS.format(on="bra", of="w")} WHERE far IS NOT NULL),
+cnt AS (SELECT 'core' AS kind, pattern, count(*) AS cnt FROM w GROUP BY pattern
+  UNION ALL SELECT 'sub', sub, count(*) FROM (SELECT DISTINCT doc_id, place, root, sub FROM sb WHERE NOT contains(path, 'punct') AND sub <> '') GROUP BY sub)"""
+
+
+@query(f"WITH {_TREES}, {_COUNTS} SELECT kind, pattern, cnt FROM cnt")
 def tree_patterns(spark, sf):
     return parse.patterns(_trees(spark, sf)).groupBy("kind", "pattern").agg(F.count("*").alias("cnt"))
 
 
-@query()
+def _pattern_tables(spark, sf):
+    counted = scratch.materialise(tree_patterns(spark, sf), "patterns")
+    return [counted.where(F.col("kind") == k).select("pattern", "cnt") for k in ("core", "sub")]
+
+
+# zr: tokens whose conj child is on the branch come off it first; then modifiers weigh as their sub patterns do
+_WEIGHTS = f"""zr AS (SELECT *, list_filter(bra, lambda x: NOT list_contains(list_transform(list_filter(bra, lambda y: d[y] = 'conj'), lambda y: greatest(y >> 1, 1)), x)) AS own FROM w),
+mo AS (SELECT doc_id, place, m, {_SUB_PATTERN} AS sub FROM {_SUBS.format(on="own", of="zr")} WHERE far IS NOT NULL AND d[m >> (far - 1)] <> 'conj'),
+top AS (SELECT max(cnt) FILTER (kind = 'core') AS core, max(cnt) FILTER (kind = 'sub') AS sub FROM cnt),
+wt AS (SELECT doc_id, place, m, CASE WHEN mo.sub = '' THEN 1.0::DOUBLE ELSE ln(coalesce(cnt, 0.5) + 1) / ln(top.sub + 1) END AS weight FROM mo LEFT JOIN cnt ON kind = 'sub' AND cnt.pattern = mo.sub, top),
+al AS (SELECT doc_id, place, n, pattern, steps, m, d[m] AS dep, CASE WHEN list_contains(own, m) THEN 1.0::DOUBLE ELSE coalesce(weight, 0) END AS weight FROM (SELECT *, unnest(range(1, n + 1)) AS m FROM zr) LEFT JOIN wt USING (doc_id, place, m))"""
+
+
+@query(f"""WITH {_TREES}, {_COUNTS}, {_WEIGHTS},
+co AS (SELECT doc_id, place, pattern, array_to_string(steps, ' ') AS dep_path, avg(weight) AS dep_coverage FROM al WHERE dep <> 'punct' GROUP BY ALL),
+fr AS (SELECT co.*, ln(coalesce(cnt, 0.5) + 1) / ln(core + 1) AS pattern_freq FROM co LEFT JOIN cnt ON kind = 'core' AND cnt.pattern = co.pattern, top)
+SELECT doc_id, place::INT AS place, dep_path, pattern, round(dep_coverage, 6) AS dep_coverage, round(pattern_freq, 6) AS pattern_freq,
+  round(2 / (1 / nullif(pattern_freq, 0) + 1 / nullif(dep_coverage, 0)), 6) AS score FROM fr""")
 def tree_features(spark, sf):
-    # patterns of synthetic labels are bounded by the depth of a 50-token tree
-    trees = _trees(spark, sf)
-    found = parse.patterns(trees).groupBy("kind", "pattern").agg(F.count("*").alias("cnt")).collect()
-    core, sub = ({r.pattern: r.cnt for r in found if r.kind == k} for k in ("core", "sub"))
-    return parse.features(trees, core, sub).select("id.doc_id", "id.place", "dep_path", "pattern", *[_r(c).alias(c) for c in ("dep_coverage", "pattern_freq", "score")])
+    found = parse.features(_trees(spark, sf), *_pattern_tables(spark, sf))
+    return found.select("id.doc_id", "id.place", "dep_path", "pattern", *[_r(c).alias(c) for c in ("dep_coverage", "pattern_freq", "score")])
+
+
+@query(f"""WITH {_TREES}, {_COUNTS}, {_WEIGHTS}
+SELECT doc_id, place::INT AS place, round(sum(weight), 5) AS weight, sum(CASE WHEN weight > 0 THEN n - m ELSE 0 END)::BIGINT AS places FROM al GROUP BY ALL""")
+def branch_weights(spark, sf):
+    core, sub = _pattern_tables(spark, sf)
+    whole = parse.features(_trees(spark, sf), core, sub).select("id")
+    found = parse.token_weights(_trees(spark, sf).join(whole, "id", "left_semi"), sub)
+    return found.groupBy("id").agg(F.round(F.sum("weight"), 5).alias("weight"), F.sum(F.when(F.col("weight") > 0, F.col("place")).otherwise(0)).alias("places")).select("id.doc_id", "id.place", "weight", "places")
+
+
+# sentences whose score is the mean over documents, as a scored file has it
+@query(f"""WITH {_TREES}, {_COUNTS}, {_WEIGHTS},
+co AS (SELECT doc_id, place, pattern, avg(weight) AS c FROM al WHERE dep <> 'punct' GROUP BY ALL),
+fr AS (SELECT co.*, ln(coalesce(cnt, 0.5) + 1) / ln(core + 1) AS f FROM co LEFT JOIN cnt ON kind = 'core' AND cnt.pattern = co.pattern, top),
+sc AS (SELECT doc_id, 2 / (1 / nullif(f, 0) + 1 / nullif(c, 0)) AS score FROM fr)
+SELECT round(avg(score), 6) AS score, (SELECT round(avg(m), 6) FROM (SELECT avg(score) AS m FROM sc GROUP BY doc_id)) AS of_batches FROM sc""")
+def mean_scores(spark, sf):
+    found = parse.features(_trees(spark, sf), *_pattern_tables(spark, sf)).select("id.doc_id", "score")
+    return found.agg(_r(F.avg("score")).alias("score")).crossJoin(metrics.mean_of_batches(found, "doc_id", "score").select(_r("mean").alias("of_batches")))  # one row each
+
+
+@query(f"WITH {_WAYS}, c AS (SELECT path, count(*) AS cnt FROM way GROUP BY path) SELECT path AS pattern, cnt FROM c ORDER BY cnt DESC, path LIMIT 1")
+def most_common_pattern(spark, sf):
+    return metrics.most_common(pattern_counts(spark, sf))
+
+
+# the first two tokens of a text, once more hyphenated, as phrases; every second token is a noun with its first letter as lemma
+_PLACED = f"""t AS (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}', 0) AS t FROM documents),
+sw AS (SELECT doc_id, t, list_transform(t, lambda x, i: lower(CASE WHEN i % 2 = 0 THEN left(x, 1) ELSE x END)) AS sw FROM t),
+ph AS (SELECT doc_id, sw, string_split_regex(trim(lower(replace(t[1] || '-' || left(t[2], 1), '-', ' - '))), '\\s+') AS hy, list_transform(t[1:2], lambda x, i: lower(CASE WHEN i = 2 THEN left(x, 1) ELSE x END)) AS pl FROM sw WHERE len(t) >= 2)"""
+
+
+@query(f"""WITH {_PLACED}, fo AS (SELECT doc_id, list_filter(range(1, len(sw)), lambda i: sw[i:i + 1] = pl) AS plc, list_filter(range(1, len(sw) - len(hy) + 2), lambda i: sw[i:i + len(hy) - 1] = hy) AS hat FROM ph)
+SELECT doc_id, len(plc)::INT AS n, (plc[1] - 1)::INT AS first, (plc[-1])::INT AS last, len(hat)::INT AS hyphened FROM fo""")
+def phrase_places(spark, sf):
+    noun = lambda x, i: F.struct(x.alias("text"), F.substring(x, 1, 1).alias("lemma"), F.when(i % 2 == 1, "NOUN").otherwise("VERB").alias("pos"))
+    rows = _t(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("t")).where(F.size("t") >= 2)
+    rows = rows.select("doc_id", "t", mentions.span_words(F.transform("t", noun)).alias("w"))
+    one = mentions.spans(F.col("w"), F.slice("w", 1, 2))
+    hyphened = mentions.phrase_words(F.concat(F.get("t", 0), F.lit("-"), F.substring(F.get("t", 1), 1, 1)))
+    return rows.select("doc_id", one.alias("at"), F.size(mentions.spans(F.col("w"), hyphened)).alias("hyphened")).select("doc_id", F.size("at").alias("n"), F.get("at", 0)["start"].alias("first"), F.element_at("at", -1)["end"].alias("last"), "hyphened")
+
+
+# chunks of one to three tokens; every seventh ends in a pronoun, every fifth is left out
+_CHUNKS = f"""ck AS (SELECT doc_id, p AS start, least(p + p % 3, len(t) - 1) AS stop, p FROM (SELECT doc_id, t, unnest(range(0, len(t), 3)) AS p FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}', 0) AS t FROM documents)) WHERE p % 5 <> 0 AND p % 7 <> 0)"""
+
+
+@query(f"""WITH {_CHUNKS}, st AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY p) + 1 <> start, true)::INT AS new FROM ck),
+gr AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS grp FROM st), ou AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM gr GROUP BY doc_id, grp)
+SELECT doc_id, count(*)::INT AS n, md5(string_agg(a || '-' || b, ',' ORDER BY a)) AS spans FROM ou GROUP BY doc_id""")
+def noun_phrases(spark, sf):
+    chunk = lambda p, n: F.struct(p.alias("start"), F.least(p + p % 3, n - 1).alias("end"), F.when(p % 7 == 0, "PRON").otherwise("NOUN").alias("tag"))
+    chunks = lambda n: F.transform(F.filter(F.sequence(F.lit(0), n, F.lit(3)), lambda p: (p % 5 != 0) & (p < n)), lambda p: chunk(p, n))
+    rows = _t(spark, sf, "documents").select("doc_id", text.let(F.size(text.tokenize("text")), lambda n: parse.merge_chunks(chunks(n))).alias("m")).where(F.size("m") > 0)
+    return rows.select("doc_id", F.size("m").alias("n"), F.md5(F.array_join(F.transform("m", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")).alias("spans"))
+
+
+def _treebank_sql(c: str) -> str:
+    for pattern, said in text.TREEBANK:
+        c = f"regexp_replace({c}, '{pattern.replace(chr(39), chr(39) * 2)}', '{said.replace(chr(39), chr(39) * 2).replace('$0', chr(92) + '0').replace('$1', chr(92) + '1').replace('$2', chr(92) + '2').replace('$3', chr(92) + '3')}', 'g')"
+    return f"list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT conv_id, turn, len(t)::INT AS n, array_to_string(t, '|') AS tokens FROM (SELECT conv_id, turn, {_treebank_sql('text')} AS t FROM conversations)")
+def treebank_tokens(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", text.treebank("text").alias("t")).select("conv_id", "turn", F.size("t").alias("n"), F.array_join("t", "|").alias("tokens"))
+
+
+@query(r"SELECT page_id, coalesce(regexp_extract(title, '^(?:[A-Za-z]+|[A-Za-z ]+)') = title AND title <> '', false) AS plain FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)")
+def full_match(spark, sf):
+    return _titles(spark, sf).select("page_id", text.full_match("title", "[A-Za-z]+|[A-Za-z ]+").alias("plain"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(t[1:12], lambda x, i: (CASE WHEN i = 2 THEN '<E1> ' WHEN i = 5 THEN '<E2> ' ELSE '' END) || x || (CASE WHEN i = 3 THEN ' <E1>' WHEN i = 5 THEN ' <E2>' ELSE '' END)), ' ') AS marked FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}', 0) AS t FROM documents)")
+def marked_spans(spark, sf):
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    rows = _t(spark, sf, "documents").select("doc_id", F.slice(text.tokenize("text"), 1, 12).alias("t"))
+    return rows.select("doc_id", text.mark_spans("t", F.array(span(1, 3), span(4, 5))).alias("marked"))
+
+
+@query("SELECT conv_id, turn, ['docs', conv_id::VARCHAR, turn::VARCHAR][1] || ':' || conv_id || ':' || turn AS note, 'docs' AS folder, conv_id::VARCHAR AS file, turn::INT AS line FROM conversations")
+def notes(spark, sf):
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", io.note(F.lit("docs"), F.col("conv_id").cast("string"), F.col("turn")).alias("note"))
+    return rows.select("*", io.from_note("note").alias("p")).select("conv_id", "turn", "note", "p.folder", "p.file", "p.line")
+
+
+@query("SELECT event_type, event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100)::BIGINT AS batch FROM events")
+def batches(spark, sf):
+    return io.batches(_t(spark, sf, "events").select("event_type", "event_id"), 100, "event_type", "event_id")
+
+
+@query(f"""WITH b AS (SELECT min(item_id) AS i, max(item_id) AS j FROM benchmark), an AS (SELECT list(' ' || array_to_string(regexp_extract_all(lower(text), '{_TOKEN}', 0)[1:2], ' ') || ' ' ORDER BY item_id) AS an FROM benchmark JOIN b ON item_id IN (i, j)),
+c AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(lower(text), '{_TOKEN}', 0), ' ') || ' ' AS t FROM conversations)
+SELECT conv_id, array_to_string(list(CASE WHEN len(list_filter(an, lambda x: contains(t, x))) > 0 THEN 'y' ELSE 'n' END ORDER BY turn), '') AS hits FROM c, an GROUP BY conv_id""")
+def hit_vector(spark, sf):
+    items = _t(spark, sf, "benchmark")
+    ends = items.agg(F.min("item_id").alias("i"), F.max("item_id").alias("j"))
+    two = items.join(F.broadcast(ends), (F.col("item_id") == F.col("i")) | (F.col("item_id") == F.col("j"))).agg(F.sort_array(F.collect_list(F.struct("item_id", F.array_join(F.slice(text.tokenize("text", lower=True), 1, 2), " ").alias("a")))).alias("an"))
+    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("c"))
+    rows = rows.crossJoin(F.broadcast(two))  # one row
+    return rows.select("conv_id", F.array_join(F.transform(metrics.hit_vector("c", F.transform("an", lambda x: x["a"])), lambda h: F.when(h, "y").otherwise("n")), "").alias("hits"))
+
+
+@query("SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(len(a.embedding)), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def retriever_scores(spark, sf):
+    v = _t(spark, sf, "embeddings")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(after, "vec_id").select("vec_id", _r(scores.retriever_score("embedding", "other")).alias("score"))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id < 1000 THEN event_id / 1000.0::DOUBLE * (1 - 0.1::DOUBLE) + 0.1::DOUBLE ELSE greatest(0::DOUBLE, 1.0::DOUBLE + (0.1::DOUBLE - 1.0::DOUBLE) * (event_id - 1000)::DOUBLE / 7001.0::DOUBLE) END, 6) AS rate FROM events")
+def learning_rate(spark, sf):
+    return _t(spark, sf, "events").select("event_id", _r(scores.warmup_linear("event_id", 1000, 8001, 0.1)).alias("rate"))
+
+
+@query(f"WITH {_FEATURES}, t AS (SELECT DISTINCT a, b FROM f WHERE sim >= 0.5), y AS (SELECT a, b FROM good0 GROUP BY a, b) SELECT round((SELECT count(*) FROM y) / (SELECT count(*) FROM t)::DOUBLE, 6) AS yield, (SELECT count(*) FROM t) AS edges".replace(", y AS", ", good0 AS (SELECT a, b FROM f WHERE sim >= 0.5 AND score >= 0.75), y AS"))
+def dataset_yield(spark, sf):
+    every = graph.related(graph.undirected(graph.digraph(_features(spark, sf))), 0.5)
+    share, edges = dataset.sample_yield(_graph(spark, sf, 1), every), every.count()
+    return spark.createDataFrame([(round(share, 6) if share is not None else None, edges)], "yield double, edges long")
+
+
+@query(f"""WITH {_PAIRS}, tx AS (SELECT a, b, 'order ' || min(note) AS text FROM p GROUP BY a, b HAVING min(note) % 2 = 0)
+SELECT tx.a, tx.b, text, min(note) AS note FROM tx JOIN p USING (a, b) WHERE 'order ' || note = text GROUP BY ALL""")
+def notes_of_texts(spark, sf):
+    lists = _baskets(spark, sf)
+    found = cooccur.shared(cooccur.occurrences(lists), cooccur.counts(lists)[0].select("a", "b"))
+    sents = lists.select("note", F.concat(F.lit("order "), F.col("note").cast("string")).alias("text"))
+    wanted = cooccur.pairs(lists).groupBy("a", "b").agg(F.min("note").alias("first")).where("first % 2 = 0").select("a", "b", F.concat(F.lit("order "), F.col("first").cast("string")).alias("text"))
+    return cooccur.notes_of_texts(wanted, found, sents)
+
+
+def _written(spark, sf, name: str, rows: DataFrame) -> str:
+    """The folder that rows (value) are written to as text."""
+    path = scratch.scratch_path(spark, name)
+    rows.write.text(path)
+    return path
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id::VARCHAR AS doc, 'T ' || doc_id AS title, (k + 1)::INT AS para, trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> ''""")
+def dump_lines(spark, sf):
+    id_, title = F.col("doc_id").cast("string"), F.concat(F.lit("T "), F.col("doc_id").cast("string"))
+    page = F.concat(F.lit('<doc id="'), id_, F.lit('" url="u" title="'), title, F.lit('">\n'), title, F.lit("\n\n"), F.col("text"), F.lit("\n</doc>"))
+    path = _written(spark, sf, "dump", _t(spark, sf, "documents").where("text is not null").select(page.alias("value")))
+    return io.read_dump(spark, path).select("doc", "title", "para", "line")
+
+
+@query("SELECT sum(len(text) - len(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents WHERE text IS NOT NULL")
+def line_counts(spark, sf):
+    path = _written(spark, sf, "lines", _t(spark, sf, "documents").where("text is not null").select(F.col("text").alias("value")).coalesce(1))
+    return io.count_lines(spark, path).where(F.endswith("file", F.lit(".txt"))).agg((F.sum("lines") - F.count("*")).alias("lines"))  # each file ends with a line end
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n FROM (SELECT doc_id, list_filter(string_split(replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' '), chr(9)), lambda x: x <> '') AS t FROM documents)")
+def cooccur_lines(spark, sf):
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " ")
+    path = _written(spark, sf, "lists", _t(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), flat).alias("value")))
+    rows = io.read_cooccurrence(spark, path)
+    return rows.select(F.get("ents", 0).cast("long").alias("doc_id"), (F.size("ents") - 1).alias("n"))
+
+
+@query("SELECT conv_id::VARCHAR || '-' || turn AS id, md5(regexp_replace(coalesce(text, ''), '[\t\n\r]', ' ', 'g')) AS text FROM conversations WHERE turn % 3 <> 0")
+def passages(spark, sf):
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\n\r]", " ")
+    rows = _t(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("x"), said).alias("text"), F.when(F.col("turn") % 3 != 0, F.col("role")).alias("title"))
+    head = spark.createDataFrame([("id\ttext\ttitle",)], "value string")
+    path = _written(spark, sf, "passages", head.union(rows.select(F.concat_ws("\t", "id", "text", "title"))))
+    return io.read_passages(spark, path).select("id", F.md5(F.expr("substring(text, 2)")).alias("text"))
+
+
+@query("SELECT conv_id::VARCHAR || ':' || turn AS output, role AS target FROM conversations")
+def split_outputs(spark, sf):
+    rows = _t(spark, sf, "conversations").select(F.lit("q").alias("question"), F.concat_ws(":", "conv_id", "turn").alias("output"), F.col("role").alias("target"))
+    path = _written(spark, sf, "outputs", rows.select(F.concat_ws("\t", "question", "output", "target").alias("value")))
+    both = io.read_delimited(spark, path, "question string, output string, target string")
+    io.split_outputs(both)  # rows of fewer columns are an error
+    return both.select("output", "target")
 
 
 @query("SELECT event_type AS pattern, count(*) AS cnt FROM events GROUP BY 1")
 def stream_counts(spark, sf):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
     name = f"stream_{uuid.uuid4().hex}"
-    return counts.run_once(counts.pattern_counts(counts.read_events(spark, sf)), name, "complete", f"{shared}/{name}")
+    return counts.run_once(counts.pattern_counts(counts.read_events(spark, sf)), name, "complete", scratch.scratch_path(spark, name))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relgraph.sources import scratch
+
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """(file, doc, title, para, line): pages of an annotated dump tree (IO1, IO2).
 
-    Files are read whole, one row each, so that no order is lost; a page is what stands between
-    its header and its end mark. Empty lines and a first line that repeats the title are left out.
+    A page is a record that ends with its mark, so files of any size are read in pieces; doc is the page's id.
+    Empty lines and a first line that repeats the title are left out.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value")
-    head = r'(?s)<doc id="[^"]*"[^>]*title="([^"]*)"[^>]*>\n?(.*?)</doc>'
-    pages = files.select("file", F.posexplode(F.arrays_zip(F.regexp_extract_all("value", F.lit(head), F.lit(1)).alias("title"), F.regexp_extract_all("value", F.lit(head), F.lit(2)).alias("body"))).alias("doc", "p"))
-    lines = pages.select("file", "doc", F.col("p.title").alias("title"), F.posexplode(F.split("p.body", "\n")).alias("para", "line"))
+    pages = spark.read.option("lineSep", "</doc>").option("recursiveFileLookup", True).text(path)
+    head = r'(?s)<doc id="([^"]*)"[^>]*title="([^"]*)"[^>]*>\n?(.*)'
+    part = lambda k: F.regexp_extract("value", head, k)
+    pages = pages.where(F.contains("value", F.lit('<doc id="'))).select(F.col("_metadata.file_path").alias("file"), part(1).alias("doc"), F.array_join(F.split(F.trim(part(2)), r"\s+"), " ").alias("title"), part(3).alias("body"))
+    lines = pages.select("file", "doc", "title", F.posexplode(F.split("body", "\n")).alias("para", "line"))
     lines = lines.withColumn("line", F.trim("line"))
     return lines.where((F.col("line") != "") & ~((F.col("para") <= 1) & (F.col("line") == F.col("title"))))
 
@@ -27,15 +32,36 @@ def read_ids(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as rows (IO4); IO9 is its count."""
+    """Lines as rows (IO4)."""
     return spark.read.text(path)
 
 
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines) of every file: its line ends and one, so a line end at the end counts an empty line more (IO9).
+
+    Line ends are the bytes of a file beyond those of its lines; contents are read as lines only. Empty files are not listed.
+    """
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
+    said = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum(F.octet_length("value")).alias("said"))
+    return whole.join(said, "file", "left").select("file", (F.col("length") - F.coalesce("said", F.lit(0)) + 1).alias("lines"))
+
+
+def output_paths(path: str) -> dict[str, str]:
+    """Where the tables of a run stand: sentences with titles, entities as found and resolved, pairs, occurrences, features (IO1)."""
+    return {k: f"{path}/{k}" for k in ("sentences", "raw", "lists", "pairs", "occurrences", "features", "graph")}
+
+
 def read_cooccurrence(spark: SparkSession, path: str) -> DataFrame:
     """Tab-joined entities of each line; an empty line has none (IO14)."""
     return spark.read.text(path).select(F.filter(F.split("value", "\t"), lambda x: x != "").alias("ents"))
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(ent, vec) of a word-vector text file, packed or not: a name without spaces and its numbers; a first line of two numbers is none (IO12)."""
+    parts = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("p")).where(F.size("p") > 2)
+    return parts.select(F.replace(F.get("p", F.lit(0)), F.lit("_"), F.lit(" ")).alias("ent"), F.transform(F.slice("p", 2, F.size("p")), lambda x: x.cast("float")).alias("vec"))
+
+
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """One JSON document or array a file (IO7, IO16)."""
     reader = spark.read.option("multiLine", True)
@@ -48,9 +74,12 @@ def read_delimited(spark: SparkSession, path: str, schema: str, delimiter: str =
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text, title); the header and rows of fewer columns are left out (IO19)."""
-    rows = read_delimited(spark, path, "id string, text string, title string")
-    return rows.where("id <> 'id' and text is not null and title is not null")
+    """(id, text, title); the header and rows of fewer columns are left out; their number is logged (IO19)."""
+    rows = read_delimited(spark, path, "id string, text string, title string").where("id <> 'id'")
+    short = rows.where("text is null or title is null").count()
+    if short:
+        logging.getLogger(__name__).warning("%d rows of %s have fewer than three columns", short, path)
+    return rows.where("text is not null and title is not null")
 
 
 def write_table(df: DataFrame, path: str, *, by: list[str] | None = None) -> None:
@@ -69,6 +98,22 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
 
+def merge_lines(spark: SparkSession, parts: str, out: str) -> None:
+    """One file of the lines of all text files in a folder, by file name; the folder is deleted (IO17).
+
+    Each part is one row, so none may pass 2 GB.
+    """
+    rows = spark.read.text(parts, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows.orderBy("file").coalesce(1).select(F.regexp_replace("value", r"\n\z", "").alias("value")).write.mode("overwrite").text(out)
+    scratch.delete(spark, parts)
+
+
+def merge_json(spark: SparkSession, parts: str, out: str) -> None:
+    """One table of the records of all JSON files in a folder, which is deleted (IO18)."""
+    write_json(read_json(spark, parts), out)
+    scratch.delete(spark, parts)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -80,7 +125,10 @@ def dataset_name(sim: float, target_directed: bool, source_directed: bool, thres
 
 
 def split_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hypotheses and references of output rows (question, output, target) (IO20)."""
+    """Hypotheses and references of output rows (question, output, target); a row without one of them is an error (IO20)."""
+    bad = rows.where("question is null or output is null or target is null").count()
+    if bad:
+        raise ValueError(f"{bad} rows have fewer than three columns")
     return rows.select(F.col("output").alias("value")), rows.select(F.col("target").alias("value"))
 
 
@@ -110,3 +158,9 @@ def batches(df: DataFrame, n: int, *order: str) -> DataFrame:
     """df with ``batch``, groups of n rows within each value of the first order column (SC33)."""
     place = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:]))
     return df.withColumn("batch", F.floor((place - 1) / n))
+
+
+def sentences_of_pair(occurrences: DataFrame, sents: DataFrame, a, b) -> DataFrame:
+    """(note, text) of the sentences (note, text) that two entities share, by the occurrence index (ent, note) (IO24)."""
+    both = occurrences.where(F.col("ent").isin(a, b)).groupBy("note").agg(F.count_distinct("ent").alias("n")).where("n = 2").select("note")
+    return sents.join(both, "note")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgraph import __main__ as cli
-from relgraph.operators import dataset, mentions, metrics
+from relgraph.operators import dataset, graph, mentions, metrics
 
 ITEM = "score double, note string, significant double, explicit double, span_head struct<start:int,end:int>, span_tail struct<start:int,end:int>"
 EDGES = "src string, dst string, sim double, data array<struct<" + ITEM.replace(" ", ":", 1).replace(", ", ",").replace(" double", ":double").replace(" string", ":string").replace(" struct", ":struct") + ">>"
@@ -81,6 +81,50 @@ def test_random_paths_and_failed_pairs(spark):
     assert dataset.collect_samples(table(spark, target).limit(0), table(spark, source)).count() == 0
 
 
+def test_best_sentences_are_those_of_the_sentence_graph(spark):
+    rng = random.Random(2)
+    kind = "kw1 string, kw2 string, sim double, dep_path string, note string, score double, significant double, explicit double, kw1_span struct<start:int,end:int>, kw2_span struct<start:int,end:int>"
+    rows = [(a, b, (ord(a) * ord(b)) % 10 / 10, rng.choice(["i_nsubj dobj", "nsubj i_dobj"]), f"n{k}", round(rng.random(), 2), 1.0, 1.0, (k, k), (k + 1, k + 1)) for k in range(400) for a, b in [rng.sample("abcdef", 2)]]
+    features = spark.createDataFrame(rows, kind)
+    whole = graph.sentence_graph(graph.related(graph.undirected(graph.digraph(features)), 0.3), 0.5)
+    cut = lambda rows: {(r.src, r.dst): [(x.score, x.note, x.span_head) for x in r.data[:2]] for r in rows}
+    assert cut(graph.best_sentences(features, 0.3, 0.5, 2).collect()) == cut(whole.collect())
+
+
+def test_extraction_of_a_small_dump(spark, tmp_path):
+    page = lambda i, title, *paras: f'<doc id="{i}" url="u" title="{title}">\n{title}\n\n' + "\n".join(paras) + "\n</doc>\n"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "w").write_text(
+        page(1, "Big Apple (city)", 'The <a href="New%20York">York</a> line. A big apple (red) and york.', 'New york met <a href="ice">ice cream</a>. Ice left New York.')
+        + page(2, "New York", 'No big apple here, <a href="ICE">Ice</a> only.')
+        + page(3, "Ice", "x")
+        + page(4, "ICE", "y")
+    )
+    vectors = [("Big Apple (city)", [1.0, 0.0]), ("New York", [1.0, 1.0]), ("Ice", [1.0, 0.1]), ("ICE", [0.0, 1.0])]
+    spark.createDataFrame(vectors, "ent string, vec array<float>").write.parquet(str(tmp_path / "v"))
+    cli.main(["preprocess", str(tmp_path / "d"), str(tmp_path / "v"), str(tmp_path / "o"), "--dim", "2"], spark)
+    read = lambda k: spark.read.parquet(str(tmp_path / "o" / k))
+    sents = {(r.title, r.para, r.sent): r.text for r in read("sentences").collect()}
+    assert sents["Big Apple (city)", 2, 0] == "The New York line." and sents["Big Apple (city)", 2, 1] == "A big apple and york."
+    raw = {(r.page.rsplit("#")[1], r.para, r.sent, r.name): r.entity for r in read("raw").collect()}
+    assert raw == {("1", 2, 0, "new york"): "New York", ("1", 2, 1, "big apple"): "Big Apple (city)", ("1", 3, 0, "new york"): "New York", ("1", 3, 1, "ice"): "ice", ("1", 3, 0, "ice"): "ice", ("1", 3, 1, "new york"): "New York", ("2", 2, 0, "ice"): "ICE"}
+    lists = {r.note.split("#")[1]: r.ents for r in read("lists").collect()}
+    # ice is two titles but for case; the page's vector is nearer to Ice
+    assert lists == {"1:2:0": ["New York"], "1:2:1": ["Big Apple (city)"], "1:3:0": ["New York", "Ice"], "1:3:1": ["Ice", "New York"], "2:2:0": ["ICE"]}
+    pairs = {(r.a, r.b): round(r.sim, 4) for r in read("pairs").collect()}
+    assert set(pairs) == {("New York", "Ice"), ("Ice", "New York")} and pairs["New York", "Ice"] == pytest.approx(1.1 / (2 * 1.01) ** 0.5, abs=1e-4)
+    note = next(r.note for r in read("pairs").collect() if r.a == "Ice")
+    tree = [(note, [("Ice", "ice", "NOUN"), ("left", "leave", "VERB"), ("New", "New", "PROPN"), ("York", "York", "PROPN"), (".", ".", "PUNCT")], [1, 1, 3, 1, 1], ["nsubj", "ROOT", "compound", "dobj", "punct"])]
+    spark.createDataFrame(tree, "note string, tokens array<struct<text:string,lemma:string,pos:string>>, head array<int>, dep array<string>").write.parquet(str(tmp_path / "t"))
+    cli.main(["features", str(tmp_path / "o" / "pairs"), str(tmp_path / "t"), str(tmp_path / "f"), "--sim", "0.5"], spark)
+    row = spark.read.parquet(str(tmp_path / "f" / "features")).first()
+    assert (row.kw1, row.kw2, row.dep_path, row.kw2_span) == ("Ice", "New York", "i_nsubj dobj", (2, 3)) and row.score == 1
+    (tmp_path / "c.json").write_text('{"threshold": 0.0, "feature": "explicit"}')
+    cli.main(["generate_graph", str(tmp_path / "f" / "features"), str(tmp_path / "g")], spark)
+    cli.main(["generate_sent_graph", str(tmp_path / "g"), str(tmp_path / "s"), "--config", str(tmp_path / "c.json"), "--sim", "0.1"], spark)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+
+
 def test_review_sheet(spark):
     edges = table(spark, {("a", "b"): (0.5, [(0.9, "s1")])})
     targets = spark.createDataFrame([(0, "b", "a", "t0"), (1, "a", "c", "t1")], "place int, a string, b string, target string")

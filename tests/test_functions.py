@@ -1,12 +1,13 @@
 """Hand-computed cases of text functions, scores and matchers."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from relgraph.functions import scores, text
-from relgraph.operators import cooccur, graph, mentions, metrics, parse, samples
+from relgraph.operators import cooccur, generation, graph, mentions, metrics, parse, samples
 from relgraph.sources import io
 
 
@@ -20,7 +21,33 @@ def one(spark, column):
 )
 def test_strip_brackets(spark, given, want):
     assert one(spark, text.strip_brackets(F.lit(given))) == want
-    assert one(spark, text.strip_brackets(F.lit("((((((deep)))))) q"), depth=6)) == "q"
+
+
+def nested(s):
+    for left, right in ("{}", "()", "[]"):
+        stack = [""]
+        for c in s:
+            if c == left:
+                stack.append("")
+            elif c == right and len(stack) > 1:
+                stack.pop()
+            else:
+                stack[-1] += c
+        s = left.join(stack)
+    return " ".join(s.split())
+
+
+def test_strip_brackets_of_any_depth(spark):
+    rng = random.Random(4)
+    given = ["(" * 40 + "deep" + ")" * 40 + " q", None, *["".join(rng.choices("(){}[]ab ", k=rng.randrange(0, 60))) for _ in range(300)]]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", text.strip_brackets("t").alias("x")).collect()
+    assert {r.i: r.x for r in rows} == {i: t if t is None else nested(t) for i, t in enumerate(given)}
+
+
+def test_treebank_and_full_match(spark):
+    assert one(spark, text.treebank(F.lit('He said, "I can\'t go (now)... it\'s 5%." They cannot.'))) == ["He", "said", ",", "``", "I", "ca", "n't", "go", "(", "now", ")", "...", "it", "'s", "5", "%", ".", "''", "They", "can", "not", "."]
+    for given, pattern, want in (("ab", "a|ab", False), ("ab", "ab|a", True), ("", "a*", True), ("b", "a", False)):
+        assert one(spark, text.full_match(F.lit(given), pattern)) is want
 
 
 @pytest.mark.parametrize("given,want", [("Paris, Texas", "paris"), ("Mercury (planet)", "mercury"), ("(1) (2)", "( 1 ) ( 2 )")])
@@ -100,6 +127,10 @@ def test_paths_and_ranks(spark):
     ranked = samples.rank_paths(found, 4).orderBy("rank").collect()
     assert ["".join(r.nodes) for r in ranked] == ["acb", "adb", "acdb", "adcb"]
     assert [round(r.score, 6) for r in ranked] == [0.615385, 0.6, 0.744828, 0.627907]
+    for enough in (1, 2, 3):  # pairs that have enough are not followed further, with equal results
+        every = samples.rank_paths(graph.paths_up_to(graph.both_ways(w), w, 3, least=2), enough)
+        short = samples.rank_paths(graph.paths_by_hops(graph.both_ways(w), w, 3, enough), enough)
+        assert sorted(map(repr, short.collect())) == sorted(map(repr, every.collect())) and short.count() >= 6
     assert samples.rank_paths(found, 5).count() == 0 and graph.triangles(w.select("a", "b")).count() == 4
 
 
@@ -118,6 +149,77 @@ def test_dependency_features():
     assert two["pattern"] == "i_nsubj dobj" and two["dep_coverage"] == pytest.approx(0.646797, abs=1e-6) and two["score"] == pytest.approx(0.785521, abs=1e-6)
 
 
+def trees(seed, n=120):
+    """Random projective-free trees with random labels and spans."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        size = rng.randrange(4, 14)
+        order = rng.sample(range(size), size)
+        head = [0] * size
+        for j, i in enumerate(order):
+            head[i] = order[rng.randrange(j)] if j else i
+        dep = [rng.choice("nsubj dobj prep pobj amod conj appos compound punct det".split()) for _ in range(size)]
+        a, b = rng.randrange(size), rng.randrange(size)
+        out.append((k % 100, head, dep, a, a, b, min(size - 1, b + rng.randrange(2)), rng.random()))
+    return out
+
+
+def test_features_and_patterns_equal_single_sentences(spark):
+    rows = trees(5, 1500) + trees(5, 1)
+    frame = spark.createDataFrame(rows, "id int, head array<int>, dep array<string>, s1 int, e1 int, s2 int, e2 int, sim double")
+    seen = Counter()
+    for _, head, dep, a, b, c, d, sim in rows:
+        whole = len(head) >= 5 and parse.features_of(head, dep, (a, b), (c, d), {}, {})
+        if whole and sim >= 0.4:
+            seen["core", whole["pattern"]] += 1
+            _, branch = parse.path_between(head, dep, (a, b), (c, d))
+            seen.update({("sub", s, root): 1 for root, p, _ in parse.sub_paths(head, dep, branch) if "punct" not in p and (s := parse.sub_pattern(p))})
+    want = Counter()
+    for key, n in seen.items():
+        want[key[:2]] += n
+    got = {(r.kind, r.pattern): r["count"] for r in parse.patterns(frame, sim_threshold=0.4).groupBy("kind", "pattern").count().collect()}
+    assert got == want and len(got) > 20
+    core, sub = ({p: n for (k, p), n in got.items() if k == kind} for kind in ("core", "sub"))
+    table = lambda c: spark.createDataFrame(list(c.items()), "pattern string, cnt long")
+    found = sorted(((r.id, r.s1, r.e2, r.dep_path, round(r.dep_coverage, 9), round(r.pattern_freq, 9), round(r.score or 0, 9)) for r in parse.features(frame, table(core), table(sub)).collect()))
+    plain = []
+    for i, head, dep, a, b, c, d, _ in rows:
+        f = parse.features_of(head, dep, (a, b), (c, d), core, sub) if 5 <= len(head) <= 50 else None
+        if f:
+            plain.append((i, a, d, f["dep_path"], round(f["dep_coverage"], 9), round(f["pattern_freq"], 9), round(f["score"] or 0, 9)))
+    assert found == sorted(plain) and len(plain) > 50
+    none = spark.createDataFrame([], "pattern string, cnt long")
+    assert parse.features(frame, none, none).where("score is not null").count() == 0
+
+
+def test_token_weights(spark):
+    frame = spark.createDataFrame([(1, "New York kept the keys of town .".split(), *TREE, 0, 1, 6, 6)], "id int, tokens array<string>, head array<int>, dep array<string>, s1 int, e1 int, s2 int, e2 int")
+    got = parse.token_weights(frame, spark.createDataFrame(list(SUB.items()), "pattern string, cnt long")).orderBy("place").collect()
+    _, branch = parse.path_between(*TREE, (0, 1), (6, 6))
+    assert [r.weight for r in got] == pytest.approx(parse.weigh(*TREE, branch, SUB)) and [r.token for r in got][:2] == ["New", "York"]
+
+
+def test_noun_phrases(spark):
+    chunks = [(0, 1, "NOUN"), (2, 3, "NOUN"), (4, 4, "NOUN"), (6, 7, "PRON"), (8, 9, "NOUN"), (11, 12, "PROPN")]
+    frame = spark.createDataFrame([(chunks,), ([],)], "c array<struct<start:int,end:int,tag:string>>")
+    assert [[tuple(x) for x in r.m] for r in frame.select(parse.merge_chunks("c").alias("m")).collect()] == [parse.noun_phrases(chunks), []]
+
+
+def test_spans_and_hits(spark):
+    c = lambda *x: F.array(*map(F.lit, x))
+    assert [tuple(s) for s in one(spark, mentions.spans(c(*"a a a b".split()), c("a", "a")))] == [(0, 1), (1, 2)]
+    assert one(spark, mentions.spans(c("a"), c("a", "b"))) == [] and one(spark, mentions.phrase_words(F.lit("Well-known  Man"))) == ["well", "-", "known", "man"]
+    assert one(spark, metrics.hit_vector(F.array(F.lit("in New York."), F.lit(None), F.lit("york new")), c("new york", "x"))) == [True, False, False]
+    rows = spark.createDataFrame([(["a", "b"], ["NNS", "VB"])], "w array<string>, t array<string>")
+    assert rows.select(mentions.lemmatise("w", "t", F.create_map(F.lit("a"), F.lit("A"), F.lit("b"), F.lit("B"))).alias("x")).first().x == ["A", "b"]
+
+
+def test_generation_hook(spark):
+    rows = spark.createDataFrame([(f"q{k}", ["c1", "c2"], "t") for k in range(20)], "question string, contexts array<string>, target string")
+    load = lambda: lambda qs, cs: [f"{q}:{len(c)}:{len(qs) <= 8}" for q, c in zip(qs, cs, strict=True)]
+    assert {r.output for r in generation.generate(rows, load).collect()} == {f"q{k}:2:True" for k in range(20)}
+
+
 def test_prompt_and_split(spark):
     c = lambda *x: F.array(*map(F.lit, x))
     assert one(spark, samples.prompt(F.lit("A"), F.lit("B"), c("A", "C", "B"), c("s1", "s2"))) == "entity1: a entity2: b path: A; C; B sentence1: s1 sentence2: s2"
@@ -135,5 +237,18 @@ def test_sources(spark, tmp_path):
     assert got == [("T", "line one"), ("T", "line two"), ("é", "other")]
     (tmp_path / "p.tsv").write_text("id\ttext\ttitle\n1\tx\ty\n2\tz\n")
     assert [tuple(r) for r in io.read_passages(spark, str(tmp_path / "p.tsv")).collect()] == [("1", "x", "y")]
+    (tmp_path / "v").write_text("2 3\nNew_York 1 0 2\nx 0 1 0\n")
+    assert {r.ent: r.vec for r in io.read_vectors(spark, str(tmp_path / "v")).collect()} == {"New York": [1, 0, 2], "x": [0, 1, 0]}
+    (tmp_path / "n").mkdir()
+    for name, said, _ in (files := [("1", "a\nb\n", 3), ("2", "a\nb", 2), ("4", "\n", 2), ("5", "é\r\nb", 2)]):
+        (tmp_path / "n" / name).write_bytes(said.encode())
+    assert {r.file.rsplit("/", 1)[1]: r.lines for r in io.count_lines(spark, str(tmp_path / "n")).collect()} == {k: n for k, _, n in files}
+    (tmp_path / "m").mkdir()
+    for name in "ba":
+        (tmp_path / "m" / f"{name}.txt").write_text(f"{name}1\n{name}2\n")
+    io.merge_lines(spark, str(tmp_path / "m"), str(tmp_path / "merged"))
+    assert next((tmp_path / "merged").glob("part*")).read_text() == "a1\na2\nb1\nb2\n" and not (tmp_path / "m").exists()
+    with pytest.raises(ValueError):
+        io.split_outputs(spark.createDataFrame([("q", "o", None)], "question string, output string, target string"))
     (tmp_path / "c").write_text("a\tb\n\nc\n")
     assert [r.ents for r in io.read_cooccurrence(spark, str(tmp_path / "c")).collect()] == [["a", "b"], [], ["c"]]
