@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,10 @@ class Conflict(Exception):
     """Another writer committed the version first."""
 
 
+class Lost(Exception):
+    """Another compaction merged some of the same shards."""
+
+
 class ShardedTable:
     def __init__(self, spark: SparkSession, path: str, *, target: int = TARGET, fanin: int = FANIN):
         self.spark, self.path, self.target, self.fanin = spark, path.rstrip("/"), target, fanin
@@ -135,11 +140,12 @@ class ShardedTable:
             if not runs:
                 return now
             schema = T.StructType.fromJson(json.loads(now["schema"]))
-            merged, gone = [], set()
+            merged, gone, folders = [], set(), []
             for run in runs:
                 folder = f"data/{uuid.uuid4().hex}"
                 files = max(1, round(sum(s["bytes"] for s in run) / self.target))
                 df = self.spark.read.schema(schema).parquet(*[f"{self.path}/{s['file']}" for s in run])
+                folders.append(folder)
                 df.coalesce(files).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
                 got = self._written(folder)
                 if sum(s["rows"] for s in got) != sum(s["rows"] for s in run):
@@ -149,22 +155,34 @@ class ShardedTable:
 
             def change(old, merged=merged, gone=gone):
                 if not gone <= {s["file"] for s in old}:
-                    raise RuntimeError("another compaction took these shards")
+                    raise Lost("another compaction took these shards")
                 return [*(s for s in old if s["file"] not in gone), *merged]
 
-            self._update(change, None, "compact")
+            try:
+                self._update(change, None, "compact")
+            except Lost:  # no version lists what was merged; what is left is planned anew
+                for folder in folders:
+                    self._fs.delete(self._path(folder), True)
+                continue
             if len(merged) >= len(gone):
                 return self.manifest()
 
-    def expire(self, keep: int = 1) -> int:
-        """Drop all but the last versions, and shards that none of those lists. Files deleted."""
+    def expire(self, keep: int = 1, age: float = 0.0) -> int:
+        """Drop all but the last versions, and shards that none of those lists. Files deleted.
+
+        A version whose successor is younger than ``age`` seconds stays too: a reader may have opened it just before.
+        """
         known = self.versions()
+        if age > 0:
+            when = {v: self._fs.getFileStatus(self._path(f"manifest/v{v:010d}.json")).getModificationTime() / 1000 for v in known}
+            keep = max(keep, sum(time.time() - when[v] < age for v in known) + 1)
         kept = known[-keep:]
         live = {s["file"] for v in kept for s in self.manifest(v)["shards"]}
-        dead = {s["file"] for v in known[:-keep] for s in self.manifest(v)["shards"]} - live
+        gone = [v for v in known if v not in kept]
+        dead = {s["file"] for v in gone for s in self.manifest(v)["shards"]} - live
         for f in dead:
             self._fs.delete(self._path(f), False)
-        for v in known[:-keep]:
+        for v in gone:
             self._fs.delete(self._path(f"manifest/v{v:010d}.json"), False)
         return len(dead)
 
@@ -182,10 +200,11 @@ def ingest(df: DataFrame, path: str, arrivals, *, target: int = TARGET, fanin: i
     """A table of df that came in several arrivals: arrivals is a column with their numbers.
 
     df is read once; every arrival is a version; the table is compacted after
-    each fanin arrivals and at the end, and versions before the last are expired.
+    each fanin arrivals and at the end, and versions before the last are expired:
+    nobody reads the table before it is returned.
     """
     table = ShardedTable(df.sparkSession, path, target=target, fanin=fanin)
-    name = "__arrival"
+    name = f"arrival_{uuid.uuid4().hex}"
     staged = table.stage(df.withColumn(name, arrivals), name)
     table._update(lambda old: old, df.schema.json(), "create")
     for k, shards in enumerate(staged, 1):
