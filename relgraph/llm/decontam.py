@@ -203,7 +203,7 @@ def annotate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_
     schema = T.StructType([*kept.schema.fields, T.StructField("decontam", kind)])
     out, first = kept, True
     blocks = _blocks(items, item_id, item_text, block_words)
-    for block in [*_peek(blocks)]:
+    for block in _peek(blocks):
         held = spark.sparkContext.broadcast(Automaton(block, window))
 
         def run(batches, held=held, fresh=first):
