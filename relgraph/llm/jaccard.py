@@ -3,8 +3,9 @@
 A set goes down a tree of shared samples: at every node, each of its tokens is
 chosen with probability BOOST / (similarity * size) by a hash of the node and the
 token, and the set goes on to the children of its chosen tokens. Similar sets choose
-a common token with at least 1 - exp(-1) at a node, so some independent trees
-bring a pair together with the target recall. Small buckets are compared by
+one common token in the mean at the first node and DEEP below, so the chance that a
+pair meets in a tree, however deep, is known, and some independent trees
+bring it together with the target recall. Small buckets are compared by
 brute force; a large bucket is split further by sampled tokens, unless that
 does not cut its pairs by half, as with a group of near copies, which is compared in
 blocks. One-bit minwise sketches of 64 bits, as in Christiani, Pagh and Sivertsen
@@ -39,22 +40,28 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Members of a bucket that is not split; members of a block of one that splitting does not help.
 SMALL, BLOCK = 1024, 1024
 #: Tokens chosen below the first level, in the mean of the least similar pair, and levels at most.
-DEEP, LEVELS = 2.0, 8
+DEEP, LEVELS = 3.0, 8
 #: Equal bits of 64 that similar sets have at least: 6 standard deviations below the mean
-#: of the least similar pair, so a sketch loses one pair in a thousand million.
+#: of the least similar pair, so a sketch loses one pair in eight million (binomial tail, 1.2e-7).
 SIGMAS = 6.0
+#: Bytes of sets that are compared at a time; blocks of more are dealt into smaller ones.
+BLOCK_BYTES = 256 << 20
 #: Rows of ids (24 bytes) that may go to every task instead of shuffling texts.
 BROADCAST_ROWS = 400_000
 U = np.uint64
 
 
 def runs(recall: float) -> int:
-    """Trees until the least similar pair has met with that probability.
+    """Trees until the least similar pair has met with that probability, whatever is split on the way.
 
-    Its common tokens are at least ``similarity`` of the larger set, so one of them is
-    chosen in the mean, and none with probability exp(-1).
+    Its common tokens are at least ``similarity`` of the larger set, so at a node the number of them that are
+    chosen is at least a Poisson number, of mean 1 first and DEEP below. A node leads to a common bucket without
+    limit of depth with probability s = 1 - exp(-DEEP s); a tree does not with exp(-s).
     """
-    return math.ceil(-math.log(1 - recall))
+    s = 1.0
+    for _ in range(100):
+        s = 1 - math.exp(-DEEP * s)
+    return math.ceil(-math.log(1 - recall) / s)
 
 
 def sets(data: np.ndarray, off: np.ndarray, words: int = WORDS):
@@ -101,9 +108,9 @@ def _sketch(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def _children(h: np.ndarray, bucket: int, similarity: float) -> np.ndarray:
-    seed = tb.mix(np.array([bucket], np.int64).view(U) + U(77))
-    on = tb.mix(h ^ seed) <= _level(np.array([len(h)]), DEEP / similarity)
+def _children(h: np.ndarray, bucket: int, rate: float, salt: int) -> np.ndarray:
+    seed = tb.mix(np.array([bucket], np.int64).view(U) + U(salt))
+    on = tb.mix(h ^ seed) <= _level(np.array([len(h)]), rate)
     return tb.mix(h[on] + seed * U(3)).view(np.int64)
 
 
@@ -152,38 +159,58 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
     return texts.join(side, on).select("class", "text").mapInArrow(run, "class long, set binary")
 
 
-def _split(big: DataFrame, sets_: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Buckets that stay (to be compared in blocks), and the next level of the others."""
+def _offspring(big: DataFrame, sets_: DataFrame, similarity: float, salt: int) -> DataFrame:
+    """(bucket, class, child): the chosen tokens of rows (bucket, class, times), times DEEP in the mean of a similar pair."""
 
     def run(batches):
         for batch in batches:
             parent, who, child = [], [], []
-            for b, c, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                got = _children(np.frombuffer(raw, U), b, similarity)
+            for b, c, times, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                got = _children(np.frombuffer(raw, U), b, DEEP * times / similarity, salt)
                 parent += [b] * len(got)
                 who += [c] * len(got)
                 child += got.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (parent, who, child)], names=["bucket", "class", "child"])
 
-    rows = big.join(sets_, "class").select("bucket", "class", "set").mapInArrow(run, "bucket long, class long, child long").distinct()
-    rows = materialise(rows, "jaccard-children")
-    counts = rows.groupBy("bucket", "child").agg(F.count("*").alias("c"))
+    rows = big.join(sets_, "class").select("bucket", "class", "times", "set").mapInArrow(run, "bucket long, class long, child long")
+    return materialise(rows, "jaccard-children")
+
+
+def _split(big: DataFrame, sets_: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Buckets that stay (to be compared in blocks), and the next level of the others.
+
+    A bucket that stands for several with the same members (times) is split for each of them, once it is
+    known that splitting helps, so no pair loses the chances of independent trees.
+    """
     pairs = lambda n: F.col(n).cast("double") * (F.col(n) - 1)
+    large = lambda rows: materialise(rows.groupBy("bucket", "child").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts")
+    rows = _offspring(big.withColumn("times", F.lit(1)), sets_, similarity, 77)
+    counts = large(rows)
     work = counts.groupBy("bucket").agg(F.sum(pairs("c")).alias("after"))
     parents = big.select("bucket", "m").distinct().join(work, "bucket", "left")
     good = F.coalesce("after", F.lit(0.0)) <= 0.5 * pairs("m")
     parents = materialise(parents.select("bucket", good.alias("good")), "jaccard-parents")
     stay = big.join(parents.where("not good"), "bucket").select("bucket", "m", "class")
-    some = counts.where("c > 1").join(parents.where("good"), "bucket").select("bucket", "child", F.col("c").alias("m"))
-    down = rows.join(some, ["bucket", "child"]).select(F.col("child").alias("bucket"), "m", "class")
+
+    def kept(rows, counts):
+        some = materialise(counts.join(parents.where("good"), "bucket").select("bucket", "child", F.col("c").alias("m")), "jaccard-kept")
+        if some.count() <= BROADCAST_ROWS:  # 24 bytes a row; beyond that a hot child is a skewed key of a plain shuffle
+            some = F.broadcast(some)
+        return rows.join(some, ["bucket", "child"]).select(F.col("child").alias("bucket"), "class")
+
+    down = kept(rows, counts)
+    again = big.where("times > 1").join(parents.where("good"), "bucket").withColumn("times", F.col("times") - 1)
+    if not again.isEmpty():
+        more = _offspring(again, sets_, similarity, 78)
+        down = down.unionByName(kept(more, large(more)))
     return stay, down
 
 
 def _distinct_buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, m, class) of rows (bucket, class): buckets of two and more; those with equal members are one."""
+    """(bucket, m, times, class) of rows (bucket, class): buckets of two and more; ``times`` of them with equal members are one."""
     marks = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("class") % F.lit(1 << 40)).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), "class")).alias("xor"))
-    kept = marks.where("m > 1").groupBy("m", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
-    return rows.join(kept, "bucket").select("bucket", "m", "class")
+    kept = marks.where("m > 1").groupBy("m", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")).select("bucket", "m", "times")
+    return rows.join(kept, "bucket").select("bucket", "m", "times", "class")
 
 
 def _dealt(buckets: DataFrame) -> DataFrame:
@@ -195,9 +222,25 @@ def _dealt(buckets: DataFrame) -> DataFrame:
     return rows.select("bucket", F.least("block", "k").alias("x"), F.greatest("block", "k").alias("y"), "block", "class")
 
 
-def _by_task(rows: DataFrame, work, names: list[str]) -> DataFrame:
-    """work(key, members) over rows that share bucket, x and y; a task holds one such group at a time."""
-    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "block", "class")
+_GROUP = ["bucket", "x", "y", "u", "v"]
+
+
+def _by_bytes(needed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """needed (bucket, x, y, block, class) with sub, u, v: groups whose sets are too many bytes are dealt into pairs (u, v) of smaller ones."""
+    key = ["bucket", "x", "y"]
+    heavy = needed.join(sizes, "class").groupBy(*key).agg(F.sum(F.col("n") * 8).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
+    heavy = materialise(heavy.select(*key, F.ceil(2 * F.col("bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("p")), "jaccard-heavy")
+    if heavy.isEmpty():
+        return needed.withColumns({k: F.lit(0) for k in ("sub", "u", "v")})
+    rows = needed.join(heavy, key, "left").withColumn("p", F.coalesce("p", F.lit(1)))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64(F.lit("sub"), "class"), F.col("p")).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    return rows.withColumns({"u": F.least("sub", "k"), "v": F.greatest("sub", "k")}).drop("p", "k")
+
+
+def _by_task(rows: DataFrame, work, group: list[str], names: list[str]) -> DataFrame:
+    """work(key, members) over rows that share the columns of group; a task holds one such group at a time."""
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "block", "class")
 
     def run(batches):
         key, held, done = None, [], []
@@ -209,7 +252,7 @@ def _by_task(rows: DataFrame, work, names: list[str]) -> DataFrame:
 
         for batch in batches:
             for r in batch.to_pylist():
-                k = (r["bucket"], r["x"], r["y"])
+                k = tuple(r[g] for g in group)
                 if k != key:
                     if len(held) > 1:
                         done.extend(work(key, held))
@@ -244,12 +287,15 @@ def _before(held: list, bucket: int) -> np.ndarray:
 
 def _open(key: tuple, held: list, bits: int) -> np.ndarray:
     """Which pairs of members this task has to verify, as an upper triangle."""
-    bucket, x, y = key
+    bucket, x, y, u, v = (*key, 0, 0)[:5]
     mark = np.array([r["sketch"] for r in held], np.int64).view(U)
     todo = np.bitwise_count(mark[:, None] ^ mark[None, :]) <= 64 - bits
     if x != y:
         block = np.array([r["block"] for r in held])
         todo &= block[:, None] != block[None, :]
+    if u != v:
+        sub = np.array([r["sub"] for r in held])
+        todo &= sub[:, None] != sub[None, :]
     todo = np.triu(todo, 1)
     return todo & ~_before(held, bucket) if todo.any() else todo
 
@@ -329,29 +375,29 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     every = materialise(documents(docs, similarity=similarity, n_runs=runs(recall), **given), "jaccard-docs")
     number = F.xxhash64("s1", "s2")
     # equal sets are one class, summed before the shuffle; they have equal buckets
-    whole = every.where("n > 0").groupBy(number.alias("class")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count("*").alias("size"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
-    whole = materialise(whole.select("class", F.col("rep.id").alias("doc"), F.col("rep.th").alias("th"), "size", "sketch", "buckets"), "jaccard-classes")
+    whole = every.where("n > 0").groupBy(number.alias("class")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    whole = materialise(whole.select("class", F.col("rep.id").alias("doc"), F.col("rep.th").alias("th"), "size", "n", "sketch", "buckets"), "jaccard-classes")
     place = whole.select("class", "doc", "th")
     now = _distinct_buckets(whole.select("class", F.explode(F.array_distinct("buckets")).alias("bucket")))
     final = materialise(now, "jaccard-buckets")
     big = final.where(F.col("m") > SMALL)
     if not big.isEmpty():
-        done = final.where(F.col("m") <= SMALL)
+        done = final.where(F.col("m") <= SMALL).drop("times")
         own = materialise(_sets_of(docs, big.select("class").distinct().join(place, "class"), **given), "jaccard-sets")
         for _ in range(LEVELS):
             if big.isEmpty():
                 break
             stay, down = _split(big, own, similarity)
             down = materialise(_distinct_buckets(down.select("bucket", "class").distinct()), "jaccard-buckets")
-            done = done.unionByName(stay).unionByName(down.where(F.col("m") <= SMALL))
+            done = done.unionByName(stay).unionByName(down.where(F.col("m") <= SMALL).drop("times"))
             big = down.where(F.col("m") > SMALL)
-        final = materialise(done.unionByName(big), "jaccard-buckets")
+        final = materialise(done.unionByName(big.drop("times")), "jaccard-buckets")
     lists = materialise(final.groupBy("class").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).join(whole.select("class", "size", "sketch"), "class"), "jaccard-lists")
-    needed = _by_task(_dealt(final).join(lists.select("class", "buckets", "sketch"), "class"), _needed(least_bits(similarity)), ["bucket", "x", "y", "block", "class"])
-    needed = materialise(needed, "jaccard-needed")
+    needed = _by_task(_dealt(final).join(lists.select("class", "buckets", "sketch"), "class"), _needed(least_bits(similarity)), _GROUP[:3], ["bucket", "x", "y", "block", "class"])
+    needed = _by_bytes(materialise(needed, "jaccard-needed"), whole.select("class", "n"))
     # the texts are read again for the classes that may have a similar one
     own = _sets_of(docs, needed.select("class").distinct().join(place, "class"), **given)
-    links = _by_task(own.join(needed, "class").join(lists, "class"), _linked(similarity), ["class", "links", "root"])
+    links = _by_task(own.join(needed, "class").join(lists, "class"), _linked(similarity), _GROUP, ["class", "links", "root"])
     links = materialise(links, "jaccard-links")
     # classes are joined by number, then named by their least document
     roots = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
