@@ -17,6 +17,8 @@ every 35 of text.
    prefixes, and the previous and next smaller positions in suffix order give the
    longest previous factor of each position: length or more marks a repeat.
 3. Anchors with more than HOT different stretches are split by single windows.
+   Slots of anchors with far more stretches than others are found first; theirs meet
+   by stretch, not by anchor, so no task gets all of one anchor.
 
 Hashes decide equality of stretches (128 bits) and, for hot anchors, windows.
 
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relgraph.llm import textbytes as tb
-from relgraph.llm.runtime import materialise
+from relgraph.llm.runtime import discard, materialise
 
 LENGTH, GRAM = 100, 32
 #: Window starts worked on at a time, bytes of one suffix array, different stretches of one anchor.
@@ -286,12 +288,17 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, doc long, lo int, bytes binary, hot boolean")
 
 
+#: Anchors are counted in so many slots; those of slots far over the mean may be hot.
+SLOTS = 65_536
+
+
 def _windows(parts: DataFrame, length: int) -> DataFrame:
     """Repeats among the single windows of stretches, for hot anchors."""
     one = parts.select("doc", "lo", F.expr(f"explode(sequence(0, length(bytes) - {length}))").alias("k"), "bytes")
     one = one.select("doc", (F.col("lo") + F.col("k")).alias("lo"), F.expr(f"substring(bytes, k + 1, {length})").alias("w"))
     one = one.select("doc", "lo", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"))
     first = one.groupBy("h", "g").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
+    first = materialise(first, "suffix-windows")  # then a common window is a skewed key of a plain shuffle, which is split
     return one.join(first, ["h", "g"]).where(F.struct("doc", "lo") > F.col("first")).select("doc", "lo", (F.col("lo") + length).alias("hi"))
 
 
@@ -311,26 +318,47 @@ def _gathered(spans: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "doc long, cut array<long>")
 
 
+def _known(rows: DataFrame) -> DataFrame:
+    """rows (a, n, doc, lo, hi) with ``known``: whether an equal stretch stands before."""
+    return rows.withColumn("known", F.row_number().over(Window.partitionBy("a", "n").orderBy("doc", "lo")) > 1)
+
+
+def _marked(scan: DataFrame) -> DataFrame:
+    """(a, doc, lo, hi, known, hot) of stretches that repeat, or whose anchor has others too."""
+    every = scan.where("not dup").drop("dup")
+    slot = F.pmod("a", F.lit(SLOTS)).alias("slot")
+    sizes = every.groupBy(slot).agg(F.count("*").alias("n"))
+    mean = every.count() / SLOTS
+    slots = [r.slot for r in sizes.where(F.col("n") > 2 * mean + HOT).select("slot").collect()]  # SLOTS numbers at most
+    by_anchor = Window.partitionBy("a")
+    kinds = F.sum((~F.col("known")).cast("int")).over(by_anchor)
+    cold = _known((every.where(~slot.isin(slots)) if slots else every).repartition("a"))
+    cold = cold.withColumns({"least": F.min("n").over(by_anchor), "most": F.max("n").over(by_anchor), "kinds": kinds})
+    out = cold.where(F.col("known") | (F.col("least") != F.col("most"))).select("a", "doc", "lo", "hi", "known", (F.col("kinds") > HOT).alias("hot"))
+    if slots:
+        many = materialise(_known(every.where(slot.isin(slots)).repartition("a", "n")).drop("n"), "suffix-hot")
+        kinds = materialise(many.where(~F.col("known")).groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
+        side = F.broadcast(kinds) if kinds.count() <= BROADCAST_ROWS else kinds
+        new = many.where(~F.col("known")).join(side, "a").select("a", "doc", "lo", "hi", "known", (F.col("kinds") > HOT).alias("hot"))
+        out = out.unionByName(many.where("known").withColumn("hot", F.lit(False))).unionByName(new)
+    return materialise(out, "suffix-stretches")
+
+
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """(doc, cut) for documents (doc, text) that hold repeats."""
-    by_name = Window.partitionBy("a", "n").orderBy("doc", "lo")
-    by_anchor = Window.partitionBy("a")
-    rows = _scan(docs, length).repartition("a")
-    rows = rows.withColumn("place", F.row_number().over(by_name))
-    real = F.when(~F.col("dup"), F.col("n"))
-    rows = rows.withColumns({"least": F.min(real).over(by_anchor), "most": F.max(real).over(by_anchor), "kinds": F.sum((F.col("place") == 1).cast("int")).over(by_anchor)})
-    known = F.col("dup") | (F.col("place") > 1)
-    rows = rows.where(known | (F.col("least") != F.col("most")))
-    rows = materialise(rows.select("a", "doc", "lo", "hi", known.alias("known"), (F.col("kinds") > HOT).alias("hot")), "suffix-stretches")
+    scan = materialise(_scan(docs, length), "suffix-scan")
+    rows = _marked(scan)
     wanted = rows.where(~F.col("known")).select("a", "doc", "lo", "hi", "hot")
     parts = _cut_out(docs, wanted)
-    found = rows.where("known").select("doc", "lo", "hi")
+    found = rows.where("known").select("doc", "lo", "hi").unionByName(scan.where("dup").select("doc", "lo", "hi"))
     if wanted.where("hot").isEmpty():
         more = _factors(parts, length)
     else:
         parts = materialise(parts, "suffix-bytes")
         more = _factors(parts.where(~F.col("hot")), length).union(_windows(parts.where("hot"), length))
-    return materialise(_gathered(found.union(more)), "suffix-spans")
+    out = materialise(_gathered(found.union(more)), "suffix-spans")
+    discard(scan, rows)
+    return out
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
