@@ -6,7 +6,7 @@ solves the small system. A second, equally small sum over score bins gives the
 isotonic curve that turns scores into probabilities.
 
 Defined cases: a null text counts as empty and gets a score; a document or label
-with a null id, and a label with a null mark, teach nothing; several labels of one
+with a null id, and a label with a null mark or one that is no number, teach nothing; several labels of one
 id teach as their mean; with no labelled text at all every score is 0.5;
 other columns are never read.
 """
@@ -109,13 +109,13 @@ def fourier(x: np.ndarray, model: dict) -> np.ndarray:
 
 def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int, train) -> DataFrame:
     """(y, x): mean label and statistics of the labelled texts that may teach."""
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).where("_id is not null and y is not null")
+    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).where("_id is not null and y is not null and not isnan(y)")
     if train is not None:
         marks = marks.where(train(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.avg("y").alias("y"))
     n = marks.count()
     share = min(1.0, max_rows / max(n, 1))
-    marks = marks.where(F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    marks = marks.where(F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1 << 48)) < F.lit(int(share * (1 << 48))))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # max_rows bounds this side: 16 bytes a row
     found = texts.join(F.broadcast(marks), "_id").select("y", "text")
