@@ -7,8 +7,10 @@ Escaping puts a backslash before each backslash, ``###`` and ``</turn>``; roles
 also escape a colon and a line end. ``parse`` reverses it.
 
 A conversation of more than PART_TURNS turns is rendered and encoded in parts
-that end with a turn: the tokenizer splits there anyway, so the tokens are those
-of the whole, and no task has to hold a conversation of unbounded length.
+that end with a turn, dealt by ranges of turns, so no task has to hold or sort a
+conversation of unbounded length. Tokens are those of the whole, since the tokenizer
+splits its input between the end of a turn and the start of the next; each such
+place is asked for it, and a tokenizer that does not is refused. ``whole`` joins parts.
 
 Defined cases: null text and null role are empty; turns are ordered by turn, then
 role, then text, nulls first, and repeated rows are repeated turns; rows without
@@ -23,11 +25,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relgraph.llm.runtime import materialise
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PART_TURNS = 256
+#: Ids of long conversations that may go to every task.
+BROADCAST_ROWS = 400_000
 OPEN, MIDDLE, CLOSE = "### ", ":\n", "</turn>\n"
 
 _CONTROL = re.compile(r"\\|###|</turn>")
@@ -86,28 +93,49 @@ def load(tokenizer: bytes):
     return own
 
 
-SCHEMA = "part int, n_turns int, formatted string, token_ids array<int>, loss_mask array<boolean>, loss_spans array<long>"
-FIELDS = [("part", pa.int32()), ("n_turns", pa.int32()), ("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("loss_spans", pa.list_(pa.int64()))]
+def splits(tokenizer, role: str) -> bool:
+    """Whether the input is always cut between a turn's end and a next turn of that role: the line end there is a piece of its own.
+
+    Pieces are made before merging and see no further than a run of white space, and that of the line end begins and ends with it.
+    """
+    head = OPEN + _ROLE.sub(lambda m: "\\" + m[0], role) + MIDDLE
+    at = len("x") + len(CLOSE)
+    made = tokenizer.pre_tokenizer.pre_tokenize_str("x" + CLOSE + head) if tokenizer.pre_tokenizer else []
+    return any(a == at - 1 and b == at for _, (a, b) in made)
+
+
+SCHEMA = "part long, n_turns int, formatted string, token_ids array<int>, loss_mask array<boolean>, loss_spans array<long>"
+FIELDS = [("part", pa.int64()), ("n_turns", pa.int32()), ("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("loss_spans", pa.list_(pa.int64()))]
 
 
 def format_chats(chats: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant", tokenizer: str = TOKENIZER) -> DataFrame:
     """One row for each conversation and part: SCHEMA after the id.
 
     loss_spans: flat starts and ends in ``formatted`` of the text under the mask.
-    Rows meet by conversation and part, so a long conversation is many groups.
+    A conversation of at most PART_TURNS turns is one row, with part 0.
     """
     with open(tokenizer, "rb") as f:
         held = chats.sparkSession.sparkContext.broadcast(f.read())
-    order = Window.partitionBy("id").orderBy("turn", "role", "text")
     rows = chats.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("part", ((F.col("n") - 1) / PART_TURNS).cast("int"))
-    rows = rows.select("id", "part", "n", "role", "text").repartition("id", "part").sortWithinPartitions("id", "part", "n")
+    long = materialise(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > PART_TURNS).select(F.col("id").alias("long")), "chat-long")
+    if long.isEmpty():
+        short = rows
+    else:
+        side = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
+        short = rows.join(side, F.col("id").eqNullSafe(F.col("long")), "left_anti")
+        rest = rows.join(side, F.col("id").eqNullSafe(F.col("long")), "left_semi")
+        # ranges of turns; of long texts only the beginnings are sampled for their bounds
+        rest = rest.repartitionByRange("id", "turn", "role", F.substring("text", 1, 16)).sortWithinPartitions("id", "turn", "role", "text")
+    short = short.repartition("id").sortWithinPartitions("id", "turn", "role", "text")
     kind = chats.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    most = PART_TURNS
+
+    def encode(batches, parts: bool):
         own = load(held.value)
-        key, turns = None, []
+        key, turns, known = (), [], set()
         done: list = []
+        first = (TaskContext.get().partitionId() << 32) + 1 if parts else 0
 
         def close():
             text, lo, hi = render([(r, t) for r, t in turns])
@@ -115,7 +143,7 @@ def format_chats(chats: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
             got = own.encode(text, add_special_tokens=False)
             spans = np.array(got.offsets, np.int64).reshape(-1, 2)
             on, loss = mask(spans[:, 0], spans[:, 1], lo[wanted], hi[wanted])
-            done.append((*key, len(turns), text, got.ids, on.tolist(), [x for s in loss for x in s]))
+            done.append((*key, first, len(turns), text, got.ids, on.tolist(), [x for s in loss for x in s]))
 
         def flush(kind):
             cols = list(zip(*done, strict=True)) or [[]] * 7
@@ -127,19 +155,37 @@ def format_chats(chats: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for i, p, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
-                if (i, p) != key:
+            for i, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if (i,) != key or (parts and len(turns) == most):
                     if turns:
                         close()
-                    key, turns = (i, p), []
+                        first += parts
+                    key, turns = (i,), []
                     if len(done) >= 256:
                         yield flush(kind)
+                if parts and not turns and role not in known:
+                    if not splits(own, role):
+                        raise ValueError("this tokenizer does not split its input between turns, so conversations cannot be encoded in parts")
+                    known.add(role)
                 turns.append((role, text))
         if turns:
             close()
             yield flush(kind)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    schema = f"`{id_col}` {kind}, {SCHEMA}"
+    out = short.mapInArrow(lambda b: encode(b, False), schema)
+    return out if long.isEmpty() else out.unionByName(rest.mapInArrow(lambda b: encode(b, True), schema))
+
+
+def whole(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
+    """One row a conversation of all its parts, offsets counted through; a conversation has to fit a row (2 GB)."""
+    field = lambda n: F.transform("p", lambda r: r[n])
+    rows = formatted.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("part", "n_turns", "formatted", "token_ids", "loss_mask", "loss_spans"))).alias("p"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("s"))
+    spans = F.aggregate("p", none, lambda a, r: F.struct((a["at"] + F.length(r["formatted"])).alias("at"), F.concat(a["s"], F.transform(r["loss_spans"], lambda x: x + a["at"])).alias("s")), lambda a: a["s"])
+    turns = F.aggregate("p", F.lit(0), lambda a, r: a + r["n_turns"])
+    flat = lambda n: F.flatten(field(n)).alias(n)
+    return rows.select(id_col, turns.alias("n_turns"), F.array_join(field("formatted"), "").alias("formatted"), flat("token_ids"), flat("loss_mask"), spans.alias("loss_spans"))
 
 
 def digest(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
