@@ -1,7 +1,7 @@
 """SentencePiece segmentation sampled by forward filtering and backward sampling.
 
 A text is a lattice of vocabulary pieces. No piece goes from a character to a
-space, so the lattice falls apart before each run of spaces; equal parts are
+space (a model with such pieces is refused), so the lattice falls apart before each run of spaces; equal parts are
 filtered forward once. Then every occurrence is sampled backward from its end,
 with random numbers that are a hash of the row's key, the part's place in the
 row and the step: the same key, text and seed give the same pieces anywhere.
@@ -46,6 +46,9 @@ class Vocabulary:
         ranked = len(score) and score.min() < -100  # log probabilities are not that low
         weight = -np.log(np.minimum(-score, n) + 2) if ranked else score
         self.longest = max((len(said[i]) for i in normal), default=1)
+        crossing = [said[i] for i in normal if "\u2581" in said[i].lstrip("\u2581")]
+        if crossing:
+            raise ValueError(f"pieces that go from a character to a space, as {crossing[0]!r}, do not fit parts that begin with spaces")
         points = [np.array([ord(c) for c in said[i]]) for i in normal]
         cut = np.concatenate(([0], np.cumsum([len(p) for p in points])))
         s = _prefix(np.concatenate(points)) if points else np.zeros(1, np.uint64)
@@ -162,8 +165,13 @@ def _filter(cp: np.ndarray, cut: np.ndarray, voc: Vocabulary):
         total = np.add.reduceat(p, f)
         alpha[nodes[a:b]] = top + np.log(total)
         chance[x:y] = p / np.repeat(total, count[a:b])
-    run = np.cumsum(chance)
-    run -= np.repeat(run[first] - chance[first], count)
+    run = chance  # cumulated within each place alone, so that it does not depend on what else is in the batch
+    more = first[count > 1]
+    left = count[count > 1] - 1
+    while len(more):
+        run[more + 1] += run[more]
+        more, left = more + 1, left - 1
+        more, left = more[left > 0], left[left > 0]
     run[first + count - 1] = 2.0  # the last arc takes what rounding leaves
     of = np.zeros(len(cp), np.int64)
     of[nodes] = first
