@@ -384,8 +384,9 @@ def fit(texts: DataFrame, *, text_col: str = "text", head: int = HEAD, classes:
     heads = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
     m = 1 + N_SHAPES + len(heads)
     n = np.zeros((m, m))
-    for r in bigrams(texts, heads, text_col).collect():
-        n[r.a, r.b] = r.n
+    pairs = bigrams(texts, heads, text_col).toArrow()
+    n[np.asarray(pairs["a"]), np.asarray(pairs["b"])] = np.asarray(pairs["n"])
+    del pairs
     of = exchange(n, classes)
     k = classes if classes > 1 else 2
     pick = np.zeros((m, k))
