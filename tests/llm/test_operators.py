@@ -107,6 +107,36 @@ def test_sharding_versions_and_merging(spark):
     assert whole.read().count() == len(corpus()) and whole.read().columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_two_compactions_at_once(spark, monkeypatch):
+    path = scratch_path(spark, "t")
+    table, other = (sharding.ShardedTable(spark, path, target=20_000, fanin=3) for _ in range(2))
+    for k in range(4):
+        table.append(spark.range(k * 50, k * 50 + 50).coalesce(1))
+    update, late = table._update, []
+
+    def behind(change, schema, what):
+        if not late:
+            late.append(other.compact())  # the other one commits while this one merges
+        return update(change, schema, what)
+
+    monkeypatch.setattr(table, "_update", behind)
+    table.compact()
+    assert sorted(r.id for r in table.read().collect()) == list(range(200))
+    table.expire()
+    listed = {s["file"] for s in table.manifest()["shards"]}
+    files = [p.removeprefix("file:").split("/data/")[1] for p in spark.read.option("recursiveFileLookup", True).parquet(f"{path}/data").inputFiles()]
+    assert {f"data/{f}" for f in files} == listed
+    table.append(spark.range(200, 210))
+    assert table.expire(age=3600) == 0 and len(table.versions()) == 2
+
+
+def test_sharding_of_odd_columns(spark):
+    rows = spark.createDataFrame([(1, 2, None), (1, 2, None), (None, None, "x")], "doc_id long, __arrival int, file string")
+    whole = sharding.ingest(rows, scratch_path(spark, "t"), topk.F.coalesce("doc_id", topk.F.lit(0)))
+    assert sorted(map(tuple, whole.read().collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    assert sharding.ingest(rows.limit(0), scratch_path(spark, "t"), topk.F.col("doc_id")).read().count() == 0
+
+
 # 3
 
 
@@ -141,6 +171,15 @@ def test_decontamination_equals_brute_force(spark, block):
     assert decontam.annotate(empty(spark), bench).count() == 0
 
 
+def test_decontamination_of_long_and_repeated_texts(spark):
+    rng = random.Random(12)
+    said = " ".join(rng.choices([f"w{k}" for k in range(50)], k=40))
+    long = " ".join([*rng.choices([f"w{k}" for k in range(50)], k=200_000), said, *rng.choices([f"w{k}" for k in range(50)], k=1000)])
+    texts = [long, long, said, said]
+    got = decontam.annotate(docs(spark, texts), spark.createDataFrame([(1, said)], "item_id long, text string")).collect()
+    assert all((r.decontam.n_words, sum(r.decontam.hits[1::2]) - sum(r.decontam.hits[::2]), r.decontam["items"]) == windows(texts[r.doc_id], [(1, said)]) for r in got) and len(got) == 4
+
+
 def test_decontamination_removes_spans(spark):
     passage = "the quick brown fox jumps over the lazy dog and runs away today"
     texts = [f"before it all. {passage.upper()}! after, it goes on and on for some time yet", passage, "clean text", None]
@@ -192,6 +231,61 @@ def test_disclosing_words(spark):
     assert pii.all_spans(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0
 
 
+def plain_shares(texts, window, support):
+    """Shares of information by word, from words and mentions counted one by one."""
+    n, total, near, contexts = Counter(), 0, Counter(), defaultdict(set)
+    for t in texts:
+        spots = list(WORD.finditer(low(t)))
+        n.update(m[0] for m in spots)
+        found = pii.base(t or "")
+        free = [k for k, m in enumerate(spots) if all(m.end() <= a or m.start() >= b for a, b, _ in found)]
+        seen = set()
+        for a, b, kind in found:
+            left, right = [k for k, m in enumerate(spots) if m.end() <= a], [k for k, m in enumerate(spots) if m.start() >= b]
+            around = [k for k in left[-window:] + right[:window] if k in free]
+            e = (kind, t[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", t[a:b]))
+            for k in around:
+                if (e, k) not in seen:
+                    seen.add((e, k))
+                    near[e, spots[k][0]] += 1
+                    contexts[e, spots[k][0]].add(tuple(spots[x][0] for x in around))
+    total, of = sum(n.values()), Counter()
+    for (e, _), c in near.items():
+        of[e] += c
+    out = {}
+    for (e, t), c in near.items():
+        if len(contexts[e, t]) >= support and of[e] < total:
+            pmi, ic = np.log2(total * c / (of[e] * n[t])), np.log2(total / of[e])
+            out[t] = max(out.get(t, -9), pmi / ic)
+    return out
+
+
+def test_shares_of_information_equal_brute_force(spark):
+    rng = random.Random(14)
+    names, cities = [f"name{k}" for k in range(12)], [f"city{k}" for k in range(4)]
+    texts = [None, ""]
+    for _ in range(400):
+        k = rng.randrange(12)
+        mail = f" {names[k]} of {cities[k % 4]} at u{k}@x.org" + (f" or 10.0.0.{k % 3}" if rng.random() < 0.3 else "") if rng.random() < 0.5 else f" {rng.choice(cities)}"
+        texts.append(f"{prose(rng, rng.randrange(10, 40))}{mail} {prose(rng, rng.randrange(10, 40))}")
+    texts += texts[2:8] + [f"{prose(rng, 30_000)} name3 {prose(rng, 1000)}"]
+    want = plain_shares([*texts, texts[3]], pii.WINDOW, pii.SUPPORT)
+    told = {t for t, s in want.items() if s >= pii.GENERALISE}
+    assert set(names) <= told and not told & {*cities, "at", "of"}
+    rows = [(None if i % 9 == 5 else i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    got = pii.all_spans(frame).collect()
+    assert len(got) == len(rows) + 1
+    by = defaultdict(list)
+    for r in pii.terms(frame).join(frame.select("doc_id", "text", topk.F.xxhash64(topk.F.coalesce("text", topk.F.lit(""))).alias("th")).distinct(), "th").collect():
+        by[r.text].append(r)
+    for text, found in by.items():
+        outside = [m for m in WORD.finditer(low(text)) if all(m.end() <= a or m.start() >= b for a, b, _ in pii.base(text))]
+        spans = [(m.start(), m.end(), want[m[0]]) for m in outside if m[0] in told]
+        assert all([(f.start, f.end) for f in r.found] == [s[:2] for s in spans] for r in found) and [f.share for f in found[0].found] == pytest.approx([s[2] for s in spans])
+    assert set(by) == {t for t in texts if t and any(m[0] in told for m in WORD.finditer(low(t)))}
+
+
 def test_disclosing_words_go_wherever_they_stand(spark):
     filler = random.Random(8)
     texts = [f"{prose(filler, 30)} zorblax writes at jo@x.org today {prose(filler, 30)}" for k in range(9)]
@@ -219,6 +313,7 @@ def shingle_sets(texts):
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", 3 if small == 2 else 512)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000 if small == 2 else 1 << 28)
     texts = corpus()
     sets = shingle_sets(texts)
     link = defaultdict(set)
@@ -248,6 +343,35 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert got == sorted([(1, 2), (1, 2), (None, 2), (2, 0), (3, 0)], key=repr)
 
 
+def test_jaccard_of_many_near_copies_in_split_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(31)
+    heads = [prose(rng, 40) for _ in range(30)]
+    texts = [" ".join(w if rng.random() > 0.01 else f"e{k}" for w in heads[k % 30].split()) for k in range(300)]
+    common = prose(rng, 12)  # a passage of all texts
+    texts = [f"{t} {common}" for t in texts]
+    sets = shingle_sets(texts)
+    links = Counter(i for i in sets for j in sets if i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.n_links for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == {i: links[i] for i in sets} and sum(got.values()) > 500
+
+
+def test_trees_until_the_recall():
+    # pairs whose buckets are split at every level survive as a branching process does
+    rng = np.random.default_rng(3)
+    n, lost = 4000, 0
+    for _ in range(n):
+        met = False
+        for _ in range(jaccard.runs(0.99)):
+            nodes = rng.poisson(1.0)
+            for _ in range(jaccard.LEVELS):
+                nodes = min(rng.poisson(jaccard.DEEP * nodes), 1000)
+            met |= nodes > 0
+        lost += not met
+    assert lost / n < 0.014
+
+
 # 6
 
 
@@ -274,6 +398,21 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, length, hot):
     assert got == want
 
 
+def test_suffix_dedup_of_a_line_in_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(suffixdup, "SLOTS", 64)
+    monkeypatch.setattr(suffixdup, "HOT", 12)
+    rng = random.Random(17)
+    line = "all of this is common to many texts, whatever else they may say of other things, and it is long enough"
+    texts = [f"{prose(rng, rng.randrange(3, 9))} {line} {prose(rng, rng.randrange(3, 9))}" for _ in range(150)] + [None, prose(rng, 50)]
+    seen = []
+    marked = suffixdup._marked
+    monkeypatch.setattr(suffixdup, "_marked", lambda scan: seen.append(marked(scan)) or seen[-1])
+    monkeypatch.setattr(suffixdup, "discard", lambda *tables: None)
+    got = {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in suffixdup.remove(docs(spark, texts), length=100).collect()}
+    assert got == brute_repeats(list(enumerate(texts)), 100) and sum(len(k) < n for n, k in got.values()) == 149
+    assert seen[0].where("hot").count() > 100
+
+
 def test_suffix_dedup_repeated_and_null_ids(spark):
     text = prose(random.Random(1), 40)
     rows = [(2, text), (2, text), (None, text), (3, "short"), (4, None)]
@@ -317,6 +456,33 @@ def test_quality_on_held_out_labels(spark):
     assert quality.score(empty(spark), model).count() == 0
 
 
+def test_features_approximate_a_gaussian_kernel():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, quality.N_STATS))
+    model = {"seed": 7, "features": 20_000, "gamma": quality.GAMMA / quality.N_STATS, "mean": [0.0] * quality.N_STATS, "scale": [1.0] * quality.N_STATS}
+    z = quality.fourier(x, model)[:, 1:]
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert np.abs(z @ z.T - np.exp(-model["gamma"] * far)).max() < 0.04
+
+
+def test_weights_equal_plain_ridge(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(5, 60)).upper() if k % 3 else prose(rng, rng.randrange(5, 60)) for k in range(120)]
+    rows = [(k, float(k % 3 == 0), 0.0) for k in range(120)] + [(7, float("nan"), 0.0), (None, 1.0, 0.0), (8, None, 0.0)]
+    frame = spark.createDataFrame([*enumerate(texts), (None, "null id"), (3, texts[3])], "doc_id long, text string").repartition(3)
+    model = quality.fit(frame, spark.createDataFrame(rows, "doc_id long, quality double, toxic double"), features=32)
+    said = [*texts, texts[3]]  # a repeated row teaches twice
+    y = np.array([*(k % 3 == 0 for k in range(120)), True], float)
+    x = quality.statistics(*textbytes.strings(pa.array(said)))
+    np.testing.assert_allclose(model["mean"], x.mean(0), atol=1e-12)
+    np.testing.assert_allclose(model["scale"], np.maximum(x.std(0), 1e-3), atol=1e-9)
+    z = quality.fourier(x, model)
+    w = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.diag([1e-9, *np.ones(32)]) / 32, z.T @ y)
+    np.testing.assert_allclose(model["w"], w, atol=1e-6)
+    got = {(r.doc_id, r.score) for r in quality.score(frame, model).collect()}
+    assert len(got) == 121 and all(0 <= s <= 1 for _, s in got)
+
+
 def test_isotonic_is_monotone():
     knots, levels = quality.isotonic(np.array([4, 0, 4, 4]), np.array([2, 0, 1, 4]))
     assert len(levels) == 2 and levels[0] < levels[1] and knots[0] < knots[1]
@@ -346,11 +512,61 @@ def test_chat_round_trip(spark, monkeypatch):
     assert chat.digest(chat.format_chats(table.limit(0))).count() == 0
     one = chat.format_chats(table.where("conv_id = 3")).first()
     assert len(one.token_ids) == len(one.loss_mask) and any(one.loss_mask)
+    parts = chat.format_chats(table)
+    assert parts.where("n_turns > 3").count() == 0 and parts.count() > len(by)
+    own = chat.load(open(chat.TOKENIZER, "rb").read())
+    for r in chat.whole(parts).collect():
+        text, lo, hi = chat.render([(r_, x) for _, r_, x in sorted(by[r.conv_id])])
+        made = own.encode(text, add_special_tokens=False)
+        wanted = np.array([r_ == "assistant" for _, r_, _ in sorted(by[r.conv_id])])
+        a, b = np.array(made.offsets).reshape(-1, 2).T
+        on, spans = chat.mask(a, b, lo[wanted], hi[wanted])
+        assert (r.formatted, r.token_ids, r.loss_mask, r.n_turns) == (text, made.ids, on.tolist(), len(by[r.conv_id]))
+        assert r.loss_spans == [x for s in spans for x in s]
+
+
+def test_a_tokenizer_that_joins_turns_is_refused(spark, monkeypatch, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    own = Tokenizer(models.BPE({chr(k): k for k in range(32, 127)} | {"\n": 127}, []))
+    own.save(str(tmp_path / "t.json"))
+    assert not chat.splits(own, "user")
+    table = spark.createDataFrame([(1, k, "user", "a") for k in range(9)], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(table, tokenizer=str(tmp_path / "t.json")).count() == 1
+    monkeypatch.setattr(chat, "PART_TURNS", 4)
+    with pytest.raises(Exception, match="between turns"):
+        chat.format_chats(table, tokenizer=str(tmp_path / "t.json")).count()
 
 
 # 9
 
 
+def test_pieces_do_not_depend_on_the_batch():
+    voc = pieces.Vocabulary()
+    rng = random.Random(23)
+    texts = [prose(rng, 40) + chr(rng.randrange(200, 5000)) for _ in range(300)]
+    alone = pieces._points(*textbytes.strings(pa.array(texts[150:151])))
+    many = pieces._points(*textbytes.strings(pa.array(texts)))
+    cut = many[1][150:152]
+    _, token, run, of = pieces._filter(many[0], many[1], voc)
+    _, token_, run_, of_ = pieces._filter(alone[0], alone[1], voc)
+    at, at_ = of[cut[0] : cut[1]], of_
+    for a, b in zip(at, at_, strict=True):
+        k = 0
+        while True:
+            assert run[a + k] == run_[b + k] and token[a + k] == token_[b + k]
+            if run[a + k] == 2.0:
+                break
+            k += 1
+
+
+def test_pieces_of_null_keys_and_equal_rows(spark):
+    text = prose(random.Random(2), 30)
+    rows = [(None, text), (None, text), (1, text), (1, text), (2, text), (None, None)]
+    got = [(r.doc_id, tuple(r.pieces)) for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(set(got)) == 4 and Counter(got)[None, ()] == 1 and sorted(Counter(got).values()) == [1, 1, 2, 2]
+
+
 def test_pieces_are_lossless_and_reproducible(spark):
     texts = [*corpus(), "▁x  ▁ y", "\n\n\t\x00", "   ", "<s></s><unk>", "a" * 300]
     got = {r.doc_id: r for r in pieces.encode(docs(spark, texts), decoded=True).collect()}
@@ -419,6 +635,38 @@ def test_brown_base_score_and_model(spark):
     assert brown.score(frame, none).where("n_known > 0").count() == 0 and brown.score(empty(spark), model).count() == 0
 
 
+def test_brown_score_equals_plain_class_bigrams(spark):
+    texts = [t for t in corpus() if t is None or len(t) < 2000]
+    rows = [*enumerate(texts), (None, texts[9]), (3, "one two"), (3, "one two")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    teach = topk.F.coalesce("doc_id", topk.F.lit(0)) % 3 != 0
+    model = brown.fit(frame.where(teach), head=30, classes=6)
+    of = {r["word"]: (r["class"], r["n"]) for r in model["vocabulary"].collect()}
+    end = int(brown.END.view(np.int64))
+
+    def classes(t):
+        h, shape, _ = brown.tokens(*textbytes.strings(pa.array([t or ""])))
+        return [of[w][0] if w in of else int(model["class"][1 + s]) for w, s in zip(h.view(np.int64).tolist(), shape.tolist(), strict=True)] + [of[end][0]]
+
+    taught = [t for i, t in rows if (0 if i is None else i) % 3 != 0]
+    k = len(model["step"])
+    big = np.zeros((k, k))
+    for t in taught:
+        c = classes(t)
+        for a, b in zip([0, *c[:-1]], c, strict=True):
+            big[a, b] += 1
+    step = np.log10((big + 0.1) / (big.sum(1, keepdims=True) + 0.1 * k))
+    size = Counter()
+    for c, n in of.values():
+        size[c] += n + 1
+    words = lambda t: brown.tokens(*textbytes.strings(pa.array([t or ""])))[0].view(np.int64).tolist() + [end]
+    want = Counter()
+    for i, t in rows:
+        c = classes(t)
+        want[i, round(sum(step[a, b] + log10(of.get(w, (0, 0))[1] + 1) - log10(size[b] + 1) for a, b, w in zip([0, *c[:-1]], c, words(t), strict=True)), 6)] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in brown.score(frame, model).collect()) == want
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     n = np.zeros((13, 13))
