@@ -280,7 +280,8 @@ def test_shares_of_information_equal_brute_force(spark):
     for r in pii.terms(frame).join(frame.select("doc_id", "text", topk.F.xxhash64(topk.F.coalesce("text", topk.F.lit(""))).alias("th")).distinct(), "th").collect():
         by[r.text].append(r)
     for text, found in by.items():
-        outside = [m for m in WORD.finditer(low(text)) if all(m.end() <= a or m.start() >= b for a, b, _ in pii.base(text))]
+        base = pii.base(text)
+        outside = [m for m in WORD.finditer(low(text)) if all(m.end() <= a or m.start() >= b for a, b, _ in base)]
         spans = [(m.start(), m.end(), want[m[0]]) for m in outside if m[0] in told]
         assert all([(f.start, f.end) for f in r.found] == [s[:2] for s in spans] for r in found) and [f.share for f in found[0].found] == pytest.approx([s[2] for s in spans])
     assert set(by) == {t for t in texts if t and any(m[0] in told for m in WORD.finditer(low(t)))}
