@@ -196,7 +196,10 @@ def exchange(n: np.ndarray, classes: int = CLASSES) -> np.ndarray:
 
 
 def neighbours(texts: DataFrame, head: np.ndarray, of: np.ndarray, classes: int, text_col: str = "text") -> DataFrame:
-    """(word, shape, k, n) of words outside the head: k < classes: that class stands before; then: after; 2 classes: the word itself follows."""
+    """(word, shape, codes) of words outside the head, for each task and word: codes hold k * 2^40 + n.
+
+    n times, for k < classes, that class stands before; for k < 2 classes, after; for 2 classes the word itself follows.
+    """
     held = texts.sparkSession.sparkContext.broadcast((head, of))
     width = 2 * classes + 1
 
@@ -215,9 +218,13 @@ def neighbours(texts: DataFrame, head: np.ndarray, of: np.ndarray, classes: int,
 
         def rows():
             h, shape, k, n = parts.pop()
-            for a in range(0, len(h), 50_000):
-                b = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[b].view(np.int64)), pa.array(shape[b].astype(np.int32)), pa.array(k[b].astype(np.int32)), pa.array(n[b])], names=["word", "shape", "k", "n"])
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            cut = np.append(first, len(h))
+            for a in range(0, len(first), 20_000):
+                b = min(a + 20_000, len(first))
+                own = slice(cut[a], cut[b])
+                codes = pa.ListArray.from_arrays(pa.array(cut[a : b + 1] - cut[a], pa.int32()), pa.array((k[own] << 40) + n[own]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first[a:b]].view(np.int64)), pa.array(shape[first[a:b]].astype(np.int32)), codes], names=["word", "shape", "codes"])
 
         for data, off in _batches(batches):
             unit, before, word, _ = _sequence(data, off, head)
@@ -245,8 +252,7 @@ def neighbours(texts: DataFrame, head: np.ndarray, of: np.ndarray, classes: int,
             merge()
             yield from rows()
 
-    got = texts.select(text_col).mapInArrow(run, "word long, shape int, k int, n long")
-    return got.groupBy("word", "k").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    return texts.select(text_col).mapInArrow(run, "word long, shape int, codes array<long>")
 
 
 def best_class(who: np.ndarray, k: np.ndarray, n: np.ndarray, a: np.ndarray, big: np.ndarray) -> np.ndarray:
@@ -255,20 +261,23 @@ def best_class(who: np.ndarray, k: np.ndarray, n: np.ndarray, a: np.ndarray, big
     This is the move of ``exchange``, with only the classes that are neighbours looked at.
     """
     m, classes = len(a), len(big)
-    counts = np.zeros((m, 2 * classes + 1))
-    np.add.at(counts, (who, k), n)
+    width = 2 * classes + 1
+    counts = np.bincount(who * width + k, n, m * width).reshape(m, width)
     col, row, own = counts[:, :classes], counts[:, classes:-1], counts[:, -1]
     every = np.arange(m)
     gain = np.zeros((m, classes))
     for mine, other, seen in ((row, col, big.T), (col, row, big)):
         w, c = np.nonzero(mine)
+        if not len(w):
+            continue
         x = mine[w, c]
         was = seen[c].copy()  # what the neighbour's class has with each class, without the word
         was[np.arange(len(w)), a[w]] -= x
         inside = np.flatnonzero(c == a[w])
         was[inside] -= other[w[inside]]
         was[inside, a[w[inside]]] -= own[w[inside]]
-        np.add.at(gain, w, _xlogx(was + x[:, None]) - _xlogx(was))
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[first]] += np.add.reduceat(_xlogx(was + x[:, None]) - _xlogx(was), first)
     d = np.tile(np.diag(big), (m, 1))
     d[every, a] -= row[every, a] + col[every, a] + own
     whole = own[:, None]
@@ -284,22 +293,50 @@ def best_class(who: np.ndarray, k: np.ndarray, n: np.ndarray, a: np.ndarray, big
 
 
 def _assigned(counts: DataFrame, of: np.ndarray, big: np.ndarray) -> DataFrame:
-    """(word, class) of the words in counts, all moved from the same class bigrams."""
+    """(word, class) of the words in counts, all moved from the same class bigrams.
+
+    The rows of a word pass one after another and are summed on the way, so a common word is no large group.
+    """
     held = counts.sparkSession.sparkContext.broadcast((of, big))
+    low = (1 << 40) - 1
 
     def run(batches):
         of, big = held.value
+        parts: list = []
+        rows = 0
+
+        def moved(last: bool):
+            word, shape, size, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            cut = np.append(0, np.cumsum(size))
+            words = len(new) if last else len(new) - 1  # of the last word more rows may follow
+            stop = np.append(new, len(word))
+            parts[:] = []
+            if not last:
+                x = stop[words]
+                k, at = np.unique(codes[cut[x] :] >> 40, return_inverse=True)
+                n = np.bincount(at, codes[cut[x] :] & low).astype(np.int64)
+                parts.append((word[x : x + 1], shape[x : x + 1], np.array([len(k)]), (k << 40) + n))
+            for a in range(0, words, 1024):
+                b = min(a + 1024, words)
+                x, y = stop[a], stop[b]
+                who = np.repeat(np.searchsorted(new[a:b], np.arange(x, y), "right") - 1, size[x:y])
+                own = codes[cut[x] : cut[y]]
+                got = best_class(who, own >> 40, (own & low).astype(float), of[1 + shape[new[a:b]]], big)
+                yield pa.RecordBatch.from_arrays([pa.array(word[new[a:b]]), pa.array(got.astype(np.int32))], names=["word", "class"])
+
         for batch in batches:
-            for x in range(0, batch.num_rows, 256):
-                part = batch.slice(x, 256)
-                ks, ns = part.column(2), part.column(3)
-                who = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(ks.offsets)))
-                got = best_class(who, np.asarray(ks.flatten()), np.asarray(ns.flatten()).astype(float), of[1 + np.asarray(part.column(1))], big)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.astype(np.int32))], names=["word", "class"])
-
-    pairs = F.collect_list(F.struct("k", "n")).alias("pairs")
-    lists = counts.groupBy("word").agg(F.min("shape").alias("shape"), pairs).select("word", "shape", F.col("pairs.k").alias("ks"), F.col("pairs.n").alias("ns"))
-    return lists.mapInArrow(run, "word long, class int")
+            codes = batch.column(2)
+            if batch.num_rows:
+                parts.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.diff(np.asarray(codes.offsets)), np.asarray(codes.flatten())))
+                rows += batch.num_rows
+            if rows > 30_000:
+                yield from moved(False)
+                rows = 1
+        if parts:
+            yield from moved(True)
+
+    return counts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, class int")
 
 
 def _commonest(vocabulary: DataFrame, words: int, max_words: int):
