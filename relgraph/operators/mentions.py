@@ -20,13 +20,20 @@ def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest
     scope: columns of both tables; a phrase is known only where they are equal (TX5).
     """
     words = dictionary.select(*scope, "phrase").where(F.col("phrase") != "").distinct().withColumn("size", F.size(F.split("phrase", " ")))
-    sizes = words.groupBy(*scope).agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # that occur in the dictionary
-    at = tokens.join(sizes, list(scope)) if scope else tokens.crossJoin(F.broadcast(sizes))
-    at = at.select("id", *scope, "tokens", F.explode("sizes").alias("size"))
-    grams = at.where(F.size("tokens") >= F.col("size")).select("id", *scope, "size", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("start"))
-    grams = grams.select("id", *scope, "start", "size", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("size")), " ").alias("phrase"))
+    said = F.array_join(F.slice("tokens", F.col("start") + 1, F.col("size")), " ").alias("phrase")
     if not scope and words.agg(F.coalesce(F.sum(F.length("phrase") + 16), F.lit(0))).first()[0] <= BROADCAST_CHARS:
+        # only where the first word of a phrase stands are words joined up
         words = F.broadcast(words)
+        firsts = words.groupBy(F.substring_index("phrase", " ", 1).alias("first")).agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+        at = tokens.select("id", "tokens", F.posexplode("tokens").alias("start", "first")).join(F.broadcast(firsts), "first")
+        at = at.select("id", "tokens", "start", F.explode("sizes").alias("size"))
+        grams = at.where(F.col("start") + F.col("size") <= F.size("tokens")).select("id", "start", "size", said)
+    else:
+        sizes = words.groupBy(*scope).agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # that occur in the dictionary
+        at = tokens.join(sizes, list(scope)) if scope else tokens.crossJoin(F.broadcast(sizes))
+        at = at.select("id", *scope, "tokens", F.explode("sizes").alias("size"))
+        grams = at.where(F.size("tokens") >= F.col("size")).select("id", *scope, "size", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("start"))
+        grams = grams.select("id", *scope, "start", "size", said)
     found = grams.join(words, [*scope, "phrase", "size"]).select("id", "start", "size", "phrase")
     if mode == "greedy":
         return found

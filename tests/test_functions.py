@@ -108,17 +108,19 @@ def trie(tokens, phrases, greedy=False):
     return out
 
 
-def test_match_phrases(spark):
+def test_match_phrases(spark, monkeypatch):
     phrases = {"a b", "a b c", "b", "c d e", "d"}
     rng = random.Random(0)
     rows = [(i, rng.choices("abcdex", k=rng.randrange(0, 9))) for i in range(200)] + [(1000, "a b c d".split()), (1001, "a b x b".split()), (1002, "c d x".split())]
     tokens = spark.createDataFrame(rows, "id int, tokens array<string>")
     words = spark.createDataFrame([(p,) for p in phrases], "phrase string")
     for mode in ("longest", "greedy"):
-        got = {}
-        for r in mentions.match_phrases(tokens, words, mode).collect():
-            got.setdefault(r.id, set()).add(r.phrase)
-        assert all(got.get(i, set()) == trie(t, phrases, mode == "greedy") for i, t in rows)
+        for most in (mentions.BROADCAST_CHARS, 0):
+            monkeypatch.setattr(mentions, "BROADCAST_CHARS", most)
+            got = {}
+            for r in mentions.match_phrases(tokens, words, mode).collect():
+                got.setdefault(r.id, set()).add(r.phrase)
+            assert all(got.get(i, set()) == trie(t, phrases, mode == "greedy") for i, t in rows)
 
 
 def test_paths_and_ranks(spark):
