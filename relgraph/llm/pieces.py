@@ -27,7 +27,7 @@ from relgraph.llm import textbytes as tb
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000
 #: Bytes of text worked on at a time, and characters of filtered parts that a process keeps.
-CHUNK, KEPT = 1 << 19, 1_000_000
+CHUNK, KEPT = 1 << 18, 500_000
 
 
 class Vocabulary:
