@@ -972,3 +972,17 @@ def split_outputs(spark, sf):
 def stream_counts(spark, sf):
     name = f"stream_{uuid.uuid4().hex}"
     return counts.run_once(counts.pattern_counts(counts.read_events(spark, sf)), name, "complete", scratch.scratch_path(spark, name))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windows(spark, sf):
+    name = f"stream_{uuid.uuid4().hex}"
+    found = counts.run_once(counts.windowed_counts(counts.read_events(spark, sf)), name, "complete", scratch.scratch_path(spark, name))
+    return found.select("day", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(r"""SELECT doc_id::VARCHAR AS id, 'T ' || source AS title FROM documents WHERE regexp_full_match(source, '[\x00-\x7F]*')""")
+def dump_ids(spark, sf):
+    head = F.concat(F.lit('<doc id="'), F.col("doc_id").cast("string"), F.lit('" url="u" title="T '), F.col("source"), F.lit('">'))
+    path = _written(spark, sf, "heads", _t(spark, sf, "documents").select(head.alias("value")))
+    return io.read_ids(io.read_lines(spark, path))

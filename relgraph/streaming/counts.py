@@ -14,9 +14,15 @@ def read_events(spark: SparkSession, folder: str, name: str = "events.parquet",
 
 
 def windowed_counts(events: DataFrame, *, late: str = "1 day", width: str = "1 day") -> DataFrame:
-    """(day, event_type, n, total): event-time windows, closed when the watermark has passed."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
-    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("day"), "event_type", "n", "total")
+    """(day, event_type, n, total): event-time windows, closed when the watermark has passed.
+
+    Days are those of the clock that ts shows, with or without a time zone; day is a timestamp without one.
+    """
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    rows = events.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))  # the clock as if in UTC
+    rows = rows.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+    day = F.to_utc_timestamp("w.start", zone).cast("timestamp_ntz").alias("day")
+    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(day, "event_type", "n", "total")
 
 
 def pattern_counts(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relgraph import __main__ as cli
 from relgraph.operators import dataset, graph, mentions, metrics
+from relgraph.sources import io
 
 ITEM = "score double, note string, significant double, explicit double, span_head struct<start:int,end:int>, span_tail struct<start:int,end:int>"
 EDGES = "src string, dst string, sim double, data array<struct<" + ITEM.replace(" ", ":", 1).replace(", ", ",").replace(" double", ":double").replace(" string", ":string").replace(" struct", ":struct") + ">>"
@@ -217,4 +218,22 @@ def test_commands(spark, tmp_path):
     (tmp_path / "o.tsv").write_text("q\ta b\ta b\nq2\tc\td\n")
     run("split_eval", at("o.tsv"), at("eval"))
     assert [r.value for r in spark.read.text(at("eval/target")).collect()] == ["a b", "d"]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x").write_text('<doc id="1" url="u" title="T">\nT\n\nOne <a href="B">b</a>. Two!\n</doc>\n')
+    run("sentences", at("d"), at("sentences"))
+    assert [(r.title, r.sent, r.text) for r in spark.read.parquet(at("sentences")).orderBy("sent").collect()] == [("T", 0, "One b."), ("T", 1, "Two!")]
+    spark.createDataFrame([(0, "a", "b", "t0"), (1, "b", "z", "t1")], "place int, a string, b string, target string").write.parquet(at("targets"))
+    spark.createDataFrame([(0, "g0")], "place int, line string").write.parquet(at("lines"))
+    run("merge_output", at("targets"), at("sheet"), "--graph", "u", at("undir"), "--output", "gen", at("lines"))
+    sheet = spark.read.option("header", True).csv(at("sheet")).collect()
+    assert [r.pair for r in sheet] == ["ent1: a ent2: b", "ent1: b ent2: z"] and sheet[0].gen == "g0" and sheet[1].u is None and sheet[1].scr == "t1"
+    for k in range(2):
+        (tmp_path / f"j{k}").mkdir() if k == 0 else None
+        (tmp_path / "j0" / f"{k}.json").write_text(f'[{{"k": {k}}}, {{"k": {k + 10}}}]')
+    run("merge_json", at("j0"), at("merged"))
+    assert sorted(r.k for r in spark.read.json(at("merged")).collect()) == [0, 1, 10, 11] and not (tmp_path / "j0").exists()
+    sents = spark.createDataFrame([("s1", "one"), ("s2", "two")], "note string, text string")
+    assert [r.text for r in io.sentences_of_pair(spark.read.parquet(at("occur")), sents, "b", "c").collect()] == ["one"]
+    pages = spark.createDataFrame([("A",), ("",), ("A",), ("B",)], "title string")
+    assert {r.title for r in io.distinct_entities(pages).collect()} == {"A", "B"}
     run("score_outputs", at("o.tsv"))
