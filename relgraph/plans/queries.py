@@ -79,14 +79,15 @@ def _features(spark, sf):
 
 
 def _graph(spark, sf, most: int) -> DataFrame:
-    """(src, dst, sim, data): related pairs with their best sentences."""
-    return graph.best_sentences(_features(spark, sf), 0.5, 0.75, most)
+    """(src, dst, sim, data): related pairs with their best sentences, a table that the steps of a path read."""
+    return scratch.materialise(graph.best_sentences(_features(spark, sf), 0.5, 0.75, most), "graph")
 
 
 def _subgraph(spark, sf, most: int) -> DataFrame:
     """Those edges of _graph that co-occur more than by chance."""
     strong = cooccur.subgraph(cooccur.npmi(_baskets(spark, sf)), 0.1, 2).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return _graph(spark, sf, most).join(strong, ["src", "dst"], "left_semi")
+    found = graph.best_sentences(_features(spark, sf), 0.5, 0.75, most).join(strong, ["src", "dst"], "left_semi")
+    return scratch.materialise(found, "subgraph")
 
 
 def _weights(edges: DataFrame) -> DataFrame:
