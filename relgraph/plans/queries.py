@@ -31,7 +31,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return scratch.spread(rows) if name in ("documents", "conversations", "pages") else rows  # texts: few rows, much work
 
 
 def _r(c):
@@ -735,12 +736,12 @@ def _trees(spark, sf):
     Counted from the end and from 1, token m hangs from token m / 2. The first token and the middle one are the pair.
     """
     rows = _t(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("place", "s"))
-    rows = rows.select("doc_id", "place", text.tokenize("s").alias("t")).where(F.size("t").between(5, 50)).withColumn("n", F.size("t"))
     labels = F.array(*[F.lit(x) for x in _DEPS])
-    head = F.transform("t", lambda x, i: F.when(i == F.col("n") - 1, i).otherwise(F.col("n") - F.floor((F.col("n") - i) / 2).cast("int")))
-    dep = F.transform("t", lambda x, i: F.get(labels, (F.length(x) + i) % len(_DEPS)))
-    middle = F.floor(F.col("n") / 2).cast("int")
-    return rows.select(F.struct("doc_id", "place").alias("id"), F.col("t").alias("tokens"), head.alias("head"), dep.alias("dep"), F.lit(0).alias("s1"), F.lit(0).alias("e1"), middle.alias("s2"), middle.alias("e2"))
+    head = lambda t, n: F.transform(t, lambda x, i: F.when(i == n - 1, i).otherwise(n - F.floor((n - i) / 2).cast("int")))
+    dep = lambda t: F.transform(t, lambda x, i: F.get(labels, (F.length(x) + i) % len(_DEPS)))
+    tree = lambda t: text.let(F.size(t), lambda n: F.struct(t.alias("tokens"), n.alias("n"), head(t, n).alias("head"), dep(t).alias("dep"), F.floor(n / 2).cast("int").alias("middle")))
+    rows = rows.select(F.struct("doc_id", "place").alias("id"), text.let(text.tokenize("s"), tree).alias("r")).where(F.col("r.n").between(5, 50))
+    return rows.select("id", "r.tokens", "r.head", "r.dep", F.lit(0).alias("s1"), F.lit(0).alias("e1"), F.col("r.middle").alias("s2"), F.col("r.middle").alias("e2"))
 
 
 # d: labels by m; pa: path and branch of the pair (n, m2); v: pairs that are whole compounds and whose pattern fits

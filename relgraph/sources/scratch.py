@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that a scan would not deal it to them (spark.sql.files.openCostInBytes a core).
+
+    One file of one row group is one task, whatever its rows cost. Larger tables are not moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cost = int(str(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()))
+    return df.repartition(cores) if size <= cores * cost else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/relgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
