@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.sources.scratch import delete, discard, materialise, release, scratch_path, shared_dir  # noqa: F401
+from relgraph.sources.scratch import delete, discard, materialise, release, scratch_path, shared_dir, spread  # noqa: F401
 
 #: Rows of text handed to a Python worker at a time; bounds its memory.
 BATCH_ROWS = 1024
@@ -32,7 +32,9 @@ def prepare(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents of a few MB, which a scan would leave to one task, are dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def crc_mod(col, n: int):
