@@ -19,12 +19,13 @@ in 64-bit integers, which scores must fit.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, LEVELS = 256, 32
-SHARD, QUERY_BLOCK = 8192, 2048
+from relgraph.llm.runtime import materialise
+
+SCALE, LEVELS, SHARD = 256, 32, 8192
 #: Shares of the postings after which a proof is looked for, and members that are few enough to rescore.
 LOOKS, FEW = (0.6, 0.7, 0.8, 0.9), 256
 
@@ -92,35 +93,43 @@ def quantise(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def search(vectors: DataFrame, queries, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, id, score): the k best of each query, over all shards.
 
-    queries: a predicate on the id. Every task holds one shard and one block of
-    queries; each block meets each shard once.
+    queries: a predicate on the id. A shard's vectors reach its task before the queries
+    do, so its index is built once and the queries pass it by in Arrow batches: a task
+    holds one shard and one batch, however many queries there are.
     """
-    rows = quantise(vectors, id_col=id_col, vector_col=vector_col, scale=scale).where(F.size("v") > 0)
-    sizes = rows.agg(F.count("*"), F.count_if(queries(F.col("id")))).first()
-    shards, blocks = max(1, -(-sizes[0] // shard)), max(1, -(-sizes[1] // query_block))
-    deal = F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards))
-    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    keys = ["dim", "shard", "block"]
-    left = rows.select("id", "v", F.size("v").alias("dim"), deal.alias("shard"), F.explode(upto(blocks)).alias("block"))
-    right = rows.where(queries(F.col("id"))).select("id", "v", F.size("v").alias("dim"), F.explode(upto(shards)).alias("shard"), block.alias("block"))
-
-    def run(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(data) and len(asked):
-            index = Shard(data["id"].to_numpy(np.int64), np.stack(data["v"].to_numpy()).astype(np.int64))
-            for i, v in zip(asked["id"], asked["v"], strict=True):
-                found, score = index.top(np.asarray(v, np.int64), i, k)
-                out += [(i, int(f), int(s)) for f, s in zip(found, score, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
-
-    # small rows but long work: a stated number keeps AQE from merging partitions
-    tasks = min(shards * blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, id long, score long")
+    spark = vectors.sparkSession
+    rows = materialise(quantise(vectors, id_col=id_col, vector_col=vector_col, scale=scale).where(F.size("v") > 0), "topk-vectors")
+    shards = max(1, -(-rows.count() // shard))
+    size = F.size("v").alias("dim")
+    asked = rows.where(queries(F.col("id"))).select(size, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    every = rows.select(size, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v").union(asked)
+
+    def run(batches):
+        key, held, index = None, [], None
+        for batch in batches:
+            dim, own, asks, ids = (np.asarray(batch.column(i)) for i in range(4))
+            cut = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (own[1:] != own[:-1]) | (asks[1:] != asks[:-1]))) if len(ids) else []
+            for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True):
+                if (dim[a], own[a]) != key:
+                    key, held, index = (dim[a], own[a]), [], None
+                x = np.asarray(batch.column(4).slice(a, b - a).flatten()).reshape(b - a, dim[a])
+                if not asks[a]:
+                    held.append((ids[a:b], x))
+                    continue
+                if index is None:
+                    if not held:  # no vector of this length here
+                        continue
+                    index, held = Shard(*(np.concatenate(c) for c in zip(*held, strict=True))), []
+                found = [index.top(q, i, k) for i, q in zip(ids[a:b], x, strict=True)]
+                who = np.repeat(ids[a:b], [len(f) for f, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (who, *(np.concatenate(c) for c in zip(*found, strict=True)))], names=["query_id", "id", "score"])
+
+    # shards are dealt by number, so no task has two while another has none
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = every.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("dim", "shard", "asks").mapInArrow(run, "query_id long, id long, score long")
     # a window's limit is applied before the shuffle too, so k rows a query leave each task
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

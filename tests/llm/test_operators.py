@@ -56,12 +56,13 @@ def empty(spark):
 @pytest.mark.parametrize("few", [3, 24])
 def test_topk_equals_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(topk, "FEW", few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(7 * few))  # shards and queries over several batches
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[17] = x[3]
     rows = [(i, v.tolist(), "z") for i, v in enumerate(x)] + [(300, None, "z"), (301, [1.0, None] * 4, "z"), (302, [float("nan")] * 8, "z"), (303, [float("inf")] * 8, "z"), (None, x[0].tolist(), "z"), (304, [1.0, 2.0], "z"), (0, x[0].tolist(), "z"), (350, [], "z")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = topk.search(table, lambda c: c % 50 == 0, k=5, shard=64, query_block=4).collect()
+    got = topk.search(table, lambda c: c % 50 == 0, k=5, shard=64).collect()
     q = np.floor(x.astype(float) * 256).astype(int)
     want = set()
     for i in range(0, 300, 50):
