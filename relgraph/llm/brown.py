@@ -13,7 +13,7 @@ whatever the corpus), words by neighbour class, and bigrams of the final classes
 are grouped sums. Words are known by 64-bit hashes.
 
 The vocabulary reaches the tasks as a broadcast of at most ``max_words`` of the
-commonest words (24 bytes each). Texts with words beyond those, rare by
+commonest words (24 bytes each at most). Texts with words beyond those, rare by
 construction, are joined with the counts and classes of these words.
 
 Defined cases: null and empty text is one token, the end; texts whose id is null
@@ -339,13 +339,37 @@ def _assigned(counts: DataFrame, of: np.ndarray, big: np.ndarray) -> DataFrame:
     return counts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, class int")
 
 
+def _slots(word: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where words (sorted) of each first bits begin, about one a slot, and the most of a slot."""
+    bits = max(len(word).bit_length(), 1)
+    slot = np.searchsorted(word, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return slot, int(np.diff(np.append(slot, len(word))).max())
+
+
+def _find(own: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of w among the words of own, and which are there: a step or two from a slot, where a binary search waits for memory over 20 times."""
+    word, slot = own["word"], own["slot"]
+    if not len(word):
+        return np.zeros(len(w), np.int32), np.zeros(len(w), bool)
+    last = len(word) - 1
+    at = np.minimum(slot[(w >> np.uint64(65 - len(slot).bit_length())).astype(np.int64)], last)
+    off = np.flatnonzero(word[at] < w)
+    for _ in range(own["most"] - 1):
+        if not len(off):
+            break
+        at[off] = np.minimum(at[off] + 1, last)
+        off = off[word[at[off]] < w[off]]
+    return at, word[at] == w
+
+
 def _commonest(vocabulary: DataFrame, words: int, max_words: int):
-    """A broadcast of word, n and class of at most max_words words, sorted by word."""
+    """A broadcast of word, n and class of at most max_words words, sorted by word, with their slots."""
     known = vocabulary.select("word", "n", F.col("class").cast("short").alias("class"))
     arrow = (known if words <= max_words else known.orderBy(F.desc("n"), "word").limit(max_words)).toArrow()
     word = np.asarray(arrow["word"]).view(np.uint64)
     order = np.argsort(word)
     own = {"word": word[order], "n": np.asarray(arrow["n"])[order], "of": np.asarray(arrow["class"])[order]}
+    own["slot"], own["most"] = _slots(own["word"])
     del arrow, word, order
     return vocabulary.sparkSession.sparkContext.broadcast(own)
 
@@ -362,10 +386,8 @@ def _with_words(texts: DataFrame, vocabulary: DataFrame, held, whole: bool) -> D
             x = 0
             for data, off in _batches([batch], 1):
                 h, _, row = tokens(data, off)
-                top = held.value["word"]
-                if len(top):
-                    new = top[np.minimum(np.searchsorted(top, h), len(top) - 1)] != h
-                    h, row = h[new], row[new]
+                new = ~_find(held.value, h)[1]
+                h, row = h[new], row[new]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x + row)), pa.array(h.view(np.int64))], names=["at", "word"])
                 x += len(off) - 1
 
@@ -377,14 +399,15 @@ def _with_words(texts: DataFrame, vocabulary: DataFrame, held, whole: bool) -> D
 
 def _look_up(own: dict, rest: pa.Array, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts and classes of words; 0 and -1 where training has not seen them."""
+    at, hit = _find(own, w)
     n, of = np.zeros(len(w), np.int64), np.full(len(w), -1, np.int64)
+    n[hit], of[hit] = own["n"][at[hit]], own["of"][at[hit]]
     more = rest.flatten()
-    word, first = np.unique(np.asarray(more.field("word")).view(np.uint64), return_index=True)
-    for x, m, k in ((own["word"], own["n"], own["of"]), (word, np.asarray(more.field("n"))[first], np.asarray(more.field("class"))[first])):
-        if len(x):
-            at = np.minimum(np.searchsorted(x, w), len(x) - 1)
-            hit = x[at] == w
-            n, of = np.where(hit, m[at], n), np.where(hit, k[at], of)
+    if len(more):
+        word, first = np.unique(np.asarray(more.field("word")).view(np.uint64), return_index=True)
+        at = np.minimum(np.searchsorted(word, w), len(word) - 1)
+        hit = word[at] == w
+        n[hit], of[hit] = np.asarray(more.field("n"))[first][at[hit]], np.asarray(more.field("class"))[first][at[hit]]
     return n, of
 
 

@@ -669,6 +669,17 @@ def test_brown_score_equals_plain_class_bigrams(spark):
     assert Counter((r.doc_id, round(r.score, 6)) for r in brown.score(frame, model).collect()) == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+def test_words_are_found_from_their_slots(n):
+    rng = np.random.default_rng(3)
+    near = np.arange(20, dtype=np.uint64) + np.uint64(1 << 60)  # of one slot
+    word = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, np.uint64), near, np.array([0, (1 << 64) - 1], np.uint64)])) if n > 2 else np.sort(rng.integers(0, 1 << 64, n, np.uint64))
+    slot, most = brown._slots(word)
+    asked = np.concatenate([word, word + np.uint64(1), word - np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64)])
+    at, there = brown._find({"word": word, "slot": slot, "most": most}, asked)
+    assert (there == np.isin(asked, word)).all() and (word[at[there]] == asked[there]).all()
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     n = np.zeros((13, 13))
