@@ -13,8 +13,8 @@ every 35 of text.
 1. One scan sends anchor and stretch hashes. Of equal stretches all but the first
    are repeats; most copies end here, many before the shuffle.
 2. Only where one anchor has different stretches, the first of each comes with its
-   bytes. A suffix array over a shard's stretches in corpus order, its common
-   prefixes, and the previous and next smaller positions in suffix order give the
+   bytes. Those without a window whose hash comes again in the shard repeat nothing;
+   a suffix array over the shard's other stretches in corpus order, its common prefixes, and the previous and next smaller positions in suffix order give the
    longest previous factor of each position: length or more marks a repeat.
 3. Anchors with more than HOT different stretches are split by single windows.
    Slots of anchors with far more stretches than others are found first; theirs meet
@@ -236,12 +236,29 @@ def _joined(doc, lo, hi):
     return np.unique(doc)[who], x - base, y - base
 
 
+def _candidates(raws: list[bytes], length: int) -> np.ndarray:
+    """Which of the stretches hold a window whose hash comes more than once; equal windows have equal hashes, so no other repeats anything."""
+    raw = np.frombuffer(b"".join(raws), np.uint8)
+    size = np.array([len(r) for r in raws], np.int64)
+    off = np.concatenate(([0], np.cumsum(size)))
+    windows = np.maximum(size - length + 1, 0)
+    at = np.arange(windows.sum()) + np.repeat(off[:-1] - np.cumsum(windows) + windows, windows)
+    h = tb.span_hash(tb.prefix(raw), at, at + length)
+    order = np.sort(h)
+    again = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(again):
+        return np.zeros(0, np.int64)
+    known = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h
+    return np.unique(np.repeat(np.arange(len(raws)), windows)[known])
+
+
 def _factors(parts: DataFrame, length: int) -> DataFrame:
     """Repeats (doc, lo, hi) among stretches (a, doc, lo, bytes); equal a stays together."""
     rows = parts.repartition("a").sortWithinPartitions("a", "doc", "lo")
 
     def work(held):
         held.sort(key=lambda r: r[:2])
+        held = [held[k] for k in _candidates([r[2] for r in held], length)]
         size = [len(r[2]) for r in held]
         text = np.zeros(sum(size) + len(size), np.int64)
         cut = np.concatenate(([0], np.cumsum(np.array(size) + 1)))

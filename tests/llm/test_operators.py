@@ -423,6 +423,15 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert suffixdup.remove(empty(spark)).count() == 0
 
 
+def test_candidates_are_all_stretches_that_repeat():
+    rng = random.Random(8)
+    raws = [bytes(rng.randrange(3) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [b"", b"abcdef"]
+    windows = Counter(r[k : k + 6] for r in raws for k in range(len(r) - 5))
+    want = [i for i, r in enumerate(raws) if any(windows[r[k : k + 6]] > 1 for k in range(len(r) - 5))]
+    assert suffixdup._candidates(raws, 6).tolist() == want and 0 < len(want) < len(raws)
+    assert suffixdup._candidates([], 6).tolist() == suffixdup._candidates([b"abcdef", b"abc"], 6).tolist() == []
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 2, 300)
