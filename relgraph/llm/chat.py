@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +142,9 @@ def format_chats(chats: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
             text, lo, hi = render([(r, t) for r, t in turns])
             wanted = np.array([r == learn for r, _ in turns])
             got = own.encode(text, add_special_tokens=False)
-            spans = np.array(got.offsets, np.int64).reshape(-1, 2)
+            spans = np.fromiter(chain.from_iterable(got.offsets), np.int64).reshape(-1, 2)
             on, loss = mask(spans[:, 0], spans[:, 1], lo[wanted], hi[wanted])
-            done.append((*key, first, len(turns), text, got.ids, on.tolist(), [x for s in loss for x in s]))
+            done.append((*key, first, len(turns), text, np.array(got.ids, np.int32), on, [x for s in loss for x in s]))
 
         def flush(kind):
             cols = list(zip(*done, strict=True)) or [[]] * 7
