@@ -13,7 +13,7 @@ whatever the corpus), words by neighbour class, and bigrams of the final classes
 are grouped sums. Words are known by 64-bit hashes.
 
 The vocabulary reaches the tasks as a broadcast of at most ``max_words`` of the
-commonest words (24 bytes each at most). Texts with words beyond those, rare by
+commonest words (26 bytes each at most). Texts with words beyond those, rare by
 construction, are joined with the counts and classes of these words.
 
 Defined cases: null and empty text is one token, the end; texts whose id is null
