@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import brown, chat, decontam, jaccard, pieces, pii, quality, sharding, suffixdup, topk
+from relgraph.llm import audit, brown, chat, decontam, jaccard, neardup, pieces, pii, quality, sessions, sharding, suffixdup, topk
 from relgraph.llm.runtime import crc_mod, prepare, scratch_path, table
 
 #: Arrivals that op2 deals the documents to.
@@ -98,15 +98,38 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(docs, brown.fit(docs.where(~held)), keep={"held_out": held})
 
 
+def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every user's sessions, with what retracted it."""
+    prepare(spark)
+    return sessions.versions(sessions.of_conversations(table(spark, sf_dir, "conversations")), gap=240, width=1800)
+
+
+def op12_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    prepare(spark)
+    found = neardup.join(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of each language, and the terms that mark a source."""
+    prepare(spark)
+    return audit.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_sharding, op3_decontaminate, op4_pii, op5_jaccard, op6_suffix, op7_quality, op8_chat, op9_sentencepiece, op10_brown)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_sharding, op3_decontaminate, op4_pii, op5_jaccard, op6_suffix, op7_quality, op8_chat, op9_sentencepiece, op10_brown, op11_sessions, op12_neardup, op13_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = (  # of a string of ASCII characters
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), "
+    "lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)), 4294967295::BIGINT)"
+)
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
@@ -168,4 +191,41 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(size)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op11_sessions": f"""
+WITH r AS (SELECT conv_id, turn, {_CRC.format("conv_id::VARCHAR")} AS c, {_CRC.format("conv_id::VARCHAR || ':' || turn")} AS h FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+e0 AS (SELECT 2 * floor(conv_id / 8.0::DOUBLE)::BIGINT + c % 2 AS u, (c // 2) % 7200 + 300 * turn + h % 600 AS sec, h, h // 600 AS g FROM r),
+e AS (SELECT u, sec, h, floor(sec / 1800.0::DOUBLE)::BIGINT + CASE WHEN g % 3 = 0 THEN g % 4 ELSE 0 END AS b FROM e0),
+t AS (SELECT DISTINCT u, b FROM e),
+f AS (SELECT t.u, t.b, e.sec, e.h, e.b AS eb, coalesce(e.sec - lag(e.sec) OVER (PARTITION BY t.u, t.b ORDER BY e.sec) > 240, true)::INT AS new FROM t JOIN e ON e.u = t.u AND e.b <= t.b),
+s AS (SELECT *, sum(new) OVER (PARTITION BY u, b ORDER BY sec) AS k FROM f),
+v AS (SELECT u, b, min(sec) AS x, max(sec) AS y, count(*) AS n, count(*) FILTER (eb = b) AS fresh, sum(h) AS h FROM s GROUP BY u, b, k HAVING max(eb) = b),
+w AS (SELECT v.u, v.b, v.x, min(o.b) AS rb, arg_min(o.x, o.b) AS rx FROM v JOIN v o ON o.u = v.u AND o.b > v.b AND o.x <= v.x AND o.y >= v.y GROUP BY ALL),
+z AS (SELECT u, rb, rx, count(*) AS k FROM w GROUP BY ALL)
+SELECT v.u AS "user", v.b AS batch, v.x::BIGINT AS start_s, v.y::BIGINT AS end_s, n AS n_events, fresh AS n_new, coalesce(z.k, 0) AS n_retracted, h::BIGINT AS h_sum,
+  w.rb AS retracted_batch, w.rx::BIGINT AS retracted_start_s
+FROM v LEFT JOIN w ON w.u = v.u AND w.b = v.b AND w.x = v.x LEFT JOIN z ON z.u = v.u AND z.rb = v.b AND z.rx = v.x""",
+    "op12_neardup": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e, vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit FROM embeddings),
+l AS (SELECT x.r AS a, y.r AS b, y.vec_id AS id FROM v x JOIN v y ON x.fit AND y.fit AND x.r <> y.r AND len(x.e) = len(y.e)
+  WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.95),
+c(a, b, id) AS (SELECT a, b, id FROM l UNION SELECT c.a, l.b, l.id FROM c JOIN l ON c.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(id) AS id FROM c GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(id, vec_id)) AS component_id, vec_id <= coalesce(id, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN m ON m.a = v.r""",
+    "op13_audit": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM o GROUP BY lang, term HAVING sum(docs) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN o USING (lang, source, term)),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT c.lang, c.source, term, c.n, (1 + (1000000000::HUGEINT * (c.n + 2)) // (t.n + 2 * l.v))::HUGEINT AS p FROM c JOIN t USING (lang, source) JOIN l USING (lang)),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v))::HUGEINT AS q FROM k JOIN l USING (lang)),
+s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+WHERE part = 'pair' OR rank <= 10""",
 }
