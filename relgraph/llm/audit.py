@@ -87,8 +87,8 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Pairs:
     """One chunk of terms and one pair of blocks of a language's sources."""
 
-    def __init__(self, key, sources, blocks, totals, kept: int, total: int, top: int):
-        self.key, self.kept, self.total, self.top = key, kept, total, top
+    def __init__(self, key, sources, blocks, totals, kept: int, total: int, here: int, top: int):
+        self.key, self.kept, self.total, self.top, self.unseen = key, kept, total, top, here
         order = sorted(range(len(sources)), key=sources.__getitem__)
         self.sources = np.array([sources[i] for i in order], object)
         self.blocks, self.totals = np.array([blocks[i] for i in order]), np.array([totals[i] for i in order], np.int64)[:, None]
@@ -98,6 +98,7 @@ class Pairs:
     def add(self, term: np.ndarray, source: np.ndarray, n: np.ndarray, lang_n: np.ndarray) -> None:
         """Rows sorted by term, all rows of their terms."""
         begins = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        self.unseen -= len(begins)
         words = term[begins]  # sorted: the dictionary
         ids = np.searchsorted(words, term)
         who = np.searchsorted(self.sources, source)
@@ -120,6 +121,9 @@ class Pairs:
 
     def rows(self) -> pa.RecordBatch:
         same = self.key[2] == self.key[3]
+        if self.unseen:  # terms of the chunk that no source here has
+            p = share(np.zeros((len(self.sources), 1), np.int64), self.totals, self.kept)
+            self.sums += self.unseen * divergence(p, p.T)
         a, b = np.triu_indices(len(self.sources), 1) if same else np.nonzero((self.blocks == self.key[2])[:, None] & (self.blocks == self.key[3])[None, :])
         value = self.sums[a, b].tolist() * 2
         name = self.sources.tolist()
@@ -155,15 +159,15 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, block: i
     groups = _named(docs).select("lang", "source").distinct()
     groups = materialise(groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").fillna(0, ["n"]), "audit-groups")
     langs = groups.groupBy("lang").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(kept.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("kept"), F.sum("n").alias("total")), "lang", "left").fillna(0)
-    chunks = kept.select("lang", "chunk").distinct().unionByName(langs.select("lang", F.lit(-1).alias("chunk")))  # every pair has a value
+    chunks = kept.groupBy("lang", "chunk").agg(F.sum(F.col("first").cast("long")).alias("here")).unionByName(langs.select("lang", F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("here")))  # every pair has a value
     own = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")
 
     def dealt(rows: DataFrame, *more) -> DataFrame:
         rows = rows.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         return rows.select("lang", "chunk", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), *more)
 
-    ends = dealt(groups.join(langs, "lang").join(chunks, "lang"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("term"), "source", "own", "n", "kept", "total")
-    said = dealt(kept.join(langs.select("lang", "blocks"), "lang"), F.lit(1).alias("kind"), "term", "source", "own", "n", F.lit(0).cast("long").alias("kept"), F.col("lang_n").alias("total"))
+    ends = dealt(groups.join(langs, "lang").join(chunks, "lang"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("term"), "source", "own", "n", "kept", "total", "here")
+    said = dealt(kept.join(langs.select("lang", "blocks"), "lang"), F.lit(1).alias("kind"), "term", "source", "own", "n", F.lit(0).cast("long").alias("kept"), F.col("lang_n").alias("total"), F.lit(0).cast("long").alias("here"))
 
     def run(batches):
         now, key, held = None, None, []
@@ -184,7 +188,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, block: i
 
         for b in batches:
             lang, source, term = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 6, 5))
-            chunk, i, j, kind, at, n, kept_, total = (np.asarray(b.column(k)) for k in (1, 2, 3, 4, 7, 8, 9, 10))
+            chunk, i, j, kind, at, n, kept_, total, here = (np.asarray(b.column(k)) for k in (1, 2, 3, 4, 7, 8, 9, 10, 11))
             cut = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (chunk[1:] != chunk[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (kind[1:] != kind[:-1]))) if len(lang) else []
             for x, y in zip(cut, np.append(cut[1:], len(lang)).astype(int), strict=True):
                 if (lang[x], chunk[x], i[x], j[x]) != key:
@@ -195,7 +199,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, block: i
                     key, now, ends_ = (lang[x], chunk[x], i[x], j[x]), None, []
                 if not kind[x]:
                     ends_.append((source[x:y].tolist(), at[x:y].tolist(), n[x:y].tolist()))
-                    now = Pairs(key, *(sum(c, []) for c in zip(*ends_, strict=True)), int(kept_[x]), int(total[x]), top)
+                    now = Pairs(key, *(sum(c, []) for c in zip(*ends_, strict=True)), int(kept_[x]), int(total[x]), int(here[x]), top)
                     continue
                 held.append([term[x:y], source[x:y], n[x:y], total[x:y]])
                 if sum(len(h[0]) for h in held) >= 1 << 16:
@@ -208,7 +212,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, block: i
     key = ["lang", "chunk", "i", "j"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = ends.unionByName(said).repartitionById(tasks, F.pmod(F.col("chunk") + 7919 * F.col("i") + 104729 * F.col("j"), F.lit(tasks)))
-    rows = rows.sortWithinPartitions(*key, "kind", "term", "source").select(*key, "kind", "term", "source", "own", "n", "kept", "total")
+    rows = rows.sortWithinPartitions(*key, "kind", "term", "source").select(*key, "kind", "term", "source", "own", "n", "kept", "total", "here")
     found = materialise(rows.mapInArrow(run, "lang string, source string, part string, item binary, value long"), "audit-parts")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     place = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
