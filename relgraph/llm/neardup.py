@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relgraph.functions.text import let
 from relgraph.llm.components import components
 from relgraph.llm.runtime import discard, materialise
 
@@ -97,11 +98,11 @@ def classes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     x = F.col(vector_col)
     fit = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0)
     rows = vectors.where(fit).groupBy(x.alias("v")).agg(F.min(id_col).alias("least"), F.count("*").alias("m"))
-    most = F.array_max(F.transform("v", lambda e: F.abs(e.cast("double"))))  # so that squares neither vanish nor overflow
-    rows = rows.withColumn("u", F.transform("v", lambda e: e.cast("double") / most))
-    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, e: a + e * e))
-    rows = rows.withColumn("__l", length).withColumn("u", F.transform("u", lambda e: e / F.col("__l"))).drop("__l")
-    return rows.withColumn("c", F.monotonically_increasing_id())
+    most = F.array_max(F.transform("v", lambda e: F.abs(e.cast("double"))))
+    scaled = let(most, lambda m: F.transform("v", lambda e: e.cast("double") / m))  # so that squares neither vanish nor overflow
+    length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, e: a + e * e))
+    unit = let(scaled, lambda w: let(length(w), lambda n: F.transform(w, lambda e: e / n)))
+    return rows.withColumns({"u": unit, "c": F.monotonically_increasing_id()})
 
 
 def _buckets(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
