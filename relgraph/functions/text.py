@@ -130,10 +130,14 @@ def links(c) -> Column:
 
 
 def link_text(shown, name, lower_name) -> Column:
-    """What replaces an anchor: the entity's name if the shown text ends it, else the shown text (SC7)."""
+    """What replaces an anchor: the entity's name if the shown text ends it, else the shown text (SC7).
+
+    The name is in lower case if the shown text has letters of lower case and no others; nothing stays nothing.
+    """
     shown, name, lower_name = _col(shown), _col(name), _col(lower_name)
-    fits = F.endswith(lower_name, F.lower(shown))
-    return F.when(~fits, shown).when(shown == F.lower(shown), lower_name).otherwise(name)
+    fits = (shown != "") & F.endswith(lower_name, F.lower(shown))
+    small = F.rlike(shown, F.lit(r"\p{IsLowercase}")) & ~F.rlike(shown, F.lit(r"[\p{IsUppercase}\p{Lt}]"))
+    return F.when(~fits, shown).when(small, lower_name).otherwise(name)
 
 
 def resolve_links(line, found) -> Column:

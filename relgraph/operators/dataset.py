@@ -105,10 +105,10 @@ def decode(found: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.get("t", F.lit(0))["pid"].alias("pid"), nodes.alias("nodes"), F.transform("t", lambda x: F.get("source", x["sent"])).alias("notes"), harmonic_mean(F.transform("t", lambda x: x["score"])).alias("score"))
 
 
-def sample_yield(found: DataFrame, edges: DataFrame) -> float | None:
-    """Samples over target edges (AG14); none without edges."""
-    n = edges.count()
-    return found.count() / n if n else None
+def sample_yield(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (samples, edges, yield): samples over target edges (AG14); no yield without edges."""
+    both = found.agg(F.count("*").alias("samples")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    return both.withColumn("yield", F.try_divide(F.col("samples").cast("double"), F.col("edges")))
 
 
 def review_sheet(targets: DataFrame, graphs: dict[str, tuple[DataFrame, bool]], outputs: dict[str, DataFrame]) -> DataFrame:

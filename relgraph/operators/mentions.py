@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions.scores import cosine
-
-
-#: Characters of phrases that may go to every task; a larger dictionary meets the n-grams in a shuffle.
-BROADCAST_CHARS = 16 << 20
+from relgraph.operators import trie
 
 
 def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest", scope: tuple[str, ...] = ()) -> DataFrame:
     """(id, start, size, phrase): dictionary phrases in token arrays (id, tokens) (TX1, TX2).
 
     greedy: every phrase at every place. longest: from the left, the longest phrase at
-    a place, and on after it. dictionary: (phrase), words joined by single spaces.
+    a place, and on after it. dictionary: (phrase), words joined by single spaces, of any number (TX3, TX4).
     scope: columns of both tables; a phrase is known only where they are equal (TX5).
     """
+    if not scope:
+        rows = trie.hits(tokens.select("id", "tokens"), dictionary, None if mode == "greedy" else "longest")
+        said = lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.array_join(F.slice("tokens", x["start"] + 1, x["size"]), " ").alias("phrase"))
+        return rows.select("id", F.explode(F.transform(F.filter("hits", lambda x: x["whole"]), said)).alias("m")).select("id", "m.*")
     words = dictionary.select(*scope, "phrase").where(F.col("phrase") != "").distinct().withColumn("size", F.size(F.split("phrase", " ")))
-    said = F.array_join(F.slice("tokens", F.col("start") + 1, F.col("size")), " ").alias("phrase")
-    if not scope and words.agg(F.coalesce(F.sum(F.length("phrase") + 16), F.lit(0))).first()[0] <= BROADCAST_CHARS:
-        # only where the first word of a phrase stands are words joined up
-        words = F.broadcast(words)
-        firsts = words.groupBy(F.substring_index("phrase", " ", 1).alias("first")).agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-        at = tokens.select("id", "tokens", F.posexplode("tokens").alias("start", "first")).join(F.broadcast(firsts), "first")
-        at = at.select("id", "tokens", "start", F.explode("sizes").alias("size"))
-        grams = at.where(F.col("start") + F.col("size") <= F.size("tokens")).select("id", "start", "size", said)
-    else:
-        sizes = words.groupBy(*scope).agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # that occur in the dictionary
-        at = tokens.join(sizes, list(scope)) if scope else tokens.crossJoin(F.broadcast(sizes))
-        at = at.select("id", *scope, "tokens", F.explode("sizes").alias("size"))
-        grams = at.where(F.size("tokens") >= F.col("size")).select("id", *scope, "size", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("start"))
-        grams = grams.select("id", *scope, "start", "size", said)
+    sizes = words.groupBy(*scope).agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # that occur in the dictionary
+    at = tokens.join(sizes, list(scope)).select("id", *scope, "tokens", F.explode("sizes").alias("size")).where(F.size("tokens") >= F.col("size"))
+    gram = F.transform(F.sequence(F.lit(0), F.size("tokens") - F.col("size")), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("tokens", i + 1, F.col("size")), " ").alias("phrase")))
+    grams = at.select("id", *scope, "size", F.explode(gram).alias("g")).select("id", *scope, "size", "g.start", "g.phrase")
     found = grams.join(words, [*scope, "phrase", "size"]).select("id", "start", "size", "phrase")
     if mode == "greedy":
         return found
@@ -42,10 +34,21 @@ def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest
 
 def longest_from_left(found: DataFrame) -> DataFrame:
     """Of matches (id, start, size, phrase) the longest at a place, from the left, and on after it (TX1)."""
-    best = found.groupBy("id", "start").agg(F.max(F.struct("size", "phrase")).alias("m")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "m.size", "m.phrase"))).alias("m"))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int,phrase:string>>").alias("out"))
-    kept = F.aggregate("m", none, lambda acc, x: F.when(x["start"] >= acc["at"], F.struct((x["start"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    return best.select("id", F.explode(kept).alias("m")).select("id", "m.*")
+    best = found.groupBy("id", "start").agg(F.max(F.struct("size", "phrase")).alias("m")).select("id", "start", "m.size", "m.phrase")
+    kind = found.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        now, at = None, 0  # a text may go on in the next batch
+        for b in batches:
+            taken = []
+            for i, s, n in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+                if i != now:
+                    now, at = i, 0
+                taken.append(s >= at)
+                at = s + n if taken[-1] else at
+            yield b.filter(pa.array(taken, pa.bool_()))
+
+    return best.repartition("id").sortWithinPartitions("id", "start").mapInArrow(run, f"id {kind}, start int, size int, phrase string")
 
 
 def reform(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -54,18 +57,21 @@ def reform(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     From the left, words are read as long as they begin some phrase; the longest phrase among them becomes
     one word. What was read beyond it is kept as it is and not looked at again (Q20).
     """
-    words = dictionary.select(F.split("phrase", " ").alias("w")).where(F.element_at("w", 1) != "")
-    begin = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.struct(F.array_join(F.slice("w", 1, k), " ").alias("phrase"), (k == F.size("w")).alias("whole"))))
-    begins = words.select(begin.alias("p")).select("p.*").groupBy("phrase").agg(F.max("whole").alias("whole"))
-    found = match_phrases(tokens, begins, "greedy").join(begins, "phrase")
-    step = F.struct("start", F.col("reach"), "take")
-    read = found.groupBy("id", "start").agg(F.max("size").alias("reach"), F.coalesce(F.max(F.when(F.col("whole"), F.col("size"))), F.lit(0)).alias("take")).groupBy("id").agg(F.sort_array(F.collect_list(step)).alias("m"))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    inner = lambda x: F.when(x["take"] > 1, F.sequence(x["start"] + 1, x["start"] + x["take"] - 1)).otherwise(F.array().cast("array<int>"))
-    glued = F.aggregate("m", none, lambda acc, x: F.when(x["start"] >= acc["at"], F.struct((x["start"] + x["reach"]).alias("at"), F.concat(acc["out"], inner(x)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    rows = tokens.join(read.select("id", glued.alias("glued")), "id", "left").withColumn("glued", F.coalesce("glued", F.array().cast("array<int>")))
-    said = F.transform("tokens", lambda x, i: F.concat(F.when(i == 0, "").when(F.array_contains("glued", i), "_").otherwise(" "), x))
-    return rows.select("id", F.array_join(said, "").alias("text"))
+    rows = trie.hits(tokens.select("id", "tokens"), dictionary, "read")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for words, joins in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                parts, at = [], 0
+                for x in joins:
+                    if x["size"] > 1:
+                        parts += [*words[at : x["start"]], "_".join(words[x["start"] : x["start"] + x["size"]])]
+                        at = x["start"] + x["size"]
+                out.append(None if words is None else " ".join([*parts, *words[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "text"])
+
+    return rows.mapInArrow(run, f"id {tokens.schema['id'].dataType.simpleString()}, text string")
 
 
 def page_names(paragraphs: DataFrame, links: DataFrame) -> DataFrame:

@@ -47,6 +47,17 @@ def hit_vector(contexts, answers):
     return F.transform(contexts, lambda c: F.exists(answers, lambda a: contains_answer(c, a)))
 
 
+def hit_vectors(contexts: DataFrame, answers: DataFrame) -> DataFrame:
+    """(question, hits): for each context (question, rank, text) of a question, by rank, whether it holds one of the answers (EV3 at scale).
+
+    answers: (answer_id, answer), the same for all questions. Texts meet answers by their common windows, as in ``answers_in_texts``.
+    """
+    rows = contexts.withColumn("text_id", F.struct("question", "rank"))
+    found = answers_in_texts(answers, rows.where("text is not null").select("text_id", "text")).select("text_id", F.lit(True).alias("hit")).distinct()
+    rows = rows.select("text_id").join(found, "text_id", "left").select("text_id.*", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return rows.groupBy("question").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "hit"))), lambda x: x["hit"]).alias("hits"))
+
+
 def topk_curve(hits: DataFrame, n: int) -> DataFrame:
     """(k, hits): questions (question, rank, hit) with a hit among the first k contexts, k up to n (AG9, EV4)."""
     best = hits.where("hit").groupBy("question").agg(F.min("rank").alias("best")).groupBy("best").agg(F.count("*").alias("m"))

@@ -7,6 +7,7 @@ that share a sentence; documents, pages and conversations stand for themselves.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -230,13 +231,13 @@ def prompt(spark, sf):
     return ranked.select("a", "b", "rank", samples.prompt(F.col("a").cast("string"), F.col("b").cast("string"), nodes, said).alias("prompt"))
 
 
-@query(f"""WITH {_EDGES}, {_PATHS}, nt AS (SELECT a, b, note FROM good WHERE note % 10 = 0), en AS (SELECT note, list(ent) AS ents FROM b GROUP BY note),
+@query(f"""WITH {_EDGES}, {_PATHS}, nt AS (SELECT a, b, note FROM good), en AS (SELECT note, list(ent) AS ents FROM b GROUP BY note),
 t AS (SELECT a, b, note, list_filter(ents, lambda x: x <> a AND x <> b) AS others FROM nt JOIN en USING (note))
 SELECT t.a, t.b, t.note, count(*) AS paths, min(path) AS first FROM t JOIN p2 ON p2.a = t.a AND p2.b = t.b WHERE len(others) > 0 AND list_has_all(nodes, others) GROUP BY ALL""")
 def paragraph_cover(spark, sf):
-    # every tenth order stands for a paragraph's target sentence
+    # every order stands for a paragraph's target sentence
     edges = _weights(_graph(spark, sf, 1))
-    rows = _features(spark, sf).where("sim >= 0.5 and score >= 0.75 and note % 10 = 0").select(F.least("kw1", "kw2").alias("a"), F.greatest("kw1", "kw2").alias("b"), "note")
+    rows = _features(spark, sf).where("sim >= 0.5 and score >= 0.75").select(F.least("kw1", "kw2").alias("a"), F.greatest("kw1", "kw2").alias("b"), "note")
     targets = rows.join(_baskets(spark, sf), "note")
     found = samples.paragraph_cover(graph.paths(graph.both_ways(edges), edges, 2), targets)
     path = F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-")
@@ -393,11 +394,18 @@ def entity_name(spark, sf):
     return _titles(spark, sf).select("page_id", text.entity_name("title").alias("name"))
 
 
+# what an anchor {0} of the name {1} becomes
+_SHOWN = r"CASE WHEN {0} = '' OR right(lower({1}), length({0})) <> lower({0}) THEN {0} WHEN regexp_matches({0}, '\p{{Ll}}') AND NOT regexp_matches({0}, '[\p{{Lu}}\p{{Lt}}]') THEN lower({1}) ELSE {1} END"
+
+
 @query(f"""WITH {_LINKS}, n AS (SELECT *, replace(href, '/', '') AS name FROM l)
-SELECT page_id, seq::INT AS seq, CASE WHEN NOT ends_with(lower(name), lower(shown)) THEN shown WHEN shown = lower(shown) THEN lower(name) ELSE name END AS text FROM n""")
+SELECT page_id, seq::INT AS seq, {_SHOWN.format('shown', 'name')} AS text,
+  {_SHOWN.format("(page_id % 100)::VARCHAR", "name || ' ' || page_id")} AS number, {_SHOWN.format("''", 'name')} AS nothing FROM n""")
 def link_mentions(spark, sf):
     rows = _links(spark, sf).withColumn("name", F.replace("href", F.lit("/"), F.lit("")))
-    return rows.select("page_id", "seq", text.link_text("shown", "name", F.lower("name")).alias("text"))
+    said = lambda shown, name: text.link_text(shown, name, F.lower(name))
+    number = said((F.col("page_id") % 100).cast("string"), F.concat_ws(" ", "name", "page_id"))
+    return rows.select("page_id", "seq", said(F.col("shown"), F.col("name")).alias("text"), number.alias("number"), said(F.lit(""), F.col("name")).alias("nothing"))
 
 
 @query(f"""WITH {_LINKS}, n AS (SELECT DISTINCT page_id, lower(replace(href, '/', '')) AS name FROM l WHERE href <> '/')
@@ -435,7 +443,7 @@ _EXTRACT = rf"""par AS (SELECT page_id AS page, regexp_extract(html, '<a href="(
 lr AS (SELECT page, para, unnest(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 0)) AS raw, unnest(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 1)) AS entity,
   unnest(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 2)) AS shown, generate_subscripts(regexp_extract_all(line, '<a href="([^"]*)">([^<]*)</a>', 0), 1) AS seq FROM par),
 lk AS (SELECT *, lower(kw) AS name FROM (SELECT *, {_name_sql('entity', False)} AS kw FROM lr)),
-rp AS (SELECT page, para, list(raw || chr(1) || CASE WHEN NOT ends_with(name, lower(shown)) THEN shown WHEN shown = lower(shown) THEN name ELSE kw END ORDER BY seq) AS rp FROM lk GROUP BY ALL),
+rp AS (SELECT page, para, list(raw || chr(1) || {_SHOWN.format("shown", "kw")} ORDER BY seq) AS rp FROM lk GROUP BY ALL),
 pl AS (SELECT page, para, title, list_reduce(list_prepend(line, coalesce(rp, [])), lambda acc, y: replace(acc, split_part(y, chr(1), 1), split_part(y, chr(1), 2))) AS line FROM par LEFT JOIN rp USING (page, para)),
 sn AS (SELECT page, para, title, list_filter(list_transform(regexp_extract_all(line, '[^.!?
 ]+[.!?]*'), lambda y: trim(y)), lambda y: y <> '') AS l FROM pl),
@@ -863,11 +871,11 @@ def full_match(spark, sf):
     return _titles(spark, sf).select("page_id", text.full_match("title", "[A-Za-z]+|[A-Za-z ]+").alias("plain"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_transform(t[1:12], lambda x, i: (CASE WHEN i = 2 THEN '<E1> ' WHEN i = 5 THEN '<E2> ' ELSE '' END) || x || (CASE WHEN i = 3 THEN ' <E1>' WHEN i = 5 THEN ' <E2>' ELSE '' END)), ' ') AS marked FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}', 0) AS t FROM documents)")
+@query(f"SELECT doc_id, md5(array_to_string(list_transform(t, lambda x, i: (CASE WHEN i = 2 THEN '<E1> ' WHEN i = 5 THEN '<E2> ' ELSE '' END) || x || (CASE WHEN i = 3 THEN ' <E1>' WHEN i = 5 THEN ' <E2>' ELSE '' END)), ' ')) AS marked FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}', 0) AS t FROM documents)")
 def marked_spans(spark, sf):
     span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
-    rows = _t(spark, sf, "documents").select("doc_id", F.slice(text.tokenize("text"), 1, 12).alias("t"))
-    return rows.select("doc_id", text.mark_spans("t", F.array(span(1, 3), span(4, 5))).alias("marked"))
+    rows = _t(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("t"))
+    return rows.select("doc_id", F.md5(text.mark_spans("t", F.array(span(1, 3), span(4, 5)))).alias("marked"))
 
 
 @query("SELECT conv_id, turn, ['docs', conv_id::VARCHAR, turn::VARCHAR][1] || ':' || conv_id || ':' || turn AS note, 'docs' AS folder, conv_id::VARCHAR AS file, turn::INT AS line FROM conversations")
@@ -881,16 +889,16 @@ def batches(spark, sf):
     return io.batches(_t(spark, sf, "events").select("event_type", "event_id"), 100, "event_type", "event_id")
 
 
-@query(f"""WITH b AS (SELECT min(item_id) AS i, max(item_id) AS j FROM benchmark), an AS (SELECT list(' ' || array_to_string(regexp_extract_all(lower(text), '{_TOKEN}', 0)[1:2], ' ') || ' ' ORDER BY item_id) AS an FROM benchmark JOIN b ON item_id IN (i, j)),
-c AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(lower(text), '{_TOKEN}', 0), ' ') || ' ' AS t FROM conversations)
-SELECT conv_id, array_to_string(list(CASE WHEN len(list_filter(an, lambda x: contains(t, x))) > 0 THEN 'y' ELSE 'n' END ORDER BY turn), '') AS hits FROM c, an GROUP BY conv_id""")
+# ten documents in a row are the contexts of a question, all items of the benchmark its answers
+@query(f"""WITH i AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '{_TOKEN}', 0), ' ') || ' ' AS a FROM benchmark),
+d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '{_TOKEN}', 0), ' ') || ' ' AS t FROM documents),
+h AS (SELECT DISTINCT doc_id FROM i, d WHERE contains(t, a) AND a <> '  ')
+SELECT doc_id // 10 AS question, string_agg(CASE WHEN h.doc_id IS NULL THEN 'n' ELSE 'y' END, '' ORDER BY d.doc_id) AS hits FROM d LEFT JOIN h USING (doc_id) GROUP BY 1""")
 def hit_vector(spark, sf):
-    items = _t(spark, sf, "benchmark")
-    ends = items.agg(F.min("item_id").alias("i"), F.max("item_id").alias("j"))
-    two = items.join(F.broadcast(ends), (F.col("item_id") == F.col("i")) | (F.col("item_id") == F.col("j"))).agg(F.sort_array(F.collect_list(F.struct("item_id", F.array_join(F.slice(text.tokenize("text", lower=True), 1, 2), " ").alias("a")))).alias("an"))
-    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("c"))
-    rows = rows.crossJoin(F.broadcast(two))  # one row
-    return rows.select("conv_id", F.array_join(F.transform(metrics.hit_vector("c", F.transform("an", lambda x: x["a"])), lambda h: F.when(h, "y").otherwise("n")), "").alias("hits"))
+    contexts = _t(spark, sf, "documents").select(F.floor(F.col("doc_id") / 10).alias("question"), F.col("doc_id").alias("rank"), "text")
+    answers = _t(spark, sf, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
+    found = metrics.hit_vectors(contexts, answers)
+    return found.select("question", F.array_join(F.transform("hits", lambda h: F.when(h, "y").otherwise("n")), "").alias("hits"))
 
 
 @query("SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(len(a.embedding)), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -905,20 +913,21 @@ def learning_rate(spark, sf):
     return _t(spark, sf, "events").select("event_id", _r(scores.warmup_linear("event_id", 1000, 8001, 0.1)).alias("rate"))
 
 
-@query(f"WITH {_FEATURES}, t AS (SELECT DISTINCT a, b FROM f WHERE sim >= 0.5), y AS (SELECT a, b FROM good0 GROUP BY a, b) SELECT round((SELECT count(*) FROM y) / (SELECT count(*) FROM t)::DOUBLE, 6) AS yield, (SELECT count(*) FROM t) AS edges".replace(", y AS", ", good0 AS (SELECT a, b FROM f WHERE sim >= 0.5 AND score >= 0.75), y AS"))
+# target edges are those of all related pairs, whether or not a sentence of theirs passes
+@query(f"WITH {_FEATURES}, t AS (SELECT DISTINCT a, b FROM f WHERE sim >= 0.5), y AS (SELECT DISTINCT a, b FROM ({_dataset_sql('len(notes), round(score, 12) DESC, nodes', False)})) SELECT (SELECT count(*) FROM y) AS samples, count(*) AS edges, round((SELECT count(*) FROM y) / count(*)::DOUBLE, 6) AS yield FROM t")
 def dataset_yield(spark, sf):
-    every = graph.related(graph.undirected(graph.digraph(_features(spark, sf))), 0.5)
-    share, edges = dataset.sample_yield(_graph(spark, sf, 1), every), every.count()
-    return spark.createDataFrame([(round(share, 6) if share is not None else None, edges)], "yield double, edges long")
+    every = _features(spark, sf).where("sim >= 0.5").select("kw1", "kw2").distinct()
+    sents = _subgraph(spark, sf, 2)
+    return dataset.sample_yield(dataset.collect_samples(sents, sents), every).select("samples", "edges", _r("yield").alias("yield"))
 
 
-@query(f"""WITH {_PAIRS}, tx AS (SELECT a, b, 'order ' || min(note) AS text FROM p GROUP BY a, b HAVING min(note) % 2 = 0)
+@query(f"""WITH {_PAIRS}, tx AS (SELECT a, b, 'order ' || min(note) AS text FROM p GROUP BY a, b)
 SELECT tx.a, tx.b, text, min(note) AS note FROM tx JOIN p USING (a, b) WHERE 'order ' || note = text GROUP BY ALL""")
 def notes_of_texts(spark, sf):
     lists = _baskets(spark, sf)
     found = cooccur.shared(cooccur.occurrences(lists), cooccur.counts(lists)[0].select("a", "b"))
     sents = lists.select("note", F.concat(F.lit("order "), F.col("note").cast("string")).alias("text"))
-    wanted = cooccur.pairs(lists).groupBy("a", "b").agg(F.min("note").alias("first")).where("first % 2 = 0").select("a", "b", F.concat(F.lit("order "), F.col("first").cast("string")).alias("text"))
+    wanted = cooccur.pairs(lists).groupBy("a", "b").agg(F.min("note").alias("first")).select("a", "b", F.concat(F.lit("order "), F.col("first").cast("string")).alias("text"))
     return cooccur.notes_of_texts(wanted, found, sents)
 
 
@@ -929,18 +938,23 @@ def _written(spark, sf, name: str, rows: DataFrame) -> str:
     return path
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL)
-SELECT doc_id::VARCHAR AS doc, 'T ' || doc_id AS title, (k + 1)::INT AS para, trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> ''""")
+# titles hold quotes and two spaces, and stand again before the text and after it
+@query(r"""WITH b AS (SELECT doc_id, 'The "T"  ' || doc_id AS title, 'The "T" ' || doc_id AS said FROM documents WHERE text IS NOT NULL),
+x AS (SELECT b.*, chr(10) || said || chr(10) || chr(10) || text || chr(10) || ' ' || said || chr(9) || chr(10) || title || chr(10) AS body FROM b JOIN documents USING (doc_id)),
+l AS (SELECT doc_id, said, unnest(string_split_regex(body, '\r\n|\r|\n')) AS line, generate_subscripts(string_split_regex(body, '\r\n|\r|\n'), 1) AS k FROM x),
+t AS (SELECT doc_id, said, k, regexp_replace(line, '^[\t-\r\x1c-\x20\x85\p{Z}]+|[\t-\r\x1c-\x20\x85\p{Z}]+$', '', 'g') AS line FROM l)
+SELECT doc_id::VARCHAR AS doc, said AS title, (k - 2)::INT AS para, line FROM t WHERE line <> '' AND line <> said""")
 def dump_lines(spark, sf):
-    id_, title = F.col("doc_id").cast("string"), F.concat(F.lit("T "), F.col("doc_id").cast("string"))
-    page = F.concat(F.lit('<doc id="'), id_, F.lit('" url="u" title="'), title, F.lit('">\n'), title, F.lit("\n\n"), F.col("text"), F.lit("\n</doc>"))
+    id_ = F.col("doc_id").cast("string")
+    title, said = F.concat(F.lit('The "T"  '), id_), F.concat(F.lit('The "T" '), id_)
+    page = F.concat(F.lit('<doc id="'), id_, F.lit('" url="u" title="'), title, F.lit('">\n'), said, F.lit("\n\n"), F.col("text"), F.lit("\n "), said, F.lit("\t\n"), title, F.lit("\n</doc>"))
     path = _written(spark, sf, "dump", _t(spark, sf, "documents").where("text is not null").select(page.alias("value")))
     return io.read_dump(spark, path).select("doc", "title", "para", "line")
 
 
 @query("SELECT sum(len(text) - len(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents WHERE text IS NOT NULL")
 def line_counts(spark, sf):
-    path = _written(spark, sf, "lines", _t(spark, sf, "documents").where("text is not null").select(F.col("text").alias("value")).coalesce(1))
+    path = _written(spark, sf, "lines", _t(spark, sf, "documents").where("text is not null").select(F.col("text").alias("value")))
     return io.count_lines(spark, path).where(F.endswith("file", F.lit(".txt"))).agg((F.sum("lines") - F.count("*")).alias("lines"))  # each file ends with a line end
 
 
@@ -961,13 +975,12 @@ def passages(spark, sf):
     return io.read_passages(spark, path).select("id", F.md5(F.expr("substring(text, 2)")).alias("text"))
 
 
-@query("SELECT conv_id::VARCHAR || ':' || turn AS output, role AS target FROM conversations")
+@query("SELECT 'hypothesis' AS file, conv_id::VARCHAR || ':' || turn AS value FROM conversations UNION ALL SELECT 'reference', role FROM conversations")
 def split_outputs(spark, sf):
     rows = _t(spark, sf, "conversations").select(F.lit("q").alias("question"), F.concat_ws(":", "conv_id", "turn").alias("output"), F.col("role").alias("target"))
     path = _written(spark, sf, "outputs", rows.select(F.concat_ws("\t", "question", "output", "target").alias("value")))
     both = io.read_delimited(spark, path, "question string, output string, target string")
-    io.split_outputs(both)  # rows of fewer columns are an error
-    return both.select("output", "target")
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("file"), "value") for name, rows in zip(("hypothesis", "reference"), io.split_outputs(both), strict=True)))
 
 
 @query("SELECT event_type AS pattern, count(*) AS cnt FROM events GROUP BY 1")
@@ -983,8 +996,9 @@ def stream_windows(spark, sf):
     return found.select("day", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query(r"""SELECT doc_id::VARCHAR AS id, 'T ' || source AS title FROM documents WHERE regexp_full_match(source, '[\x00-\x7F]*')""")
+@query(r"""SELECT doc_id::VARCHAR AS id, 'The "T" ' || source AS title FROM documents WHERE regexp_full_match(source, '[\x00-\x7F]*') AND doc_id % 2 = 0""")
 def dump_ids(spark, sf):
-    head = F.concat(F.lit('<doc id="'), F.col("doc_id").cast("string"), F.lit('" url="u" title="T '), F.col("source"), F.lit('">'))
+    # every second url is not ASCII, so its line is none
+    head = F.concat(F.lit('<doc id="'), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, '" url="u" title="The "T" ').otherwise('" url="é" title="The "T" '), F.col("source"), F.lit('">'))
     path = _written(spark, sf, "heads", _t(spark, sf, "documents").select(head.alias("value")))
     return io.read_ids(io.read_lines(spark, path))

@@ -10,25 +10,33 @@ from pyspark.sql import functions as F
 from relgraph.sources import scratch
 
 
+#: White space at the ends of lines.
+SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+
+
+def stripped(c):
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """(file, doc, title, para, line): pages of an annotated dump tree (IO1, IO2).
 
     A page is a record that ends with its mark, so files of any size are read in pieces; doc is the page's id.
-    Empty lines and a first line that repeats the title are left out.
+    A title goes up to the end of its tag, quotes included. Empty lines and all that equal the title are left out.
     """
     pages = spark.read.option("lineSep", "</doc>").option("recursiveFileLookup", True).text(path)
-    head = r'(?s)<doc id="([^"]*)"[^>]*title="([^"]*)"[^>]*>\n?(.*)'
+    head = r'(?s)<doc id="([^"\n]*)"[^\n]*?title="([^\n]*?)">(?:\r\n|\r|\n)?(.*)'
     part = lambda k: F.regexp_extract("value", head, k)
-    pages = pages.where(F.contains("value", F.lit('<doc id="'))).select(F.col("_metadata.file_path").alias("file"), part(1).alias("doc"), F.array_join(F.split(F.trim(part(2)), r"\s+"), " ").alias("title"), part(3).alias("body"))
-    lines = pages.select("file", "doc", "title", F.posexplode(F.split("body", "\n")).alias("para", "line"))
-    lines = lines.withColumn("line", F.trim("line"))
-    return lines.where((F.col("line") != "") & ~((F.col("para") <= 1) & (F.col("line") == F.col("title"))))
+    pages = pages.where(F.contains("value", F.lit('<doc id="'))).select(F.col("_metadata.file_path").alias("file"), part(1).alias("doc"), stripped(F.regexp_replace(part(2), SPACE + "+", " ")).alias("title"), part(3).alias("body"))
+    lines = pages.select("file", "doc", "title", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("para", "line")).withColumn("line", stripped("line"))
+    return lines.where((F.col("line") != "") & (F.col("line") != F.col("title")))
 
 
 def read_ids(lines: DataFrame) -> DataFrame:
-    """(id, title) of ASCII page headers among lines (value) (IO3)."""
-    ascii_ = lines.where(F.col("value").rlike(r'^<doc id="[^"]*".*title="[\x00-\x7F]*">'))
-    return ascii_.select(F.regexp_extract("value", r'id="([^"]*)"', 1).alias("id"), F.regexp_extract("value", r'title="([^"]*)"', 1).alias("title"))
+    """(id, title) of page headers among lines (value) that are ASCII throughout (IO3)."""
+    head = r'^<doc id="(.*?)" url=".*?title="(.*?)">'
+    ascii_ = lines.where(F.col("value").rlike(head) & F.col("value").rlike(r"\A[\x00-\x7F]*\z"))
+    return ascii_.select(F.regexp_extract("value", head, 1).alias("id"), F.regexp_extract("value", head, 2).alias("title"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgraph import __main__ as cli
-from relgraph.operators import dataset, graph, mentions, metrics
+from relgraph.operators import dataset, graph, mentions, metrics, trie
 from relgraph.sources import io
 
 ITEM = "score double, note string, significant double, explicit double, span_head struct<start:int,end:int>, span_tail struct<start:int,end:int>"
@@ -147,7 +147,9 @@ def rewritten(tokens, phrases):
     return " ".join(out)
 
 
-def test_reform(spark):
+@pytest.mark.parametrize("part", [1 << 20, 4])
+def test_reform(spark, monkeypatch, part):
+    monkeypatch.setattr(trie, "PART", part)
     phrases = ["a b", "a b c d", "b", "c d e", "d"]
     rng = random.Random(7)
     rows = [(i, rng.choices("abcdex", k=rng.randrange(0, 10))) for i in range(150)] + [(500, "a b c x".split()), (501, [])]
@@ -166,6 +168,25 @@ def test_phrases_of_more_than_eight_words(spark):
     assert got == {0: rewritten(said, phrases), 1: rewritten(said[:10], phrases)}
 
 
+def test_many_matches_in_a_text_and_many_phrases(spark, monkeypatch):
+    monkeypatch.setattr(trie, "PART", 20_000)
+    n = 40_000
+    tokens = spark.createDataFrame([(1, [f"w{k % 1000}" for k in range(n)]), (2, None), (3, [])], "id int, tokens array<string>")
+    words = spark.range(30_000).select(F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 1000), F.concat(F.lit("w"), (F.col("id") + 1) % 1000), F.when(F.col("id") >= 1000, F.concat(F.lit("x"), F.col("id")))).alias("phrase"))
+    assert trie.nodes(words)[1] > 3
+    got = mentions.match_phrases(tokens, words).orderBy("start").collect()
+    assert len(got) == n // 2 and all(r.start == 2 * k and r["size"] == 2 for k, r in enumerate(got))
+    text = {r.id: r.text for r in mentions.reform(tokens, words).collect()}
+    assert text[1] == " ".join(f"w{k % 1000}_w{(k + 1) % 1000}" for k in range(0, n, 2)) and text[2] is None and text[3] == ""
+    found = spark.createDataFrame([(1, k, 1 + k % 3, "p") for k in range(n)], "id int, start int, size int, phrase string")
+    at, want = 0, []
+    for k in range(n):
+        if k >= at:
+            want.append(k)
+            at = k + 1 + k % 3
+    assert sorted(r.start for r in mentions.longest_from_left(found).collect()) == want
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(len(a)), range(len(b))):

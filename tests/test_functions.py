@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgraph.functions import scores, text
-from relgraph.operators import cooccur, generation, graph, mentions, metrics, parse, samples
+from relgraph.operators import cooccur, generation, graph, mentions, metrics, parse, samples, trie
 from relgraph.sources import io
 
 
@@ -60,11 +60,18 @@ def test_unquote(spark, given, want):
     assert one(spark, text.unquote(F.lit(given))) == want
 
 
-@pytest.mark.parametrize("shown,want", [("apple", "big apple"), ("Apple", "Big Apple"), ("city", "city")])
+@pytest.mark.parametrize("shown,want", [("apple", "big apple"), ("Apple", "Big Apple"), ("city", "city"), ("", ""), ("x apple", "x apple")])
 def test_link_text(spark, shown, want):
     assert one(spark, text.link_text(F.lit(shown), F.lit("Big Apple"), F.lit("big apple"))) == want
 
 
+@pytest.mark.parametrize("shown,want", [("2010", "Census 2010"), ("census 2010", "Census 2010"), ("CENSUS 2010", "Census 2010"), ("10", "Census 2010"), ("us 2010", "census 2010"), ("", ""), ("2011", "2011")])
+def test_link_text_of_numbers(spark, shown, want):
+    # small only if it has a letter of lower case and none of upper case
+    want = want.lower() if any(c.islower() for c in shown) and shown == shown.lower() and want != shown else want
+    assert one(spark, text.link_text(F.lit(shown), F.lit("Census 2010"), F.lit("census 2010"))) == want
+
+
 @pytest.mark.parametrize("given,want", [("nsubj i_dobj", "dobj i_nsubj"), ("i_nsubj dobj conj", "i_nsubj dobj"), ("i_nsubj prep prep pobj", "i_nsubj prep pobj")])
 def test_core_pattern(spark, given, want):
     assert one(spark, text.core_pattern(F.lit(given))) == want == parse.core_pattern(given.split())
@@ -99,7 +106,7 @@ def test_npmi(spark):
     assert cooccur.npmi(lists.where("note = 1")).first().npmi is None
 
 
-def trie(tokens, phrases, greedy=False):
+def by_trie(tokens, phrases, greedy=False):
     out, i = set(), 0
     while i < len(tokens):
         sizes = [n for n in range(1, 9) if " ".join(tokens[i : i + n]) in phrases and i + n <= len(tokens)]
@@ -115,12 +122,12 @@ def test_match_phrases(spark, monkeypatch):
     tokens = spark.createDataFrame(rows, "id int, tokens array<string>")
     words = spark.createDataFrame([(p,) for p in phrases], "phrase string")
     for mode in ("longest", "greedy"):
-        for most in (mentions.BROADCAST_CHARS, 0):
-            monkeypatch.setattr(mentions, "BROADCAST_CHARS", most)
+        for most in (trie.PART, 3):  # all in one part, and a part for about every phrase
+            monkeypatch.setattr(trie, "PART", most)
             got = {}
             for r in mentions.match_phrases(tokens, words, mode).collect():
                 got.setdefault(r.id, set()).add(r.phrase)
-            assert all(got.get(i, set()) == trie(t, phrases, mode == "greedy") for i, t in rows)
+            assert all(got.get(i, set()) == by_trie(t, phrases, mode == "greedy") for i, t in rows)
 
 
 def test_paths_and_ranks(spark):
@@ -232,6 +239,16 @@ def test_prompt_and_split(spark):
         assert [got.get(k, 0) for k in ("train", "dev", "test")] == want
 
 
+def test_dump_rules(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "w").write_text('<doc id="1" url="u" title="The "Foo"  band">\nThe "Foo" band\n\nBar\n The "Foo" band\t\r\nThe "Foo"  band\nx">y\n</doc>\n<doc id="2" url="u" title="Bar">\nBar\nOne\n\nBar\nBar two\rBar\n</doc>\n')
+    got = [(r.doc, r.title, r.line) for r in io.read_dump(spark, str(tmp_path / "d")).orderBy("doc", "para").collect()]
+    # a title goes up to the end of its tag; every line that equals it is left out, white space at its ends aside
+    assert got == [("1", 'The "Foo" band', "Bar"), ("1", 'The "Foo" band', 'The "Foo"  band'), ("1", 'The "Foo" band', 'x">y'), ("2", "Bar", "One"), ("2", "Bar", "Bar two")]
+    lines = spark.createDataFrame([('<doc id="7" url="u" title="A "b" c">',), ('<doc id="8" url="é" title="A">',), ('<doc id="9" url="u" title="é">',), ("text",), ('x <doc id="1" url="u" title="A">',)], "value string")
+    assert [tuple(r) for r in io.read_ids(lines).collect()] == [("7", 'A "b" c')]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x").write_text('<doc id="1" url="u" title="T">\nT\n\nline one\nline two\n</doc>\n<doc id="2" url="u" title="é">\nother\n</doc>\n')
