@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.functions.scores import harmonic_mean
+from relgraph.operators import ranked
 from relgraph.operators.samples import best_of_pairs
 
 
@@ -22,22 +23,18 @@ def arcs_of(edges: DataFrame, directed: bool) -> DataFrame:
     return there if directed else there.unionByName(edges.where(F.col("src") != F.col("dst")).select(F.col("dst").alias("u"), F.col("src").alias("v"), "sim", "data"))
 
 
-def choose(target, replaceable: bool):
-    """0 or 1: the sentence that an edge gives to a path; null where it would repeat the target (FI13)."""
-    other = F.when(F.col("n1").isNotNull(), 1) if replaceable else F.lit(None).cast("int")
-    return F.when(F.col("n0").eqNullSafe(target), other).otherwise(0)
-
-
 def source_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, feature: str | None, replaceable: bool, enough: int) -> DataFrame:
     """(a, b, nodes, picks, weights): simple paths of 2 to max_hops arcs whose sentences differ from the target (GR4, GR9).
 
     targets: (a, b, target). A step that would repeat the target ends its path there and then. With a feature,
-    fewer hops rank first, so a pair with ``enough`` paths is not followed to more hops.
+    fewer hops rank first, so only the ``enough`` best of each pair come, up to three hops by ``ranked.best_paths``.
     """
     first, second = F.get("data", F.lit(0)), F.get("data", F.lit(1))
     w = (lambda x: x[feature].cast("double")) if feature else (lambda x: F.lit(1.0))
     slim = arcs.select("u", "v", first["note"].alias("n0"), second["note"].alias("n1"), w(first).alias("w0"), w(second).alias("w1"))
-    pick = choose(F.col("target"), replaceable)
+    if feature and max_hops <= 3:
+        return ranked.best_paths(targets.select("a", "b", "target"), slim, max_hops=max_hops, path_num=enough, replaceable=replaceable)
+    pick = ranked.choose(F.col("target"), F.col("n0"), F.col("n1"), replaceable)
 
     def grow(joined: DataFrame, end) -> DataFrame:
         rows = joined.withColumn("pick", pick).where(F.col("pick").isNotNull())
@@ -80,10 +77,10 @@ def collect_samples(
         order = [F.size("picks"), F.desc_nulls_last(F.round(harmonic_mean("weights"), 12)), F.col("nodes")]
     else:
         order = [F.md5(F.concat_ws("|", F.concat_ws(",", F.transform("nodes", lambda x: x.cast("string"))), F.lit(str(seed)))), F.col("nodes")]
-    ranked = best_of_pairs(found, path_num, *order)
+    best_ = best_of_pairs(found, path_num, *order)
 
     hop = F.transform("picks", lambda p, i: F.struct(i.alias("hop"), p.alias("pick"), F.get("nodes", i).alias("u"), F.get("nodes", i + 1).alias("v")))
-    steps = ranked.select("a", "b", "rank", F.explode(hop).alias("s")).select("a", "b", "rank", "s.*").join(arcs, ["u", "v"])
+    steps = best_.select("a", "b", "rank", F.explode(hop).alias("s")).select("a", "b", "rank", "s.*").join(arcs, ["u", "v"])
     item = F.get("data", F.col("pick"))
     fields = ["score", "significant", "explicit", "span_head", "span_tail"]
     rows = steps.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("rank", "hop", "u", "v", item["note"].alias("note"), "sim", *[item[f].alias(f) for f in fields]))).alias("s"))

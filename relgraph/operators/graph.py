@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relgraph.operators import ranked
+
 
 def digraph(features: DataFrame, sim_threshold: float = -1.0) -> DataFrame:
     """Group features (kw1, kw2, sim, dep_path, note, score, ...) by oriented pair (AG4, GR1).
@@ -88,26 +90,34 @@ def paths_up_to(arcs: DataFrame, wanted: DataFrame, max_hops: int, least: int =
     return reduce(DataFrame.unionByName, (paths(arcs, wanted, h) for h in range(least, max_hops + 1)))
 
 
-def paths_by_hops(arcs: DataFrame, wanted: DataFrame, max_hops: int, enough: int, least: int = 2) -> DataFrame:
-    """Paths of least to max_hops arcs; a pair with ``enough`` of them is not followed to more hops.
-
-    Where fewer hops rank first, as in ``samples.rank_paths``, longer paths of such a pair could not be among the best.
-    """
-    parts, open_ = [], wanted
-    for h in range(least, max_hops + 1):
-        parts.append(paths(arcs, open_, h))
-        if h < max_hops:
-            full = reduce(DataFrame.unionByName, (p.select("a", "b") for p in parts)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
-            open_ = wanted.join(full, ["a", "b"], "left_anti")
-    return reduce(DataFrame.unionByName, parts)
+def best_paths(arcs: DataFrame, wanted: DataFrame, max_hops: int, path_num: int) -> DataFrame:
+    """(a, b, nodes, weights): the path_num best paths of 2 to max_hops arcs (3 at most), as ``samples.rank_paths`` ranks them, or all if there are fewer."""
+    none = F.lit(None).cast("long")
+    slim = arcs.select("u", "v", F.lit(0).cast("long").alias("n0"), none.alias("n1"), F.col("w").alias("w0"), F.lit(None).cast("double").alias("w1"))
+    return ranked.best_paths(wanted.select("a", "b", none.alias("target")), slim, max_hops=max_hops, path_num=path_num).drop("picks")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(x, y, z), x < y < z, over undirected edges (a, b), a < b (GR7). Each comes once."""
-    ab, bc, ac = edges.select(F.col("a").alias("x"), F.col("b").alias("y")), edges.select(F.col("a").alias("y"), F.col("b").alias("z")), edges.select(F.col("a").alias("x"), F.col("b").alias("z"))
-    return ab.join(bc, "y").join(ac, ["x", "z"]).select("x", "y", "z")
+    """(x, y, z), x < y < z, over undirected edges (a, b), each once (GR7). Each triangle comes once.
+
+    Edges go from the end of smaller degree to the other, so no node has more than the root of twice
+    the edges of its own, and wedges are fewer than their number to the power of 1.5, hubs or not.
+    """
+    degree = edges.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    of = lambda c: degree.select(F.col("n").alias(c), F.struct("d", "n").alias(f"d{c}"))
+    rows = edges.join(of("a"), "a").join(of("b"), "b")
+    up = F.col("da") < F.col("db")
+    flip = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    arcs = rows.select(flip("a", "b").alias("u"), flip("b", "a").alias("v"), F.greatest("da", "db").alias("dv"))
+    wedges = arcs.join(arcs.select("u", F.col("v").alias("w"), F.col("dv").alias("dw")), "u").where(F.col("dv") < F.col("dw"))
+    closed = wedges.select("u", "v", "w").join(arcs.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    s = F.array_sort(F.array("u", "v", "w"))
+    return closed.select(F.get(s, 0).alias("x"), F.get(s, 1).alias("y"), F.get(s, 2).alias("z"))
 
 
 def triangles_of(edges: DataFrame, node) -> DataFrame:
-    """Triangles through one node (GR6)."""
-    return triangles(edges).where((F.col("x") == node) | (F.col("y") == node) | (F.col("z") == node))
+    """Triangles through one node: edges between its neighbours (GR6). No others are made."""
+    near = edges.where((F.col("a") == node) | (F.col("b") == node)).select(F.when(F.col("a") == node, F.col("b")).otherwise(F.col("a")).alias("n"))
+    ends = edges.join(near.withColumnRenamed("n", "a"), "a", "left_semi").join(near.withColumnRenamed("n", "b"), "b", "left_semi")
+    s = F.array_sort(F.array("a", "b", F.lit(node)))
+    return ends.select(F.get(s, 0).alias("x"), F.get(s, 1).alias("y"), F.get(s, 2).alias("z"))

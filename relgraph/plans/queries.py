@@ -72,7 +72,11 @@ top AS (SELECT * FROM rk WHERE n >= 5 AND rank <= 5)"""
 
 
 def _features(spark, sf):
-    rows = cooccur.pairs(_baskets(spark, sf))
+    return _features_of(_baskets(spark, sf))
+
+
+def _features_of(lists: DataFrame) -> DataFrame:
+    rows = cooccur.pairs(lists)
     none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
     return rows.select(
         F.col("a").alias("kw1"), F.col("b").alias("kw2"), (((F.col("a") * 31 + F.col("b") * 17) % 100) / 100.0).alias("sim"), F.when(F.col("note") % 3 == 0, "nsubj i_dobj").otherwise("i_nsubj dobj").alias("dep_path"),
@@ -87,8 +91,9 @@ def _graph(spark, sf, most: int) -> DataFrame:
 
 def _subgraph(spark, sf, most: int) -> DataFrame:
     """Those edges of _graph that co-occur more than by chance."""
-    strong = cooccur.subgraph(cooccur.npmi(_baskets(spark, sf)), 0.1, 2).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = graph.best_sentences(_features(spark, sf), 0.5, 0.75, most).join(strong, ["src", "dst"], "left_semi")
+    lists = scratch.materialise(_baskets(spark, sf), "baskets")
+    strong = cooccur.subgraph(cooccur.npmi(lists), 0.1, 2).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = graph.best_sentences(_features_of(lists), 0.5, 0.75, most).join(strong, ["src", "dst"], "left_semi")
     return scratch.materialise(found, "subgraph")
 
 
@@ -197,7 +202,7 @@ def triangles_of(spark, sf):
 
 def _ranked(spark, sf):
     w = _weights(_subgraph(spark, sf, 1))
-    return samples.rank_paths(graph.paths_by_hops(graph.both_ways(w), w, 3, 5)), w
+    return samples.rank_paths(graph.best_paths(graph.both_ways(w), w, 3, 5)), w
 
 
 @query(f"WITH {_RANKED} SELECT a, b, rank::INT AS rank, hops, round(score, 6) AS score FROM top")
@@ -205,6 +210,13 @@ def path_topk(spark, sf):
     return _ranked(spark, sf)[0].select("a", "b", "rank", "hops", _r("score").alias("score"))
 
 
+# the same over all related pairs, whose edges are many times as many
+@query(f"WITH {_RANKED.replace(_SUB, _EDGES)} SELECT a, b, rank::INT AS rank, hops, round(score, 6) AS score FROM top")
+def path_topk_dense(spark, sf):
+    w = _weights(_graph(spark, sf, 1))
+    return samples.rank_paths(graph.best_paths(graph.both_ways(w), w, 3, 5)).select("a", "b", "rank", "hops", _r("score").alias("score"))
+
+
 @query(f"""WITH {_RANKED}, st AS (SELECT a, b, rank, nodes, unnest(range(1, len(nodes))) AS hop FROM top),
 s AS (SELECT a, b, rank, hop, nodes[hop] AS u, nodes[hop + 1] AS v, least(nodes[hop], nodes[hop + 1]) || ':' || greatest(nodes[hop], nodes[hop + 1]) AS note FROM st),
 en AS (SELECT a, b, x, min(pos) AS pos FROM (SELECT a, b, u AS x, rank * 100 + hop * 10 AS pos FROM s UNION ALL SELECT a, b, v, rank * 100 + hop * 10 + 1 FROM s) GROUP BY a, b, x),

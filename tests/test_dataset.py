@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgraph import __main__ as cli
-from relgraph.operators import dataset, graph, mentions, metrics, trie
+from relgraph.operators import dataset, graph, mentions, metrics, ranked, trie
 from relgraph.sources import io
 
 ITEM = "score double, note string, significant double, explicit double, span_head struct<start:int,end:int>, span_tail struct<start:int,end:int>"
@@ -65,6 +65,38 @@ def test_collect_samples(spark, directed, replaceable):
         assert [[s.pid for s in t] for t in r.triple] == [[k] * len(t) for k, t in enumerate(r.triple)]
 
 
+@pytest.mark.parametrize("directed,replaceable,level", [(False, True, 1), (True, False, 1), (True, True, 2), (False, False, 3)])
+def test_samples_by_rounds_of_cheapest_arcs(spark, monkeypatch, directed, replaceable, level):
+    monkeypatch.setattr(ranked, "FULL", -1)
+    monkeypatch.setattr(ranked, "LEVEL", {2: level, 3: level})
+    monkeypatch.setattr(ranked, "LEVEL_STEP", 2)
+    target, source = make(3, directed=directed), make(4, nodes="abcdefg", directed=directed)
+    found = dataset.collect_samples(table(spark, target), table(spark, source), directed=directed, replaceable=replaceable, path_num=3)
+    got = {}
+    for r in dataset.decode(found).orderBy("a", "b", "pid").collect():
+        got.setdefault((r.a, r.b), []).append((tuple(r.nodes), tuple(r.notes)))
+    assert got == plain(target, source, directed, "score", replaceable, 3)
+
+
+def test_rounds_see_few_paths_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(ranked, "FULL", -1)
+    rng = random.Random(6)
+    pairs = {(f"n{a}", f"n{b}") for a, b in itertools.combinations(range(150), 2)}
+    w = spark.createDataFrame([(a, b, round(rng.uniform(0.01, 1), 4)) for a, b in sorted(pairs)], "a string, b string, w double").coalesce(2)
+    made = []
+    real = ranked.materialise
+    monkeypatch.setattr(ranked, "materialise", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    monkeypatch.setattr(ranked, "LEVEL", {2: 32, 3: 8})
+    got = graph.best_paths(graph.both_ways(w), w, 2, 5)
+    assert got.select("a", "b").distinct().count() == len(pairs)
+    cost = {**{(a, b): 1 / x for a, b, x in map(tuple, w.collect())}}
+    cost |= {(b, a): c for (a, b), c in cost.items()}
+    for r in got.where("a = 'n1' and b = 'n77'").collect():
+        assert cost["n1", r.nodes[1]] + cost[r.nodes[1], "n77"] <= sorted(cost["n1", f"n{m}"] + cost[f"n{m}", "n77"] for m in range(150) if m not in (1, 77))[4]
+    open_ = [df.where("over").count() for name, df in made if name == "ranked-pairs" and "over" in df.columns]
+    assert open_[0] > 0.8 * len(pairs)  # most pairs need no more than the 32 cheapest of 149 arcs at each end
+
+
 def test_random_paths_and_failed_pairs(spark):
     target, source = make(3), make(4)
     args = {"feature": None, "replaceable": True, "path_num": 4, "keep_failed": True}
@@ -258,3 +290,15 @@ def test_commands(spark, tmp_path):
     pages = spark.createDataFrame([("A",), ("",), ("A",), ("B",)], "title string")
     assert {r.title for r in io.distinct_entities(pages).collect()} == {"A", "B"}
     run("score_outputs", at("o.tsv"))
+
+
+@pytest.mark.parametrize("hub", [False, True])
+def test_triangles(spark, hub):
+    rng = random.Random(8)
+    edges = {(a, b) for a, b in itertools.combinations(range(25), 2) if rng.random() < 0.3}
+    if hub:  # a star over all, and far more
+        edges |= {(0, k) for k in range(1, 2000)}
+    table_ = spark.createDataFrame(sorted(edges), "a long, b long")
+    want = {t for t in itertools.combinations(range(25), 3) if {t[:2], t[1:], (t[0], t[2])} <= edges}
+    assert sorted(map(tuple, graph.triangles(table_).collect())) == sorted(want)
+    assert sorted(map(tuple, graph.triangles_of(table_, 7).collect())) == sorted(t for t in want if 7 in t)

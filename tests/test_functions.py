@@ -138,7 +138,7 @@ def test_paths_and_ranks(spark):
     assert [round(r.score, 6) for r in ranked] == [0.615385, 0.6, 0.744828, 0.627907]
     for enough in (1, 2, 3):  # pairs that have enough are not followed further, with equal results
         every = samples.rank_paths(graph.paths_up_to(graph.both_ways(w), w, 3, least=2), enough)
-        short = samples.rank_paths(graph.paths_by_hops(graph.both_ways(w), w, 3, enough), enough)
+        short = samples.rank_paths(graph.best_paths(graph.both_ways(w), w, 3, enough), enough)
         assert sorted(map(repr, short.collect())) == sorted(map(repr, every.collect())) and short.count() >= 6
     assert samples.rank_paths(found, 5).count() == 0 and graph.triangles(w.select("a", "b")).count() == 4
 
