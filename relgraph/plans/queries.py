@@ -6,7 +6,6 @@ that share a sentence; documents, pages and conversations stand for themselves.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -997,14 +996,29 @@ def split_outputs(spark, sf):
 
 @query("SELECT event_type AS pattern, count(*) AS cnt FROM events GROUP BY 1")
 def stream_counts(spark, sf):
-    name = f"stream_{uuid.uuid4().hex}"
-    return counts.run_once(counts.pattern_counts(counts.read_events(spark, sf)), name, "complete", scratch.scratch_path(spark, name))
+    path = scratch.scratch_path(spark, "stream")
+    table = counts.CountTable(spark, f"{path}/table", "pattern string, cnt long")
+    table.follow(counts.read_stream(spark, sf), counts.pattern_counts, f"{path}/checkpoint")
+    return table.read()
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+# a page is a note, the names that its links lead to are its entities
+@query(f"""WITH {_LINKS}, n AS (SELECT DISTINCT page_id, lower(replace(href, '/', '')) AS name FROM l WHERE href <> '/')
+SELECT x.name AS a, y.name AS b, count(*) AS cnt FROM n x JOIN n y ON x.page_id = y.page_id AND x.name < y.name GROUP BY ALL""")
+def stream_pairs(spark, sf):
+    path = scratch.scratch_path(spark, "stream")
+    names = F.transform(text.links("html"), lambda x: F.lower(F.replace(x["href"], F.lit("/"), F.lit(""))))
+    lists = counts.read_stream(spark, sf, "pages.parquet").select(F.col("page_id").alias("note"), F.array_sort(F.array_distinct(F.filter(names, lambda x: x != ""))).alias("ents"))
+    table = counts.CountTable(spark, f"{path}/table", "a string, b string, cnt long")
+    table.follow(lists, counts.pair_counts, f"{path}/checkpoint")
+    return table.read()
+
+
+# days that end a day or more before the last event are closed
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 2 DAY <= (SELECT max(ts)::TIMESTAMP FROM events)")
 def stream_windows(spark, sf):
-    name = f"stream_{uuid.uuid4().hex}"
-    found = counts.run_once(counts.windowed_counts(counts.read_events(spark, sf)), name, "complete", scratch.scratch_path(spark, name))
+    path = scratch.scratch_path(spark, "stream")
+    found = counts.follow_windows(counts.read_stream(spark, sf), f"{path}/table", f"{path}/checkpoint")
     return found.select("day", "event_type", "n", F.round("total", 4).alias("total"))
 
 
