@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from relgraph.functions.stem import stem
 from relgraph.functions.text import normalize_answer, tokenize
 
 
@@ -153,3 +156,89 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     rows = pairs.select("id", some("hyp").alias("h"), some("ref").alias("r"))
     rows = rows.select("id", _common("h", "r").alias("common"), F.size("h").alias("n_hyp"), F.size("r").alias("n_ref"))
     return rows.withColumn("f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("common"), F.col("n_hyp") + F.col("n_ref")), F.lit(0.0)))
+
+
+#: Open alignments that are kept for each word; below that many the fewest chunks are certain.
+BEAM = 64
+
+
+def align(hyp: list[str], ref: list[str], beam: int = BEAM) -> tuple[int, int]:
+    """Matches of two token lists and the fewest chunks that they can stand in (METEOR's exact and stem stages).
+
+    As many tokens as can be match equal ones; of those left over, as many as can match tokens of the same stem.
+    A chunk is a run of matches that follow each other in both lists.
+    """
+    left, right = Counter(hyp), Counter(ref)
+    exact = {w: min(n, right[w]) for w, n in left.items() if w in right}
+    stems_l, stems_r = Counter(), Counter()
+    for of, counts in ((stems_l, left), (stems_r, right)):
+        for w, n in counts.items():
+            of[stem(w)] += n - exact.get(w, 0)
+    by_stem = {s: min(n, stems_r[s]) for s, n in stems_l.items() if stems_r[s] > 0 and n > 0}
+    total = sum(exact.values()) + sum(by_stem.values())
+    if not total:
+        return 0, 0
+    places, stem_places = defaultdict(list), defaultdict(list)
+    for j, w in enumerate(ref):
+        places[w].append(j)
+        stem_places[stem(w)].append(j)
+    siblings = defaultdict(list)  # words with a stem that have to match equal ones
+    for w in exact:
+        siblings[stem(w)].append(w)
+    # how often a word and a stem are still to come after each place
+    words_after, stems_after = [], []
+    seen, seen_s = Counter(), Counter()
+    for w in reversed(hyp):
+        words_after.append(seen[w])
+        stems_after.append(seen_s[stem(w)])
+        seen[w] += 1
+        seen_s[stem(w)] += 1
+    words_after.reverse()
+    stems_after.reverse()
+    # used: bits of ref; last: where the token before matched, or none; done: matches so far of words and stems that can be short
+    open_ = {(0, -2, ()): 0}
+    for i, w in enumerate(hyp):
+        s = stem(w)
+        need, need_s = exact.get(w, 0), by_stem.get(s, 0)
+        grown: dict = {}
+
+        def put(key, chunks, grown=grown):
+            if grown.get(key, chunks + 1) > chunks:
+                grown[key] = chunks
+
+        for (used, last, done), chunks in open_.items():
+            made = dict(done)
+            had, had_s = made.get((0, w), 0), made.get((1, s), 0)
+            if had < need:
+                for j in places[w]:
+                    if not used >> j & 1:
+                        put((used | 1 << j, j, tuple(sorted((made | {(0, w): had + 1}).items()))), chunks + (j != last + 1))
+            if had + words_after[i] >= need and had_s < need_s:  # by stem: not needed as an equal word
+                for j in stem_places[s]:
+                    v = ref[j]
+                    if not used >> j & 1 and v != w and made.get((2, v), 0) < right[v] - exact.get(v, 0):
+                        put((used | 1 << j, j, tuple(sorted((made | {(1, s): had_s + 1, (2, v): made.get((2, v), 0) + 1}).items()))), chunks + (j != last + 1))
+            if had + words_after[i] >= need and had_s + stems_after[i] - sum(exact[x] - made.get((0, x), 0) for x in siblings[s]) >= need_s:
+                put((used, -2, done), chunks)
+        open_ = dict(sorted(grown.items(), key=lambda e: e[1])[:beam])
+    return total, min(open_.values(), default=0)
+
+
+@F.pandas_udf(StructType([StructField("matches", IntegerType()), StructField("chunks", IntegerType())]))
+def _aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([align(list(x), list(y)) for x, y in zip(a, b, strict=True)], columns=["matches", "chunks"], dtype="int32")
+
+
+def meteor(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
+    """(id, matches, chunks, n_hyp, n_ref, score) of rows (id, hyp, ref): METEOR by exact and stem matches (EV5).
+
+    score: the mean of precision and recall, alpha weighing recall, less gamma times the share of chunks to the power of beta.
+    Python, as an alignment is a search with a state.
+    """
+    some = lambda c: F.coalesce(tokenize(c, lower=True), F.array().cast("array<string>"))
+    rows = pairs.select("id", some("hyp").alias("h"), some("ref").alias("r")).withColumn("m", _aligned("h", "r"))
+    rows = rows.select("id", "m.matches", "m.chunks", F.size("h").alias("n_hyp"), F.size("r").alias("n_ref"))
+    p, r = F.col("matches") / F.col("n_hyp"), F.col("matches") / F.col("n_ref")
+    mean = F.try_divide(p * r, F.lit(alpha) * p + F.lit(1 - alpha) * r)
+    score = mean * (1 - F.lit(gamma) * F.pow(F.try_divide(F.col("chunks").cast("double"), F.col("matches")), F.lit(beta)))
+    return rows.withColumn("score", F.when(F.col("matches") > 0, score).otherwise(0.0))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions import scores, text
-from relgraph.operators import cooccur, dataset, extract, graph, mentions, metrics, parse, samples
+from relgraph.operators import cooccur, dataset, extract, graph, mentions, metrics, parse, punkt, samples
 from relgraph.sources import io, scratch
 from relgraph.streaming import counts
 
@@ -364,6 +364,32 @@ def doc_sentences(spark, sf):
     return rows.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("sents"))
 
 
+_quoted = lambda p: p.replace("'", "''")
+_TYPES = rf"""wd AS (SELECT list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+cr AS (SELECT regexp_replace(regexp_replace(w, '{_quoted(punkt.LEAD)}', ''), '{_quoted(punkt.TAIL)}', '') AS w FROM (SELECT unnest(w) AS w FROM wd)),
+ty AS (SELECT CASE WHEN regexp_matches(regexp_replace(w, '\.$', ''), '{punkt.NUMBER}') THEN '{punkt.NUMBER_TYPE}' WHEN regexp_matches(w, '\.\.+$') THEN lower(w) ELSE lower(regexp_replace(w, '\.$', '')) END AS "of",
+  ends_with(w, '.') AND NOT regexp_matches(w, '\.\.+$') AS period FROM cr),
+tc AS (SELECT "of", count(*) AS n, count(*) FILTER (period) AS k FROM ty GROUP BY 1), tt AS (SELECT sum(n)::DOUBLE AS n, sum(k) / sum(n)::DOUBLE AS p FROM tc),
+ts AS (SELECT "of", tc.n, k, length("of") - length(replace("of", '.', '')) + 1 AS dots, length(replace("of", '.', ''))::DOUBLE AS long,
+  CASE WHEN k = 0 THEN 0 ELSE k * (ln(p) - ln(0.99::DOUBLE)) END + CASE WHEN k = tc.n THEN 0 ELSE (tc.n - k) * (ln(1 - p) - ln(0.01::DOUBLE)) END AS d FROM tc, tt),
+sc AS (SELECT "of", n, k AS periods, CASE WHEN k > 0 AND regexp_matches("of", '\p{{L}}') AND "of" <> '{punkt.NUMBER_TYPE}' AND NOT regexp_matches("of", '\.\.+$')
+  THEN -2 * d * exp(-long) * dots * pow(long, k - n) ELSE 0 END AS score FROM ts)"""
+
+
+@query(f"""WITH {_TYPES} SELECT "of", n, periods, round(score, 5) AS score, score >= 0.3 AS abbreviation FROM sc WHERE periods > 0""")
+def abbreviations(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return punkt.types(punkt.tokens(docs)).where("periods > 0").select("of", "n", "periods", F.round("score", 5).alias("score"), "abbreviation")
+
+
+# breaks by model: tests hold them against a plain version
+@query()
+def learnt_sentences(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = punkt.sentences(docs, punkt.fit(docs, keep=scratch.materialise))
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("sents"), F.sum(F.crc32(F.col("text").cast("binary"))).alias("sum"))
+
+
 @query(f"WITH {_SENT}, l AS (SELECT doc_id, len(regexp_extract_all(sent, '{_TOKEN}', 0)) AS n FROM s) SELECT doc_id, count(*) AS sents, sum(n)::BIGINT AS tokens FROM l WHERE n BETWEEN 5 AND 50 GROUP BY doc_id")
 def sentence_length(spark, sf):
     rows = _t(spark, sf, "documents").select("doc_id", F.explode(text.sentences("text")).alias("s")).select("doc_id", F.size(text.tokenize("s")).alias("n"))
@@ -681,6 +707,12 @@ def bigram_overlap(spark, sf):
     return metrics.ngram_overlap(rows, 2).select("id.conv_id", "id.turn", "common", _r("f1").alias("f1"))
 
 
+@query()
+def meteor(spark, sf):
+    rows = _turns(spark, sf).select(F.struct("conv_id", "turn").alias("id"), "hyp", "ref")
+    return metrics.meteor(rows).select("id.conv_id", "id.turn", "matches", "chunks", _r("score").alias("score"))
+
+
 @query(f"""WITH {_TURNS}, t AS (SELECT conv_id, turn, regexp_extract_all(lower(hyp), '{_TOKEN}', 0) AS h, regexp_extract_all(lower(ref), '{_TOKEN}', 0) AS r FROM u),
 p AS (SELECT conv_id, turn, i, j FROM (SELECT conv_id, turn, unnest(h) AS w, generate_subscripts(h, 1) AS i FROM t) JOIN (SELECT conv_id, turn, unnest(r) AS w, generate_subscripts(r, 1) AS j FROM t) USING (conv_id, turn, w)),
 l AS (SELECT conv_id, turn, len(list_reduce(list([j] ORDER BY i, j DESC), lambda acc, y: list_filter(acc, lambda z: z < y[1]) || y || list_slice(acc, len(list_filter(acc, lambda z: z < y[1])) + 2, len(acc)), []::BIGINT[])) AS common FROM p GROUP BY ALL)
