@@ -30,23 +30,23 @@ def let(c, f) -> Column:
     return F.get(F.transform(F.array(_col(c)), f), 0)
 
 
-def _unnested(c, left: str, right: str) -> Column:
-    """c without matched brackets and what they hold; what stands after each open one is a level of a stack."""
-    last = lambda s: F.slice(s, 1, F.size(s) - 1)
-    more = lambda s, x: F.concat(last(s), F.array(F.concat(F.element_at(s, -1), x)))
-    step = lambda s, x: F.when(x == left, F.concat(s, F.array(F.lit("")))).when((x == right) & (F.size(s) > 1), last(s)).otherwise(more(s, x))
-    bits = F.regexp_extract_all(c, F.lit(rf"[\{left}\{right}]|[^\{left}\{right}]+"), F.lit(0))
-    return F.aggregate(bits, F.array(F.lit("")), step, lambda s: F.array_join(s, left))
+def _depth(c, left: str, right: str) -> Column:
+    """How many brackets are open at most."""
+    now = lambda a, x: F.when(x == left, a["now"] + 1).otherwise(F.greatest(a["now"] - 1, F.lit(0)))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda a, x: let(now(a, x), lambda n: F.struct(n.alias("now"), F.greatest(a["most"], n).alias("most")))
+    return F.aggregate(F.regexp_extract_all(c, F.lit(rf"[\{left}\{right}]"), F.lit(0)), zero, step, lambda a: a["most"])
 
 
 def strip_brackets(c) -> Column:
     """Drop {}, then (), then [] with what they hold, however deep (SC1). Brackets without a partner stay.
 
-    One pass of a pattern does for most texts; only those that still hold a pair are taken apart.
+    A pass of a pattern takes the innermost; there are as many passes as brackets are open at once, one for most texts.
     """
     for left, right in BRACKETS:
         flat = rf"\{left}[^\{left}\{right}]*\{right}"
-        once = lambda x: let(F.regexp_replace(x, flat, ""), lambda y: F.when(F.rlike(y, F.lit(flat)), _unnested(y, left, right)).otherwise(y))  # noqa: B023, E731
+        rest = lambda y: F.aggregate(F.sequence(F.lit(1), _depth(y, left, right)), y, lambda a, _: F.regexp_replace(a, flat, ""))  # noqa: B023, E731
+        once = lambda x: let(F.regexp_replace(x, flat, ""), lambda y: F.when(F.rlike(y, F.lit(flat)), rest(y)).otherwise(y))  # noqa: B023, E731
         c = let(c, lambda x: F.when(F.contains(x, F.lit(left)) & F.contains(x, F.lit(right)), once(x)).otherwise(x))  # noqa: B023
     return collapse(c)
 

@@ -18,6 +18,11 @@ def links(paras: DataFrame) -> DataFrame:
     return rows.select("page", "para", "seq", F.col("l.href").alias("entity"), F.lower(text.entity_name("l.href", lower=False)).alias("name")).where("name <> ''")
 
 
+def titles(paras: DataFrame) -> DataFrame:
+    """(page, title, name): the name that each page's title gives, if any (SC2)."""
+    return paras.select("page", "title").distinct().withColumn("name", text.entity_name("title")).where("name <> ''")
+
+
 def sentences(paras: DataFrame) -> DataFrame:
     """(page, para, sent, title, text): sentences of paragraphs, links replaced by names, brackets dropped (SC1, SC7, SC8)."""
     name = lambda l: text.entity_name(l["href"], lower=False)  # noqa: E731, E741
@@ -33,7 +38,7 @@ def found_entities(paras: DataFrame, sents: DataFrame, tokens=None) -> DataFrame
     link up to the paragraph gave the name, or the title, which is said again at the start of each paragraph.
     tokens: the words of a sentence as a column, by default lower-cased tokens.
     """
-    own = paras.select("page", "title").distinct().withColumn("name", text.entity_name("title")).where("name <> ''")
+    own = titles(paras)
     said = links(paras)
     known = own.select("page", F.col("name").alias("phrase"), F.lit(-1).alias("para")).unionByName(said.select("page", F.col("name").alias("phrase"), "para"))
     known = known.groupBy("page", "phrase").agg(F.min("para").alias("since"))
@@ -41,13 +46,7 @@ def found_entities(paras: DataFrame, sents: DataFrame, tokens=None) -> DataFrame
     got = mentions.match_phrases(words, known, "greedy", scope=("page",)).withColumn("page", F.col("id.page"))
     got = mentions.longest_from_left(got.join(known, ["page", "phrase"]).where(F.col("since") <= F.col("id.para")).select("id", "start", "size", "phrase"))
     got = got.select("id.page", "id.para", "id.sent", "start", F.col("phrase").alias("name"))
-    writers = said.select("page", "name", F.col("para").alias("of"), "seq", "entity")
-    of_title = own.select("page", "name", "title")
-    rows = got.join(of_title, ["page", "name"], "left").join(writers, ["page", "name"], "left").where("of is null or of <= para or title is not null")
-    mine = F.when(F.col("of") <= F.col("para"), F.struct("of", "seq", "entity"))
-    rows = rows.groupBy("page", "para", "sent", "start", "name", "title").agg(F.max(mine).alias("m"))
-    title = F.when(F.col("title").isNotNull(), F.struct(F.col("para").alias("of"), F.lit(-1).alias("seq"), F.col("title").alias("entity")))
-    return rows.select("page", "para", "sent", "start", "name", F.greatest("m", title)["entity"].alias("entity"))
+    return mentions.latest(got, said, own).select("page", "para", "sent", "start", "name", "entity")
 
 
 def resolve(found: DataFrame, sents: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -74,17 +74,39 @@ def reform(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {tokens.schema['id'].dataType.simpleString()}, text string")
 
 
-def page_names(paragraphs: DataFrame, links: DataFrame) -> DataFrame:
-    """(page, para, name, entity): names known in each paragraph (TX5).
+def page_names(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(page, name, entity, since, until): what a name stands for in paragraphs since to until of a page, both included (TX5).
 
-    paragraphs: (page, para, title); links: (page, para, seq, name, entity). A paragraph knows its
-    page's title and the links so far; the latest writer of a name wins, and the title
-    is written again at the start of each paragraph.
+    pages: (page, title, name), the name that the title gives; links: (page, para, seq, name, entity). A paragraph knows its page's title and the links so far; the latest
+    writer of a name wins, and the title is written again at the start of each paragraph, so a link of the title's name holds in its own alone.
+    since is null from the start, until null to the end. Rows are as many as links, twice at most, whatever the number of paragraphs.
     """
-    seen = paragraphs.select("page", "para").join(links.withColumnRenamed("para", "of"), "page").where(F.col("of") <= F.col("para"))
-    own = paragraphs.select("page", "para", F.col("para").alias("of"), F.lit(-1).alias("seq"), F.lower("title").alias("name"), F.col("title").alias("entity"))
-    rows = seen.select("page", "para", "of", "seq", "name", "entity").union(own).where(F.col("name") != "")
-    return rows.groupBy("page", "para", "name").agg(F.max(F.struct("of", "seq", "entity")).alias("m")).select("page", "para", "name", "m.entity")
+    own = pages.select("page", "name", "title").where(F.col("name") != "").distinct()
+    last = links.where(F.col("name") != "").groupBy("page", "name", "para").agg(F.max(F.struct("seq", "entity")).alias("m"))
+    after = F.lead("para").over(Window.partitionBy("page", "name").orderBy("para"))
+    last = last.select("page", "name", "para", F.col("m.entity").alias("entity"), after.alias("next")).join(own, ["page", "name"], "left")
+    until = F.when(F.col("title").isNotNull(), F.col("para")).otherwise(F.col("next") - 1)
+    rows = last.select("page", "name", "entity", F.col("para").alias("since"), until.alias("until"))
+    between = last.where("title is not null and (next is null or next > para + 1)").select("page", "name", F.col("title").alias("entity"), (F.col("para") + 1).alias("since"), (F.col("next") - 1).alias("until"))
+    first = last.where("title is not null").groupBy("page", "name").agg((F.min("para") - 1).alias("until"))
+    begin = own.join(first, ["page", "name"], "left").select("page", "name", F.col("title").alias("entity"), F.lit(None).cast("int").alias("since"), "until")
+    return rows.unionByName(between).unionByName(begin)
+
+
+def latest(wanted: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+    """wanted (page, para, name, ...) with ``entity``, what the name stands for there (TX5); names that nothing gives are left out.
+
+    One sorted pass over wanted and links together, not a join of each with all earlier ones. Arguments as of ``page_names``.
+    """
+    own = pages.select("page", "name", "title").where(F.col("name") != "").distinct()
+    kept = F.struct(*[c for c in wanted.columns if c not in ("page", "para", "name")])
+    rows = wanted.select("page", "name", "para", F.lit(1).alias("kind"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("writes"), kept.alias("__kept"))
+    said = links.select("page", "name", "para", F.lit(0).alias("kind"), "seq", F.col("entity").alias("writes")).withColumn("__kept", F.lit(None).cast(rows.schema["__kept"].dataType))
+    order = Window.partitionBy("page", "name").orderBy("para", "kind", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.unionByName(said).withColumns({"__at": F.last(F.when(F.col("kind") == 0, F.col("para")), ignorenulls=True).over(order), "__by": F.last("writes", ignorenulls=True).over(order)})
+    rows = rows.where("kind = 1").join(own, ["page", "name"], "left")
+    mine = F.when(F.col("title").isNotNull() & ~F.coalesce(F.col("__at") == F.col("para"), F.lit(False)), F.col("title")).otherwise(F.col("__by"))
+    return rows.withColumn("entity", mine).where(F.col("entity").isNotNull()).select("page", "para", "name", "__kept.*", "entity")
 
 
 def resolve_titles(mentions: DataFrame, titles: DataFrame) -> DataFrame:

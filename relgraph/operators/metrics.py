@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from relgraph.functions.stem import stem
 from relgraph.functions.text import normalize_answer, tokenize
@@ -86,10 +87,29 @@ def most_common(counts: DataFrame) -> DataFrame:
     return counts.agg(best).select("m.pattern", (-F.col("m.c")).alias("cnt"))
 
 
-def inversions(ranking):
-    """Pairs of a ranking in the wrong order (AG11)."""
-    later = F.transform(ranking, lambda x, i: F.size(F.filter(F.slice(ranking, i + 2, F.size(ranking)), lambda y: y < x)))
-    return F.aggregate(later, F.lit(0), lambda a, n: a + n)
+def count_inversions(values: np.ndarray) -> int:
+    """Pairs in the wrong order, bit by bit of the values' ranks: a stable split by each bit, whose ones before zeros are counted within equal higher bits."""
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    total = 0
+    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
+        high, one = rank >> (bit + 1), rank >> bit & 1
+        before = np.cumsum(one) - one
+        first = np.flatnonzero(np.append(True, high[1:] != high[:-1])) if len(high) else np.zeros(0, np.int64)
+        own = before - np.repeat(before[first], np.diff(np.append(first, len(high))))
+        total += int(own[one == 0].sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]
+    return total
+
+
+@F.pandas_udf(LongType())
+def _inversions(a: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else count_inversions(np.asarray(x)) for x in a], dtype="Int64")
+
+
+def inversions(ranking) -> Column:
+    """Pairs of a ranking in the wrong order (AG11); places without a value are in none. Linear in places but for the number of bits."""
+    ranking = F.col(ranking) if isinstance(ranking, str) else ranking
+    return _inversions(F.filter(ranking, lambda x: x.isNotNull()))
 
 
 def topk_overlap(order, k: int):
@@ -108,13 +128,17 @@ def weighted_mean(value, weight):
 
 
 def ngram_overlap(pairs: DataFrame, n: int = 1) -> DataFrame:
-    """(id, common, n_hyp, n_ref, f1) of rows (id, hyp, ref): clipped n-gram counts, as ROUGE-n (EV5)."""
+    """(id, common, n_hyp, n_ref, f1) of rows (id, hyp, ref), each id once: clipped n-gram counts, as ROUGE-n (EV5).
+
+    n-grams are rows that are counted, so the work is linear in the texts; null texts have none.
+    """
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), " "))
     some = lambda c: F.when(F.size(c) >= n, grams(c)).otherwise(F.array().cast("array<string>"))
-    rows = pairs.select("id", tokenize("hyp", lower=True).alias("h"), tokenize("ref", lower=True).alias("r")).select("id", some(F.col("h")).alias("h"), some(F.col("r")).alias("r"))
-    count = lambda c, k, x: F.size(F.filter(c, lambda y: y == x))
-    common = F.aggregate(F.array_distinct("h"), F.lit(0), lambda a, x: a + F.least(count(F.col("h"), "h", x), count(F.col("r"), "r", x)))
-    rows = rows.select("id", common.alias("common"), F.size("h").alias("n_hyp"), F.size("r").alias("n_ref"))
+    side = lambda c, h, r: pairs.select("id", tokenize(c, lower=True).alias("t")).select("id", F.explode(some(F.col("t"))).alias("g"), F.lit(h).alias("h"), F.lit(r).alias("r"))
+    none = pairs.select("id", F.lit(None).cast("string").alias("g"), F.lit(0).alias("h"), F.lit(0).alias("r"))  # rows without n-grams stay
+    rows = side("hyp", 1, 0).unionByName(side("ref", 0, 1)).unionByName(none)
+    rows = rows.groupBy("id", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    rows = rows.groupBy("id").agg(*[F.sum(c).cast("int").alias(name) for c, name in ((F.least("h", "r"), "common"), ("h", "n_hyp"), ("r", "n_ref"))])
     return rows.withColumn("f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("common"), F.col("n_hyp") + F.col("n_ref")), F.lit(0.0)))
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relgraph.sources.scratch import small
+
 # Marks around words, what a number is, and the thresholds of the paper.
 LEAD = r"""^["'(\[{<*_«“‘]+"""
 TAIL = r"""["')\]}>*_»”’,;:]+$"""
@@ -19,15 +21,6 @@ NUMBER = r"^-?[.,]?[0-9][0-9,.-]*$"
 NUMBER_TYPE = "##number##"
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 
-#: Types that may go to every task.
-BROADCAST_TYPES = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A table of short rows, marked for broadcast if it is as small as that."""
-    return F.broadcast(df) if df.limit(BROADCAST_TYPES + 1).count() <= BROADCAST_TYPES else df
-
-
 def words(text) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 

@@ -452,13 +452,16 @@ def page_link_pairs(spark, sf):
     return cooccur.pairs(cooccur.baskets(rows, "name", "page_id")).groupBy("a", "b").agg(F.count("*").alias("pages"), F.min("note").alias("first"))
 
 
-@query(f"""WITH {_LINKS}, {_TITLE}, w AS (SELECT page_id AS page, 0 AS of, seq, lower(shown) AS name, href AS entity FROM l WHERE shown <> ''
-  UNION ALL SELECT page_id, 0, -1, lower(title), title FROM t WHERE title <> '')
-SELECT page, name, arg_max(entity, row(of, seq, entity)) AS entity FROM w GROUP BY page, name""")
-def page_names(spark, sf):
-    paras = _titles(spark, sf).select(F.col("page_id").alias("page"), F.lit(0).alias("para"), "title")
-    links = _links(spark, sf).select(F.col("page_id").alias("page"), F.lit(0).alias("para"), "seq", F.lower("shown").alias("name"), F.col("href").alias("entity"))
-    return mentions.page_names(paras, links).select("page", "name", "entity")
+@query("""SELECT event_type AS kw1, user_id::VARCHAR AS kw2, event_id % 7 AS first, event_id % 7 + 2 AS last, round(value, 3) AS score, event_id AS sim FROM events""")
+def feature_file(spark, sf):
+    rows = _t(spark, sf, "events").select(
+        F.lit("x").alias("more"), F.round("value", 3).alias("score"), F.concat(F.lit("("), F.col("event_id") % 7, F.lit(", "), F.col("event_id") % 7 + 2, F.lit(")")).alias("kw1_span"),
+        F.col("user_id").cast("string").alias("kw2"), F.col("event_type").alias("kw1"), F.col("event_id").alias("sim"),
+    )
+    path = scratch.scratch_path(spark, "features")
+    io.write_features(rows, path)
+    found = io.read_features(spark, path, {"kw1": "string", "kw2": "string", "kw1_span": "span", "score": "double", "sim": "long"})
+    return found.select("kw1", "kw2", F.col("kw1_span.start").cast("long").alias("first"), F.col("kw1_span.end").cast("long").alias("last"), "score", "sim")
 
 
 @query(f"""WITH {_LINKS}, m AS (SELECT DISTINCT shown AS name FROM l), ti AS (SELECT DISTINCT replace(href, '/', '') AS title FROM l),
@@ -504,8 +507,12 @@ re AS (SELECT page, para, sent, start, name, coalesce(exact, sole) AS entity FRO
   UNION ALL SELECT page, para, sent, start, name, title FROM (SELECT *, row_number() OVER (PARTITION BY page, para, sent, start, name ORDER BY sim DESC, title) AS k FROM op) WHERE k = 1)"""
 
 
+def _paragraphs(spark, sf):
+    return _t(spark, sf, "pages").select(F.col("page_id").alias("page"), F.regexp_extract("html", '<a href="([^"]*)">', 1).alias("title"), F.posexplode(F.split("html", "</p>")).alias("para", "line"))
+
+
 def _extracted(spark, sf):
-    pages = _t(spark, sf, "pages").select(F.col("page_id").alias("page"), F.regexp_extract("html", '<a href="([^"]*)">', 1).alias("title"), F.posexplode(F.split("html", "</p>")).alias("para", "line"))
+    pages = _paragraphs(spark, sf)
     sents = extract.sentences(pages)
     return pages, sents, extract.found_entities(pages, sents)
 
@@ -515,6 +522,17 @@ def _title_vectors(spark, sf, pages):
     return first.join(_t(spark, sf, "embeddings"), "vec_id").select("ent", F.col("embedding").alias("vec"))
 
 
+# the state of every paragraph, from all links up to it
+@query(f"""WITH {_EXTRACT}, st AS (SELECT DISTINCT page, para, title FROM par), w AS (SELECT st.page, st.para, name, lk.para AS "of", seq, entity FROM st JOIN lk ON lk.page = st.page AND lk.para <= st.para WHERE name <> ''
+  UNION ALL SELECT page, para, ow.name, para, 0, ow.title FROM st JOIN ow USING (page) WHERE ow.name <> '')
+SELECT page, para::INT AS para, name, arg_max(entity, row("of", seq)) AS entity FROM w GROUP BY page, para, name""")
+def page_names(spark, sf):
+    paras = _paragraphs(spark, sf)
+    known = mentions.page_names(extract.titles(paras), extract.links(paras))
+    holds = (F.coalesce("since", F.col("para")) <= F.col("para")) & (F.coalesce("until", F.col("para")) >= F.col("para"))
+    return paras.select("page", "para").join(known, "page").where(holds).select("page", "para", "name", "entity")
+
+
 @query(f"WITH {_EXTRACT} SELECT page, para::INT AS para, sent::INT AS sent, start::INT AS start, name, entity FROM ent")
 def page_entities(spark, sf):
     return _extracted(spark, sf)[2]
@@ -618,7 +636,7 @@ def normalised_vectors(spark, sf):
 _INV = "SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings"
 
 
-@query(f"WITH t AS ({_INV}) SELECT a.vec_id, count(*)::INT AS inversions FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.i < b.i AND a.x > b.x GROUP BY a.vec_id")
+@query(f"WITH t AS ({_INV}) SELECT a.vec_id, count(*) AS inversions FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.i < b.i AND a.x > b.x GROUP BY a.vec_id")
 def inversions(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", metrics.inversions("embedding").alias("inversions"))
 
@@ -707,6 +725,18 @@ def bigram_overlap(spark, sf):
     return metrics.ngram_overlap(rows, 2).select("id.conv_id", "id.turn", "common", _r("f1").alias("f1"))
 
 
+def _bleu_sql() -> str:
+    """The four orders' sums side by side."""
+    parts = [f"s{n} AS (SELECT sum(common)::DOUBLE AS c, sum(n_hyp)::DOUBLE AS h, sum(n_ref)::DOUBLE AS r FROM ({_rouge(n, ', coalesce(hn.n, 0) AS n_hyp, coalesce(rn.n, 0) AS n_ref')}))" for n in range(1, 5)]
+    logs = " + ".join(f"ln(s{n}.c / s{n}.h)" for n in range(1, 5))
+    return f"WITH {', '.join(parts)} SELECT CASE WHEN least(s1.c, s2.c, s3.c, s4.c) > 0 THEN round(exp(({logs}) / 4 + least(0, 1 - s1.r / s1.h)), 6) ELSE 0 END AS bleu FROM s1, s2, s3, s4"
+
+
+@query(_bleu_sql())
+def corpus_bleu4(spark, sf):
+    return metrics.bleu(_turns(spark, sf).select(F.struct("conv_id", "turn").alias("id"), "hyp", "ref"), 4).select(_r("bleu").alias("bleu"))
+
+
 @query()
 def meteor(spark, sf):
     rows = _turns(spark, sf).select(F.struct("conv_id", "turn").alias("id"), "hyp", "ref")

@@ -81,6 +81,24 @@ def read_delimited(spark: SparkSession, path: str, schema: str, delimiter: str =
     return spark.read.schema(schema).option("sep", delimiter).option("header", header).option("quote", "").option("mode", "PERMISSIVE").csv(path)
 
 
+#: Columns of a feature file that a graph needs, and their types; spans are written as (first, last).
+FEATURES = {"sim": "double", "kw1": "string", "kw2": "string", "kw1_span": "span", "kw2_span": "span", "dep_path": "string", "sent": "string", "dep_coverage": "double", "pattern_freq": "double", "score": "double"}
+
+
+def read_features(spark: SparkSession, path: str, columns: dict[str, str] = FEATURES) -> DataFrame:
+    """Columns of delimited feature files with headers, found by name in whatever order a file has them (IO11).
+
+    A column that no header names is an error; spans become (start, end).
+    """
+    rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    ends = lambda c: F.transform(F.regexp_extract_all(c, F.lit("-?[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+    span = lambda c: F.struct(F.get(ends(c), 0).alias("start"), F.get(ends(c), 1).alias("end"))
+    return rows.select(*[(span(c) if kind == "span" else F.col(c).cast(kind)).alias(c) for c, kind in columns.items()])
+
+
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
     """(id, text, title); the header and rows of fewer columns are left out; their number is logged (IO19)."""
     rows = read_delimited(spark, path, "id string, text string, title string").where("id <> 'id'")
@@ -163,9 +181,18 @@ def cypher(triples: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """df with ``batch``, groups of n rows within each value of the first order column (SC33)."""
-    place = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:]))
-    return df.withColumn("batch", F.floor((place - 1) / n))
+    """df with ``batch``, groups of n rows within each value of the first order column (SC33).
+
+    Rows are ranged by all order columns; a value may have many ranges. A row's place is that in its
+    range, after the rows of the ranges before, a table of no more rows than there are values and ranges.
+    """
+    ranged = scratch.materialise(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "batches")
+    sizes = ranged.groupBy(order[0], "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(order[0]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").withColumnRenamed(order[0], "__key")
+    rows = ranged.join(scratch.small(sizes), F.col("__key").eqNullSafe(F.col(order[0])) & (sizes["__range"] == ranged["__range"])).drop(sizes["__range"])
+    place = F.row_number().over(Window.partitionBy(order[0], "__range").orderBy(*order[1:])) + F.col("__before")
+    return rows.withColumn("batch", F.floor((place - 1) / n)).select(*df.columns, "batch")
 
 
 def sentences_of_pair(occurrences: DataFrame, sents: DataFrame, a, b) -> DataFrame:

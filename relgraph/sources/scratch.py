@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= cores * cost else df
 
 
+#: Rows of a few short columns that may go to every task.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of short rows, marked for broadcast if it has no more than BROADCAST_ROWS."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/relgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

@@ -3,11 +3,14 @@
 import itertools
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from relgraph import __main__ as cli
+from relgraph.functions import text
 from relgraph.operators import dataset, graph, mentions, metrics, ranked, trie
 from relgraph.sources import io
 
@@ -158,6 +161,70 @@ def test_extraction_of_a_small_dump(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1
 
 
+def test_names_of_paragraphs(spark):
+    rng = random.Random(9)
+    pages = [(p, t, n) for p, (t, n) in enumerate([("Big A (x)", "big a"), ("B", "b"), ("", ""), ("C", "c")])]
+    paras = [(p, k) for p, _, _ in pages for k in range(12)]
+    links = [(p, k, s, rng.choice(["a", "b", "c", "big a"]), f"E{p}{k}{s}") for p, k in paras for s in range(rng.randrange(0, 3))] + [(0, 3, 9, "", "none")]
+    frame = spark.createDataFrame(links, "page int, para int, seq int, name string, entity string")
+    own = spark.createDataFrame(pages, "page int, title string, name string")
+    want = {}
+    for p, title, name in pages:
+        known = {}
+        for k in range(12):
+            if name:
+                known[name] = title
+            known.update({n: e for q, j, _, n, e in sorted(links) if (q, j) == (p, k) and n})
+            want |= {(p, k, n): e for n, e in known.items()}
+    held = mentions.page_names(own, frame).collect()
+    got = {(r.page, k, r.name): r.entity for r in held for k in range(12) if (r.since is None or r.since <= k) and (r.until is None or k <= r.until)}
+    assert got == want and len(held) <= 2 * len(links) + len(pages)
+    assert sum(1 for r in held for k in range(12) if (r.since is None or r.since <= k) and (r.until is None or k <= r.until)) == len(want)
+    asked = spark.createDataFrame([(p, k, n, 5) for p, k in paras for n in ("a", "b", "c", "big a", "z")], "page int, para int, name string, more int")
+    found = mentions.latest(asked, frame, own)
+    assert {(r.page, r.para, r.name): r.entity for r in found.collect()} == want and found.columns == ["page", "para", "name", "more", "entity"]
+
+
+def test_batches_of_one_large_value(spark):
+    rng = random.Random(3)
+    rows = [(None if k % 50 == 0 else "x" if k % 3 else f"y{k % 4}", rng.randrange(500), k) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "kind string, a int, k int").repartition(5)
+    got = io.batches(frame, 7, "kind", "a", "k").collect()
+    want, seen = {}, {}
+    for kind, a, k in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        seen[kind] = seen.get(kind, -1) + 1
+        want[k] = seen[kind] // 7
+    assert {r.k: r.batch for r in got} == want and len(got) == len(rows)
+
+
+def test_long_rows(spark):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 300):
+        x = rng.integers(0, 50, n)
+        assert metrics.count_inversions(x) == sum(int((x[i + 1 :] < x[i]).sum()) for i in range(n))
+    began = time.monotonic()
+    assert metrics.count_inversions(np.arange(1_000_000)[::-1]) == 1_000_000 * 999_999 // 2
+    frame = spark.createDataFrame([(1, [3.0, None, 1.0, 2.0]), (2, None), (3, [])], "id int, x array<double>")
+    assert [r[0] for r in frame.orderBy("id").select(metrics.inversions("x")).collect()] == [2, None, 0]
+    long = " ".join(f"w{k % 5000}" for k in range(100_000))
+    got = metrics.ngram_overlap(spark.createDataFrame([(1, long, long), (2, None, "a"), (3, "a a b", "a b b")], "id int, hyp string, ref string")).orderBy("id").collect()
+    assert [(r.common, r.n_hyp, r.n_ref) for r in got] == [(100_000, 100_000, 100_000), (0, 0, 1), (2, 3, 3)]
+    nested = "x" + "(a[b]" * 8000 + ")" * 8000 + "y (z"
+    assert spark.range(1).select(text.strip_brackets(F.lit(nested))).first()[0] == "xy (z"
+    assert time.monotonic() - began < 60
+
+
+def test_feature_files_are_read_by_their_headers(spark, tmp_path):
+    (tmp_path / "f").write_text("score\tkw2\tmore\tkw1\tkw1_span\n0.5\tb c\tx\ta\t(1, 2)\n")
+    row = io.read_features(spark, str(tmp_path / "f"), {"kw1": "string", "kw2": "string", "kw1_span": "span", "score": "double"}).first()
+    assert tuple(row) == ("a", "b c", (1, 2), 0.5)
+    with pytest.raises(ValueError, match="no column kw3"):
+        io.read_features(spark, str(tmp_path / "f"), {"kw3": "string"})
+    io.write_features(spark.createDataFrame([(1.5, "a")], "sim double, kw1 string"), str(tmp_path / "g"))
+    assert tuple(io.read_features(spark, str(tmp_path / "g"), {"kw1": "string", "sim": "double"}).first()) == ("a", 1.5)
+    assert io.dataset_name(0.5, True, False, 0.75) == "dataset_0.50_dir2undir_0.75.json"
+
+
 def test_review_sheet(spark):
     edges = table(spark, {("a", "b"): (0.5, [(0.9, "s1")])})
     targets = spark.createDataFrame([(0, "b", "a", "t0"), (1, "a", "c", "t1")], "place int, a string, b string, target string")

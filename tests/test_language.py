@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relgraph.functions.stem import stem
 from relgraph.operators import metrics, punkt
+from relgraph.sources import scratch
 
 
 def core(w):
@@ -126,7 +127,7 @@ def test_learnt_sentences_equal_a_plain_version(spark, monkeypatch, seed):
     got = {r.of: (r.n, r.periods, r.score) for r in punkt.types(punkt.tokens(table)).collect()}
     assert set(got) == set(want) and all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2], rel=1e-9) for k in want)
     assert got["dr"][2] >= 0.3 > got["stone"][2]
-    monkeypatch.setattr(punkt, "BROADCAST_TYPES", (200_000, 0)[seed - 1])
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", (200_000, 0)[seed - 1])
     said = {}
     for r in punkt.sentences(table, punkt.fit(table)).orderBy("id", "sent").collect():
         said.setdefault(r.id, []).append(r.text)
