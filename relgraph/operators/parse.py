@@ -1,20 +1,23 @@
 """Dependency trees as token arrays: paths, spans, patterns, coverage.
 
-A tree is arrays of heads and labels; the root's head is itself. Trees are walked
-in Arrow batches of Python, sentence by sentence; parsing is an input.
+A tree is arrays of heads and labels; the root's head is itself. The trees of an Arrow batch are
+walked together (``forest``); functions of single trees say what is computed. Parsing is an input.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.functions.scores import harmonic, pattern_freq
 from relgraph.functions.text import let
+from relgraph.operators.forest import Forest
 
 # Labels of modifiers whose sub paths count towards coverage.
 MODIFIERS = frozenset(
@@ -147,6 +150,46 @@ def _whole(r: dict, low: int, high: int) -> tuple[list[str], list[float], str] |
     return (steps, branch, pattern) if pattern.startswith("i_nsubj") else None
 
 
+class _Batch(NamedTuple):
+    """The rows of a batch that are not filtered out, with their steps, core patterns and branches."""
+
+    forest: Forest
+    rows: np.ndarray
+    steps: list[list[str]]
+    patterns: list[str]
+    on: np.ndarray
+
+
+def _batch(batch: pa.RecordBatch, low: int, high: int, every: bool = False) -> _Batch:
+    """``_whole`` for all rows of a batch (id, head, dep, s1, e1, s2, e2, ...); with every, no row is filtered out (FI1, FI7, FI8)."""
+    forest = Forest(batch.column(1), batch.column(2))
+    s1, e1, s2, e2 = (np.asarray(batch.column(3 + k), dtype=np.int64) for k in range(4))
+    fit = (forest.n >= low) & (forest.n <= high) & (forest.n > 0)
+    if not every:
+        fit &= forest.whole(s1, e1) & forest.whole(s2, e2)
+    rows = np.flatnonzero(fit)
+    steps, on = forest.paths(rows, (s1[rows], e1[rows]), (s2[rows], e2[rows]))
+    if every:
+        return _Batch(forest, rows, steps, [], on)
+    known: dict[str, str] = {}
+    patterns = []
+    for x in steps:
+        path = " ".join(x)
+        if path not in known:
+            known[path] = core_pattern(x) if x else ""
+        patterns.append(known[path])
+    kept = [k for k, p in enumerate(patterns) if p.startswith("i_nsubj")]
+    on[~np.isin(forest.row, rows[kept])] = False
+    return _Batch(forest, rows[kept], [steps[k] for k in kept], [patterns[k] for k in kept], on)
+
+
+def _own_weights(forest: Forest, on: np.ndarray) -> np.ndarray:
+    """1 for tokens on the branch, but 0 for heads of those that are conj (TX17)."""
+    weight = on.astype(float)
+    weight[forest.head[on & (forest.dep == forest.label("conj"))]] = 0.0
+    return weight
+
+
 def _weights(head: list[int], dep: list[str], branch: list[float]) -> list[tuple[float, str]]:
     """For each token its weight, and the sub pattern whose frequency is its weight instead, if any (TX17)."""
     out = [(w, "") for w in branch]
@@ -180,18 +223,26 @@ def features(pairs: DataFrame, core: DataFrame, sub: DataFrame, *, low: int = 5,
 
     def run(batches):
         for batch in batches:
-            out, at = [], []
-            for k, r in enumerate(batch.to_pylist()):
-                got = _whole(r, low, high)
-                if got is None:
-                    continue
-                steps, branch, pattern = got
-                own = [w for w, d in zip(_weights(r["head"], r["dep"], branch), r["dep"], strict=True) if d != "punct"]
-                times = Counter(p for _, p in own if p)
-                at.append(k)
-                out.append((*(r[p] for p in _PLACES), " ".join(steps), pattern, sum(w for w, p in own if not p), len(own), [{"pattern": p, "times": n} for p, n in sorted(times.items())]))
-            cols = list(zip(*out, strict=True)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", *_PLACES, "dep_path", "pattern", "fixed", "n", "subs"])
+            got = _batch(batch, low, high)
+            forest, on = got.forest, got.on
+            weight = _own_weights(forest, on)
+            token, _, number, paths = forest.sub_paths(weight > 0)
+            told = [(p[0] in MODIFIERS, sub_pattern(" ".join(p))) for p in paths]
+            modifier, named = (np.array([x[0] for x in told], bool), np.array([bool(x[1]) for x in told], bool)) if told else (np.zeros(0, bool), np.zeros(0, bool))
+            weight[token[modifier[number]]] = 1.0  # as its root, unless its pattern tells
+            by = np.full(len(weight), -1)
+            by[token] = np.where(modifier[number] & named[number], number, -1)
+            counted = forest.dep != forest.label("punct")
+            n = np.bincount(forest.row[counted], minlength=len(forest.n))
+            fixed = np.bincount(forest.row[counted & (by < 0)], weight[counted & (by < 0)], len(forest.n))
+            told_ = np.flatnonzero(counted & (by >= 0))
+            subs: dict[int, Counter] = {}
+            for r, p in zip(forest.row[told_].tolist(), by[told_].tolist(), strict=True):
+                subs.setdefault(r, Counter())[told[p][1]] += 1
+            lists = [[{"pattern": p, "times": c} for p, c in sorted(subs.get(r, {}).items())] for r in got.rows.tolist()]
+            places = [np.asarray(batch.column(3 + k))[got.rows] for k in range(4)]
+            cols = [*places, [" ".join(x) for x in got.steps], got.patterns, fixed[got.rows], n[got.rows], lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(got.rows)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", *_PLACES, "dep_path", "pattern", "fixed", "n", "subs"])
 
     kinds = [pa.int32()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.struct([("pattern", pa.string()), ("times", pa.int32())]))]
     parts = pairs.select("id", "head", "dep", *(F.col(p).cast("int").alias(p) for p in _PLACES)).mapInArrow(run, f"id {kind}, s1 int, e1 int, s2 int, e2 int, dep_path string, pattern string, fixed double, n int, subs array<struct<pattern:string,times:int>>")
@@ -217,17 +268,17 @@ def patterns(pairs: DataFrame, *, sim_threshold: float | None = None, low: int =
 
     def run(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                got = _whole(r, low, high)
-                if got:
-                    _, branch, pattern = got
-                    out.append(("core", pattern))
-                    subs = {(root, sub_pattern(p)) for root, p, _ in sub_paths(r["head"], r["dep"], branch) if "punct" not in p}
-                    out += [("sub", p) for _, p in sorted(subs) if p]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], names=["kind", "pattern"])
+            got = _batch(batch, low, high)
+            token, root, number, paths = got.forest.sub_paths(got.on)
+            sub = ["" if "punct" in " ".join(p) else sub_pattern(" ".join(p)) for p in paths]
+            names = sorted({x for x in sub if x})
+            place = {x: k for k, x in enumerate(names)}
+            own = np.array([place.get(x, -1) for x in sub], np.int64)[number] if sub else np.zeros(0, np.int64)
+            each = np.unique(np.stack([root[own >= 0], own[own >= 0]]), axis=1)[1].tolist()  # once a token on the branch
+            out = [*got.patterns, *(names[k] for k in each)]
+            yield pa.RecordBatch.from_arrays([pa.array(["core"] * len(got.patterns) + ["sub"] * len(each), pa.string()), pa.array(out, pa.string())], names=["kind", "pattern"])
 
-    return rows.select("head", "dep", *_PLACES).mapInArrow(run, "kind string, pattern string")
+    return rows.select(F.lit(0).alias("id"), "head", "dep", *(F.col(p).cast("int").alias(p) for p in _PLACES)).mapInArrow(run, "kind string, pattern string")
 
 
 def token_weights(pairs: DataFrame, sub: DataFrame) -> DataFrame:
@@ -239,16 +290,20 @@ def token_weights(pairs: DataFrame, sub: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at, rows = [], []
-            for k, r in enumerate(batch.to_pylist()):
-                _, branch = path_between(r["head"], r["dep"], (r["s1"], r["e1"]), (r["s2"], r["e2"]))
-                own = _weights(r["head"], r["dep"], branch or [0.0] * len(r["head"]))
-                at += [k] * len(own)
-                rows += [(i, t, w, p) for i, (t, (w, p)) in enumerate(zip(r["tokens"], own, strict=True))]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.float64(), pa.string()), strict=True))], names=["id", "place", "token", "fixed", "sub"])
-
-    rows = pairs.select("id", "head", "dep", *_PLACES, "tokens").mapInArrow(run, f"id {kind}, place int, token string, fixed double, sub string")
+            got = _batch(batch, 0, 1 << 30, every=True)
+            forest, on = got.forest, got.on
+            weight = _own_weights(forest, on)
+            token, _, number, paths = forest.sub_paths(weight > 0)
+            told = [sub_pattern(" ".join(p)) if p[0] in MODIFIERS else None for p in paths]
+            known = np.array([t is not None for t in told], bool)[number] if told else np.zeros(0, bool)
+            weight[token[known]] = 1.0
+            by = [""] * len(weight)
+            for t, k in zip(token[known].tolist(), number[known].tolist(), strict=True):
+                by[t] = told[k]
+            cols = (forest.place, batch.column(7).flatten(), weight, by)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(forest.row)), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.float64(), pa.string()), strict=True))], names=["id", "place", "token", "fixed", "sub"])
+
+    rows = pairs.select("id", "head", "dep", *(F.col(p).cast("int").alias(p) for p in _PLACES), "tokens").mapInArrow(run, f"id {kind}, place int, token string, fixed double, sub string")
     rows = rows.join(_frequencies(sub).withColumnRenamed("pattern", "sub"), "sub", "left").crossJoin(F.broadcast(_unseen(sub, "rare")))
     return rows.select("id", "place", "token", F.when(F.col("sub") == "", F.col("fixed")).otherwise(F.coalesce("freq", "rare", F.lit(0.0))).alias("weight"))
 
