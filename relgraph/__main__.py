@@ -54,14 +54,18 @@ def sentences(spark: SparkSession, a) -> None:
     io.write_table(lines.select("file", "title", "para", F.posexplode(text.sentences(plain)).alias("sent", "text")), a.out)
 
 
-@command("preprocess", arg("dump"), arg("vectors"), OUT, arg("--dim", type=int, default=100))
+@command("preprocess", arg("dump"), arg("vectors"), OUT, arg("--dim", type=int, default=100), arg("--tokens", default="plain", choices=("plain", "treebank")), arg("--lemmas"), arg("--learn", action="store_true"))
 def preprocess(spark: SparkSession, a) -> None:
-    """From a dump and vectors (ent, vec) to tables: sentences, entities as found and resolved, lists, pairs with similarity, occurrences."""
+    """From a dump and vectors (ent, vec) to tables: sentences, entities as found and resolved, lists, pairs with similarity, occurrences.
+
+    --tokens: the words that names are looked for in; --lemmas: a table (word, lemma) of nouns; --learn: sentence ends learnt from the dump.
+    """
     paras = scratch.materialise(io.read_dump(spark, a.dump).select(F.concat_ws("#", "file", "doc").alias("page"), "para", "title", "line"), "paragraphs")
     vectors, at = spark.read.parquet(a.vectors), io.output_paths(a.out)
     read = lambda k: spark.read.parquet(at[k])
-    io.write_table(extract.sentences(paras).withColumn("note", F.concat_ws(":", "page", "para", "sent")), at["sentences"])
-    io.write_table(extract.found_entities(paras, read("sentences")), at["raw"])
+    sents = extract.learnt_sentences(paras) if a.learn else extract.sentences(paras)
+    io.write_table(sents.withColumn("note", F.concat_ws(":", "page", "para", "sent")), at["sentences"])
+    io.write_table(extract.found_entities(paras, *extract.words(read("sentences"), a.tokens, spark.read.parquet(a.lemmas) if a.lemmas else None)), at["raw"])
     io.write_table(extract.lists(extract.resolve(read("raw"), read("sentences"), vectors)), at["lists"])
     io.write_table(extract.pairs(read("lists"), vectors, a.dim), at["pairs"])
     io.write_table(cooccur.occurrences(read("lists")), at["occurrences"])

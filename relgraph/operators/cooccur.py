@@ -29,6 +29,35 @@ def counts(lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, nodes, total
 
 
+#: Entities of a block of a long note.
+BLOCK = 512
+
+
+def long_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(note, a, b): pairs of entities of one note, a before b, from rows (note, ent, at), each entity of a note once (JN6).
+
+    For notes of any length: a note is never a row. Its entities are dealt by hash to blocks of about ``block``,
+    and pairs of blocks, a triangle of them, to tasks; a row holds two blocks at most.
+    """
+    sizes = rows.groupBy("note").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    one = rows.join(sizes, "note").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
+    met = one.select("note", "ent", "at", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    met = met.select("note", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("right"), "at", "ent")
+    held = met.groupBy("note", "i", "j").agg(F.array_sort(F.collect_list(F.struct("at", "ent", "right"))).alias("s"))
+    each = held.select("note", "i", "j", "s", F.posexplode("s").alias("k", "x"))
+    # within a block all, of two blocks those of one with those of the other
+    after = F.filter(F.slice("s", F.col("k") + 2, F.size("s")), lambda y: (F.col("i") == F.col("j")) | (y["right"] != F.col("x.right")))
+    return each.select("note", F.col("x.ent").alias("a"), F.explode(after).alias("y")).select("note", "a", F.col("y.ent").alias("b"))
+
+
+def long_counts(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``counts`` of rows (note, ent, at) instead of lists (AG5)."""
+    sizes = rows.groupBy("note").agg(F.count("*").alias("k"))
+    edges = long_pairs(rows, block).groupBy("a", "b").agg(F.count("*").alias("c"))
+    nodes = rows.join(sizes.where("k > 1"), "note").groupBy("ent").agg(F.sum(F.col("k") - 1).alias("c"))
+    return edges, nodes, sizes.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0)).alias("z"))
+
+
 def npmi(lists: DataFrame) -> DataFrame:
     """(a, b, c, npmi): normalised pointwise mutual information of every edge (AG6); null where 2c is the total."""
     edges, nodes, total = counts(lists)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.functions import text
-from relgraph.operators import cooccur, mentions, parse
+from relgraph.operators import cooccur, mentions, parse, punkt
+from relgraph.sources import scratch
 
 
 def links(paras: DataFrame) -> DataFrame:
@@ -23,11 +24,32 @@ def titles(paras: DataFrame) -> DataFrame:
     return paras.select("page", "title").distinct().withColumn("name", text.entity_name("title")).where("name <> ''")
 
 
-def sentences(paras: DataFrame) -> DataFrame:
-    """(page, para, sent, title, text): sentences of paragraphs, links replaced by names, brackets dropped (SC1, SC7, SC8)."""
+def words(sents: DataFrame, kind: str = "plain", lemmas: DataFrame | None = None):
+    """sents and a column of it, the words of a sentence in lower case: plain tokens or the Treebank's, words of lemmas (word, lemma) in their dictionary form (TX6)."""
+    tokens = F.transform(text.treebank("text"), lambda t: F.lower(t)) if kind == "treebank" else text.tokenize("text", lower=True)
+    if lemmas is None:
+        return sents, tokens
+    rows = mentions.lemmatised(sents.select(F.struct("page", "para", "sent").alias("id"), "title", "text", tokens.alias("tokens")), lemmas)
+    return rows.select("id.*", "title", "text", "tokens"), F.col("tokens")
+
+
+def _unlinked(paras: DataFrame) -> DataFrame:
+    """(page, para, title, line): links replaced by names (SC7)."""
     name = lambda l: text.entity_name(l["href"], lower=False)  # noqa: E731, E741
     found = F.transform(text.links("line"), lambda l: F.struct(l["raw"].alias("raw"), text.let(name(l), lambda n: text.link_text(l["shown"], n, F.lower(n))).alias("text")))  # noqa: E741
-    rows = paras.select("page", "para", "title", F.posexplode(text.sentences(text.resolve_links("line", found))).alias("sent", "text"))
+    return paras.select("page", "para", "title", text.resolve_links("line", found).alias("line"))
+
+
+def learnt_sentences(paras: DataFrame, known: list[str] | None = None) -> DataFrame:
+    """As ``sentences``, their ends learnt from all paragraphs (SC8)."""
+    rows = scratch.materialise(_unlinked(paras).select(F.struct("page", "para", "title").alias("id"), F.col("line").alias("text")), "unlinked")
+    found = punkt.sentences(rows, punkt.fit(rows, known, scratch.materialise))
+    return found.select("id.page", "id.para", "sent", "id.title", text.strip_brackets("text").alias("text"))
+
+
+def sentences(paras: DataFrame) -> DataFrame:
+    """(page, para, sent, title, text): sentences of paragraphs, links replaced by names, brackets dropped (SC1, SC7, SC8)."""
+    rows = _unlinked(paras).select("page", "para", "title", F.posexplode(text.sentences("line")).alias("sent", "text"))
     return rows.select("page", "para", "sent", "title", text.strip_brackets("text").alias("text"))
 
 

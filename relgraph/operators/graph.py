@@ -14,16 +14,33 @@ from pyspark.sql import functions as F
 from relgraph.operators import ranked
 
 
-def digraph(features: DataFrame, sim_threshold: float = -1.0) -> DataFrame:
-    """Group features (kw1, kw2, sim, dep_path, note, score, ...) by oriented pair (AG4, GR1).
+def oriented(features: DataFrame, sim_threshold: float = -1.0) -> DataFrame:
+    """(src, dst, sim, item): a row for each sentence of features (kw1, kw2, sim, dep_path, note, score, ...), from head to tail (AG4, GR1).
 
-    Head and tail change places where the path has no i_nsubj. sim: the largest.
+    Head and tail change places where the path has no i_nsubj. The graph in long form: an edge may have any number of sentences.
     """
     swap = ~F.contains("dep_path", F.lit("i_nsubj"))
     rows = features.where(F.col("sim") >= sim_threshold)
     flip = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     item = F.struct("score", "note", "significant", "explicit", flip("kw1_span", "kw2_span").alias("span_head"), flip("kw2_span", "kw1_span").alias("span_tail"))
-    rows = rows.select(flip("kw1", "kw2").alias("src"), flip("kw2", "kw1").alias("dst"), "sim", item.alias("item"))
+    return rows.select(flip("kw1", "kw2").alias("src"), flip("kw2", "kw1").alias("dst"), "sim", item.alias("item"))
+
+
+def ranked_sentences(rows: DataFrame, threshold: float = 0.75, feature: str = "score", most: int | None = None, directed: bool = True) -> DataFrame:
+    """(src, dst, sim, item, rank) of ``oriented`` rows: an edge's sentences that reach a threshold, best first, ties by note (FI6, GR2, GR3).
+
+    ``sentence_graph`` in long form; with ``most``, the limit of an edge holds before the shuffle too.
+    """
+    if not directed:
+        rows = rows.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "sim", "item")
+    order = Window.partitionBy("src", "dst").orderBy(F.desc(f"item.{feature}"), "item.note")
+    rows = rows.where(F.col(f"item.{feature}") >= threshold).withColumn("rank", F.row_number().over(order))
+    return rows if most is None else rows.where(F.col("rank") <= most)
+
+
+def digraph(features: DataFrame, sim_threshold: float = -1.0) -> DataFrame:
+    """``oriented`` grouped by pair, all sentences of an edge in a row (AG4, GR1). sim: the largest."""
+    rows = oriented(features, sim_threshold)
     return rows.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.array_sort(F.collect_list("item")).alias("data"))
 
 
@@ -45,13 +62,7 @@ def best_sentences(features: DataFrame, sim_threshold: float = 0.5, threshold: f
     ``sentence_graph`` of an undirected ``digraph`` keeps all sentences of an edge in a row; paths use one or two.
     Here rows stay long until that limit, which is applied before the shuffle too. sim is a function of the pair.
     """
-    rows = features.where((F.col("sim") >= sim_threshold) & (F.col("score") >= threshold))
-    swap = ~F.contains("dep_path", F.lit("i_nsubj"))
-    flip = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    item = F.struct("score", "note", "significant", "explicit", flip("kw1_span", "kw2_span").alias("span_head"), flip("kw2_span", "kw1_span").alias("span_tail"))
-    rows = rows.select(F.least("kw1", "kw2").alias("src"), F.greatest("kw1", "kw2").alias("dst"), "sim", item.alias("item"))
-    order = Window.partitionBy("src", "dst").orderBy(F.desc("item.score"), "item.note")
-    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    rows = ranked_sentences(oriented(features, sim_threshold), threshold, "score", most, directed=False).withColumnRenamed("rank", "k")
     rows = rows.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.sort_array(F.collect_list(F.struct("k", "item"))).alias("data"))
     return rows.withColumn("data", F.transform("data", lambda x: x["item"]))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions.scores import cosine
+from relgraph.functions.text import treebank
 from relgraph.operators import trie
+from relgraph.sources import scratch
 
 
 def match_phrases(tokens: DataFrame, dictionary: DataFrame, mode: str = "longest", scope: tuple[str, ...] = ()) -> DataFrame:
@@ -155,6 +159,43 @@ def drop_keywords(words: DataFrame, stop=STOP) -> DataFrame:
     return words.where(~F.col("kw").isin(*stop) & ((F.length("kw") > 1) | (F.col("kw") == "c")))
 
 
+# Endings of English nouns and what takes their place, in order.
+NOUN_ENDINGS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+
+
+def noun_lemmas(words: DataFrame, vocabulary: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(word, lemma) of distinct words (word): the shortest form that the vocabulary (word) has (SC10, SC12).
+
+    Forms are the word itself and what its endings give, or for a word that exceptions (word, lemma) hold what they
+    say; where the vocabulary has none of them, endings are taken off those forms again. A word without a form is its own lemma.
+    """
+    words = words.select("word").where("word is not null").distinct()
+    forms = lambda c: F.filter(F.array(*[F.when(F.endswith(c, F.lit(e)), F.concat(F.expr(f"substring({c}, 1, length({c}) - {len(e)})"), F.lit(new))) for e, new in NOUN_ENDINGS]), lambda x: x.isNotNull())
+    by_rule = words.select("word", F.posexplode(F.concat(F.array("word"), forms("word"))).alias("k", "form"))
+    if exceptions is not None:
+        odd = exceptions.select("word", F.col("lemma").alias("form")).distinct()
+        own = words.join(odd.select("word").distinct(), "word", "left_semi").select("word", F.lit(0).alias("k"), F.col("word").alias("form"))
+        by_rule = by_rule.join(odd.select("word").distinct(), "word", "left_anti").unionByName(own).unionByName(words.join(odd, "word").select("word", F.lit(1).alias("k"), "form"))
+    known = vocabulary.select(F.col("word").alias("form")).distinct()
+    tried, out = scratch.materialise(by_rule.where("form <> ''"), "lemma-forms"), []
+    while not tried.isEmpty():
+        good = tried.join(known, "form", "left_semi")
+        best = scratch.materialise(good.groupBy("word").agg(F.min(F.struct(F.length("form").alias("n"), "k", "form")).alias("m")).select("word", F.col("m.form").alias("lemma")), "lemmas")
+        out.append(best)
+        rest = tried.where("k > 0" if len(out) == 1 else "true").join(best.select("word"), "word", "left_anti")
+        tried = scratch.materialise(rest.select("word", F.posexplode(forms("form")).alias("k", "form")).where("form <> ''"), "lemma-forms")
+    found = reduce(DataFrame.unionByName, out) if out else words.limit(0).withColumn("lemma", F.col("word"))
+    return words.join(found, "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"))
+
+
+def lemmatised(rows: DataFrame, lemmas: DataFrame, words: str = "tokens") -> DataFrame:
+    """rows (id, tokens, ...) with each token that lemmas (word, lemma) hold in its dictionary form; ids are unique (SC10, TX6)."""
+    each = rows.select("id", F.posexplode(words).alias("k", "word")).join(scratch.small(lemmas.select("word", "lemma")), "word", "left")
+    done = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("lemma", "word").alias("w")))).alias("s")).select("id", F.transform("s", lambda x: x["w"]).alias("__w"))
+    out = rows.join(done, "id", "left")
+    return out.withColumn(words, F.coalesce("__w", words)).drop("__w")
+
+
 def lemmatise(tokens, tags, lemmas):
     """Token array with the dictionary form (map column ``lemmas``) of each noun; other words stay (SC10)."""
     return F.transform(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t")), lambda x: F.when(F.startswith(x["t"], F.lit("NN")), F.coalesce(F.element_at(lemmas, x["w"]), x["w"])).otherwise(x["w"]))
@@ -177,6 +218,20 @@ def spans(words, phrase):
     return F.when((F.size(phrase) > 0) & (F.size(words) >= F.size(phrase)), some).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+def find_spans(text, tokens, phrase, phrase_tokens, plain, use_lemma: bool = True, lower: bool = True):
+    """Places (start, end; inclusive) of a phrase in a parsed sentence, in whichever tokens fit (TX7).
+
+    tokens, phrase_tokens: arrays of (text, lemma, pos) of a parser. Where the Treebank's tokens of the text, with plain quotes, are the parser's, the
+    sentence is read as ``plain``, its words by the Treebank with nouns in their dictionary form, and the phrase as words with hyphens apart.
+    Else both are read as parsed, nouns by their lemma with use_lemma.
+    """
+    same = F.transform(treebank(text), lambda t: F.when(t.isin("``", "''"), F.lit('"')).otherwise(t)) == F.transform(tokens, lambda t: t["text"])
+    parsed = lambda c: F.transform(c, lambda t: F.when((t["pos"] == "NOUN") & F.lit(use_lemma), t["lemma"]).otherwise(t["text"]))
+    cased = (lambda c: F.transform(c, lambda w: F.lower(w))) if lower else (lambda c: c)
+    apart = F.filter(F.split(F.replace(phrase, F.lit("-"), F.lit(" - ")), r"\s+"), lambda x: x != "")
+    return F.when(same, spans(cased(plain), cased(apart))).otherwise(spans(cased(parsed(tokens)), cased(parsed(phrase_tokens))))
+
+
 def span_pairs(rows: DataFrame) -> DataFrame:
     """rows (..., words, kw1, kw2), word arrays, once for each place of kw1 and each of kw2: s1, e1, s2, e2 added (TX15)."""
     kept = rows.columns

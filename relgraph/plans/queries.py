@@ -6,12 +6,13 @@ that share a sentence; documents, pages and conversations stand for themselves.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relgraph.functions import scores, text
+from relgraph.functions import lines, scores, text
 from relgraph.operators import cooccur, dataset, extract, graph, mentions, metrics, parse, punkt, samples
 from relgraph.sources import io, scratch
 from relgraph.streaming import counts
@@ -157,6 +158,20 @@ def sentence_graph(spark, sf):
     return edges.select("src", "dst", F.size("data").alias("n"), F.md5(F.array_join(F.transform("data", lambda x: x["note"].cast("string")), ",")).alias("notes"), F.get("data", 0)["note"].alias("top"))
 
 
+@query(f"WITH {_FEATURES} SELECT src, dst, note, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, note) AS rank FROM f WHERE score >= 0.75 AND sim >= 0.5)")
+def edge_sentences(spark, sf):
+    rows = graph.ranked_sentences(graph.oriented(_features(spark, sf), 0.5), 0.75)
+    return rows.select("src", "dst", F.col("item.note").alias("note"), "rank")
+
+
+# customers who order in the same month: long notes
+@query("""WITH b AS (SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS note, o_custkey AS ent FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL)
+SELECT x.ent AS a, y.ent AS b, count(*) AS c FROM b x JOIN b y ON x.note = y.note AND x.ent < y.ent GROUP BY ALL""")
+def long_note_pairs(spark, sf):
+    rows = _t(spark, sf, "orders").where("o_orderdate is not null and o_custkey is not null").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("note"), F.col("o_custkey").alias("ent")).distinct()
+    return cooccur.long_counts(rows.withColumn("at", F.col("ent")))[0]
+
+
 def _said(found: DataFrame) -> DataFrame:
     return found.select("a", "b", F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("path"), _r(scores.harmonic_mean("weights")).alias("score"))
 
@@ -802,6 +817,40 @@ def keyword_forms(spark, sf):
     return stable.select(F.col("kw").alias("line"), F.lit(True).alias("stable")).union(other.select("line", F.lit(False)))
 
 
+# words in two documents at least stand for a dictionary
+def _lemma_sql() -> str:
+    cases = lambda c: ", ".join(f"CASE WHEN ends_with({c}, '{e}') THEN left({c}, -{len(e)}) || '{new}' END" for e, new in mentions.NOUN_ENDINGS)
+    level = lambda k, src: f"""f{k} AS (SELECT word, form, i FROM (SELECT word, unnest([{cases('form')}]) AS form, unnest(range(1, {len(mentions.NOUN_ENDINGS) + 1})) AS i FROM {src}) WHERE form IS NOT NULL AND form <> '')"""
+    best = lambda k, src: f"""g{k} AS (SELECT word, arg_min(form, row(length(form), i)) AS lemma FROM {src} SEMI JOIN vo ON vo.word = form GROUP BY word)"""
+    parts = ["wo AS (SELECT word, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word)", "vo AS (SELECT word FROM wo WHERE n >= 2)",
+             level(1, "(SELECT word, word AS form FROM wo)"), "c1 AS (SELECT * FROM f1 UNION ALL SELECT word, word, 0 FROM wo)", best(1, "c1")]
+    for k in range(2, 8):
+        parts += [level(k, f"(SELECT * FROM f{k - 1} ANTI JOIN g{k - 1} USING (word))"), best(k, f"f{k}")]
+    return f"WITH {', '.join(parts)} SELECT word, lemma FROM ({' UNION ALL '.join(f'SELECT * FROM g{k}' for k in range(1, 8))}) WHERE word <> lemma"
+
+
+@query(_lemma_sql())
+def noun_lemmas(spark, sf):
+    each = _t(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    counted = scratch.materialise(each.groupBy("word").agg(F.count("*").alias("n")), "words")
+    return mentions.noun_lemmas(counted, counted.where("n >= 2")).where("word <> lemma")
+
+
+# for each line of a document how many of its words are new in it
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, k, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS w FROM l), f AS (SELECT doc_id, w, min(k) AS k FROM w GROUP BY ALL)
+SELECT l.doc_id, (l.k - 1)::INT AS place, count(f.w)::INT AS fresh FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.k = l.k GROUP BY ALL""")
+def new_words(spark, sf):
+    def step(seen, row):
+        fresh = set(re.findall("[A-Za-z]+", row["line"])) - seen
+        seen |= fresh
+        yield row["doc_id"], row["place"], len(fresh)
+
+    spark.udtf.register("new_words", lines.line_function(set, step, "doc_id long, place int, fresh int"))
+    _t(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).createOrReplaceTempView("document_lines")
+    return spark.sql("SELECT * FROM new_words(TABLE(document_lines) PARTITION BY doc_id ORDER BY place)")
+
+
 @query("SELECT 'MERGE (:Entity {name: ''' || n || '''})' AS command FROM (SELECT DISTINCT n_nationkey AS n FROM nation UNION SELECT r_regionkey FROM region)\n"
        "UNION ALL SELECT 'MATCH (a:Entity {name: ''' || n_nationkey || '''}), (b:Entity {name: ''' || n_regionkey || '''}) MERGE (a)-[:RELATED {note: ''' || n_name || '''}]->(b)' FROM nation")
 def cypher(spark, sf):
