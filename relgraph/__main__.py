@@ -201,13 +201,14 @@ def merge_output(spark: SparkSession, a) -> None:
 
 @command("score_outputs", arg("outputs"))
 def score_outputs(spark: SparkSession, a) -> None:
-    """BLEU, mean ROUGE-1, 2 and L, exact match of tab-separated outputs (question, output, target)."""
+    """BLEU, mean ROUGE-1, 2 and L, mean METEOR, exact match of tab-separated outputs (question, output, target)."""
     rows = io.read_delimited(spark, a.outputs, "question string, output string, target string")
     pairs = rows.select("question", F.col("output").alias("hyp"), F.col("target").alias("ref"))
-    keyed = pairs.withColumnRenamed("question", "id")
+    keyed = scratch.materialise(pairs.drop("question").withColumn("id", F.monotonically_increasing_id()), "outputs")  # questions may repeat
     print("BLEU", metrics.bleu(keyed).first()[0])
     for name, scored in (("ROUGE-1", metrics.ngram_overlap(keyed, 1)), ("ROUGE-2", metrics.ngram_overlap(keyed, 2)), ("ROUGE-L", metrics.rouge_l(keyed))):
         print(name, scored.agg(F.avg("f1")).first()[0])
+    print("METEOR", metrics.meteor(keyed).agg(F.avg("score")).first()[0])
     print("EM", pairs.agg(F.avg(metrics.exact_match(F.col("hyp"), F.array("ref")).cast("double"))).first()[0])
 
 

@@ -86,9 +86,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def paths(arcs: DataFrame, wanted: DataFrame, hops: int) -> DataFrame:
     """(a, b, nodes, weights): simple paths of exactly that many arcs (u, v, w) between wanted (a, b) (GR4, GR5).
 
-    Paths of two and more start at the wanted pairs and close with a join on both
-    ends, so that the last step never fans out.
+    Paths of two and more start at the wanted pairs and close with a join on both ends, so that the last step
+    never fans out. Those of two start at the end with fewer arcs, so a hub costs no more than what it is asked for with.
     """
+    if hops == 2:
+        out_, into = arcs.groupBy(F.col("u").alias("a")).agg(F.count("*").alias("da")), arcs.groupBy(F.col("v").alias("b")).agg(F.count("*").alias("db"))
+        sized = wanted.select("a", "b").join(out_, "a").join(into, "b")
+        there = sized.where("da <= db").join(arcs.select(F.col("u").alias("a"), F.col("v").alias("m"), F.col("w").alias("w0")), "a").where("m <> b and m <> a")
+        there = there.join(arcs.select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w1")), ["m", "b"])
+        back = sized.where("da > db").join(arcs.select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w1")), "b").where("m <> b and m <> a")
+        back = back.join(arcs.select(F.col("u").alias("a"), F.col("v").alias("m"), F.col("w").alias("w0")), ["a", "m"])
+        both = there.select("a", "b", "m", "w0", "w1").unionByName(back.select("a", "b", "m", "w0", "w1"))
+        return both.select("a", "b", F.array("a", "m", "b").alias("nodes"), F.array("w0", "w1").alias("weights"))
     now = wanted.select("a", "b", F.array("a").alias("nodes"), F.array().cast("array<double>").alias("weights"), F.col("a").alias("u"))
     for _ in range(hops - 1):
         step = now.join(arcs, "u").where((F.col("v") != F.col("b")) & ~F.array_contains("nodes", F.col("v")))

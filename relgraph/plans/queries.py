@@ -158,6 +158,13 @@ def sentence_graph(spark, sf):
     return edges.select("src", "dst", F.size("data").alias("n"), F.md5(F.array_join(F.transform("data", lambda x: x["note"].cast("string")), ",")).alias("notes"), F.get("data", 0)["note"].alias("top"))
 
 
+@query("SELECT note, 'order ' || note AS text FROM (SELECT l_orderkey AS note FROM lineitem WHERE l_suppkey IN (3, 7) GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 2)")
+def pair_sentences(spark, sf):
+    lists = _baskets(spark, sf)
+    sents = lists.select("note", F.concat(F.lit("order "), F.col("note").cast("string")).alias("text"))
+    return io.sentences_of_pair(cooccur.occurrences(lists), sents, 3, 7)
+
+
 @query(f"WITH {_FEATURES} SELECT src, dst, note, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, note) AS rank FROM f WHERE score >= 0.75 AND sim >= 0.5)")
 def edge_sentences(spark, sf):
     rows = graph.ranked_sentences(graph.oriented(_features(spark, sf), 0.5), 0.75)
@@ -298,6 +305,16 @@ def collect_sample(spark, sf):
     return _paths_of(dataset.collect_samples(sents, sents))
 
 
+_SAMPLES = _dataset_sql("len(notes), round(score, 12) DESC, nodes", False)
+
+
+# the first twenty samples, which is what is asked for
+@query(f"WITH s AS ({_SAMPLES}), k AS (SELECT DISTINCT a, b FROM s ORDER BY a, b LIMIT 20) SELECT s.* FROM s SEMI JOIN k USING (a, b)")
+def first_samples(spark, sf):
+    sents = _subgraph(spark, sf, 2)
+    return _paths_of(dataset.collect_samples(sents, sents, sample_num=20))
+
+
 @query(_dataset_sql("md5(array_to_string(nodes, ',') || '|0'), nodes", True))
 def rebuild_dataset(spark, sf):
     sents = _subgraph(spark, sf, 2)
@@ -435,6 +452,11 @@ def page_links(spark, sf):
     return _links(spark, sf).select("page_id", "seq", "href", "shown")
 
 
+@query(f"WITH {_TITLE} SELECT DISTINCT title FROM t WHERE title <> ''")
+def entity_titles(spark, sf):
+    return io.distinct_entities(_titles(spark, sf))
+
+
 @query(f"WITH {_TITLE} SELECT page_id, title FROM t")
 def page_title(spark, sf):
     return _titles(spark, sf)
@@ -629,7 +651,7 @@ SELECT label, entity, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PA
 def nearest_in_label(spark, sf):
     v = _t(spark, sf, "embeddings")
     pages = v.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("p")).select(F.col("label").alias("id"), F.col("label").alias("key"), F.col("p.embedding").alias("page_vec"), F.col("p.vec_id").alias("page"))
-    others = v.join(F.broadcast(pages.select("key", "page")), v["label"] == F.col("key")).where("vec_id <> page")
+    others = v.join(scratch.small(pages.select("key", "page")), v["label"] == F.col("key")).where("vec_id <> page")
     found = mentions.resolve_by_vector(pages.select("id", "key", "page_vec"), others.select(F.col("label").alias("key"), F.col("vec_id").alias("entity"), F.col("embedding").alias("vec")))
     return found.select(F.col("id").alias("label"), "entity", _r("sim").alias("sim"))
 
@@ -898,6 +920,13 @@ def tree_patterns(spark, sf):
     return parse.patterns(_trees(spark, sf)).groupBy("kind", "pattern").agg(F.count("*").alias("cnt"))
 
 
+@query(f"WITH {_TREES.replace('WHERE len(t) BETWEEN 5 AND 50', 'WHERE len(t) BETWEEN 5 AND 50 AND (doc_id * 7 + place) % 10 >= 5')}, {_COUNTS} SELECT kind, pattern, cnt FROM cnt")
+def related_patterns(spark, sf):
+    # of pairs that are similar enough; places count from 0 among a document's sentences
+    rows = _trees(spark, sf).withColumn("sim", ((F.col("id.doc_id") * 7 + F.col("id.place")) % 10) / 10)
+    return parse.patterns(rows, sim_threshold=0.5).groupBy("kind", "pattern").agg(F.count("*").alias("cnt"))
+
+
 def _pattern_tables(spark, sf):
     counted = scratch.materialise(tree_patterns(spark, sf), "patterns")
     return [counted.where(F.col("kind") == k).select("pattern", "cnt") for k in ("core", "sub")]
@@ -1000,6 +1029,49 @@ def marked_spans(spark, sf):
     return rows.select("doc_id", F.md5(text.mark_spans("t", F.array(span(1, 3), span(4, 5)))).alias("marked"))
 
 
+# the first and the last word of a text are its pair
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{_TOKEN}', 0) AS w FROM conversations), p AS (SELECT conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS k, w[1] AS a, w[-1] AS b FROM t)
+SELECT x.conv_id, x.turn, count(*) AS n, sum(x.k * 1000 + y.k)::BIGINT AS places FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.x = x.a AND y.x = y.b GROUP BY ALL""")
+def span_pair_places(spark, sf):
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", text.tokenize("text", lower=True).alias("words")).where(F.size("words") > 0)
+    found = mentions.span_pairs(rows.withColumns({"kw1": F.slice("words", 1, 1), "kw2": F.slice("words", -1, 1)}))
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.sum(F.col("s1") * 1000 + F.col("s2")).alias("places"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(role || turn ORDER BY turn) AS l FROM conversations GROUP BY conv_id)
+SELECT conv_id, array_to_string(list_transform(range(0, 5), lambda i: l[i % len(l) + 1]), ' ') AS contexts FROM c""")
+def padded_contexts(spark, sf):
+    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], x["turn"].cast("string"))).alias("l"))
+    return rows.select("conv_id", F.array_join(samples.pad_contexts(F.col("l"), 5), " ").alias("contexts"))
+
+
+@query("SELECT 'v ' || vec_id AS ent, len(embedding)::INT AS n, list_sum(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)))::BIGINT AS total FROM embeddings")
+def vector_file(spark, sf):
+    rows = _t(spark, sf, "embeddings").select(F.concat(F.lit("v_"), F.col("vec_id"), F.lit(" "), F.array_join(F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("string")), " ")).alias("value"))
+    found = io.read_vectors(spark, _written(spark, sf, "vectors", rows))
+    return found.select("ent", F.size("vec").alias("n"), F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"))
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS text FROM conversations")
+def json_records(spark, sf):
+    path = scratch.scratch_path(spark, "json")
+    io.write_json(_t(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), path)
+    found = spark.read.schema("conv_id long, turn int, role string, text string").json(path)
+    return found.select("conv_id", "turn", "role", F.md5("text").alias("text"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{_TOKEN}', 0) AS p, {_treebank_sql('text')} AS w FROM conversations),
+s AS (SELECT conv_id, turn, p, w, list_transform(w, lambda x: CASE WHEN x IN ('``', ) THEN '"' ELSE x END) = p AS same FROM t WHERE len(p) > 0),
+x AS (SELECT conv_id, turn, same, list_transform(CASE WHEN same THEN w ELSE p END, lambda x: lower(x)) AS v, lower(p[1]) AS k FROM s)
+SELECT conv_id, turn, same, len(list_filter(v, lambda x: x = k))::INT AS n FROM x""")
+def found_spans(spark, sf):
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", "text", text.tokenize("text").alias("t")).where(F.size("t") > 0)
+    word = lambda x: F.struct(x.alias("text"), x.alias("lemma"), F.lit("VERB").alias("pos"))
+    rows = rows.withColumns({"tokens": F.transform("t", word), "plain": text.treebank("text"), "phrase": F.get("t", 0)})
+    n = F.size(mentions.find_spans(F.col("text"), F.col("tokens"), F.col("phrase"), F.array(word(F.col("phrase"))), F.col("plain")))
+    return rows.select("conv_id", "turn", (F.transform("plain", lambda x: F.when(x.isin("``", "''"), F.lit('"')).otherwise(x)) == F.col("t")).alias("same"), n.alias("n"))
+
+
 @query("SELECT conv_id, turn, ['docs', conv_id::VARCHAR, turn::VARCHAR][1] || ':' || conv_id || ':' || turn AS note, 'docs' AS folder, conv_id::VARCHAR AS file, turn::INT AS line FROM conversations")
 def notes(spark, sf):
     rows = _t(spark, sf, "conversations").select("conv_id", "turn", io.note(F.lit("docs"), F.col("conv_id").cast("string"), F.col("turn")).alias("note"))
