@@ -61,9 +61,9 @@ def found_entities(paras: DataFrame, sents: DataFrame, tokens=None) -> DataFrame
     tokens: the words of a sentence as a column, by default lower-cased tokens.
     """
     own = titles(paras)
-    said = links(paras)
+    said = scratch.materialise(links(paras), "links")  # read four times
     known = own.select("page", F.col("name").alias("phrase"), F.lit(-1).alias("para")).unionByName(said.select("page", F.col("name").alias("phrase"), "para"))
-    known = known.groupBy("page", "phrase").agg(F.min("para").alias("since"))
+    known = scratch.materialise(known.groupBy("page", "phrase").agg(F.min("para").alias("since")), "names")
     words = sents.select(F.struct("page", "para", "sent").alias("id"), "page", (text.tokenize("text", lower=True) if tokens is None else tokens).alias("tokens"))
     got = mentions.match_phrases(words, known, "greedy", scope=("page",)).withColumn("page", F.col("id.page"))
     got = mentions.longest_from_left(got.join(known, ["page", "phrase"]).where(F.col("since") <= F.col("id.para")).select("id", "start", "size", "phrase"))
