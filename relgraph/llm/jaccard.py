@@ -12,7 +12,9 @@ blocks. One-bit minwise sketches of 64 bits, as in Christiani, Pagh and Sivertse
 (2018), tell first which members of a bucket can be similar; only these send
 their whole sets, on which every candidate is verified.
 
-Documents with equal sets are one class, and only classes are compared. A pair
+Documents with equal sets are one class, and only classes are compared. A class goes
+by a number of 64 bits; sets, told apart by 128 bits, that would share a number get
+others. A pair
 that shares several buckets is counted in the least of them alone, so links are
 counted without being listed; a bucket gives at most one edge a member for the
 components.
@@ -356,6 +358,27 @@ def _linked(similarity: float):
     return work
 
 
+def _number(again: int):
+    """The number of a set's class; another one for each time that it was another set's too."""
+    return F.xxhash64(*([F.lit(again)] if again else []), "s1", "s2")
+
+
+def _classes(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``documents`` with class (null without shingles), and one row for each class."""
+    every, again = every.withColumn("class", F.when(F.col("n") > 0, _number(0))), 0
+    while True:
+        # equal sets are summed before the shuffle; they have equal buckets
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
+        mixed = (F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))
+        whole = every.where("n > 0").groupBy("class").agg(least, F.count("*").alias("size"), *(F.first(c).alias(c) for c in ("n", "sketch", "buckets")), mixed.alias("mixed"))
+        whole = materialise(whole.select("class", F.col("rep.id").alias("doc"), F.col("rep.th").alias("th"), "size", "n", "sketch", "buckets", "mixed"), "jaccard-classes")
+        clash = whole.where("mixed").select("class", "mixed")
+        if clash.isEmpty():
+            return every, whole.drop("mixed")
+        again += 1
+        every = materialise(every.join(clash, "class", "left").withColumn("class", F.when(F.col("mixed"), _number(again)).otherwise(F.col("class"))).drop("mixed"), "jaccard-docs")
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
     """One row for each document: id, class_id, n_links, copy_id.
 
@@ -373,10 +396,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     """
     given = {"id_col": id_col, "text_col": text_col, "words": words}
     every = materialise(documents(docs, similarity=similarity, n_runs=runs(recall), **given), "jaccard-docs")
-    number = F.xxhash64("s1", "s2")
-    # equal sets are one class, summed before the shuffle; they have equal buckets
-    whole = every.where("n > 0").groupBy(number.alias("class")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
-    whole = materialise(whole.select("class", F.col("rep.id").alias("doc"), F.col("rep.th").alias("th"), "size", "n", "sketch", "buckets"), "jaccard-classes")
+    every, whole = _classes(every)
     place = whole.select("class", "doc", "th")
     now = _distinct_buckets(whole.select("class", F.explode(F.array_distinct("buckets")).alias("bucket")))
     final = materialise(now, "jaccard-buckets")
@@ -407,6 +427,6 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     least = least.select("root", F.col("lead.doc").alias("class_id"), F.col("lead.th").alias("lead_th"))
     out = named.join(least, "root").select("class", "class_id", "lead_th", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("doc").alias("copy_id"))
     # documents without shingles have no class and stand alone
-    rows = every.select("id", "th", F.when(F.col("n") > 0, number).alias("class")).join(out, "class", "left")
+    rows = every.select("id", "th", "class").join(out, "class", "left")
     leads = F.when(F.col("lead_th").isNull(), True).otherwise(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("lead_th")))
     return rows.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "id").alias("copy_id"), "th", leads.alias("leads"))
