@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relgraph.llm import textbytes as tb
+from relgraph.llm.runtime import materialise
 
-#: Words of items in one automaton; more items make more automata, one after another.
+#: Words of items in one automaton; more items make more automata, each in a pass of its own.
 BLOCK_WORDS = 200_000
 
 ANNOTATED = "n_words long, hits array<long>, items array<string>, longest long"
@@ -193,17 +194,22 @@ def annotate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_
     """docs, a struct column ``decontam`` of ANNOTATED added after its columns.
 
     ``hits`` holds the disjoint intervals of hit words, flat: start, end, start,
-    end ... One narrow pass over docs for each block of items; each Python worker
-    holds one automaton. A column of docs named ``decontam`` is replaced.
+    end ... One narrow pass over docs for each block of items; what the passes
+    before the last found is written with docs, so each Python worker holds one
+    automaton at a time. A column of docs named ``decontam`` is replaced.
     """
     spark = docs.sparkSession
     kept = docs.drop("decontam")
     place = kept.columns.index(text_col)
     kind = T._parse_datatype_string(ANNOTATED)
     schema = T.StructType([*kept.schema.fields, T.StructField("decontam", kind)])
-    out, first = kept, True
+    out, held = kept, None
     blocks = _blocks(items, item_id, item_text, block_words)
     for block in _peek(blocks):
+        first = held is None
+        if held is not None:
+            out = materialise(out, "decontam-block")
+            held.destroy()
         held = spark.sparkContext.broadcast(Automaton(block, window))
 
         def run(batches, held=held, fresh=first):
@@ -221,7 +227,7 @@ def annotate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_
                 kept = batch.columns if fresh else batch.columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, ARROW)], names=[*batch.schema.names[: len(kept)], "decontam"])
 
-        out, first = out.mapInArrow(run, schema), False
+        out = out.mapInArrow(run, schema)
     return out
 
 
