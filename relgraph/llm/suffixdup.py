@@ -192,9 +192,8 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             held.clear()
             order = np.lexsort((lo, doc))
             a, n, doc, lo, hi = (x[order] for x in (a, n, doc, lo, hi))
-            _, first = np.unique(a * np.uint64(3) + tb.mix(n), return_index=True)
-            again = np.ones(len(a), bool)
-            again[first] = False
+            again = _again(a * np.uint64(3) + tb.mix(n), a, n)
+            first = np.flatnonzero(~again)
             d, x, y = _joined(doc[again], lo[again], hi[again])
             own = tb.mix(d.view(np.uint64) + tb.mix(x.astype(np.uint64)))  # any key: they only pass through
             yield from _rows(own, own, d, x, y, True)
@@ -214,6 +213,14 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "a long, n long, doc long, lo int, hi int, dup boolean")
 
 
+def _again(key: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which of the stretches equal the first of their key in both hashes."""
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    again = (a == a[first][group]) & (n == n[first][group])
+    again[first] = False
+    return again
+
+
 def _rows(a, n, doc, lo, hi, dup):
     for k in range(0, len(a), 50_000):
         b = slice(k, k + 50_000)
