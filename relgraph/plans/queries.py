@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions import lines, scores, text
-from relgraph.operators import cooccur, dataset, extract, graph, mentions, metrics, parse, punkt, samples
+from relgraph.operators import cooccur, dataset, extract, generation, graph, mentions, metrics, parse, punkt, samples
 from relgraph.sources import io, scratch
 from relgraph.streaming import counts
 
@@ -1177,6 +1177,35 @@ def split_outputs(spark, sf):
     return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("file"), "value") for name, rows in zip(("hypothesis", "reference"), io.split_outputs(both), strict=True)))
 
 
+# five turns are the contexts of a question; as a generator, a rule that says how many contexts it got and how long they are
+@query("""WITH c AS (SELECT conv_id, turn // 5 AS k, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS size FROM conversations GROUP BY 1, 2)
+SELECT conv_id || ':' || k AS question, n || ' of ' || size AS output, '5 of ' || size AS target, n = 5 AS exact FROM c""")
+def generated_outputs(spark, sf):
+    said = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _t(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 5).alias("k")).agg(F.sort_array(F.collect_list(said)).alias("s"))
+    size = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    rows = rows.select(F.concat_ws(":", "conv_id", "k").alias("question"), F.col("s.text").alias("contexts"), F.concat_ws(" of ", F.lit("5"), size).alias("target"))
+
+    def load():
+        return lambda questions, contexts: [f"{len(c)} of {sum(map(len, c))}" for c in contexts]
+
+    return generation.generate(rows, load).withColumn("exact", F.col("output") == F.col("target"))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, c, (a % 4)::INT AS part FROM g")
+def stored_graph(spark, sf):
+    path = scratch.scratch_path(spark, "graph")
+    edges = cooccur.counts(_baskets(spark, sf))[0]
+    io.write_table(edges.select("a", "b", "c", (F.col("a") % 4).cast("int").alias("part")), path, by=["part"])
+    return spark.read.parquet(path)
+
+
+@query(r"SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS plain FROM documents")
+def without_accents(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", text.nfd(F.coalesce("text", F.lit(""))).alias("t"))
+    return rows.select("doc_id", F.md5(F.regexp_replace("t", r"\p{M}", "")).alias("plain"))
+
+
 @query("SELECT event_type AS pattern, count(*) AS cnt FROM events GROUP BY 1")
 def stream_counts(spark, sf):
     path = scratch.scratch_path(spark, "stream")
