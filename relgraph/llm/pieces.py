@@ -28,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000
 #: Bytes of text worked on at a time, and characters of filtered parts that a process keeps.
 CHUNK, KEPT = 1 << 18, 500_000
+#: Bytes of an array of strings that 32-bit offsets hold.
+MOST_BYTES = (1 << 31) - 1
 
 
 class Vocabulary:
@@ -295,8 +297,16 @@ def join(ids: np.ndarray, cut: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray,
     return out[keep], np.concatenate(([0], np.cumsum(keep)))[off]
 
 
-def _strings(data: np.ndarray, off: np.ndarray) -> pa.Array:
-    return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+def _strings(data: np.ndarray, off: np.ndarray, most: int = MOST_BYTES):
+    """Arrays of strings of at most ``most`` bytes each, which 32-bit offsets hold, with their first and last row; a longer row is one array."""
+    a, rows = 0, len(off) - 1
+    while a < rows or not rows:
+        b = max(int(np.searchsorted(off, off[a] + most, "right")) - 1, min(a + 1, rows))
+        own = np.ascontiguousarray(data[off[a] : off[b]])
+        yield a, b, pa.StringArray.from_buffers(b - a, pa.py_buffer((off[a : b + 1] - off[a]).astype(np.int32)), pa.py_buffer(own))
+        if not rows:
+            return
+        a = b
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = 1.0, seed: int = 0, decoded: bool = False) -> DataFrame:
@@ -309,10 +319,12 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         parts = Parts(held.value)
         for batch in batches:
             ids, cut = sample(*tb.strings(batch.column(2)), np.asarray(batch.column(1)), parts, seed)
-            cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))]
-            if decoded:
-                cols.append(_strings(*join(ids, cut, parts.voc)))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))], names=names[:2])
+            if not decoded:
+                yield out
+                continue
+            for a, b, text in _strings(*join(ids, cut, parts.voc)):
+                yield pa.RecordBatch.from_arrays([*out.slice(a, b - a).columns, text], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, key.alias("key"), text_col).mapInArrow(run, f"`{id_col}` {kind}, pieces array<int>" + ", decoded string" * decoded)
@@ -330,7 +342,7 @@ def decode(pieces: DataFrame, *, col: str = "pieces", model: str = MODEL) -> Dat
         for batch in batches:
             got = batch.column(place)
             cut = np.concatenate(([0], np.cumsum(got.value_lengths().fill_null(0))))
-            text = _strings(*join(np.asarray(got.flatten()), cut.astype(np.int64), voc))
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*names, "decoded"])
+            for a, b, text in _strings(*join(np.asarray(got.flatten()), cut.astype(np.int64), voc)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, text], names=[*names, "decoded"])
 
     return kept.mapInArrow(run, kept.withColumn("decoded", F.lit("")).schema)
