@@ -6,14 +6,17 @@ next version's name, which fails if that version exists, so readers see whole
 versions and one of two writers tries again. Compaction takes tiers of similarly
 sized shards (a tier spans a factor of ``fanin``), and merges runs of at least
 ``fanin`` of them into files of about ``target`` bytes. Merged files replace
-their sources in a new version; ``expire`` deletes what no kept version lists.
+their sources in a new version; ``expire`` deletes what no kept version lists,
+``sweep`` what a writer left that died before its commit.
 
 Rows never change and never meet: merging reads and writes files, without a
 shuffle. Files go through Hadoop's file systems, in the shared folder.
 
 Defined cases: an empty arrival commits a version without new shards; nulls,
-repeated rows and any columns pass through; a shard of target size or more is
-never merged again; reading a table without versions is an error.
+repeated rows and any columns pass through; an arrival with other columns adds them
+to the table's, and rows without a column have null there; a column that comes with
+another type is refused; a shard of target size or more is never merged again;
+reading a table without versions is an error.
 """
 
 from __future__ import annotations
@@ -92,11 +95,23 @@ class ShardedTable:
         for _ in range(tries):
             base = self.manifest()
             try:
-                return self._commit(base, change(base["shards"]), schema or base["schema"], what)
+                return self._commit(base, change(base["shards"]), self._widened(base["schema"], schema), what)
             except Conflict:
                 continue
         raise Conflict(f"{tries} tries")
 
+    def _widened(self, old: str | None, new: str | None) -> str:
+        """The columns of both schemas, in the order in which they came."""
+        if not (old and new) or old == new:
+            return new or old
+        exact = self.spark.conf.get("spark.sql.caseSensitive") == "true"
+        fields = {f.name if exact else f.name.lower(): f for f in T.StructType.fromJson(json.loads(old))}
+        for f in T.StructType.fromJson(json.loads(new)):
+            own = fields.setdefault(f.name if exact else f.name.lower(), T.StructField(f.name, f.dataType))
+            if own.dataType.simpleString() != f.dataType.simpleString():
+                raise ValueError(f"column {f.name} is {own.dataType.simpleString()}, not {f.dataType.simpleString()}")
+        return T.StructType(list(fields.values())).json()
+
     # shards
 
     def _written(self, folder: str) -> list[dict]:
@@ -186,6 +201,29 @@ class ShardedTable:
             self._fs.delete(self._path(f"manifest/v{v:010d}.json"), False)
         return len(dead)
 
+    def sweep(self, age: float = 86_400.0) -> int:
+        """Delete data files and drafts that no version lists and that are older than ``age`` seconds. Files deleted.
+
+        ``age`` has to exceed the time from a writer's first file to its commit.
+        """
+        now, found, drafts = time.time(), [], []
+        if self._fs.exists(self._path("data")):
+            files = self._fs.listFiles(self._path("data"), True)
+            while files.hasNext():
+                f = files.next()
+                if now - f.getModificationTime() / 1000 > age:
+                    found.append(f.getPath())
+        if self._fs.exists(self._path("manifest")):
+            for f in self._fs.listStatus(self._path("manifest")):
+                if f.getPath().getName().startswith(".") and now - f.getModificationTime() / 1000 > age:
+                    drafts.append(f.getPath())
+        # versions are read after the files: what was committed in between is alive
+        live = {self._fs.makeQualified(self._path(s["file"])).toString() for v in self.versions() for s in self.manifest(v)["shards"]}
+        dead = [f for f in found if f.toString() not in live] + drafts
+        for f in dead:
+            self._fs.delete(f, False)
+        return len(dead)
+
     def read(self, version: int | None = None) -> DataFrame:
         now = self.manifest(version)
         if not now["version"]:
