@@ -5,7 +5,8 @@ return the columns of documents. The quality and the de-duplication stage drop
 documents, decontamination and sanitisation change texts, the last encodes.
 
 Defined cases are those of the operators. De-duplication knows rows by id (null too)
-and text: rows equal in both come once, other rows of one id are documents of their own.
+and text: rows equal in both come once, the one whose other columns are first as JSON;
+other rows of one id are documents of their own.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = groups.where("leads").groupBy("doc_id", "th").count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    return kept.withColumns({"__th": th, "__none": F.col("text").isNull()}).dropDuplicates(["doc_id", "__th", "__none"]).drop("__th", "__none")
+    rest = [F.col(f"`{c}`") for c in kept.columns if c not in ("doc_id", "text")]
+    by = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in kept.columns)), by)
+    return kept.groupBy("doc_id", th.alias("__th"), F.col("text").isNull().alias("__none")).agg(row.alias("__row")).select("__row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
