@@ -138,6 +138,25 @@ def test_sharding_of_odd_columns(spark):
     assert sharding.ingest(rows.limit(0), scratch_path(spark, "t"), topk.F.col("doc_id")).read().count() == 0
 
 
+def test_sharding_takes_other_columns_and_sweeps_what_died(spark):
+    path = scratch_path(spark, "t")
+    table = sharding.ShardedTable(spark, path, fanin=2)
+    table.append(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1))
+    table.append(spark.createDataFrame([(2, "en")], "doc_id long, lang string").coalesce(1))
+    with pytest.raises(ValueError):
+        table.append(spark.createDataFrame([("x",)], "doc_id string"))
+    want = [(1, "a", None), (2, None, "en")]
+    for step in (lambda: None, table.compact, table.expire):
+        step()
+        assert table.read().columns == ["doc_id", "text", "lang"] and sorted(map(tuple, table.read().collect())) == want
+    spark.range(5).coalesce(1).write.parquet(f"{path}/data/died")
+    draft = table._path("manifest/.0123")
+    table._fs.create(draft, False).close()
+    assert table.sweep() == 0  # all is younger than a day
+    assert table.sweep(age=-1) >= 3 and not table._fs.exists(draft)
+    assert sorted(map(tuple, table.read().collect())) == want and table.sweep(age=-1) == 0
+
+
 # 3
 
 
@@ -615,6 +634,17 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert pieces.encode(empty(spark)).count() == 0
 
 
+def test_strings_past_a_batch_of_32_bits_come_in_parts():
+    data, off = np.frombuffer(b"abcdefghij", np.uint8), np.array([0, 3, 3, 6, 10, 10])
+    for most in (1, 3, 4, 6, 100):
+        got = list(pieces._strings(data, off, most))
+        assert [x for _, _, part in got for x in part.to_pylist()] == ["abc", "", "def", "ghij", ""]
+        assert [a for a, _, _ in got] == [0, *(b for _, b, _ in got[:-1])] and got[-1][1] == 5
+        assert all(b - a == len(part) and (off[b] - off[a] <= most or off[b] - off[a] == np.diff(off[a : b + 1]).max()) for a, b, part in got)
+    assert [(a, b, len(x)) for a, b, x in pieces._strings(data[:0], np.array([0]), 5)] == [(0, 0, 0)]
+
+
+
 def test_sampling_follows_the_lattice():
     voc = pieces.Vocabulary()
     word = "that"

@@ -117,6 +117,17 @@ def test_near_duplicates_of_null_and_shared_ids(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_of_equal_rows_the_first_by_its_other_columns_stays(spark, tmp_path):
+    prepare(spark)
+    text = prose(random.Random(5), 60)
+    rows = [(7, text, "fr", "b", 3), (7, text, "de", "z", 9), (7, text, "de", "a", 4), (7, text, None, "a", 1), (8, "other", "en", "a", 1)]
+    for k in range(3):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], DOCS).repartition(3)
+        got = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == [(7, text, "de", "a", 4), (8, "other", "en", "a", 1)]
+
+
 @pytest.mark.parametrize("name", ["documents", "benchmark", "labels"])
 def test_pipeline_with_an_empty_table(spark, tmp_path, name):
     prepare(spark)
