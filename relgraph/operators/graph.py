@@ -119,7 +119,21 @@ def best_paths(arcs: DataFrame, wanted: DataFrame, max_hops: int, path_num: int)
     """(a, b, nodes, weights): the path_num best paths of 2 to max_hops arcs (3 at most), as ``samples.rank_paths`` ranks them, or all if there are fewer."""
     none = F.lit(None).cast("long")
     slim = arcs.select("u", "v", F.lit(0).cast("long").alias("n0"), none.alias("n1"), F.col("w").alias("w0"), F.lit(None).cast("double").alias("w1"))
-    return ranked.best_paths(wanted.select("a", "b", none.alias("target")), slim, max_hops=max_hops, path_num=path_num).drop("picks")
+    two = None
+    if closing.fits((arcs, "u"), (arcs, "v"), (wanted, "a"), (wanted, "b")):
+        two = closing.best_two_steps(arcs, wanted, path_num)
+        two = two.select(*[F.col(c).cast(wanted.schema[c].dataType) for c in ("a", "b")], F.col("m").cast(arcs.schema["v"].dataType).alias("m"), "w0", "w1")
+    return ranked.best_paths(wanted.select("a", "b", none.alias("target")), slim, max_hops=max_hops, path_num=path_num, two=two).drop("picks")
+
+
+def four_hop_summary(arcs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, b, paths, best, nodes) of the simple paths of four arcs between wanted (a, b): how many, the best harmonic mean and the least nodes (GR5, TK2).
+
+    Nodes are integers, weights over 0. What ``paths`` of four arcs grouped by pair gives, without a row for each path.
+    """
+    node = [F.col(c).cast(arcs.schema["v"].dataType) for c in ("a", "x", "y", "z", "b")]
+    ends = [F.col(c).cast(wanted.schema[c].dataType) for c in ("a", "b")]
+    return closing.four_steps(arcs, wanted).select(*ends, F.col("n").alias("paths"), (F.lit(4.0) / F.col("cost")).alias("best"), F.array(*node).alias("nodes"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
