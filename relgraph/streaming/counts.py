@@ -19,16 +19,30 @@ def read_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
+def _by_clock(events: DataFrame) -> DataFrame:
+    """events with ts as the clock shows it, as if in UTC."""
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    return events.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))
+
+
+def _by_window(rows: DataFrame, width: str) -> DataFrame:
+    zone = rows.sparkSession.conf.get("spark.sql.session.timeZone")
+    day = F.to_utc_timestamp("w.start", zone).cast("timestamp_ntz").alias("day")
+    rows = rows.groupBy(F.window("ts", width).alias("w"), "event_type")
+    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(day, "event_type", "n", "total")
+
+
 def windowed_counts(events: DataFrame, *, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """(day, event_type, n, total): event-time windows, closed when the watermark has passed.
 
     Days are those of the clock that ts shows, with or without a time zone; day is a timestamp without one.
     """
-    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    rows = events.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))  # the clock as if in UTC
-    rows = rows.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
-    day = F.to_utc_timestamp("w.start", zone).cast("timestamp_ntz").alias("day")
-    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(day, "event_type", "n", "total")
+    return _by_window(_by_clock(events).withWatermark("ts", late), width)
+
+
+def window_parts(events: DataFrame, *, width: str = "1 day") -> DataFrame:
+    """``windowed_counts`` of a micro-batch: partial counts of all its windows, open ones too, for a ``CountTable``. No row is late."""
+    return _by_window(_by_clock(events), width)
 
 
 def pattern_counts(events: DataFrame) -> DataFrame:
@@ -49,13 +63,13 @@ class CountTable:
     they are read. ``fold`` sums what there is into a base; readers take the newest whole base and the batches after it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, value: str = "cnt"):
-        self.spark, self.path, self.value = spark, path, value
+    def __init__(self, spark: SparkSession, path: str, schema: str, value: str | tuple[str, ...] = "cnt"):
+        self.spark, self.path, self.values = spark, path, (value,) if isinstance(value, str) else value
         self.schema = StructType.fromDDL(schema)
-        self.keys = [f.name for f in self.schema if f.name != value]
+        self.keys = [f.name for f in self.schema if f.name not in self.values]
 
     def follow(self, stream: DataFrame, partial: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
-        """Add all new rows of a stream; partial makes rows (keys, value) of a micro-batch."""
+        """Add all new rows of a stream; partial makes rows (keys, values) of a micro-batch."""
 
         def put(batch: DataFrame, number: int) -> None:
             partial(batch).select([f.name for f in self.schema]).write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
@@ -76,10 +90,10 @@ class CountTable:
         return [f"{self.path}/base-{since}"] * bool(bases) + [f"{self.path}/batch-{n}" for n in self._found("batch") if n > since]
 
     def read(self) -> DataFrame:
-        """(keys, value) of all batches so far."""
+        """(keys, values) of all batches so far."""
         parts = self._parts()
         rows = self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
-        return rows.groupBy(*self.keys).agg(F.sum(self.value).cast(self.schema[self.value].dataType).alias(self.value))
+        return rows.groupBy(*self.keys).agg(*[F.sum(v).cast(self.schema[v].dataType).alias(v) for v in self.values])
 
     def fold(self) -> None:
         """Sum the batches so far into a base, and delete what it holds."""

@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from relgraph.operators import cooccur
+from relgraph.plans import queries
 from relgraph.streaming import counts
 
 DAY = datetime.datetime(2024, 1, 1, 12)
@@ -70,3 +71,21 @@ def test_pairs_and_occurrences_equal_a_batch(spark, tmp_path):
     key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
     assert key(pairs.read(), "a", "b", "cnt") == key(cooccur.counts(whole)[0].select("a", "b", F.col("c").alias("cnt")), "a", "b", "cnt")
     assert key(index.read(), "ent", "note") == key(cooccur.occurrences(whole), "ent", "note")
+
+
+def test_windows_of_all_days_and_late_rows(spark, tmp_path):
+    said = []
+    table = counts.CountTable(spark, str(tmp_path / "t"), "day timestamp_ntz, event_type string, n long, total double", ("n", "total"))
+    for k, data in enumerate([rows(0, 5), rows(0, 9), rows(1)]):
+        put(spark, tmp_path, k, data, SCHEMA)
+        table.follow(counts.read_stream(spark, str(tmp_path), per_trigger=1), counts.window_parts, str(tmp_path / "c"))
+        said += data
+    key = lambda ts: ts.replace(hour=0)
+    want = {(key(ts), kind): (sum(key(t) == key(ts) and x == kind for x, t, _ in said), sum(v for x, t, v in said if key(t) == key(ts) and x == kind)) for kind, ts, _ in said}
+    assert {(r.day, r.event_type): (r.n, r.total) for r in table.read().collect()} == want
+
+
+def test_window_query_has_every_event(spark, tmp_path):
+    for k, data in enumerate([rows(0, 9), rows(0), rows(1), rows(2), rows(0), rows(9)]):  # more files than a micro-batch reads
+        put(spark, tmp_path, k, data, SCHEMA)
+    assert sum(r.n for r in queries.stream_windows(spark, str(tmp_path)).collect()) == 14
