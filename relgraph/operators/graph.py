@@ -111,6 +111,13 @@ def paths(arcs: DataFrame, wanted: DataFrame, hops: int) -> DataFrame:
     return last.select("a", "b", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("weights", F.array("w")).alias("weights"))
 
 
+def paths_through(arcs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, b, nodes, weights): paths of two arcs (u, v, w) that go from a to b by m, for wanted (a, b, m), each once. Joins on whole arcs, so nothing fans out."""
+    first, then = arcs.select(F.col("u").alias("a"), F.col("v").alias("m"), F.col("w").alias("w0")), arcs.select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w1"))
+    rows = wanted.where("m <> a and m <> b").join(first, ["a", "m"]).join(then, ["m", "b"])
+    return rows.select("a", "b", F.array("a", "m", "b").alias("nodes"), F.array("w0", "w1").alias("weights"))
+
+
 def paths_up_to(arcs: DataFrame, wanted: DataFrame, max_hops: int, least: int = 1) -> DataFrame:
     return reduce(DataFrame.unionByName, (paths(arcs, wanted, h) for h in range(least, max_hops + 1)))
 

@@ -80,3 +80,9 @@ def paragraph_cover(paths: DataFrame, targets: DataFrame) -> DataFrame:
     others = F.array_except("ents", F.array("a", "b"))
     joined = paths.join(targets, ["a", "b"]).withColumn("others", others)
     return joined.where((F.size("nodes") > 2) & (F.size("others") > 0) & (F.size(F.array_intersect("others", "nodes")) == F.size("others"))).drop("others")
+
+
+def sole_others(targets: DataFrame) -> DataFrame:
+    """(a, b, m), each once: of targets (a, b, note, ents) with one entity more than their ends, that entity. Only by it can a path of two arcs cover them."""
+    others = F.array_except("ents", F.array("a", "b"))
+    return targets.select("a", "b", others.alias("o")).where(F.size("o") == 1).select("a", "b", F.get("o", 0).alias("m")).distinct()
