@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from relgraph.operators import closing, graph, ranked, samples
+from relgraph.operators import closing, cooccur, graph, ranked, samples
+from relgraph.plans import queries
 
 
 def edges(spark, seed, nodes=40, n=150):
@@ -71,3 +73,39 @@ def test_matches_in_small_steps(monkeypatch):
             assert len(pair) <= max(steps, 60)
             got.update(zip(pair.tolist(), left[2][0][o].tolist(), right[2][0][t].tolist(), strict=True))
         assert got == want
+
+
+def test_covers_come_from_short_notes_alone(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    notes = {k: r.sample(range(12), r.choice([2, 3, 3, 4])) for k in range(750, 1000)}
+    spark.createDataFrame([(k, e) for k, ents in notes.items() for e in ents], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(graph, "paths", lambda *_: pytest.fail("paths of all pairs were made"))
+    got = sorted(map(tuple, queries.paragraph_cover(spark, str(tmp_path)).collect()))
+    good = [(a, b, k) for k, ents in notes.items() for a in ents for b in ents if a < b and (a * 31 + b * 17) % 100 >= 50 and k * 7919 % 1000 >= 750]
+    near = {(a, b) for a, b, _ in good} | {(b, a) for a, b, _ in good}
+    want = [(a, b, k, sum(set(notes[k]) - {a, b} <= {m} for m in range(12) if (a, m) in near and (m, b) in near)) for a, b, k in good if len(notes[k]) > 2]
+    assert [x[:4] for x in got] == sorted(x for x in want if x[3]) and len(got) > 5
+    assert all(p == f"{a}-{next(iter(set(notes[k]) - {a, b}))}-{b}" for a, b, k, _, p in got)
+
+
+@pytest.mark.parametrize("block", [1, 7, 10**6])
+def test_counts_of_blocks_need_no_row_for_each_pair(spark, block):
+    r = random.Random(block)
+    rows = [(k, e) for k in range(60) for e in r.sample(range(-20, 30), r.randrange(1, 40) if k else 50)] + [(99, 1), (98, None), (None, 4)]
+    frame = spark.createDataFrame(rows, "note int, ent int")
+    got = cooccur.ordered_counts(frame, block)
+    assert got.schema["a"].dataType.simpleString() == "int"
+    want = Counter((x, y) for n, x in rows for m, y in rows if n is not None and n == m and x is not None and y is not None and x < y)
+    assert Counter({(x.a, x.b): x.c for x in got.collect()}) == want
+    assert cooccur.ordered_counts(frame.limit(0), block).collect() == []
+    names = frame.where("ent is not null and note is not null").select("note", F.format_string("%04d", F.col("ent") + 100).alias("ent"))
+    assert {(int(x.a) - 100, int(x.b) - 100): x.c for x in cooccur.ordered_counts(names, 50).collect()} == want
+
+
+def test_tables_of_few_and_of_many_notes():
+    r = random.Random(4)
+    for n, most in ((700, 3), (40, 30)):
+        left, right = ([np.array(sorted(r.sample(range(40), r.randrange(1, most)))) for _ in range(n)] for _ in range(2))
+        want = Counter((x, y) for p, q in zip(left, right, strict=True) for x in p.tolist() for y in q.tolist())
+        table = cooccur._table(left, right, 40, 40)
+        assert {(x, y): int(table[x, y]) for x, y in zip(*np.nonzero(table), strict=True)} == want
