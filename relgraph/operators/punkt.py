@@ -114,18 +114,23 @@ def fit(texts: DataFrame, known: list[str] | None = None, keep=lambda df, name:
     ends = lambda p: (F.col(f"{p}period") & ~F.col(f"{p}abbr")) | F.col(f"{p}mark")
     begins = F.coalesce(ends("b_"), F.lit(True))  # a text's first word begins a sentence
     unsure = F.coalesce(F.col("b_abbr") | F.col("b_dots"), F.lit(False))
-    case = found.groupBy("of").agg(
-        F.max("upper").alias("uc"), F.max(F.col("upper") & ~begins & ~unsure).alias("mid_uc"), F.max("lower").alias("lc"), F.max(F.col("lower") & begins).alias("beg_lc")
-    )
-    total = found.agg(F.count("*").alias("all_n"), F.count_if(ends("")).alias("all_breaks"))
     number = lambda p: (F.col(f"{p}of") == NUMBER_TYPE) | initial(f"{p}of")
-    at = found.where(F.coalesce(ends("b_"), F.lit(False)) & ~number("b_") & F.rlike("of", F.lit(r"^\p{L}+$"))).groupBy("of").agg(F.count("*").alias("k"))
+    starts = F.coalesce(ends("b_"), F.lit(False)) & ~number("b_") & F.rlike("of", F.lit(r"^\p{L}+$"))
+    # all that is counted by type in one pass over the words
+    one = found.groupBy("of").agg(
+        F.max("upper").alias("uc"), F.max(F.col("upper") & ~begins & ~unsure).alias("mid_uc"), F.max("lower").alias("lc"), F.max(F.col("lower") & begins).alias("beg_lc"),
+        F.count_if(starts).alias("k"), F.count("*").alias("m"), F.count_if(ends("")).alias("breaks"),
+    )
+    one = keep(one, "punkt-case")
+    case = one.select("of", "uc", "mid_uc", "lc", "beg_lc")
+    total = one.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("breaks"), F.lit(0)).alias("all_breaks"))
+    at = one.where("k > 0").select("of", "k")
     at = at.join(every.select("of", "n"), "of").crossJoin(F.broadcast(total))  # one row
     starters = at.where((likelihood(F.col("all_breaks"), F.col("n"), F.col("k"), F.col("all_n")) >= STARTER) & (F.col("all_n") / F.col("all_breaks") > F.col("n") / F.col("k"))).select("of")
     two = found.where(F.coalesce(F.col("b_period"), F.lit(False)) & number("b_") & F.rlike("of", F.lit(r"\p{L}"))).groupBy("b_of", "of").agg(F.count("*").alias("k"))
     two = two.where("k > 1").join(every.select("of", "n"), "of").join(every.select(F.col("of").alias("b_of"), F.col("periods").alias("b_n")), "b_of").crossJoin(F.broadcast(total))
     two = two.where((likelihood(F.col("b_n"), F.col("n"), F.col("k"), F.col("all_n")) >= COLLOCATION) & (F.col("all_n") / F.col("b_n") > F.col("n") / F.col("k")))
-    return Model(every, keep(starters, "punkt-starters"), keep(two.select("b_of", "of"), "punkt-pairs"), keep(case, "punkt-case"))
+    return Model(every, keep(starters, "punkt-starters"), keep(two.select("b_of", "of"), "punkt-pairs"), case)
 
 
 def breaks(texts: DataFrame, model: Model) -> DataFrame:

@@ -205,3 +205,14 @@ def test_meteor(spark):
     assert got[1].score == pytest.approx(1 - 0.5 / 27) and (got[2].matches, got[2].chunks) == (2, 1) and got[3].score == got[4].score == 0
     p, r = 1, 2 / 3
     assert got[2].score == pytest.approx(p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * (1 / 2) ** 3)) and got[5].score == pytest.approx(0.5)
+
+
+def test_counts_by_type_come_from_one_pass(spark):
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = set(df.columns)
+        return df
+
+    model = punkt.fit(spark.createDataFrame([(1, "He left. She stayed. It rained.")], "id long, text string"), keep=keep)
+    assert {"uc", "beg_lc", "k", "m", "breaks"} <= kept["punkt-case"] and model.case.columns == ["of", "uc", "mid_uc", "lc", "beg_lc"]
