@@ -191,61 +191,99 @@ def align(hyp: list[str], ref: list[str], beam: int = BEAM) -> tuple[int, int]:
 
     As many tokens as can be match equal ones; of those left over, as many as can match tokens of the same stem.
     A chunk is a run of matches that follow each other in both lists.
+
+    A way is one number: a bit for each place of ref that is used, and above these, for what may match by stem, counters. Ways that differ
+    in their last match alone go on together, and only as many are made as are kept, however often a word comes again.
     """
     left, right = Counter(hyp), Counter(ref)
     exact = {w: min(n, right[w]) for w, n in left.items() if w in right}
+    stems = {w: stem(w) for w in left | right}
     stems_l, stems_r = Counter(), Counter()
     for of, counts in ((stems_l, left), (stems_r, right)):
         for w, n in counts.items():
-            of[stem(w)] += n - exact.get(w, 0)
+            of[stems[w]] += n - exact.get(w, 0)
     by_stem = {s: min(n, stems_r[s]) for s, n in stems_l.items() if stems_r[s] > 0 and n > 0}
     total = sum(exact.values()) + sum(by_stem.values())
     if not total:
         return 0, 0
-    places, stem_places = defaultdict(list), defaultdict(list)
+    places, stem_places = Counter(), defaultdict(list)  # bits of a word's places
     for j, w in enumerate(ref):
-        places[w].append(j)
-        stem_places[stem(w)].append(j)
+        places[w] |= 1 << j
+        if stems[w] in by_stem:
+            stem_places[stems[w]].append(j)
     siblings = defaultdict(list)  # words with a stem that have to match equal ones
     for w in exact:
-        siblings[stem(w)].append(w)
-    # how often a word and a stem are still to come after each place
-    words_after, stems_after = [], []
-    seen, seen_s = Counter(), Counter()
-    for w in reversed(hyp):
-        words_after.append(seen[w])
-        stems_after.append(seen_s[stem(w)])
-        seen[w] += 1
-        seen_s[stem(w)] += 1
-    words_after.reverse()
-    stems_after.reverse()
-    # used: bits of ref; last: where the token before matched, or none; done: matches so far of words and stems that can be short
-    open_ = {(0, -2, ()): 0}
-    for i, w in enumerate(hyp):
-        s = stem(w)
+        siblings[stems[w]].append(w)
+    # counters: matches so far of words as such (0), by stem (1), and of ref's words by stem (2)
+    width = len(hyp).bit_length()
+    names = [(1, s) for s in by_stem] + [(0, w) for s in by_stem for w in siblings[s]] + [(2, w) for w in right if stems[w] in by_stem]
+    at = {name: len(ref) + k * width for k, name in enumerate(names)}
+    most = (1 << width) - 1
+    words_after, stems_after = left.copy(), Counter()  # how often a word and a stem are still to come
+    for w, n in left.items():
+        stems_after[stems[w]] += n
+    open_ = {0: [0, 0]}  # way: fewest chunks, bits of the places that would go on with one of its last matches
+    for w in hyp:
+        s = stems[w]
+        words_after[w] -= 1
+        stems_after[s] -= 1
         need, need_s = exact.get(w, 0), by_stem.get(s, 0)
-        grown: dict = {}
-
-        def put(key, chunks, grown=grown):
-            if grown.get(key, chunks + 1) > chunks:
-                grown[key] = chunks
-
-        for (used, last, done), chunks in open_.items():
-            made = dict(done)
-            had, had_s = made.get((0, w), 0), made.get((1, s), 0)
+        if not need and not need_s:
+            open_ = {way: [chunks, 0] for way, (chunks, _) in open_.items()}
+            continue
+        mask, after = places[w] if need else 0, words_after[w]
+        own = 1 << at[0, w] if need and need_s else 0
+        made, above = [], []  # by chunks: way, the place that goes on
+        now, space, more = -2, beam, 0  # room for ways of so few chunks, and how many have one more
+        for way, (chunks, next_) in open_.items():
+            if chunks != now:
+                if chunks != now + 1:
+                    above = []
+                    made.append((chunks, above))
+                here, above, more = above, [], 0
+                space, now = beam - sum(len(x) for _, x in made), chunks
+                made.append((chunks + 1, above))
+            if space <= 0:
+                break
+            used = way & mask
+            had = way >> at[0, w] & most if own else used.bit_count()
             if had < need:
-                for j in places[w]:
-                    if not used >> j & 1:
-                        put((used | 1 << j, j, tuple(sorted((made | {(0, w): had + 1}).items()))), chunks + (j != last + 1))
-            if had + words_after[i] >= need and had_s < need_s:  # by stem: not needed as an equal word
-                for j in stem_places[s]:
-                    v = ref[j]
-                    if not used >> j & 1 and v != w and made.get((2, v), 0) < right[v] - exact.get(v, 0):
-                        put((used | 1 << j, j, tuple(sorted((made | {(1, s): had_s + 1, (2, v): made.get((2, v), 0) + 1}).items()))), chunks + (j != last + 1))
-            if had + words_after[i] >= need and had_s + stems_after[i] - sum(exact[x] - made.get((0, x), 0) for x in siblings[s]) >= need_s:
-                put((used, -2, done), chunks)
-        open_ = dict(sorted(grown.items(), key=lambda e: e[1])[:beam])
-    return total, min(open_.values(), default=0)
+                free = mask ^ used
+                near = free & next_
+                if near:
+                    free ^= near
+                    while near:
+                        bit = near & -near
+                        here.append(((way | bit) + own, bit << 1))
+                        near ^= bit
+                        space -= 1
+                while free and more < space:
+                    bit = free & -free
+                    above.append(((way | bit) + own, bit << 1))
+                    free ^= bit
+                    more += 1
+            if had + after < need:
+                continue
+            if need_s:
+                had_s = way >> at[1, s] & most
+                if had_s < need_s:  # by stem: not needed as an equal word
+                    for j in stem_places[s]:
+                        v, bit = ref[j], 1 << j
+                        if not way & bit and v != w and (way >> at[2, v] & most) < right[v] - exact.get(v, 0):
+                            (here if next_ & bit else above).append(((way | bit) + (1 << at[1, s]) + (1 << at[2, v]), bit << 1))
+                if had_s + stems_after[s] - sum(exact[x] - (way >> at[0, x] & most) for x in siblings[s]) < need_s:
+                    continue
+            here.append((way, 0))
+            space -= 1
+        open_, space = {}, beam
+        for chunks, ways in made:
+            for way, bit in ways[:space] if len(ways) > space else ways:
+                if way not in open_:
+                    open_[way] = [chunks, bit]
+                elif bit and open_[way][0] == chunks:
+                    open_[way][1] |= bit
+            space = max(0, space - len(ways))
+    return total, min((chunks for chunks, _ in open_.values()), default=0)
 
 
 @F.pandas_udf(StructType([StructField("matches", IntegerType()), StructField("chunks", IntegerType())]))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -216,3 +217,11 @@ def test_counts_by_type_come_from_one_pass(spark):
 
     model = punkt.fit(spark.createDataFrame([(1, "He left. She stayed. It rained.")], "id long, text string"), keep=keep)
     assert {"uc", "beg_lc", "k", "m", "breaks"} <= kept["punkt-case"] and model.case.columns == ["of", "uc", "mid_uc", "lc", "beg_lc"]
+
+
+def test_alignment_of_a_word_that_comes_again_and_again():
+    # ways that are not kept are not made: 64 a word, not 64 times the places of the word
+    text = [w for k in range(200) for w in ("the", f"w{k % 20}")]
+    begun = time.perf_counter()
+    assert metrics.align(text, text) == (400, 1) and metrics.align(text, text[200:])[0] == 200
+    assert time.perf_counter() - begun < 3
