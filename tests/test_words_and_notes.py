@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from relgraph import __main__ as cli
-from relgraph.functions import lines
+from relgraph.functions import lines, text
 from relgraph.operators import cooccur, dataset, graph, mentions
 from relgraph.sources import io, scratch
 
@@ -148,3 +149,12 @@ def test_sentences_of_a_pair_and_release(spark, tmp_path):
     scratch.discard(kept)
     with pytest.raises(Exception, match="(?i)exist|found"):
         kept.count()
+
+
+def test_words_are_made_once_a_text_not_once_a_place(spark):
+    rows = spark.range(1).select(F.repeat(F.lit("So Well "), 10_000).alias("text"))
+    word = lambda x: F.struct(x.alias("text"), x.alias("lemma"), F.lit("VERB").alias("pos"))
+    found = mentions.find_spans(F.col("text"), F.transform(text.tokenize("text"), word), F.lit("Well"), F.array(word(F.lit("Well"))), text.treebank("text"))
+    begun = time.perf_counter()
+    assert rows.select(F.size(found).alias("n")).first().n == 10_000
+    assert time.perf_counter() - begun < 20
