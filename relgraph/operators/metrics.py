@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from relgraph.functions.stem import stem
 from relgraph.functions.text import normalize_answer, tokenize
@@ -127,28 +127,44 @@ def weighted_mean(value, weight):
     return F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight))
 
 
+def _tokens(c):
+    return F.coalesce(tokenize(c, lower=True), F.array().cast("array<string>"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _common_grams(a: pd.Series, b: pd.Series, orders: pd.Series) -> pd.Series:
+    grams = lambda t, n: Counter(zip(*(t[k:] for k in range(n)), strict=False))
+    return pd.Series([[(grams(x, n) & grams(y, n)).total() for n in ns] for x, y, ns in zip(map(list, a), map(list, b), orders, strict=True)])
+
+
+def _overlaps(pairs: DataFrame, orders: list[int]) -> DataFrame:
+    """(id, common, h, r) of rows (id, hyp, ref): for each order the common n-grams, clipped; sizes of both texts in tokens.
+
+    Both texts are in one row, so n-grams are counted there, in Python, and never shuffled.
+    """
+    rows = pairs.select("id", _tokens("hyp").alias("h"), _tokens("ref").alias("r"))
+    return rows.select("id", _common_grams("h", "r", F.array(*map(F.lit, orders))).alias("common"), F.size("h").alias("h"), F.size("r").alias("r"))
+
+
+def _grams(size: str, n: int):
+    return F.greatest(F.col(size) - (n - 1), F.lit(0))
+
+
 def ngram_overlap(pairs: DataFrame, n: int = 1) -> DataFrame:
     """(id, common, n_hyp, n_ref, f1) of rows (id, hyp, ref), each id once: clipped n-gram counts, as ROUGE-n (EV5).
 
-    n-grams are rows that are counted, so the work is linear in the texts; null texts have none.
+    The work is linear in the texts; null texts have no n-grams.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), " "))
-    some = lambda c: F.when(F.size(c) >= n, grams(c)).otherwise(F.array().cast("array<string>"))
-    side = lambda c, h, r: pairs.select("id", tokenize(c, lower=True).alias("t")).select("id", F.explode(some(F.col("t"))).alias("g"), F.lit(h).alias("h"), F.lit(r).alias("r"))
-    none = pairs.select("id", F.lit(None).cast("string").alias("g"), F.lit(0).alias("h"), F.lit(0).alias("r"))  # rows without n-grams stay
-    rows = side("hyp", 1, 0).unionByName(side("ref", 0, 1)).unionByName(none)
-    rows = rows.groupBy("id", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    rows = rows.groupBy("id").agg(*[F.sum(c).cast("int").alias(name) for c, name in ((F.least("h", "r"), "common"), ("h", "n_hyp"), ("r", "n_ref"))])
+    rows = _overlaps(pairs, [n]).select("id", F.get("common", 0).alias("common"), _grams("h", n).alias("n_hyp"), _grams("r", n).alias("n_ref"))
     return rows.withColumn("f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("common"), F.col("n_hyp") + F.col("n_ref")), F.lit(0.0)))
 
 
 def bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
-    """One row: corpus BLEU of rows (id, hyp, ref) (EV5). Zero where an order has no match."""
-    parts = None
-    for n in range(1, order + 1):
-        got = ngram_overlap(pairs, n).agg(F.sum("common").alias(f"c{n}"), F.sum("n_hyp").alias(f"h{n}"), F.sum("n_ref").alias(f"r{n}"))
-        parts = got if parts is None else parts.crossJoin(got)  # one row each
-    logs = sum((F.ln(F.try_divide(F.col(f"c{n}"), F.col(f"h{n}"))) for n in range(1, order + 1)), F.lit(0.0)) / order
+    """One row: corpus BLEU of rows (id, hyp, ref) (EV5). Zero where an order has no match. All orders come from one pass over the texts."""
+    orders = list(range(1, order + 1))
+    sums = [s for n in orders for s in (F.sum(F.get("common", n - 1)).alias(f"c{n}"), F.sum(_grams("h", n)).alias(f"h{n}"), F.sum(_grams("r", n)).alias(f"r{n}"))]
+    parts = _overlaps(pairs, orders).agg(*sums)
+    logs = sum((F.ln(F.try_divide(F.col(f"c{n}"), F.col(f"h{n}"))) for n in orders), F.lit(0.0)) / order
     brevity = F.least(F.lit(0.0), 1 - F.try_divide(F.col("r1"), F.col("h1")))
     return parts.select(F.coalesce(F.exp(logs + brevity), F.lit(0.0)).alias("bleu"))
 
@@ -176,8 +192,7 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
 
     Null texts have no tokens. Python, as the table of a subsequence is a loop with a state.
     """
-    some = lambda c: F.coalesce(tokenize(c, lower=True), F.array().cast("array<string>"))
-    rows = pairs.select("id", some("hyp").alias("h"), some("ref").alias("r"))
+    rows = pairs.select("id", _tokens("hyp").alias("h"), _tokens("ref").alias("r"))
     rows = rows.select("id", _common("h", "r").alias("common"), F.size("h").alias("n_hyp"), F.size("r").alias("n_ref"))
     return rows.withColumn("f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("common"), F.col("n_hyp") + F.col("n_ref")), F.lit(0.0)))
 
@@ -297,8 +312,7 @@ def meteor(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float
     score: the mean of precision and recall, alpha weighing recall, less gamma times the share of chunks to the power of beta.
     Python, as an alignment is a search with a state.
     """
-    some = lambda c: F.coalesce(tokenize(c, lower=True), F.array().cast("array<string>"))
-    rows = pairs.select("id", some("hyp").alias("h"), some("ref").alias("r")).withColumn("m", _aligned("h", "r"))
+    rows = pairs.select("id", _tokens("hyp").alias("h"), _tokens("ref").alias("r")).withColumn("m", _aligned("h", "r"))
     rows = rows.select("id", "m.matches", "m.chunks", F.size("h").alias("n_hyp"), F.size("r").alias("n_ref"))
     p, r = F.col("matches") / F.col("n_hyp"), F.col("matches") / F.col("n_ref")
     mean = F.try_divide(p * r, F.lit(alpha) * p + F.lit(1 - alpha) * r)

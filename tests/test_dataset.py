@@ -369,3 +369,10 @@ def test_triangles(spark, hub):
     want = {t for t in itertools.combinations(range(25), 3) if {t[:2], t[1:], (t[0], t[2])} <= edges}
     assert sorted(map(tuple, graph.triangles(table_).collect())) == sorted(want)
     assert sorted(map(tuple, graph.triangles_of(table_, 7).collect())) == sorted(t for t in want if 7 in t)
+
+
+def test_n_grams_are_counted_in_their_row(spark):
+    rows = spark.createDataFrame([(1, "a a b", "a b b"), (2, None, "a")], "id int, hyp string, ref string")
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in planned(metrics.ngram_overlap(rows, 2)) and planned(metrics.bleu(rows, 4)).count("Exchange") == 1  # of the sums
+    assert [(r.common, r.n_hyp, r.n_ref) for r in metrics.ngram_overlap(rows, 2).orderBy("id").collect()] == [(1, 2, 2), (0, 0, 0)]
