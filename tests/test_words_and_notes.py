@@ -158,3 +158,13 @@ def test_words_are_made_once_a_text_not_once_a_place(spark):
     begun = time.perf_counter()
     assert rows.select(F.size(found).alias("n")).first().n == 10_000
     assert time.perf_counter() - begun < 20
+
+
+def test_large_tables_get_tasks_by_size(spark, tmp_path, monkeypatch):
+    spark.range(40_000).select((F.col("id") % 9000).alias("n"), F.hash("id").alias("e")).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    whole = cooccur.baskets(rows, "e", "n")
+    monkeypatch.setattr(cooccur, "NOTE_BYTES", 16 << 10)
+    parts = cooccur.baskets(rows, "e", "n")
+    assert parts.rdd.getNumPartitions() == scratch.size_of(rows) // (16 << 10) > 4
+    assert parts.exceptAll(whole).isEmpty() and parts.count() == 9000
