@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +377,16 @@ def test_n_grams_are_counted_in_their_row(spark):
     planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in planned(metrics.ngram_overlap(rows, 2)) and planned(metrics.bleu(rows, 4)).count("Exchange") == 1  # of the sums
     assert [(r.common, r.n_hyp, r.n_ref) for r in metrics.ngram_overlap(rows, 2).orderBy("id").collect()] == [(1, 2, 2), (0, 0, 0)]
+
+
+def test_batches_of_texts_are_cut(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pylist([{"t": None if k == 3 else ["a"] * n} for k, n in enumerate([2, 3, 9, 0, 0, 4, 1])])
+    parts = list(trie.cut(batch, "t", 5))
+    assert [p.num_rows for p in parts] == [2, 1, 4] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    words = [" ".join(f"w{(k * j) % 7}" for j in range(k)).split() for k in range(30)]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(99, None)], "id int, tokens array<string>").coalesce(1)
+    phrases = spark.createDataFrame([("w1 w2",), ("w0 w0",), ("w3",)], "phrase string")
+    got = lambda: sorted((r.id, r.text) for r in mentions.reform(rows, phrases).collect())
+    whole = got()
+    monkeypatch.setattr(trie, "WALK_WORDS", 5)
+    assert got() == whole
