@@ -38,9 +38,14 @@ def ranked_sentences(rows: DataFrame, threshold: float = 0.75, feature: str = "s
     return rows if most is None else rows.where(F.col("rank") <= most)
 
 
-def digraph(features: DataFrame, sim_threshold: float = -1.0) -> DataFrame:
-    """``oriented`` grouped by pair, all sentences of an edge in a row (AG4, GR1). sim: the largest."""
+def digraph(features: DataFrame, sim_threshold: float = -1.0, directed: bool = True) -> DataFrame:
+    """``oriented`` grouped by pair, all sentences of an edge in a row (AG4, GR1). sim: the largest.
+
+    Not directed: ``undirected`` of it, but grouped once (GR2).
+    """
     rows = oriented(features, sim_threshold)
+    if not directed:
+        rows = rows.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "sim", "item")
     return rows.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.array_sort(F.collect_list("item")).alias("data"))
 
 

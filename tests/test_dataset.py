@@ -390,3 +390,12 @@ def test_batches_of_texts_are_cut(spark, monkeypatch):
     whole = got()
     monkeypatch.setattr(trie, "WALK_WORDS", 5)
     assert got() == whole
+
+
+def test_undirected_edges_are_grouped_once(spark):
+    spot = "struct<start:int,end:int>"
+    rows = [(a, b, 0.5 + a / 10, path, k, k / 10, 1.0, 1.0, (0, a), (1, b)) for k, (a, b, path) in enumerate([(1, 2, "i_nsubj dobj"), (1, 2, "nsubj i_dobj"), (3, 2, "i_nsubj"), (2, 3, "i_nsubj"), (2, 1, "x")])]
+    frame = spark.createDataFrame(rows, f"kw1 int, kw2 int, sim double, dep_path string, note int, score double, significant double, explicit double, kw1_span {spot}, kw2_span {spot}")
+    once = graph.digraph(frame, directed=False)
+    assert sorted(once.collect()) == sorted(graph.undirected(graph.digraph(frame)).collect())
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
