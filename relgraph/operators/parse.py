@@ -259,6 +259,17 @@ def features(pairs: DataFrame, core: DataFrame, sub: DataFrame, *, low: int = 5,
     return rows.select("id", *_PLACES, "dep_path", "pattern", "dep_coverage", "pattern_freq", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("__copy")).drop("__copy")
 
 
+def fitting(pairs: DataFrame, *, low: int = 5, high: int = 50) -> DataFrame:
+    """The rows (id, head, dep, s1, e1, s2, e2, ...) that ``features`` does not filter out, all columns kept; nothing is joined (FI1, FI7, FI8)."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.take(pa.array(_batch(batch, low, high).rows))
+
+    rows = pairs.select("id", "head", "dep", *(F.col(p).cast("int").alias(p) for p in _PLACES), *(c for c in pairs.columns if c not in ("id", "head", "dep", *_PLACES)))
+    return rows.mapInArrow(run, rows.schema)
+
+
 def patterns(pairs: DataFrame, *, sim_threshold: float | None = None, low: int = 5, high: int = 50) -> DataFrame:
     """(kind, pattern): core patterns of span pairs, and sub patterns once for each on-branch token (TX20, FI1, FI7, FI8, FI10).
 

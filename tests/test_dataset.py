@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from relgraph import __main__ as cli
 from relgraph.functions import text
-from relgraph.operators import dataset, graph, mentions, metrics, ranked, trie
+from relgraph.operators import dataset, graph, mentions, metrics, parse, ranked, trie
 from relgraph.sources import io
 
 ITEM = "score double, note string, significant double, explicit double, span_head struct<start:int,end:int>, span_tail struct<start:int,end:int>"
@@ -397,5 +397,14 @@ def test_undirected_edges_are_grouped_once(spark):
     rows = [(a, b, 0.5 + a / 10, path, k, k / 10, 1.0, 1.0, (0, a), (1, b)) for k, (a, b, path) in enumerate([(1, 2, "i_nsubj dobj"), (1, 2, "nsubj i_dobj"), (3, 2, "i_nsubj"), (2, 3, "i_nsubj"), (2, 1, "x")])]
     frame = spark.createDataFrame(rows, f"kw1 int, kw2 int, sim double, dep_path string, note int, score double, significant double, explicit double, kw1_span {spot}, kw2_span {spot}")
     once = graph.digraph(frame, directed=False)
-    assert sorted(once.collect()) == sorted(graph.undirected(graph.digraph(frame)).collect())
     assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(once.collect()) == sorted(graph.undirected(graph.digraph(frame)).collect())
+
+
+def test_fitting_rows_are_those_of_features(spark):
+    rows = [(1, ["i", "saw", "a", "b", "c"], [1, 1, 3, 1, 1], ["nsubj", "ROOT", "det", "dobj", "punct"], 0, 0, 3, 3), (2, ["x"], [0], ["ROOT"], 0, 0, 0, 0), (3, ["i", "saw", "a", "b", "c"], [1, 1, 3, 1, 1], ["dobj", "ROOT", "det", "dobj", "punct"], 0, 0, 3, 3)]
+    frame = spark.createDataFrame(rows, "id int, tokens array<string>, head array<int>, dep array<string>, s1 int, e1 int, s2 int, e2 int")
+    none = spark.createDataFrame([("i_nsubj dobj", 1)], "pattern string, cnt long")
+    kept = parse.fitting(frame)
+    assert [r.id for r in kept.collect()] == [r.id for r in parse.features(frame, none, none).collect()] == [1] and kept.first().tokens == rows[0][1]
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
