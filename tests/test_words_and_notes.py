@@ -168,3 +168,21 @@ def test_large_tables_get_tasks_by_size(spark, tmp_path, monkeypatch):
     parts = cooccur.baskets(rows, "e", "n")
     assert parts.rdd.getNumPartitions() == scratch.size_of(rows) // (16 << 10) > 4
     assert parts.exceptAll(whole).isEmpty() and parts.count() == 9000
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_vectors_are_not_shuffled_with_pairs(spark, monkeypatch, kind):
+    rng = random.Random(4)
+    vecs = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(60)] + [(7, [1.0] * 6), (60, [0.0] * 6), (61, None), (62, [1.0] * 4), (63, [1.0, None] * 3), (None, [1.0] * 6)]
+    pairs = [(rng.randrange(70), rng.randrange(70), k) for k in range(900)] + [(None, 3, 900), (62, 62, 901)]
+    vectors = spark.createDataFrame(vecs, "ent long, vec array<float>").withColumn("ent", F.col("ent").cast(kind)).repartition(3)
+    frame = spark.createDataFrame(pairs, "a long, b long, c int").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "c").repartition(5)
+    key = lambda df: sorted(map(repr, df.select("a", "b", "c", "sim").collect()))
+    small = key(mentions.attach_vectors(frame, vectors, 6))
+    monkeypatch.setattr(mentions, "VECTOR_BYTES", 0)
+    for block in (20, 1 << 16):
+        monkeypatch.setattr(mentions, "VECTOR_BLOCK", block)
+        large = mentions.attach_vectors(frame, vectors, 6)
+        assert "Join" not in large._jdf.queryExecution().executedPlan().toString()
+        assert key(large) == small
+    assert mentions.attach_vectors(frame, vectors.limit(0), 6).where("sim <> 0").count() == 0
