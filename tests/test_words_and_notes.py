@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from relgraph import __main__ as cli
 from relgraph.functions import lines, text
 from relgraph.operators import cooccur, dataset, graph, mentions
+from relgraph.plans import queries
 from relgraph.sources import io, scratch
 
 
@@ -186,3 +187,22 @@ def test_vectors_are_not_shuffled_with_pairs(spark, monkeypatch, kind):
         assert "Join" not in large._jdf.queryExecution().executedPlan().toString()
         assert key(large) == small
     assert mentions.attach_vectors(frame, vectors.limit(0), 6).where("sim <> 0").count() == 0
+
+
+def test_notes_of_texts_make_pairs_twice_at_most(spark, tmp_path):
+    rng = random.Random(6)
+    notes = {k: sorted(rng.sample(range(12), rng.randrange(6))) for k in range(300)}
+    frame = spark.createDataFrame([(k, f"t{k % 40}" if k % 7 else None, e) for k, e in notes.items()], "note long, text string, ents array<int>")
+    wanted = spark.createDataFrame([(a, b, f"t{rng.randrange(41)}") for a, b in itertools.combinations(range(12), 2)] * 2, "a int, b int, text string")
+    want = {}
+    for a, b, t in map(tuple, wanted.collect()):
+        found = [k for k, e in notes.items() if k % 7 and f"t{k % 40}" == t and a in e and b in e]
+        if found:
+            want[a, b, t] = min(found)
+    got = cooccur.notes_saying(wanted, frame)
+    assert {tuple(r[:3]): r.note for r in got.collect()} == want and got.count() == len(want)
+    old = cooccur.notes_of_texts(wanted, cooccur.pairs(frame.select("note", "ents")), frame.select("note", "text"))
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, got.collect()))
+    spark.createDataFrame([(n, s) for n in range(40) for s in rng.sample(range(9), 4)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = queries.notes_of_texts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("posexplode")
+    assert made <= 2  # for the wanted texts and for what notes say
