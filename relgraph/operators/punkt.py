@@ -40,17 +40,29 @@ def tokens(texts: DataFrame) -> DataFrame:
     rows = w.where(F.size("w") > 0).select("id", F.posexplode(shifted).alias("place", "x")).select("id", "place", *[_core(f"x.{k}").alias(k) for k in "wba"])
     out = ["id", "place"]
     for k, p in (("w", ""), ("b", "b_"), ("a", "a_")):
-        dots, bare = F.rlike(k, F.lit(r"\.\.+$")), F.regexp_replace(k, r"\.$", "")
         rows = rows.withColumns(
             {
-                f"{p}of": F.when(F.rlike(bare, F.lit(NUMBER)), NUMBER_TYPE).otherwise(F.lower(F.when(dots, F.col(k)).otherwise(bare))), f"{p}dots": dots,
-                f"{p}period": F.endswith(k, F.lit(".")) & ~dots, f"{p}mark": F.rlike(k, F.lit("[!?]$")), f"{p}upper": F.rlike(k, F.lit(r"^\p{Lu}")), f"{p}lower": F.rlike(k, F.lit(r"^\p{Ll}")),
+                **_typed(k, p),
+                f"{p}mark": F.rlike(k, F.lit("[!?]$")), f"{p}upper": F.rlike(k, F.lit(r"^\p{Lu}")), f"{p}lower": F.rlike(k, F.lit(r"^\p{Ll}")),
             }
         )
         out += [f"{p}{c}" for c in ("of", "dots", "period", "mark", "upper", "lower")]
     return rows.select(out)
 
 
+def _typed(k: str, p: str = "") -> dict[str, Column]:
+    """Type of a word k without marks around it, and whether it ends with dots and with a period."""
+    dots, bare = F.rlike(k, F.lit(r"\.\.+$")), F.regexp_replace(k, r"\.$", "")
+    return {f"{p}of": F.when(F.rlike(bare, F.lit(NUMBER)), NUMBER_TYPE).otherwise(F.lower(F.when(dots, F.col(k)).otherwise(bare))), f"{p}dots": dots, f"{p}period": F.endswith(k, F.lit(".")) & ~dots}
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(of, period, times): types of the words of texts (id, text), with a period and without, and how often: each different word is read once, not each word."""
+    rows = texts.select(F.explode(words("text")).alias("w")).groupBy("w").agg(F.count("*").alias("times"))
+    rows = rows.select(_core("w").alias("w"), "times").withColumns(_typed("w"))
+    return rows.groupBy("of", "period").agg(F.sum("times").alias("times"))
+
+
 def initial(of: str) -> Column:
     """Whether a type is a single letter."""
     return F.rlike(of, F.lit(r"^\p{L}$"))
@@ -62,12 +74,15 @@ def _ln(n: Column, p: Column) -> Column:
 
 
 def types(found: DataFrame) -> DataFrame:
-    """(of, n, periods, score, abbreviation) of every type.
+    """(of, n, periods, score, abbreviation) of every type, from words (of, period) or their counts (of, period, times).
 
     score: how much likelier a period after it is than by chance, less for long types and for each time there is none.
     """
-    rows = found.groupBy("of").agg(F.count("*").alias("n"), F.count_if("period").alias("periods"))
-    total = found.agg(F.count("*").alias("all_n"), F.count_if("period").alias("all_periods"))
+    if "times" not in found.columns:
+        found = found.select("of", "period", F.lit(1).cast("long").alias("times"))
+    both = lambda n, k: (F.sum("times").alias(n), F.coalesce(F.sum(F.when(F.col("period"), F.col("times"))), F.lit(0)).alias(k))
+    rows = found.groupBy("of").agg(*both("n", "periods"))
+    total = found.agg(*both("all_n", "all_periods"))
     rows = rows.crossJoin(F.broadcast(total))  # one row
     n, k, p = F.col("n").cast("double"), F.col("periods").cast("double"), F.col("all_periods") / F.col("all_n")
     null, with_ = _ln(k, p) + _ln(n - k, 1 - p), _ln(k, F.lit(0.99)) + _ln(n - k, F.lit(0.01))
@@ -104,7 +119,7 @@ def _abbreviated(found: DataFrame, abbreviations: DataFrame, *ends: str) -> Data
 def fit(texts: DataFrame, known: list[str] | None = None, keep=lambda df, name: df) -> Model:
     """The model of texts (id, text). known: abbreviations beside those that are learnt; keep(table, name) materialises what is used again."""
     found = tokens(texts)
-    every = keep(types(found), "punkt-types")
+    every = keep(types(keep(word_counts(texts), "punkt-words")), "punkt-types")
     if known:
         spark = texts.sparkSession
         every = every.join(spark.createDataFrame([(k.lower().removesuffix("."),) for k in known], "of string").distinct().withColumn("known", F.lit(True)), "of", "full")

@@ -225,3 +225,15 @@ def test_alignment_of_a_word_that_comes_again_and_again():
     begun = time.perf_counter()
     assert metrics.align(text, text) == (400, 1) and metrics.align(text, text[200:])[0] == 200
     assert time.perf_counter() - begun < 3
+
+
+def test_words_are_typed_once_for_all_their_places(spark):
+    said = ["Dr. Smith (paid) 3.5 pounds. Then Dr. Wu...", "", None, "wait... \"Mr.\" e.g. e.g. -- 7, U.S. us.", "Dr. dr. DR"] * 3
+    table = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    counts = punkt.word_counts(table)
+    each = punkt.tokens(table).groupBy("of", "period").count()
+    assert sorted(map(repr, map(tuple, counts.collect()))) == sorted(map(repr, map(tuple, each.collect())))
+    key = lambda df: sorted(map(tuple, df.select("of", "n", "periods", "score", "abbreviation").collect()))
+    assert key(punkt.types(counts)) == key(punkt.types(punkt.tokens(table)))
+    typed, read = counts._jdf.queryExecution().optimizedPlan().toString().split("Generate ")
+    assert "Aggregate [w#" in typed and "regexp_replace" in typed and "regexp_replace" not in read  # types are made of grouped words
