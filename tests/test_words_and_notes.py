@@ -206,3 +206,21 @@ def test_notes_of_texts_make_pairs_twice_at_most(spark, tmp_path):
     spark.createDataFrame([(n, s) for n in range(40) for s in rng.sample(range(9), 4)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     made = queries.notes_of_texts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("posexplode")
     assert made <= 2  # for the wanted texts and for what notes say
+
+
+def test_phrases_of_large_and_small_scopes(spark, monkeypatch):
+    rng = random.Random(8)
+    draw = lambda n: [rng.choice("abcd") for _ in range(n)]
+    texts = [(k, k % 5, draw(rng.randrange(12))) for k in range(80)] + [(80, None, ["a"]), (81, 1, None), (82, 1, ["a", None, "b"]), (83, 1, ["", "a"])]
+    said = [(s, " ".join(draw(rng.randrange(1, 4)))) for s in range(4) for _ in range(3 + 4 * s)] + [(0, ""), (None, "a")]
+    tokens = spark.createDataFrame(texts, "id int, page int, tokens array<string>").repartition(3)
+    names = spark.createDataFrame(said * 2, "page int, phrase string")
+    want = sorted((i, k, len(p.split(" ")), p) for i, s, w in texts if w and None not in w for t, p in set(said) if p and t is not None and t == s for k in range(len(w)) if w[k : k + len(p.split(" "))] == p.split(" "))
+    for most in (1024, 4, 0):  # all scopes small, some, none
+        monkeypatch.setattr(mentions, "SCOPE_PHRASES", most)
+        got = mentions.match_phrases(tokens, names, "greedy", scope=("page",))
+        assert sorted(map(tuple, got.where("id <> 82").collect())) == want
+    plan = lambda: mentions.match_phrases(tokens, names, "greedy", scope=("page",))._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan()
+    monkeypatch.setattr(mentions, "SCOPE_PHRASES", 1024)
+    assert "phrase#" in joined and plan().count("Join Inner") < joined.count("Join Inner")  # no n-gram meets the phrases in a join
