@@ -102,6 +102,20 @@ def test_counts_of_blocks_need_no_row_for_each_pair(spark, block):
     assert {(int(x.a) - 100, int(x.b) - 100): x.c for x in cooccur.ordered_counts(names, 50).collect()} == want
 
 
+@pytest.mark.parametrize("held", [40, 1 << 20])
+def test_rows_are_moved_by_block_and_not_by_table(spark, monkeypatch, held):
+    r = random.Random(held)
+    rows = [(k, e) for k in range(30) for e in r.sample(range(200), r.randrange(1, 60))]
+    monkeypatch.setattr(cooccur, "COUNT_HELD", held)
+    monkeypatch.setattr(cooccur, "COUNT_TASKS", 1)
+    got = cooccur.ordered_counts(spark.createDataFrame(rows, "note int, ent long"), 5)  # 40 tables a side
+    blocks = max(-(-len(rows) // held), 3)  # 4 cores
+    assert got.rdd.getNumPartitions() == blocks * (blocks + 1) // 2 < 40 * 41 // 2
+    want = Counter((x, y) for n, x in rows for m, y in rows if n == m and x < y)
+    found = got.collect()
+    assert Counter({(x.a, x.b): x.c for x in found}) == want and len(found) == len(want)
+
+
 def test_tables_of_few_and_of_many_notes():
     r = random.Random(4)
     for n, most in ((700, 3), (40, 30)):
