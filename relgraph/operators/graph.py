@@ -131,11 +131,16 @@ def best_paths(arcs: DataFrame, wanted: DataFrame, max_hops: int, path_num: int)
     """(a, b, nodes, weights): the path_num best paths of 2 to max_hops arcs (3 at most), as ``samples.rank_paths`` ranks them, or all if there are fewer."""
     none = F.lit(None).cast("long")
     slim = arcs.select("u", "v", F.lit(0).cast("long").alias("n0"), none.alias("n1"), F.col("w").alias("w0"), F.lit(None).cast("double").alias("w1"))
-    two = None
+    two = three = None
     if closing.fits((arcs, "u"), (arcs, "v"), (wanted, "a"), (wanted, "b")):
         two = closing.best_two_steps(arcs, wanted, path_num)
         two = two.select(*[F.col(c).cast(wanted.schema[c].dataType) for c in ("a", "b")], F.col("m").cast(arcs.schema["v"].dataType).alias("m"), "w0", "w1")
-    return ranked.best_paths(wanted.select("a", "b", none.alias("target")), slim, max_hops=max_hops, path_num=path_num, two=two).drop("picks")
+
+        def three(pairs: DataFrame) -> DataFrame:
+            found = closing.best_three_steps(arcs, pairs, path_num)
+            return found.select(*[F.col(c).cast(wanted.schema[c].dataType) for c in ("a", "b")], *[F.col(c).cast(arcs.schema["v"].dataType).alias(c) for c in ("x", "y")], "w0", "w1", "w2")
+
+    return ranked.best_paths(wanted.select("a", "b", none.alias("target")), slim, max_hops=max_hops, path_num=path_num, two=two, three=three).drop("picks")
 
 
 def four_hop_summary(arcs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -47,12 +47,13 @@ def _ends(cheapest: DataFrame, end: str, far: str, level: int) -> DataFrame:
     return cheapest.groupBy(F.col(end).alias("node")).agg(at(1, "c").alias("first"), at(level + 1, "c").alias("next"), at(level, "c").alias("cut_c"), at(level, far).alias("cut_far"))
 
 
-def best_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, path_num: int, replaceable: bool = False, two: DataFrame | None = None) -> DataFrame:
+def best_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, path_num: int, replaceable: bool = False, two: DataFrame | None = None, three=None) -> DataFrame:
     """(a, b, nodes, picks, weights): the path_num best simple paths of 2 to max_hops arcs, 3 at most, by hops, score to 12 places and nodes.
 
     targets: (a, b, target), each pair once; arcs: (u, v, n0, n1, w0, w1), the sentences that an edge can give and their weights. A pair has
     fewer paths only if there are no more; one with enough is not followed to more hops (GR4, GR9, TK1).
-    two: (a, m, b, w0, w1), where first sentences and no targets count: paths of two arcs, all that can be among the path_num best.
+    Where first sentences and no targets count, two: (a, m, b, w0, w1), paths of two arcs, all that can be among the path_num best; three(pairs):
+    the same of three arcs, (a, x, y, b, w0, w1, w2), instead of rounds.
     """
     least = F.least(cost(F.col("w0")), cost(F.col("w1"))) if replaceable else cost(F.col("w0"))
     arcs = materialise(arcs.withColumn("c", least), "ranked-arcs")
@@ -91,9 +92,10 @@ def best_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, path_num:
         rows = take(rows, arcs, 1, {"u": "v0"}).where("v1 <> a and v1 <> b").drop("_c")
         return paths(take(rows, arcs, 2, {"u": "v1", "v": "b"}), ["a", "v0", "v1", "b"], 3)
 
-    def known() -> DataFrame:
-        rows = two.select("a", "b", "m", *[F.lit(0).alias(f"p{k}") for k in (0, 1)], F.col("w0").alias("x0"), F.col("w1").alias("x1"))
-        return paths(rows, ["a", "m", "b"], 2)
+    def known(hops: int) -> DataFrame:
+        found, middle = (two, ["m"]) if hops == 2 else (three(open_), ["x", "y"])
+        rows = found.select("a", "b", *middle, *[F.lit(0).alias(f"p{k}") for k in range(hops)], *[F.col(f"w{k}").alias(f"x{k}") for k in range(hops)])
+        return paths(rows, ["a", *middle, "b"], hops)
 
     def limited(found: DataFrame, hops: int) -> DataFrame:
         order = [F.desc(F.round(F.lit(float(hops)) / F.col("cost"), 12)), F.col("nodes")]
@@ -105,8 +107,9 @@ def best_paths(targets: DataFrame, arcs: DataFrame, *, max_hops: int, path_num:
     for hops in range(2, max_hops + 1):
         rows = F.col("da") if hops == 2 else F.col("da") * F.col("db")
         few = total * widest ** (hops - 1) <= most or (hops == 2 and two is not None)
-        if few or open_.join(out_of, "a").join(into_b, "b").agg(F.coalesce(F.sum(rows.cast("double")), F.lit(0.0))).first()[0] <= most:
-            found = limited(full(open_, hops) if hops > 2 or two is None else known(), hops)
+        few = few or open_.join(out_of, "a").join(into_b, "b").agg(F.coalesce(F.sum(rows.cast("double")), F.lit(0.0))).first()[0] <= most
+        if few or (hops == 3 and three is not None):
+            found = limited(known(hops) if (hops == 2 and two is not None) or not few else full(open_, hops), hops)
             if hops < max_hops:
                 found = materialise(found, "ranked-paths")
             done.append(found.select("a", "b", "nodes", "picks", "weights"))

@@ -45,6 +45,46 @@ def test_best_of_two_steps_need_no_rounds(spark, monkeypatch, enough):
     assert said(got) == said(every) and got.count() > 100
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_best_of_three_steps_need_no_rounds(spark, monkeypatch, seed):
+    _, w, named = edges(spark, seed, nodes=60, n=110)
+    monkeypatch.setattr(closing, "MIDDLE_ARCS", 40)  # seven blocks
+    every = samples.rank_paths(graph.paths(graph.both_ways(named), named, 2).unionByName(graph.paths(graph.both_ways(named), named, 3)), 4)
+    said = lambda df: sorted((int(r.a), int(r.b), r["rank"], tuple(map(int, r.nodes)), r.score) for r in df.collect())
+    want = said(every)
+    monkeypatch.setattr(ranked, "FULL", 0)
+    monkeypatch.setattr(ranked, "_cheapest", lambda *_: pytest.fail("arcs of three steps were joined"))
+    assert said(samples.rank_paths(graph.best_paths(graph.both_ways(w), w, 3, 4), 4)) == want
+    assert len({x[:2] for x in want}) > 30 and {len(x[3]) for x in want} == {3, 4}
+
+
+@pytest.mark.parametrize("steps", [20, 1 << 21])
+def test_best_of_three_steps_through_blocks(monkeypatch, steps):
+    monkeypatch.setattr(closing, "STEPS", steps)
+    r = random.Random(3)
+    arcs = [(r.randrange(15), r.randrange(15), r.choice([0.0, 0.5, 0.75, 1.0])) for _ in range(150)]  # parallel ones, and loops
+    arcs = [x for x in arcs if x[0] != x[1]]
+    wanted = sorted({(r.randrange(15), r.randrange(15)) for _ in range(60)})
+    a, b, (u, v, w) = *(np.array(c) for c in zip(*wanted, strict=True)), (np.array(c) for c in zip(*arcs, strict=True))
+    (ends_a, pa_), (ends_b, pb) = (np.unique(c, return_inverse=True) for c in (a, b))
+    own = np.flatnonzero(np.isin(u, ends_a))
+    own = own[np.argsort(u[own], kind="stable")]
+    best = closing._BestOfThree(len(a), 3)
+    for k in range(3):
+        into, onward = (np.flatnonzero(c % 3 == k) for c in (v, u))
+        closing._through(best, (pa_, pb, ends_a, ends_b), (np.searchsorted(ends_a, u[own]), v[own], w[own], closing._costs(w[own])), [v[into], u[into], w[into]], [u[onward], v[onward], w[onward]])
+    best.cut()
+    got = defaultdict(list)
+    for pair, x, y, w0, w1, w2, cost in zip(*best.kept[0], strict=True):
+        got[a[pair], b[pair]].append((round(float(cost), 9), int(x), int(y), w0, w1, w2))
+    cost = lambda *w: round(sum(1 / x if x else float("inf") for x in w), 9)
+    for p, q in wanted:
+        paths = sorted((cost(w0, w1, w2), x, y, w0, w1, w2) for s, x, w0 in arcs if s == p and x != q for t, y, w1 in arcs if t == x and y not in (p, q) for z, e, w2 in arcs if z == y and e == q)
+        found = sorted(got[p, q])
+        assert [x[:3] for x in found[:3]] == [x[:3] for x in paths[:3]] and Counter(found) <= Counter(paths)
+    assert sum(len(x) for x in got.values()) > 100
+
+
 def test_four_steps_are_counted_without_rows(spark):
     rows, w, _ = edges(spark, 3, nodes=14, n=30)
     near = defaultdict(dict)
