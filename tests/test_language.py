@@ -137,6 +137,31 @@ def test_learnt_sentences_equal_a_plain_version(spark, monkeypatch, seed):
     assert punkt.sentences(empty, punkt.fit(empty)).collect() == []
 
 
+def test_words_are_read_once_and_texts_are_cut_at_ends_alone(spark, monkeypatch):
+    texts = ['He  paid\t3. "Dr.) Lee left?" (We ran!) Mr.\n\nNo. 7 is here.”  ', " \x0b\f\r ", "...", "a\u00a0b. c", "x\u2028y.) Z\x00 e.g. them. ", "no end", "He said. . and ! then .. so ?;: It", "".join(["w. "] * 50)]
+    table = spark.createDataFrame(list(enumerate(texts * 2)), "id long, text string")
+    want = [[] for _ in texts]
+    for k, t in enumerate(texts):
+        w, now = [x for x in regex.split("[ \t\n\x0b\f\r]+", t) if x], []
+        for i, x in enumerate(w):
+            now.append(x)
+            c = core(x)
+            if i == len(w) - 1 or c[-1:] in set(".!?") - {""}:
+                want[k].append(now)
+                now = []
+    got = {r.id: r.p for r in table.select("id", punkt.pieces("text").alias("p")).collect()}
+    assert [[[w for w in p.split(" ") if w] for p in got[i]] for i in range(len(texts))] == want
+    # what is counted are different pairs of words, which two copies of a text do not add to
+    counts = punkt.followed(table)
+    once = punkt.followed(table.where(f"id < {len(texts)}"))
+    assert counts.count() == once.count() and counts.agg(F.sum("times")).first()[0] == 2 * once.agg(F.sum("times")).first()[0] == 2 * sum(len(p) for t in want for p in t)
+    # not a word of a text is a row of its own after that
+    monkeypatch.setattr(punkt, "tokens", lambda *_: pytest.fail("each word was read"))
+    model = punkt.fit(table)
+    said = {(r.id, r.sent): r.text for r in punkt.sentences(table, model).collect()}
+    assert " ".join(said[0, k] for k in range(len([x for x in said if x[0] == 0]))) == " ".join(texts[0].split())
+
+
 def test_abbreviations_and_numbers_end_no_sentence(spark):
     model = punkt.fit(spark.createDataFrame(list(enumerate(corpus(3))), "id long, text string"))
     table = spark.createDataFrame([(1, "Dr. Smith paid 3.5 pounds. Then he left.")], "id long, text string")
