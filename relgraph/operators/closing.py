@@ -232,8 +232,8 @@ def best_two_steps(arcs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(_blocks(["w"], _best(n)), "a long, m long, b long, w0 double, w1 double")
 
 
-#: Pairs of a task and arcs of a block of middle nodes, of paths of three arcs.
-TASK_PAIRS, MIDDLE_ARCS = 1 << 20, 1 << 19
+#: Pairs of a task, arcs of a block of middle nodes and what is made at a time, of paths of three arcs.
+TASK_PAIRS, MIDDLE_ARCS, AT_A_TIME = 1 << 18, 1 << 19, 1 << 19
 
 
 class _BestOfThree:
@@ -246,7 +246,7 @@ class _BestOfThree:
         """pair, x, y, the weights, cost."""
         self.kept.append(columns)
         self.waiting += len(columns[0])
-        if self.waiting > max(STEPS, self.held):
+        if self.waiting > max(AT_A_TIME, self.held):
             self.cut()
 
     def cut(self) -> None:
@@ -268,10 +268,10 @@ class _BestOfThree:
 
 
 def _chunks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of counts whose sum is STEPS at most, or of one count."""
+    """Ranges of counts whose sum is AT_A_TIME at most, or of one count."""
     ends, at = np.cumsum(counts), 0
     while at < len(counts):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEPS, "right")))
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_A_TIME, "right")))
         yield at, upto
         at = upto
 
@@ -296,7 +296,7 @@ def _ranges(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _through(best: _BestOfThree, pairs: tuple, out: tuple, into: list, onward: list) -> None:
     """Give best the paths a, x, y, b of one block of nodes y. pairs: (places of a, b) by a, the nodes a, the nodes b; out: (place of a, x, weight, cost) by a; into: (y, x, weight), onward: (y, b, weight).
 
-    The two first arcs are made once for each a, STEPS of them at a time, and found by (a, y); what cannot cost less than the bounds is left out at each step.
+    The two first arcs are made once for each a, AT_A_TIME of them at a time, and found by (a, y); what cannot cost less than the bounds is left out at each step.
     """
     pa_, pb, ends_a, ends_b = pairs
     ys = np.unique(onward[0])
@@ -332,7 +332,7 @@ def _through(best: _BestOfThree, pairs: tuple, out: tuple, into: list, onward: l
         key = (of - a0) * len(ys) + y2[two]
         order = np.argsort(key)
         size = (last - a0 + 1) * len(ys)
-        dense = size <= 8 * STEPS
+        dense = size <= 8 * AT_A_TIME
         if dense:
             times_of = np.bincount(key, minlength=size)
             start_of = np.cumsum(times_of) - times_of

@@ -60,7 +60,7 @@ def test_best_of_three_steps_need_no_rounds(spark, monkeypatch, seed):
 
 @pytest.mark.parametrize("steps", [20, 1 << 21])
 def test_best_of_three_steps_through_blocks(monkeypatch, steps):
-    monkeypatch.setattr(closing, "STEPS", steps)
+    monkeypatch.setattr(closing, "AT_A_TIME", steps)
     r = random.Random(3)
     arcs = [(r.randrange(15), r.randrange(15), r.choice([0.0, 0.5, 0.75, 1.0])) for _ in range(150)]  # parallel ones, and loops
     arcs = [x for x in arcs if x[0] != x[1]]
